@@ -39,7 +39,7 @@ def is_blank(col) -> Column:
 
 def first_number(col, pattern: str) -> Column:
     """First capture group of ``pattern`` as a double; null when absent."""
-    return F.try_cast(F.nullif(F.regexp_extract(_c(col), pattern, 1), F.lit("")), "double")
+    return F.nullif(F.regexp_extract(_c(col), pattern, 1), F.lit("")).try_cast("double")
 
 
 def surface_from_title(title) -> Column:
@@ -76,7 +76,7 @@ def numeric_text(col) -> Column:
     for token in ("m2", "m²", "€"):
         s = F.replace(s, F.lit(token), F.lit(""))
     s = F.regexp_replace(F.replace(s, F.lit(","), F.lit(".")), r"[^0-9.]", "")
-    return F.try_cast(F.nullif(s, F.lit("")), "double")
+    return F.nullif(s, F.lit("")).try_cast("double")
 
 
 def sha256_hex(col) -> Column:

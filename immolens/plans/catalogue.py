@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from immolens.operators import marts, warehouse
 from immolens.sources.adapter import listings
@@ -71,3 +71,366 @@ def fact_listings(spark, sf_dir):
 @query
 def integrity_audit(spark, sf_dir):
     return warehouse.integrity_audit(_star(spark, sf_dir))
+
+
+# ------------------------------------------------------------ preparation
+from pyspark.sql import functions as F  # noqa: E402
+
+from immolens.operators import clean, features, quality  # noqa: E402
+from immolens.operators.keys import keep_first  # noqa: E402
+
+
+def _raw(spark, sf_dir):
+    return listings(spark, sf_dir)
+
+
+def _quality(spark, sf_dir):
+    return quality.data_quality(_raw(spark, sf_dir))
+
+
+def _clean(spark, sf_dir):
+    return clean.clean_listings(_quality(spark, sf_dir))
+
+
+def _trimmed(spark, sf_dir):
+    c = _clean(spark, sf_dir)
+    return features.remove_outliers(c.where(F.col("prix").isNotNull()))
+
+
+def _features(spark, sf_dir):
+    """M7 without the clustering stage (clusters are checked separately)."""
+    out, _, _ = features.engineer_features(_clean(spark, sf_dir), n_cluster=None)
+    return out
+
+
+@query
+def title_extraction(spark, sf_dir):
+    return quality.extract_m2(_raw(spark, sf_dir)).select(
+        "id", "ordinal", "type", "surface", "pieces", "price_m2")
+
+
+@query
+def quality_filter(spark, sf_dir):
+    return _quality(spark, sf_dir)
+
+
+@query
+def quality_rule_counts(spark, sf_dir):
+    return quality.rule_counts(_raw(spark, sf_dir))
+
+
+@query
+def rejected_rows(spark, sf_dir):
+    return quality.rejected_rows(_raw(spark, sf_dir))
+
+
+@query
+def numeric_clean(spark, sf_dir):
+    """C1 on text renderings of the listing numbers ('112 946 €', '45,5 m2')."""
+    raw = _raw(spark, sf_dir)
+    txt = raw.select(
+        "id", "ordinal",
+        F.concat(F.replace(F.format_number(F.col("price").try_cast("long"), 0),
+                           F.lit(","), F.lit(" ")), F.lit(" €")).alias("prix_txt"),
+        F.concat(F.col("surface").try_cast("long").cast("string"), F.lit(",5 m2")).alias("surface_txt"),
+        F.concat(F.lit(" "), F.col("pieces").try_cast("long").cast("string"), F.lit(" pièces"))
+         .alias("pieces_txt"))
+    parsed = clean.clean_numerical_columns(
+        txt.withColumns({"prix": F.col("prix_txt"), "surface": F.col("surface_txt"),
+                         "pieces": F.col("pieces_txt")}),
+        ["prix", "surface", "pieces"])
+    return parsed
+
+
+@query
+def text_normalise(spark, sf_dir):
+    raw = _raw(spark, sf_dir).select(
+        "id", "ordinal", F.col("city").alias("ville"), F.col("type").alias("type_bien"))
+    return clean.normalize_text_columns(raw)
+
+
+@query
+def contact_hash(spark, sf_dir):
+    raw = _raw(spark, sf_dir).select("id", "ordinal", F.col("author").alias("agence"))
+    return clean.hash_contact_names(raw)
+
+
+@query
+def dedupe_first(spark, sf_dir):
+    return keep_first(_raw(spark, sf_dir), "id")
+
+
+@query
+def mean_impute(spark, sf_dir):
+    raw = _raw(spark, sf_dir).select("id", "ordinal", "price", "surface", "pieces")
+    return clean.impute_missing_values(raw, "mean")
+
+
+@query
+def clean_listings(spark, sf_dir):
+    return _clean(spark, sf_dir)
+
+
+@query
+def outlier_trim(spark, sf_dir):
+    return _trimmed(spark, sf_dir)
+
+
+@query
+def target_encoding(spark, sf_dir):
+    return features.fit_target_encoding(_trimmed(spark, sf_dir))
+
+
+@query
+def target_encode_apply(spark, sf_dir):
+    """M4: the saved encoding applied to raw city names (upper-cased lookup);
+    unknown or missing cities get the unweighted mean of the encodings."""
+    enc = features.fit_target_encoding(_trimmed(spark, sf_dir))
+    raw = _raw(spark, sf_dir).select("id", "ordinal", F.col("city").alias("ville"))
+    return features.apply_target_encoding(raw, enc, "ville", on_unknown="default",
+                                          normalise=True)
+
+
+@query
+def one_hot(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.select("id_annonce", *[c for c in f.columns if c.startswith("type_bien_")])
+
+
+@query
+def log_features(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.select("id_annonce", F.round("prix_log", 8).alias("prix_log"),
+                    F.round("surface_log", 8).alias("surface_log"))
+
+
+# ------------------------------------------------------------------ market
+from immolens.operators import market, models, scoring  # noqa: E402
+from immolens.sources.adapter import city_coordinates  # noqa: E402
+
+# Fixed panel parameters used by the filtered catalogue variants.
+FILTERED_DASHBOARD = dict(type_str="Maison", region="EUROPE")
+FILTERED_ANALYSIS = dict(zone="NATION_1_1", type_str="Appartement", smin="50", smax="150",
+                         rooms="3-4 pièces")
+
+
+def _market(spark, sf_dir):
+    return market.enrich_by_id(_features(spark, sf_dir), _raw(spark, sf_dir))
+
+
+@query
+def dashboard_kpis(spark, sf_dir):
+    return market.dashboard_kpis(_market(spark, sf_dir))
+
+
+@query
+def dashboard_kpis_filtered(spark, sf_dir):
+    m = _market(spark, sf_dir)
+    f = market.filter_by_region(market.filter_by_type(m, FILTERED_DASHBOARD["type_str"]),
+                                FILTERED_DASHBOARD["region"])
+    return market.dashboard_kpis(f)
+
+
+@query
+def active_markets(spark, sf_dir):
+    return market.active_markets(_market(spark, sf_dir))
+
+
+@query
+def type_cards(spark, sf_dir):
+    return market.type_cards(_market(spark, sf_dir))
+
+
+@query
+def price_histogram(spark, sf_dir):
+    return market.price_histogram(_market(spark, sf_dir))
+
+
+@query
+def price_histogram_legacy(spark, sf_dir):
+    return market.price_histogram(_market(spark, sf_dir), legacy_edge=True)
+
+
+@query
+def analysis_stats(spark, sf_dir):
+    return market.analysis_stats(_market(spark, sf_dir))
+
+
+@query
+def analysis_type_stats(spark, sf_dir):
+    return market.analysis_type_stats(_market(spark, sf_dir))
+
+
+@query
+def analysis_quartiles(spark, sf_dir):
+    return market.analysis_quartiles(_market(spark, sf_dir))
+
+
+@query
+def analysis_filtered(spark, sf_dir):
+    f = market.filter_analysis(_market(spark, sf_dir), **FILTERED_ANALYSIS)
+    return market.analysis_stats(f)
+
+
+@query
+def room_buckets(spark, sf_dir):
+    m = _market(spark, sf_dir)
+    return m.groupBy(market.room_bucket("pieces").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+@query
+def top_cities_m2(spark, sf_dir):
+    return market.top_cities_m2(_raw(spark, sf_dir))
+
+
+@query
+def top_cities_m2_type(spark, sf_dir):
+    return market.top_cities_m2(_raw(spark, sf_dir), "Maison")
+
+
+@query
+def city_frequency(spark, sf_dir):
+    return market.city_frequency(_raw(spark, sf_dir))
+
+
+@query
+def option_lists(spark, sf_dir):
+    return market.option_lists(_market(spark, sf_dir), _raw(spark, sf_dir))
+
+
+@query
+def city_labels(spark, sf_dir):
+    return market.city_labels(_raw(spark, sf_dir))
+
+
+@query
+def city_map(spark, sf_dir):
+    return market.city_map(_raw(spark, sf_dir), city_coordinates(spark, sf_dir))
+
+
+@query
+def market_alerts(spark, sf_dir):
+    return market.market_alerts(_raw(spark, sf_dir))
+
+
+@query
+def run_counts(spark, sf_dir):
+    return market.run_counts(_raw(spark, sf_dir), _features(spark, sf_dir))
+
+
+@query
+def stage_audit(spark, sf_dir):
+    """Rows in and out of every preparation stage (one row per stage)."""
+    raw = _raw(spark, sf_dir)
+    q = quality.data_quality(raw)
+    c = clean.clean_listings(q)
+    f, _, _ = features.engineer_features(c, n_cluster=None)
+    stages = [("ingest", raw), ("quality", q), ("clean", c), ("features", f)]
+    counts = None
+    for i, (name, df) in enumerate(stages):
+        part = df.select(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"))
+        counts = part if counts is None else counts.unionByName(part)
+    rows_out = counts.groupBy("stage_order", "stage").agg(F.count(F.lit(1)).alias("rows_out"))
+    w = Window.orderBy("stage_order")
+    return (rows_out.withColumn("rows_in", F.coalesce(F.lag("rows_out").over(w), F.col("rows_out")))
+            .withColumn("dropped", F.col("rows_in") - F.col("rows_out"))
+            .select("stage_order", "stage", "rows_in", "rows_out", "dropped")
+            .orderBy("stage_order"))
+
+
+@query
+def input_ranges(spark, sf_dir):
+    return market.input_ranges(_features(spark, sf_dir))
+
+
+@query
+def enrich_by_id(spark, sf_dir):
+    return _market(spark, sf_dir).select("id_annonce", "region", "city")
+
+
+@query
+def median_label(spark, sf_dir):
+    labelled, _ = models.median_label(_features(spark, sf_dir))
+    return labelled.select("id_annonce", "prix", "label")
+
+
+@query
+def regression_metrics(spark, sf_dir):
+    """A23 on a deterministic predictor: the smoothed city mean (``ville``)."""
+    f = _features(spark, sf_dir)
+    return models.regression_metrics(f, "prix", "ville")
+
+
+@query
+def classification_metrics(spark, sf_dir):
+    """A24 on a deterministic predictor: is the city encoding above the
+    median price?"""
+    labelled, med = models.median_label(_features(spark, sf_dir))
+    pred = labelled.withColumn("prediction", (F.col("ville") > F.lit(med)).cast("int"))
+    return models.classification_metrics(pred, "label", "prediction")
+
+
+@query
+def projections(spark, sf_dir):
+    return scoring.projections(_clean(spark, sf_dir), "prix", keys=["id_annonce"])
+
+
+# ------------------------------------------------------------ model jobs
+# Catalogue-sized boosting (the job defaults are 200/300 trees, depth 7).
+CATALOGUE_GBT = dict(maxIter=10, stepSize=0.1, maxDepth=5, subsamplingRate=0.8,
+                     featureSubsetStrategy="0.8", seed=42)
+CATALOGUE_CLF = dict(maxIter=10, stepSize=0.1, maxDepth=5, seed=42)
+
+
+def _clustered(spark, sf_dir):
+    feats, enc, km = features.engineer_features(_clean(spark, sf_dir), n_cluster=8)
+    return feats, enc, km
+
+
+def _trained(spark, sf_dir):
+    feats, enc, km = _clustered(spark, sf_dir)
+    feats = feats.persist()
+    res = models.train_models(feats, CATALOGUE_GBT, CATALOGUE_GBT, CATALOGUE_CLF)
+    return feats, enc, km, res
+
+
+@query
+def clusters(spark, sf_dir):
+    feats, _, _ = _clustered(spark, sf_dir)
+    return feats.select("id_annonce", "cluster")
+
+
+@query
+def price_models(spark, sf_dir):
+    _, _, _, res = _trained(spark, sf_dir)
+    return models.results_frame(spark, res)
+
+
+@query
+def feature_importance(spark, sf_dir):
+    _, _, _, res = _trained(spark, sf_dir)
+    return models.feature_importance(spark, res["champion"]["model"], res["feature_columns"])
+
+
+@query
+def hyperparameters(spark, sf_dir):
+    _, _, _, res = _trained(spark, sf_dir)
+    return models.hyperparameters(spark, res["champion"]["model"])
+
+
+@query
+def batch_scoring(spark, sf_dir):
+    """M16 over every raw listing turned into a request ('city, zipcode',
+    type, surface, rooms), scored with the champion model."""
+    feats, enc, km, res = _trained(spark, sf_dir)
+    champ = res["champion"]
+    raw = _raw(spark, sf_dir)
+    requests = raw.where(F.col("surface").isNotNull() & (F.col("surface") > 0)).select(
+        "id", "ordinal",
+        F.concat_ws(", ", "city", "zipcode").alias("city"),
+        F.col("type").alias("property_type"),
+        F.col("surface").alias("surface_area"),
+        F.coalesce(F.col("pieces"), F.lit(0)).cast("int").alias("rooms"))
+    return scoring.score(requests, enc, km, champ["model"], res["feature_columns"],
+                         champ["method"], champ["r2"])

@@ -190,3 +190,366 @@ UNION ALL SELECT 'fk fact_ads.id_type', CAST(count(*) AS BIGINT) FROM fact_ads f
 UNION ALL SELECT 'fk fact_ads.id_author', CAST(count(*) AS BIGINT) FROM fact_ads f
   WHERE NOT EXISTS (SELECT 1 FROM dim_author d WHERE d.id_author = f.id_author)
 """, "fact_ads", "dim_author")
+
+
+# --------------------------------------------------------------------------
+# Preparation: quality -> clean -> features
+# --------------------------------------------------------------------------
+def strip_upper(x: str) -> str:
+    return f"upper(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'))"
+
+
+def blank(x: str) -> str:
+    return f"({x} IS NULL OR regexp_replace({x}, '^\\s+|\\s+$', '', 'g') = '')"
+
+
+def num_from(x: str, pattern: str) -> str:
+    return f"TRY_CAST(nullif(regexp_extract({x}, '{pattern}', 1), '') AS DOUBLE)"
+
+
+def mean6(x: str) -> str:
+    """Spark's avg(decimal(18,2)) -> decimal(22,6), as a double."""
+    return rnd_avg(x, 6)
+
+
+TYPE_FIX = """CASE WHEN type IS NULL OR upper(type) = 'AUTRE' THEN
+    CASE WHEN regexp_matches(lower(title), 'terrain') THEN 'Terrain'
+         WHEN regexp_matches(lower(title), 'parking|garage') THEN 'Parking'
+         WHEN regexp_matches(lower(title), 'maison|villa') THEN 'Maison'
+         WHEN regexp_matches(lower(title), 'appart') THEN 'Appartement'
+         ELSE type END
+  ELSE type END"""
+
+cte("q_fill", f"""SELECT * REPLACE (
+  coalesce(surface, {num_from('title', '(\\d+)\\s*m[²2]')}) AS surface,
+  coalesce(pieces, {num_from('title', '(\\d+)\\s*pièce')}, {num_from('title', '[tT](\\d+)')}) AS pieces,
+  {TYPE_FIX} AS type)
+FROM listings""", "listings")
+cte("q_ext", """SELECT * REPLACE (
+  CASE WHEN surface = 0 THEN NULL ELSE price / surface END AS price_m2) FROM q_fill""", "q_fill")
+QUALITY_PRED = {
+    "price": "(price IS NOT NULL AND price > 0)",
+    "surface": "(surface IS NOT NULL AND surface > 0)",
+    "price_m2": "(price_m2 IS NOT NULL AND price_m2 < 50000)",
+    "city": f"(NOT {blank('city')})",
+    "type": f"(NOT {blank('type')})",
+}
+ALL_PASS = " AND ".join(QUALITY_PRED.values())
+cte("quality", f"SELECT * FROM q_ext WHERE {ALL_PASS}", "q_ext")
+cte("c_sel", """SELECT id AS id_annonce, price AS prix, surface, pieces, type AS type_bien,
+  city AS ville, zipcode, region, author AS agence, ordinal FROM quality""", "quality")
+cte("c_dedup", """SELECT * EXCLUDE (rn) FROM (SELECT *,
+  row_number() OVER (PARTITION BY id_annonce ORDER BY ordinal) AS rn FROM c_sel) WHERE rn = 1""",
+    "c_sel")
+cte("c_norm", f"""SELECT id_annonce, prix, surface, pieces,
+  {strip_upper('type_bien')} AS type_bien, {strip_upper('ville')} AS ville,
+  zipcode, region, sha256(agence) AS agence FROM c_dedup""", "c_dedup")
+cte("c_means", f"""SELECT {mean6('prix')} AS m_prix, {mean6('surface')} AS m_surface,
+  {mean6('pieces')} AS m_pieces FROM c_norm""", "c_norm")
+cte("clean", """SELECT id_annonce, coalesce(prix, m_prix) AS prix,
+  coalesce(surface, m_surface) AS surface, coalesce(pieces, m_pieces) AS pieces,
+  type_bien, ville, zipcode, region, agence FROM c_norm, c_means""", "c_norm", "c_means")
+cte("f_bounds", """SELECT quantile_cont(prix, 0.01) AS lo, quantile_cont(prix, 0.99) AS hi
+FROM clean WHERE prix IS NOT NULL""", "clean")
+cte("f_trim", """SELECT c.* FROM clean c, f_bounds
+WHERE c.prix IS NOT NULL AND c.prix BETWEEN lo AND hi""", "clean", "f_bounds")
+cte("f_gm", f"SELECT {mean6('prix')} AS gm FROM f_trim", "f_trim")
+cte("encoding", """SELECT ville,
+  (CAST(sum(CAST(round(prix * 100) AS HUGEINT)) AS DOUBLE) / 100 + 20 * any_value(gm))
+    / (count(prix) + 20) AS encoding
+FROM f_trim, f_gm WHERE ville IS NOT NULL GROUP BY ville""", "f_trim", "f_gm")
+TYPE_VOCAB = ["APPARTEMENT", "AUTRE", "MAISON", "PARKING", "TERRAIN"]
+ONE_HOT = ",\n  ".join(f"coalesce(type_bien = '{v}', false) AS type_bien_{v}" for v in TYPE_VOCAB)
+cte("features", f"""SELECT t.id_annonce, t.prix, t.surface, t.pieces, e.encoding AS ville,
+  ln(1 + t.prix) AS prix_log, ln(1 + t.surface) AS surface_log,
+  {ONE_HOT}
+FROM f_trim t LEFT JOIN encoding e ON t.ville = e.ville""", "f_trim", "encoding")
+cte("market", """SELECT f.*, a.region, a.city FROM features f
+LEFT JOIN ads a ON f.id_annonce = a.id""", "features", "ads")
+
+QUERIES["title_extraction"] = sql(
+    "SELECT id, ordinal, type, surface, pieces, price_m2 FROM q_ext", "q_ext")
+QUERIES["quality_filter"] = sql("SELECT * FROM quality", "quality")
+QUERIES["quality_rule_counts"] = sql(f"""SELECT CAST(count(*) AS BIGINT) AS rows_in,
+  {", ".join(f"CAST(count_if(NOT {p}) AS BIGINT) AS {k}_rejected" for k, p in QUALITY_PRED.items())},
+  CAST(count_if({ALL_PASS}) AS BIGINT) AS rows_out
+FROM q_ext""", "q_ext")
+QUERIES["rejected_rows"] = sql(f"""SELECT id, ordinal,
+  CASE {" ".join(f"WHEN NOT {p} THEN '{k}'" for k, p in QUALITY_PRED.items())} END AS failed_rule
+FROM q_ext WHERE NOT ({ALL_PASS})""", "q_ext")
+QUERIES["numeric_clean"] = sql("""SELECT id, ordinal, prix_txt, surface_txt, pieces_txt,
+  TRY_CAST(nullif(regexp_replace(replace(replace(replace(replace(lower(prix_txt), 'm2', ''),
+    'm²', ''), '€', ''), ',', '.'), '[^0-9.]', '', 'g'), '') AS DOUBLE) AS prix,
+  TRY_CAST(nullif(regexp_replace(replace(replace(replace(replace(lower(surface_txt), 'm2', ''),
+    'm²', ''), '€', ''), ',', '.'), '[^0-9.]', '', 'g'), '') AS DOUBLE) AS surface,
+  TRY_CAST(nullif(regexp_replace(replace(replace(replace(replace(lower(pieces_txt), 'm2', ''),
+    'm²', ''), '€', ''), ',', '.'), '[^0-9.]', '', 'g'), '') AS DOUBLE) AS pieces
+FROM (SELECT id, ordinal,
+  replace(format('{:,}', CAST(trunc(price) AS BIGINT)), ',', ' ') || ' €' AS prix_txt,
+  CAST(CAST(trunc(surface) AS BIGINT) AS VARCHAR) || ',5 m2' AS surface_txt,
+  ' ' || CAST(CAST(trunc(pieces) AS BIGINT) AS VARCHAR) || ' pièces' AS pieces_txt
+  FROM listings)""", "listings")
+QUERIES["text_normalise"] = sql(f"""SELECT id, ordinal, {strip_upper('city')} AS ville,
+  {strip_upper('type')} AS type_bien FROM listings""", "listings")
+QUERIES["contact_hash"] = sql(
+    "SELECT id, ordinal, sha256(author) AS agence FROM listings", "listings")
+QUERIES["dedupe_first"] = sql("""SELECT * EXCLUDE (rn) FROM (SELECT *,
+  row_number() OVER (PARTITION BY id ORDER BY ordinal) AS rn FROM listings) WHERE rn = 1""",
+                              "listings")
+QUERIES["mean_impute"] = sql(f"""SELECT id, ordinal, coalesce(price, mp) AS price,
+  coalesce(surface, ms) AS surface, coalesce(pieces, mq) AS pieces
+FROM listings, (SELECT {mean6('price')} AS mp, {mean6('surface')} AS ms,
+  {mean6('pieces')} AS mq FROM listings)""", "listings")
+QUERIES["clean_listings"] = sql("SELECT * FROM clean", "clean")
+QUERIES["outlier_trim"] = sql("SELECT * FROM f_trim", "f_trim")
+QUERIES["target_encoding"] = sql("SELECT * FROM encoding", "encoding")
+QUERIES["target_encode_apply"] = sql(f"""SELECT l.id, l.ordinal,
+  coalesce(e.encoding, (SELECT avg(encoding) FROM encoding)) AS ville
+FROM listings l LEFT JOIN encoding e ON {strip_upper('l.city')} = e.ville""",
+                                     "listings", "encoding")
+QUERIES["one_hot"] = sql(
+    f"SELECT id_annonce, {', '.join('type_bien_' + v for v in TYPE_VOCAB)} FROM features",
+    "features")
+QUERIES["log_features"] = sql("""SELECT id_annonce, round(prix_log, 8) AS prix_log,
+  round(surface_log, 8) AS surface_log FROM features""", "features")
+
+
+# --------------------------------------------------------------------------
+# Market panels
+# --------------------------------------------------------------------------
+def pctl(v: str, n: str, q: float) -> str:
+    """Spark's exact percentile on a sorted list ``v`` of ``n`` values:
+    ``(hi - pos) * v[lo] + (pos - lo) * v[hi]`` at ``pos = (n - 1) * q``."""
+    pos = f"(({n} - 1) * CAST({q!r} AS DOUBLE))"
+    lo, hi = f"CAST(floor({pos}) AS BIGINT)", f"CAST(ceil({pos}) AS BIGINT)"
+    lv, hv = f"{v}[{lo} + 1]", f"{v}[{hi} + 1]"
+    return (f"(CASE WHEN {n} = 0 THEN NULL WHEN {lo} = {hi} OR {lv} = {hv} THEN {lv} "
+            f"ELSE ({hi} - {pos}) * {lv} + ({pos} - {lo}) * {hv} END)")
+
+
+def sorted_list(x: str) -> str:
+    return f"list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL))"
+
+
+def median_of(x: str, rel: str, where: str = "true") -> str:
+    return (f"(SELECT {pctl('v', 'n', 0.5)} FROM (SELECT {sorted_list(x)} AS v, count({x}) AS n "
+            f"FROM {rel} WHERE {where}))")
+
+
+TYPE_FLAGS = {"Appartement": "type_bien_APPARTEMENT", "Maison": "type_bien_MAISON",
+              "Terrain": "type_bien_TERRAIN", "Autre": "type_bien_AUTRE",
+              "Parking": "type_bien_PARKING"}
+R2_PCT = repr(0.7815 * 100)
+
+
+def kpis(where: str) -> str:
+    return sql(f"""SELECT {trunc_long(pctl('v', 'n', 0.5))} AS median_price,
+  {trunc_long('mean')} AS mean_price,
+  CASE WHEN npos > 0 THEN {trunc_long(pctl('v2', 'n2', 0.5))} END AS prix_m2,
+  ads_count
+FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n,
+  {sorted_list('prix / surface')} AS v2, count(prix / surface) AS n2,
+  count_if(surface > 0) AS npos, count(*) AS ads_count, {mean6('prix')} AS mean
+  FROM market WHERE {where})""", "market")
+
+
+QUERIES["dashboard_kpis"] = kpis("true")
+QUERIES["dashboard_kpis_filtered"] = kpis("type_bien_MAISON AND region = 'EUROPE'")
+
+
+def per_type(types: list[str], measures: str) -> str:
+    parts = [f"SELECT '{t}' AS type, {i} AS type_order, {measures} FROM market "
+             f"WHERE {TYPE_FLAGS[t]} HAVING count(*) > 0" for i, t in enumerate(types)]
+    return "\nUNION ALL ".join(parts)
+
+
+QUERIES["active_markets"] = sql(f"""SELECT type, type_order, count, mean_price,
+  least(95, greatest(70, {trunc_long(f'CAST({R2_PCT} AS DOUBLE) + count / 100')})) AS confidence,
+  CAST(count AS VARCHAR) || ' annonces' AS label
+FROM ({per_type(['Appartement', 'Maison', 'Terrain'],
+                f"count(*) AS count, {trunc_long(mean6('prix'))} AS mean_price")})""", "market")
+
+QUERIES["type_cards"] = sql(f"""SELECT t.type, t.type_order, coalesce(a.count, 0) AS count,
+  a.median_price
+FROM (VALUES ('Appartement', 0), ('Maison', 1)) t(type, type_order)
+LEFT JOIN (SELECT type, count, {trunc_long(pctl('v', 'n', 0.5))} AS median_price FROM (
+  {per_type(['Appartement', 'Maison'],
+            f"count(*) AS count, {sorted_list('prix')} AS v, count(prix) AS n")})) a
+ON t.type = a.type""", "market")
+
+
+def histogram(legacy: bool) -> str:
+    edge = ("AND prix < ((pmax + step) + step - 1) // step * step - step" if legacy else "")
+    return sql(f"""SELECT CAST(lo // 1000 AS VARCHAR) || '-' || CAST((lo + step) // 1000 AS VARCHAR)
+  || 'k€' AS bracket, count(*) AS count
+FROM (SELECT CAST(floor(prix / step) * step AS BIGINT) AS lo, step FROM market, (
+  SELECT pmax, greatest(50000, {trunc_long('(pmax - pmin) / 8 / 50000')} * 50000) AS step
+  FROM (SELECT {trunc_long('min(prix)')} AS pmin, {trunc_long('max(prix)')} AS pmax FROM market))
+  WHERE prix IS NOT NULL {edge})
+GROUP BY lo, step""", "market")
+
+
+QUERIES["price_histogram"] = histogram(False)
+QUERIES["price_histogram_legacy"] = histogram(True)
+
+
+def stats_sql(where: str) -> str:
+    return sql(f"""SELECT cnt AS count, {trunc_long(pctl('v', 'n', 0.5))} AS median,
+  {trunc_long('mean')} AS mean, {trunc_long('mn')} AS min, {trunc_long('mx')} AS max
+FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n, {mean6('prix')} AS mean,
+  min(prix) AS mn, max(prix) AS mx, count(*) AS cnt FROM market WHERE {where})""", "market")
+
+
+QUERIES["analysis_stats"] = stats_sql("true")
+QUERIES["analysis_filtered"] = stats_sql(
+    "city = 'NATION_1_1' AND type_bien_APPARTEMENT AND surface >= 50.0 AND surface <= 150.0 "
+    "AND pieces >= 3 AND pieces <= 4")
+
+QUERIES["analysis_type_stats"] = sql(f"""SELECT type, type_order, count,
+  {trunc_long(pctl('v', 'n', 0.5))} AS median, prix_min, prix_max,
+  {trunc_long(pctl('v2', 'n2', 0.5))} AS prix_m2
+FROM ({per_type(['Appartement', 'Maison', 'Terrain', 'Autre', 'Parking'],
+                f"count(*) AS count, {sorted_list('prix')} AS v, count(prix) AS n, "
+                f"{trunc_long('min(prix)')} AS prix_min, {trunc_long('max(prix)')} AS prix_max, "
+                f"{sorted_list('prix / surface')} AS v2, count(prix / surface) AS n2")})""",
+                                     "market")
+
+cte("quart", f"""SELECT n, {trunc_long(pctl('v', 'c', 0.25))} AS q25,
+  {trunc_long(pctl('v', 'c', 0.5))} AS q50, {trunc_long(pctl('v', 'c', 0.75))} AS q75
+FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS c, count(*) AS n FROM market)""", "market")
+
+
+def spaced(x: str) -> str:
+    return f"replace(format('{{:,}}', {x}), ',', ' ')"
+
+
+QUERIES["analysis_quartiles"] = sql(f"""SELECT bracket_order, lo, hi, bracket, pct FROM (
+  SELECT 1 AS bracket_order, CAST(NULL AS BIGINT) AS lo, q25 AS hi,
+    '< ' || {spaced('q25')} || '€' AS bracket, 25 AS pct, n FROM quart
+  UNION ALL SELECT 2, q25, q50, {spaced('q25')} || '–' || {spaced('q50')} || '€', 25, n FROM quart
+  UNION ALL SELECT 3, q50, q75, {spaced('q50')} || '–' || {spaced('q75')} || '€', 25, n FROM quart
+  UNION ALL SELECT 4, q75, CAST(NULL AS BIGINT), '> ' || {spaced('q75')} || '€', 25, n FROM quart)
+WHERE n > 10""", "quart")
+
+QUERIES["room_buckets"] = sql("""SELECT CASE WHEN pieces <= 2 THEN '1-2 pièces'
+  WHEN pieces >= 3 AND pieces <= 4 THEN '3-4 pièces'
+  WHEN pieces >= 5 AND pieces <= 6 THEN '5-6 pièces'
+  WHEN pieces >= 7 THEN '7+ pièces' END AS bucket, count(*) AS count
+FROM market GROUP BY 1""", "market")
+
+
+def top_cities(type_filter: str) -> str:
+    return sql(f"""SELECT city, {trunc_long('mean')} AS price, count FROM (
+  SELECT city, avg(price / surface) AS mean, count(*) AS count FROM listings
+  WHERE city IS NOT NULL AND price IS NOT NULL AND surface > 0 {type_filter}
+  GROUP BY city HAVING count(*) >= 3 ORDER BY mean DESC, city LIMIT 10)""", "listings")
+
+
+QUERIES["top_cities_m2"] = top_cities("")
+QUERIES["top_cities_m2_type"] = top_cities("AND type = 'Maison'")
+
+cte("freq", """SELECT city, count(*) AS count, arg_min(zipcode, ordinal) AS zipcode
+FROM listings WHERE city IS NOT NULL GROUP BY city ORDER BY count DESC, city LIMIT 30""",
+    "listings")
+QUERIES["city_frequency"] = sql("SELECT city, count FROM freq", "freq")
+QUERIES["city_labels"] = sql(
+    "SELECT city, count, concat_ws(', ', city, zipcode) AS label FROM freq", "freq")
+PROPERTY_TYPES = ["Tous", "Appartement", "Maison", "Terrain", "Autre", "Parking"]
+ROOM_OPTIONS = ["Toutes pièces", "1-2 pièces", "3-4 pièces", "5-6 pièces", "7+ pièces"]
+_fixed = ([("regions", 1, "France entière"), ("cities", 1, "Toutes villes")]
+          + [("property_types", i + 1, t) for i, t in enumerate(PROPERTY_TYPES)]
+          + [("rooms", i + 1, r) for i, r in enumerate(ROOM_OPTIONS)])
+_fixed_sql = ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in _fixed)
+QUERIES["option_lists"] = sql(f"""SELECT list, CAST(position AS INTEGER) AS position, value FROM (
+  SELECT * FROM (VALUES {_fixed_sql}) t(list, position, value)
+  UNION ALL SELECT 'regions', row_number() OVER (ORDER BY region) + 1, region
+    FROM (SELECT DISTINCT region FROM listings WHERE region IS NOT NULL)
+  UNION ALL SELECT 'cities', row_number() OVER (ORDER BY count DESC, city) + 1, city FROM freq)""",
+                              "listings", "freq")
+
+QUERIES["city_map"] = sql(f"""SELECT CAST(id AS BIGINT) AS id, lat, lng,
+  CASE WHEN pm2 > 0 THEN pm2 ELSE avg_i END AS weight, pm2 AS price_m2, city,
+  replace(format('{{:,}}', CASE WHEN pm2 > 0 THEN pm2 ELSE avg_i END), ',', ' ') AS price,
+  CAST(count AS VARCHAR) || ' annonces' AS trend,
+  CASE WHEN pm2 <= t1 THEN 'cheap' WHEN pm2 <= t2 THEN 'mid' ELSE 'expensive' END AS tier,
+  count, count >= 15 AS active
+FROM (SELECT *, coalesce({trunc_long('m2')}, 0) AS pm2, {trunc_long('avg_price')} AS avg_i,
+        row_number() OVER (ORDER BY count DESC, city) AS id FROM (
+  SELECT city, {mean6('price')} AS avg_price, count(*) AS count,
+    avg(CASE WHEN surface > 0 THEN price / surface END) AS m2
+  FROM listings WHERE city IS NOT NULL AND price IS NOT NULL
+  GROUP BY city ORDER BY count DESC, city LIMIT 30)) top
+JOIN coords USING (city)
+CROSS JOIN (SELECT CASE WHEN n > 0 THEN v[n // 3 + 1] ELSE 3000 END AS t1,
+  CASE WHEN n > 0 THEN v[2 * n // 3 + 1] ELSE 5000 END AS t2
+  FROM (SELECT list_sort(list({trunc_long('m2')}) FILTER (WHERE m2 IS NOT NULL)) AS v,
+    count(m2) AS n FROM (
+    SELECT avg(CASE WHEN surface > 0 THEN price / surface END) AS m2
+    FROM listings WHERE city IS NOT NULL AND price IS NOT NULL
+    GROUP BY city ORDER BY count(*) DESC, city LIMIT 30)))""", "listings", "coords")
+
+cte("alert_rows", """SELECT city, price / surface AS prix_m2 FROM listings
+WHERE city IS NOT NULL AND price IS NOT NULL AND surface > 0""", "listings")
+QUERIES["market_alerts"] = sql(f"""SELECT city AS zone, {trunc_long('mean')} AS current_price,
+  count, round((mean - gm) / gm * 100, 1) AS vs_median_pct
+FROM (SELECT city, avg(prix_m2) AS mean, count(*) AS count FROM alert_rows GROUP BY city
+  HAVING count(*) >= 5 ORDER BY count DESC, city LIMIT 5),
+  (SELECT {median_of('prix_m2', 'alert_rows')} AS gm)""", "alert_rows")
+
+QUERIES["run_counts"] = sql(f"""SELECT raw_count, clean_count,
+  greatest(raw_count - clean_count, 0) AS dropped,
+  {trunc_long('clean_count * CAST(0.8 AS DOUBLE)')} AS train,
+  {trunc_long('clean_count * CAST(0.2 AS DOUBLE)')} AS test
+FROM (SELECT (SELECT count(*) FROM listings) AS raw_count,
+  (SELECT count(*) FROM features) AS clean_count)""", "listings", "features")
+
+QUERIES["stage_audit"] = sql("""SELECT stage_order, stage,
+  coalesce(lag(rows_out) OVER (ORDER BY stage_order), rows_out) AS rows_in, rows_out,
+  coalesce(lag(rows_out) OVER (ORDER BY stage_order), rows_out) - rows_out AS dropped
+FROM (SELECT 0 AS stage_order, 'ingest' AS stage, (SELECT count(*) FROM listings) AS rows_out
+  UNION ALL SELECT 1, 'quality', (SELECT count(*) FROM quality)
+  UNION ALL SELECT 2, 'clean', (SELECT count(*) FROM clean)
+  UNION ALL SELECT 3, 'features', (SELECT count(*) FROM features))""",
+                             "listings", "quality", "clean", "features")
+
+QUERIES["input_ranges"] = sql(f"""SELECT {trunc_long(pctl('vs', 'ns', 0.01))} AS surface_min,
+  {trunc_long(pctl('vs', 'ns', 0.99))} AS surface_max, CAST(1 AS BIGINT) AS pieces_min,
+  {trunc_long(pctl('vp', 'np', 0.99))} AS pieces_max
+FROM (SELECT {sorted_list('surface')} AS vs, count(surface) AS ns,
+  {sorted_list('pieces')} AS vp, count(pieces) AS np FROM features)""", "features")
+
+QUERIES["enrich_by_id"] = sql("SELECT id_annonce, region, city FROM market", "market")
+
+cte("med", f"SELECT {median_of('prix', 'features')} AS med", "features")
+QUERIES["median_label"] = sql(
+    "SELECT id_annonce, prix, CAST(prix > med AS INTEGER) AS label FROM features, med",
+    "features", "med")
+
+QUERIES["regression_metrics"] = sql("""SELECT round(avg(abs(prix - ville)), 2) AS mae,
+  round(sqrt(avg((prix - ville) * (prix - ville))), 2) AS rmse,
+  round(1.0 - sum((prix - ville) * (prix - ville)) / sum((prix - my) * (prix - my)), 4) AS r2
+FROM features, (SELECT avg(prix) AS my FROM features)""", "features")
+
+cte("conf", """SELECT CAST(y AS DOUBLE) AS y, CAST(p AS DOUBLE) AS p, count(*) AS n FROM (
+  SELECT CAST(prix > med AS INTEGER) AS y, CAST(ville > med AS INTEGER) AS p FROM features, med)
+GROUP BY ALL""", "features", "med")
+QUERIES["classification_metrics"] = sql("""SELECT round(sum(tp) / sum(support), 4) AS accuracy,
+  round(sum(f1 * support) / sum(support), 4) AS f1
+FROM (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1
+  FROM (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+      CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec
+    FROM (SELECT coalesce(s.c, p.c) AS c, coalesce(s.support, 0) AS support,
+        coalesce(p.predicted, 0) AS predicted, coalesce(t.tp, 0) AS tp
+      FROM (SELECT y AS c, sum(n) AS support FROM conf GROUP BY y) s
+      FULL JOIN (SELECT p AS c, sum(n) AS predicted FROM conf GROUP BY p) p ON s.c = p.c
+      LEFT JOIN (SELECT y AS c, n AS tp FROM conf WHERE y = p) t ON coalesce(s.c, p.c) = t.c)))""", "conf")
+
+ANNUAL_RATE = 0.035
+_h = [("6 mois", 1 + ANNUAL_RATE / 2, f"+{ANNUAL_RATE / 2 * 100:.1f}%"),
+      ("1 an", 1 + ANNUAL_RATE, f"+{ANNUAL_RATE * 100:.1f}%"),
+      ("2 ans", (1 + ANNUAL_RATE) ** 2, f"+{((1 + ANNUAL_RATE) ** 2 - 1) * 100:.1f}%")]
+_proj = [f"SELECT id_annonce, 'Auj.' AS period, {trunc_long('prix')} AS price, "
+         f"CAST(NULL AS VARCHAR) AS pct FROM clean"]
+_proj += [f"SELECT id_annonce, '{n}', {trunc_long(f'prix * CAST({f!r} AS DOUBLE)')}, '{lab}' "
+          f"FROM clean" for n, f, lab in _h]
+QUERIES["projections"] = sql("\nUNION ALL ".join(_proj), "clean")
