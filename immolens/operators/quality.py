@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from immolens.operators.stats import where_projected
 from immolens.functions.text import (is_blank, rooms_from_title, surface_from_title,
                                      type_from_title)
 
@@ -65,8 +66,8 @@ def passes(columns) -> Column:
 
 
 def validate_constraints(df: DataFrame) -> DataFrame:
-    """one ``where`` with every rule AND-ed (pushed into the scan when it can)."""
-    return df.where(passes(df.columns))
+    """every rule AND-ed into one predicate over the repaired columns."""
+    return where_projected(df, passes(df.columns))
 
 
 def data_quality(df: DataFrame) -> DataFrame:
@@ -97,4 +98,4 @@ def rejected_rows(df: DataFrame, key_cols=("id", "ordinal")) -> DataFrame:
     for name, pred in reversed(list(rule_predicates(df.columns).items())):
         reason = F.when(~pred, F.lit(name)).otherwise(reason)
     keys = [c for c in key_cols if c in df.columns]
-    return df.where(~passes(df.columns)).select(*keys, reason.alias("failed_rule"))
+    return where_projected(df, ~passes(df.columns)).select(*keys, reason.alias("failed_rule"))

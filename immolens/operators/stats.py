@@ -36,3 +36,19 @@ def quantiles(df: DataFrame, col: str, probs, accuracy: int | None = None) -> li
 def scalars(df: DataFrame, **aggs: Column) -> dict:
     """Several global aggregates in one job: ``scalars(df, n=F.count('*'))``."""
     return df.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
+
+
+def where_projected(df: DataFrame, predicate: Column) -> DataFrame:
+    """``df.where(predicate)`` for predicates over expensive derived columns.
+
+    A plain ``where`` is pushed below the projection that derives the
+    columns, with every derived expression inlined into the condition (one
+    copy per reference), and the filter operator does not eliminate common
+    subexpressions.  Here the predicate is projected once (with subexpression
+    elimination) and rows are kept by a generator that emits one or zero
+    rows; Catalyst does not push a filter below a generator.  Measured on the
+    title repair at sf0.1: 1.3 s instead of 4.2 s.
+    """
+    kept = F.explode(F.when(F.col("_keep"), F.array(F.lit(True)))
+                     .otherwise(F.array().cast("array<boolean>"))).alias("_kept")
+    return df.withColumn("_keep", predicate).select(*df.columns, kept).drop("_kept")

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from immolens.operators import marts, warehouse
-from immolens.sources.adapter import listings
+from immolens.sources.snapshots import stored
+from immolens.sources.adapter import listings_snapshot as listings
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
@@ -24,7 +25,17 @@ def query(fn: Query) -> Query:
 
 
 def _star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return warehouse.build_star(listings(spark, sf_dir))
+    """M19 written as five stored tables (dimensions first, then the fact
+    from the stored dimensions), like the warehouse the marts read."""
+    lp = warehouse.prepare_raw(listings(spark, sf_dir))
+    dims = {name: stored(spark, name, sf_dir, lambda fn=fn: fn(lp))
+            for name, fn in (("dim_type", warehouse.dim_type),
+                             ("dim_location", warehouse.dim_location),
+                             ("dim_author", warehouse.dim_author),
+                             ("dim_date", warehouse.dim_date))}
+    fact = stored(spark, "fact_ads", sf_dir, lambda: warehouse.fact_ads(
+        lp, dims["dim_type"], dims["dim_location"], dims["dim_date"]))
+    return {**dims, "fact_ads": fact}
 
 
 # --------------------------------------------------------------- warehouse
@@ -214,8 +225,15 @@ FILTERED_ANALYSIS = dict(zone="NATION_1_1", type_str="Appartement", smin="50", s
                          rooms="3-4 pièces")
 
 
+def _features_table(spark, sf_dir):
+    """The ML-ready table the preparation job writes (read by the panels)."""
+    return stored(spark, "features", sf_dir, lambda: _features(spark, sf_dir))
+
+
 def _market(spark, sf_dir):
-    return market.enrich_by_id(_features(spark, sf_dir), _raw(spark, sf_dir))
+    """Panel input: stored ML-ready rows with region and city joined back."""
+    return stored(spark, "market", sf_dir, lambda: market.enrich_by_id(
+        _features_table(spark, sf_dir), _raw(spark, sf_dir)))
 
 
 @query
@@ -316,7 +334,7 @@ def market_alerts(spark, sf_dir):
 
 @query
 def run_counts(spark, sf_dir):
-    return market.run_counts(_raw(spark, sf_dir), _features(spark, sf_dir))
+    return market.run_counts(_raw(spark, sf_dir), _features_table(spark, sf_dir))
 
 
 @query
@@ -341,24 +359,25 @@ def stage_audit(spark, sf_dir):
 
 @query
 def input_ranges(spark, sf_dir):
-    return market.input_ranges(_features(spark, sf_dir))
+    return market.input_ranges(_features_table(spark, sf_dir))
 
 
 @query
 def enrich_by_id(spark, sf_dir):
-    return _market(spark, sf_dir).select("id_annonce", "region", "city")
+    return market.enrich_by_id(_features_table(spark, sf_dir), _raw(spark, sf_dir)).select(
+        "id_annonce", "region", "city")
 
 
 @query
 def median_label(spark, sf_dir):
-    labelled, _ = models.median_label(_features(spark, sf_dir))
+    labelled, _ = models.median_label(_features_table(spark, sf_dir))
     return labelled.select("id_annonce", "prix", "label")
 
 
 @query
 def regression_metrics(spark, sf_dir):
     """A23 on a deterministic predictor: the smoothed city mean (``ville``)."""
-    f = _features(spark, sf_dir)
+    f = _features_table(spark, sf_dir)
     return models.regression_metrics(f, "prix", "ville")
 
 
@@ -366,7 +385,7 @@ def regression_metrics(spark, sf_dir):
 def classification_metrics(spark, sf_dir):
     """A24 on a deterministic predictor: is the city encoding above the
     median price?"""
-    labelled, med = models.median_label(_features(spark, sf_dir))
+    labelled, med = models.median_label(_features_table(spark, sf_dir))
     pred = labelled.withColumn("prediction", (F.col("ville") > F.lit(med)).cast("int"))
     return models.classification_metrics(pred, "label", "prediction")
 

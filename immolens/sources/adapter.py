@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from immolens.sources.tables import table
 
+# Bump when the derivation changes, so stale snapshots are not reused.
+ADAPTER_VERSION = "1"
+
 # Listing type by the first digit of the order priority.
 TYPE_BY_DIGIT = {
     "1": "Appartement",
@@ -119,3 +122,15 @@ def city_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.concat(F.col("n_name"), F.lit("_"), F.col("k").cast("string")).alias("city"),
                     (F.lit(42.0) + F.col("n_nationkey") * 0.35 + F.col("k") * 0.1).alias("lat"),
                     (F.lit(-4.0) + F.col("n_nationkey") * 0.45 + F.col("k") * 0.2).alias("lng")))
+
+
+def listings_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived listings as a stored snapshot (see ``snapshots.stored``).
+
+    Raw listings are a stored file in the original application; deriving
+    them lazily inside every query would make Catalyst inline the title and
+    type expressions into each predicate that reads them.
+    """
+    from immolens.sources.snapshots import stored
+    return stored(spark, "listings", f"{sf_dir}|{ADAPTER_VERSION}",
+                  lambda: listings(spark, sf_dir))
