@@ -403,20 +403,21 @@ CATALOGUE_CLF = dict(maxIter=10, stepSize=0.1, maxDepth=5, seed=42)
 
 
 def _clustered(spark, sf_dir):
-    feats, enc, km = features.engineer_features(_clean(spark, sf_dir), n_cluster=8)
+    """M5 on the stored ML-ready rows (as the training job reads them)."""
+    feats, km = models.train_clustering(_features_table(spark, sf_dir), 8)
+    enc = features.fit_target_encoding(_trimmed(spark, sf_dir))
     return feats, enc, km
 
 
 def _trained(spark, sf_dir):
     feats, enc, km = _clustered(spark, sf_dir)
-    feats = feats.persist()
     res = models.train_models(feats, CATALOGUE_GBT, CATALOGUE_GBT, CATALOGUE_CLF)
     return feats, enc, km, res
 
 
 @query
 def clusters(spark, sf_dir):
-    feats, _, _ = _clustered(spark, sf_dir)
+    feats, _ = models.train_clustering(_features_table(spark, sf_dir), 8)
     return feats.select("id_annonce", "cluster")
 
 

@@ -46,11 +46,19 @@ def stored(spark: SparkSession, name: str, key: str, build: Callable[[], DataFra
     return spark.read.parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop filesystem of the path (works for
+    local, HDFS and object-store paths alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 # ------------------------------------------------------------ raw snapshots
 def list_raw_files(spark: SparkSession, raw_dir: str) -> list[str]:
     """Names of the ``.csv`` files of ``raw_dir`` (not recursive), newest
     first.  Only file metadata is read (the content column is pruned)."""
-    if not os.path.isdir(raw_dir) and "://" not in raw_dir:
+    if not path_exists(spark, raw_dir):
         raise FileNotFoundError(f"{raw_dir} does not exist")
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
              .option("recursiveFileLookup", "false").load(raw_dir)
@@ -75,7 +83,7 @@ def raw_dataframe(spark: SparkSession, raw_dir: str, filename: str,
     ``multiline`` handles quoted newlines but makes the file unsplittable.
     """
     path = _resolve(raw_dir, filename)
-    if "://" not in path and not os.path.exists(path):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"{path} does not exist")
     reader = spark.read.option("header", True).option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
