@@ -162,14 +162,21 @@ def _price_m2() -> Column:
     return F.try_divide(F.col("prix"), F.col("surface"))
 
 
-def dashboard_kpis(df: DataFrame) -> DataFrame:
+def _global_median(df: DataFrame, value: Column, accuracy: int | None = None):
+    q = quantiles(df.select(value.alias("_v")), "_v", [0.5], accuracy)[0]
+    return F.lit(int(q) if q is not None else None).cast("long")
+
+
+def dashboard_kpis(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Median and mean price, median price per m² (null when no row has
-    a positive surface), listing count; integers truncated."""
+    a positive surface), listing count; integers truncated.  The medians are
+    global statistics (``stats.quantiles``), the rest one aggregate."""
+    med = _global_median(df, F.col("prix"), accuracy)
+    med_m2 = _global_median(df, _price_m2(), accuracy)
     return df.agg(
-        trunc_long(F.median("prix")).alias("median_price"),
+        med.alias("median_price"),
         trunc_long(exact_avg("prix")).alias("mean_price"),
-        F.when(F.count_if(F.col("surface") > 0) > 0, trunc_long(F.median(_price_m2())))
-         .alias("prix_m2"),
+        F.when(F.count_if(F.col("surface") > 0) > 0, med_m2).alias("prix_m2"),
         F.count(F.lit(1)).alias("ads_count"))
 
 
@@ -249,10 +256,10 @@ def dashboard(df: DataFrame, type_str: str = ALL_TYPES, region: str = ALL_REGION
 
 
 # ------------------------------------------------------------------ B2
-def analysis_stats(df: DataFrame) -> DataFrame:
+def analysis_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Count, median, mean, min, max of the filtered prices."""
     return df.agg(F.count(F.lit(1)).alias("count"),
-                  trunc_long(F.median("prix")).alias("median"),
+                  _global_median(df, F.col("prix"), accuracy).alias("median"),
                   trunc_long(exact_avg("prix")).alias("mean"),
                   trunc_long(F.min("prix")).alias("min"),
                   trunc_long(F.max("prix")).alias("max"))
@@ -263,15 +270,13 @@ def analysis_quartiles(df: DataFrame, min_rows: int = 10, accuracy: int | None =
     empty unless more than ``min_rows`` rows.  Bounds are numeric (lo, hi)."""
     spark = df.sparkSession
     schema = "bracket_order int, lo long, hi long, bracket string, pct int"
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile("prix", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")) \
-        if accuracy is None else \
-        df.agg(F.count(F.lit(1)).alias("n"),
-               F.percentile_approx("prix", [0.25, 0.5, 0.75], accuracy).alias("q"))
-    r = row.first()
-    if r["n"] <= min_rows:
+    n = df.count()
+    if n <= min_rows:
+        return spark.createDataFrame([], schema)
+    qs = quantiles(df, "prix", [0.25, 0.5, 0.75], accuracy)
+    if any(q is None for q in qs):
         return spark.createDataFrame([], schema)
-    q25, q50, q75 = (int(x) for x in r["q"])
+    q25, q50, q75 = (int(q) for q in qs)
 
     def fmt(v):
         return f"{v:,}".replace(",", " ")
@@ -411,11 +416,12 @@ def city_map(raw: DataFrame, coords: DataFrame, k: int = MAP_CITIES) -> DataFram
 def market_alerts(raw: DataFrame, k: int = ALERT_CITIES, min_count: int = ALERT_MIN_COUNT,
                   accuracy: int | None = None) -> DataFrame:
     """The ``k`` busiest cities (at least ``min_count`` rows with a
-    positive surface) with mean price per m² and its deviation from the
-    national median in % (1 dp)."""
+    positive surface) with mean price per m², its deviation from the
+    national median in % (1 dp) and whether it lies above it (C18)."""
     if "surface" not in raw.columns:
         return raw.sparkSession.createDataFrame(
-            [], "zone string, current_price long, count long, vs_median_pct double")
+            [], "zone string, current_price long, count long, vs_median_pct double, "
+                "above_median boolean")
     r = (raw.where(F.col("city").isNotNull() & F.col("price").isNotNull()
                    & (F.col("surface") > 0))
          .withColumn("prix_m2", F.col("price") / F.col("surface")))
@@ -427,7 +433,8 @@ def market_alerts(raw: DataFrame, k: int = ALERT_CITIES, min_count: int = ALERT_
     return stats.select(F.col("city").alias("zone"), trunc_long("mean").alias("current_price"),
                         "count",
                         F.round((F.col("mean") - F.lit(med)) / F.lit(med) * 100, 1)
-                        .alias("vs_median_pct"))
+                        .alias("vs_median_pct")) \
+        .withColumn("above_median", F.col("vs_median_pct") > 0)
 
 
 # ------------------------------------------------------------------ B6

@@ -162,17 +162,10 @@ def _gbt_regression(train, test, cols, target, params, use_log):
     return model, regression_metrics(pred, target, "prediction", use_log).first().asDict()
 
 
-def train_models(df: DataFrame, raw_params=None, log_params=None, clf_params=None,
-                 min_rows: int = 10) -> dict:
-    """Raw and log regressions, champion by R², median classifier.
-
-    Returns a dict with the fitted models, their metrics, the champion
-    (``method`` is ``prix_brut`` or ``log_prix``; a tie goes to the log model)
-    and the feature column order.  Needs the target and more than
-    ``min_rows`` rows (M13).
-    """
-    if "prix" not in df.columns or df.limit(min_rows + 1).count() <= min_rows:
-        return {}
+def train_regressions(df: DataFrame, raw_params=None, log_params=None) -> dict:
+    """Boosted regressions on the raw and on the log price (metrics
+    after ``expm1``) over the same split; the champion is the higher R²
+    (a tie goes to the log model)."""
     cols = feature_columns(df)
     train, test = split(df)
     train = train.persist()
@@ -180,23 +173,45 @@ def train_models(df: DataFrame, raw_params=None, log_params=None, clf_params=Non
                                        raw_params or REGRESSION_RAW, False)
     log_model, log_m = _gbt_regression(train, test, cols, "prix_log",
                                        log_params or REGRESSION_LOG, True)
+    train.unpersist()
     if raw_m["r2"] > log_m["r2"]:
         best, method, best_m = raw_model, "prix_brut", raw_m
     else:
         best, method, best_m = log_model, "log_prix", log_m
+    return {"feature_columns": cols,
+            "regression_raw": {"model": raw_model, **raw_m},
+            "regression_log": {"model": log_model, **log_m},
+            "champion": {"model": best, "method": method, **best_m}}
+
+
+def train_classifier(df: DataFrame, params=None) -> dict:
+    """Boosted classifier of ``prix > median(prix)`` on the same split."""
+    cols = feature_columns(df)
     labelled, med = median_label(df)
     ltrain, ltest = split(labelled)
     clf = GBTClassifier(featuresCol="features", labelCol="label",
-                        **(clf_params or CLASSIFIER)).fit(_assembled(ltrain, cols))
+                        **(params or CLASSIFIER)).fit(_assembled(ltrain, cols))
     clf_m = classification_metrics(clf.transform(_assembled(ltest, cols))).first().asDict()
-    train.unpersist()
-    return {
-        "feature_columns": cols,
-        "regression_raw": {"model": raw_model, **raw_m},
-        "regression_log": {"model": log_model, **log_m},
-        "champion": {"model": best, "method": method, **best_m},
-        "classification": {"model": clf, "median": med, **clf_m},
-    }
+    return {"feature_columns": cols, "classification": {"model": clf, "median": med, **clf_m}}
+
+
+def enough_rows(df: DataFrame, min_rows: int = 10) -> bool:
+    """The target exists and there are more than ``min_rows`` rows."""
+    return "prix" in df.columns and df.limit(min_rows + 1).count() > min_rows
+
+
+def train_models(df: DataFrame, raw_params=None, log_params=None, clf_params=None,
+                 min_rows: int = 10) -> dict:
+    """Raw and log regressions, champion by R², median classifier.
+
+    Returns a dict with the fitted models, their metrics, the champion
+    (``method`` is ``prix_brut`` or ``log_prix``) and the feature column
+    order; empty when the guard (M13) fails.
+    """
+    if not enough_rows(df, min_rows):
+        return {}
+    return {**train_regressions(df, raw_params, log_params),
+            **train_classifier(df, clf_params)}
 
 
 def results_frame(spark, results: dict) -> DataFrame:

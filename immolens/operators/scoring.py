@@ -26,10 +26,22 @@ HORIZONS = [
 TODAY = "Auj."
 
 
+def clamp_requests(requests: DataFrame, ranges: dict) -> DataFrame:
+    """Bring surface and rooms into the accepted input ranges (A18),
+    ``{'surface_min', 'surface_max', 'pieces_min', 'pieces_max'}``."""
+    def clamp(c, lo, hi):
+        return F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+    return requests.withColumns({
+        "surface_area": clamp("surface_area", ranges["surface_min"], ranges["surface_max"])
+        .cast(requests.schema["surface_area"].dataType),
+        "rooms": clamp("rooms", ranges["pieces_min"], ranges["pieces_max"])
+        .cast(requests.schema["rooms"].dataType)})
+
+
 def request_features(requests: DataFrame, encoding: DataFrame,
                      default_encoding: float | None = None) -> DataFrame:
-    """C15, J6 + A19, C16, P7 and type flags for a frame of requests
-    ``(city, property_type, surface_area, rooms)``."""
+    """C15, J6 + A19, C16 (rooms <= 0 -> 1), P7 and type flags for a frame of
+    requests ``(city, property_type, surface_area, rooms)``."""
     r = requests.withColumns({
         "ville": city_from_label("city"),
         "surface": F.col("surface_area").cast("double"),
@@ -45,8 +57,12 @@ def request_features(requests: DataFrame, encoding: DataFrame,
 
 def score(requests: DataFrame, encoding: DataFrame, cluster_model, model,
           feature_cols: list[str], method: str = "prix_brut", r2: float | None = None,
-          default_encoding: float | None = None) -> DataFrame:
-    """Estimated price, price per m² and confidence for every request."""
+          default_encoding: float | None = None, ranges: dict | None = None) -> DataFrame:
+    """Estimated price, price per m² and confidence for every request.
+
+    ``ranges`` (the A18 input ranges) clamps surface and rooms first."""
+    if ranges:
+        requests = clamp_requests(requests, ranges)
     feats = predict_cluster(request_features(requests, encoding, default_encoding), cluster_model)
     assembled = VectorAssembler(inputCols=feature_cols, outputCol="features").transform(
         feats.withColumns({c: F.col(c).cast("double") for c in feature_cols}

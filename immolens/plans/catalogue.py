@@ -427,6 +427,27 @@ def price_models(spark, sf_dir):
     return models.results_frame(spark, res)
 
 
+@query
+def price_regression(spark, sf_dir):
+    """Both regressions' test metrics."""
+    res = models.train_regressions(_features_table(spark, sf_dir), CATALOGUE_GBT, CATALOGUE_GBT)
+    return models.results_frame(spark, res).where(F.col("model").startswith("regression"))
+
+
+@query
+def price_classification(spark, sf_dir):
+    """The above-median classifier's test metrics."""
+    res = models.train_classifier(_features_table(spark, sf_dir), CATALOGUE_CLF)
+    return models.results_frame(spark, res).where(F.col("model") == "classification")
+
+
+@query
+def champion(spark, sf_dir):
+    """The better regression by R² and its metrics."""
+    res = models.train_regressions(_features_table(spark, sf_dir), CATALOGUE_GBT, CATALOGUE_GBT)
+    return models.results_frame(spark, res).where(F.col("model") == "champion")
+
+
 @query
 def feature_importance(spark, sf_dir):
     _, _, _, res = _trained(spark, sf_dir)
@@ -452,5 +473,6 @@ def batch_scoring(spark, sf_dir):
         F.col("type").alias("property_type"),
         F.col("surface").alias("surface_area"),
         F.coalesce(F.col("pieces"), F.lit(0)).cast("int").alias("rooms"))
+    ranges = market.input_ranges(_features_table(spark, sf_dir)).first().asDict()
     return scoring.score(requests, enc, km, champ["model"], res["feature_columns"],
-                         champ["method"], champ["r2"])
+                         champ["method"], champ["r2"], ranges=ranges)

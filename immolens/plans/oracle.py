@@ -491,7 +491,8 @@ CROSS JOIN (SELECT CASE WHEN n > 0 THEN v[n // 3 + 1] ELSE 3000 END AS t1,
 cte("alert_rows", """SELECT city, price / surface AS prix_m2 FROM listings
 WHERE city IS NOT NULL AND price IS NOT NULL AND surface > 0""", "listings")
 QUERIES["market_alerts"] = sql(f"""SELECT city AS zone, {trunc_long('mean')} AS current_price,
-  count, round((mean - gm) / gm * 100, 1) AS vs_median_pct
+  count, round((mean - gm) / gm * 100, 1) AS vs_median_pct,
+  round((mean - gm) / gm * 100, 1) > 0 AS above_median
 FROM (SELECT city, avg(prix_m2) AS mean, count(*) AS count FROM alert_rows GROUP BY city
   HAVING count(*) >= 5 ORDER BY count DESC, city LIMIT 5),
   (SELECT {median_of('prix_m2', 'alert_rows')} AS gm)""", "alert_rows")

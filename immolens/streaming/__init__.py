@@ -1,0 +1,6 @@
+"""Nothing streams in this workload.
+
+Listings arrive as dated snapshot files and the newest one wins
+(``sources.snapshots.latest_raw_dataframe``); there is no watermark, window
+or state to keep, so no Structured Streaming query is defined.
+"""
