@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from immolens.functions.numeric import exact_avg, spaced_thousands, trunc_long
 from immolens.operators.keys import ORDINAL, keep_first
-from immolens.operators.stats import quantiles, scalars
+from immolens.operators.stats import conditional_quantiles, quantiles, scalars
 
 # Panel vocabularies, sentinels, thresholds.
 ALL_TYPES = "Tous"
@@ -205,18 +205,36 @@ def active_markets(df: DataFrame, r2: float = DEFAULT_R2) -> DataFrame:
             .orderBy("type_order").limit(3))
 
 
-def type_cards(df: DataFrame) -> DataFrame:
+def _type_medians(df: DataFrame, types: list[str], value: Column,
+                  accuracy: int | None = None) -> dict:
+    """Truncated median of ``value`` per type flag, all types in the same
+    passes (``stats.conditional_quantiles``: exact and skew-proof)."""
+    present = [t for t in types if TYPE_COL_MAP[t] in df.columns]
+    qs = conditional_quantiles(df, value, [F.col(TYPE_COL_MAP[t]) for t in present], [0.5],
+                               accuracy)
+    return {t: (int(q[0]) if q[0] is not None else None) for t, q in zip(present, qs)}
+
+
+def _by_type(values: dict) -> Column:
+    """A per-type literal, looked up by the ``type`` column."""
+    out = F.lit(None).cast("long")
+    for t, v in values.items():
+        out = F.when(F.col("type") == F.lit(t), F.lit(v).cast("long")).otherwise(out)
+    return out
+
+
+def type_cards(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Count and median price for apartments and houses; a type without
     rows is kept with count 0 and a null median."""
     spark = df.sparkSession
     types = spark.createDataFrame([(t, i) for i, t in enumerate(CARD_TYPES)],
                                   "type string, type_order int")
-    agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count"),
-                                     trunc_long(F.median("prix")).alias("median_price")])
+    agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count")])
+    medians = _type_medians(df, CARD_TYPES, F.col("prix"), accuracy)
     out = F.broadcast(types).join(agg.drop("type_order"), "type", "left") if agg is not None \
-        else types.withColumn("count", F.lit(0)).withColumn("median_price", F.lit(None))
+        else types.withColumn("count", F.lit(0))
     return (out.select("type", "type_order", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                       "median_price")
+                       _by_type(medians).alias("median_price"))
             .orderBy("type_order"))
 
 
@@ -287,16 +305,18 @@ def analysis_quartiles(df: DataFrame, min_rows: int = 10, accuracy: int | None =
     return spark.createDataFrame(rows, schema)
 
 
-def analysis_type_stats(df: DataFrame) -> DataFrame:
+def analysis_type_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Per type count, median, min, max price and median price per m²,
     in fixed type order; types without rows are omitted."""
     agg = _per_type(df, STAT_TYPES, [
         F.count(F.lit(1)).alias("count"),
-        trunc_long(F.median("prix")).alias("median"),
         trunc_long(F.min("prix")).alias("prix_min"),
-        trunc_long(F.max("prix")).alias("prix_max"),
-        trunc_long(F.median(_price_m2())).alias("prix_m2")])
-    return agg.orderBy("type_order")
+        trunc_long(F.max("prix")).alias("prix_max")])
+    med = _type_medians(df, STAT_TYPES, F.col("prix"), accuracy)
+    med_m2 = _type_medians(df, STAT_TYPES, _price_m2(), accuracy)
+    return (agg.select("type", "type_order", "count", _by_type(med).alias("median"),
+                       "prix_min", "prix_max", _by_type(med_m2).alias("prix_m2"))
+            .orderBy("type_order"))
 
 
 def top_cities_m2(raw: DataFrame, type_str: str = ALL_TYPES, k: int = TOP_CITIES,

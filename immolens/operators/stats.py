@@ -34,6 +34,17 @@ def percentiles(col, probs, accuracy: int | None = None) -> Column:
 # inputs use the distributed selection below.
 SELECTION_THRESHOLD = 5_000_000
 SELECTION_BUCKETS = 4096
+# Plans whose optimizer size estimate (an upper bound, no job needed) is
+# below this go straight to ``percentile`` without counting first.
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the plan (upper bound; computes nothing)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: treat as large
+        return 1 << 62
 
 
 def quantiles(df: DataFrame, col: str, probs, accuracy: int | None = None,
@@ -41,62 +52,87 @@ def quantiles(df: DataFrame, col: str, probs, accuracy: int | None = None,
     """Quantiles of ``col`` (nulls ignored) as Python floats (None if empty).
 
     Exact, with Spark's ``percentile`` interpolation.  ``accuracy`` switches
-    to ``percentile_approx``.  Above ``threshold`` values the exact answer is
-    found by ``select_ranks`` instead of one global ``percentile`` aggregate
-    (whose maps would all be merged in a single task).
+    to ``percentile_approx``.  Small inputs (by the optimizer's estimate) take
+    one ``percentile`` pass; otherwise the values are counted and, above
+    ``threshold``, the exact answer is found by ``select_ranks`` instead of
+    one global ``percentile`` aggregate (whose value maps would all be merged
+    in a single task).
     """
-    if accuracy:
-        row = df.agg(percentiles(col, probs, accuracy).alias("q")).first()
-        return list(row["q"]) if row["q"] is not None else [None] * len(probs)
-    x = F.col(col).cast("double")
-    head = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    n = head["n"]
-    if not n:
-        return [None] * len(probs)
-    if n <= threshold:
-        return list(df.agg(percentiles(col, probs).alias("q")).first()["q"])
-    positions = [(n - 1) * float(p) for p in probs]
-    ranks = sorted({int(math.floor(pos)) for pos in positions}
-                   | {int(math.ceil(pos)) for pos in positions})
-    values = select_ranks(df, col, ranks, head["lo"], head["hi"])
-    out = []
-    for pos in positions:
-        lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-        lo_v, hi_v = values[lo_r], values[hi_r]
-        out.append(lo_v if lo_r == hi_r or lo_v == hi_v
-                   else (hi_r - pos) * lo_v + (pos - lo_r) * hi_v)
-    return out
-
-
-def select_ranks(df: DataFrame, col: str, ranks: list[int], lo: float, hi: float,
+    return conditional_quantiles(df, F.col(col), [F.lit(True)], probs, accuracy, threshold)[0]
+
+
+def conditional_quantiles(df: DataFrame, value: Column, conditions: list, probs,
+                          accuracy: int | None = None,
+                          threshold: int = SELECTION_THRESHOLD) -> list[list]:
+    """Quantiles of ``value`` over the rows matching each condition (e.g. one
+    per property type), all from the same passes over ``df``."""
+    v = value.cast("double")
+    masked = [F.when(c, v) for c in conditions]
+    if accuracy or estimated_bytes(df.select(v.alias("_v"))) <= SMALL_INPUT_BYTES:
+        fn = (lambda m: F.percentile_approx(m, list(map(float, probs)), accuracy)) if accuracy \
+            else (lambda m: percentiles(m, probs))
+        row = df.agg(*[fn(m).alias(f"q{i}") for i, m in enumerate(masked)]).first()
+        return [list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
+                for i in range(len(conditions))]
+    head = df.agg(*[agg(m).alias(f"{name}{i}") for i, m in enumerate(masked)
+                    for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    results: list = [None] * len(conditions)
+    positions: dict[int, list[float]] = {}
+    targets = []
+    for i in range(len(conditions)):
+        n = head[f"n{i}"]
+        if not n:
+            results[i] = [None] * len(probs)
+        elif n <= threshold:
+            results[i] = list(df.agg(percentiles(masked[i], probs).alias("q")).first()["q"])
+        else:
+            positions[i] = [(n - 1) * float(p) for p in probs]
+            ranks = {int(math.floor(x)) for x in positions[i]} | {int(math.ceil(x)) for x in positions[i]}
+            targets += [(i, r, head[f"lo{i}"], head[f"hi{i}"]) for r in sorted(ranks)]
+    values = select_ranks(df, v, conditions, targets) if targets else {}
+    for i, pos_list in positions.items():
+        results[i] = [_interpolate(values, i, pos) for pos in pos_list]
+    return results
+
+
+def _interpolate(values: dict, i: int, pos: float) -> float:
+    """Spark's percentile interpolation between the values at the two ranks."""
+    lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
+    lo_v, hi_v = values[(i, lo_r)], values[(i, hi_r)]
+    if lo_r == hi_r or lo_v == hi_v:
+        return lo_v
+    return (hi_r - pos) * lo_v + (pos - lo_r) * hi_v
+
+
+def select_ranks(df: DataFrame, value: Column, conditions: list, targets: list,
                  buckets: int = SELECTION_BUCKETS, max_rounds: int = 32) -> dict:
-    """Exact values at 0-based ``ranks`` of ``col`` (ascending, nulls dropped).
-
-    Distributed selection: every round scans the column once, assigns each
-    value inside a target's current range ``[a, b]`` to one of ``buckets``
-    equal-width buckets (a monotone function of the value) and aggregates
-    ``count, min, max`` per (target, bucket).  At most ``targets x buckets``
-    rows come back; the bucket holding the wanted rank becomes the next
-    range.  A range that collapses to one value is the answer.  No task ever
-    holds more than one bucket's counters, whatever the skew.
+    """Exact values at 0-based ranks among the rows matching a condition.
+
+    ``targets`` are ``(condition index, rank, min, max)``.  Distributed
+    selection: every round scans the column once, puts each value inside a
+    target's current range ``[a, b]`` into one of ``buckets`` equal-width
+    buckets (a monotone function of the value) and aggregates ``count, min,
+    max`` per (target, bucket).  At most ``targets x buckets`` rows come
+    back; the bucket holding the wanted rank becomes the next range, and a
+    range that collapses to one value is the answer.  No task holds more than
+    one bucket's counters, whatever the skew.  Returns ``{(index, rank): v}``.
     """
-    x = F.col(col).cast("double")
-    state = {r: (lo, hi, 0) for r in ranks}        # rank -> (a, b, values below a)
-    done: dict[int, float] = {}
+    x = value.cast("double")
+    state = {(i, r): (lo, hi, 0) for i, r, lo, hi in targets}   # -> (a, b, values below a)
+    done: dict = {}
     for _ in range(max_rounds):
-        active = {r: st for r, st in state.items() if r not in done}
-        for r, (a, b, _) in active.items():
-            if a == b:
-                done[r] = a
-        active = {r: st for r, st in active.items() if r not in done}
+        for key, (a, b, _) in state.items():
+            if key not in done and a == b:
+                done[key] = a
+        active = [(key, st) for key, st in state.items() if key not in done]
         if not active:
             break
         tags = []
-        for i, (r, (a, b, _)) in enumerate(active.items()):
-            width = (b - a) / buckets
-            bucket = F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1))
-            tags.append(F.when(x.between(F.lit(a), F.lit(b)),
-                               F.struct(F.lit(i).alias("t"), bucket.cast("long").alias("b"))))
+        for j, ((i, _), (a, b, _)) in enumerate(active):
+            bucket = F.least(F.floor((x - F.lit(a)) / F.lit((b - a) / buckets)),
+                             F.lit(buckets - 1))
+            tags.append(F.when(conditions[i] & x.between(F.lit(a), F.lit(b)),
+                               F.struct(F.lit(j).alias("t"), bucket.cast("long").alias("b"))))
         rows = (df.select(x.alias("_x"), F.explode(F.filter(F.array(*tags),
                                                                lambda e: e.isNotNull())).alias("_k"))
                 .groupBy("_k.t", "_k.b")
@@ -105,18 +141,18 @@ def select_ranks(df: DataFrame, col: str, ranks: list[int], lo: float, hi: float
         by_target: dict[int, list] = {}
         for row in rows:
             by_target.setdefault(row["t"], []).append(row)
-        for i, (r, (a, b, below)) in enumerate(active.items()):
+        for j, ((i, r), (a, b, below)) in enumerate(active):
             seen = below
-            for row in sorted(by_target.get(i, []), key=lambda z: z["b"]):
+            for row in sorted(by_target.get(j, []), key=lambda z: z["b"]):
                 if seen + row["n"] > r:
-                    state[r] = (row["mn"], row["mx"], seen)
+                    state[(i, r)] = (row["mn"], row["mx"], seen)
                     break
                 seen += row["n"]
-    for r, (a, b, below) in state.items():   # pathological spacing: finish exactly
-        if r not in done:
-            rest = (df.where(x.between(F.lit(a), F.lit(b))).select(x.alias("v"))
-                    .orderBy("v").limit(r - below + 1).collect())
-            done[r] = rest[-1]["v"]
+    for (i, r), (a, b, below) in state.items():   # pathological spacing: finish exactly
+        if (i, r) not in done:
+            rest = (df.where(conditions[i] & x.between(F.lit(a), F.lit(b)))
+                    .select(x.alias("v")).orderBy("v").limit(r - below + 1).collect())
+            done[(i, r)] = rest[-1]["v"]
     return done
 
 
