@@ -19,6 +19,20 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for large inputs (hundreds of TB): let AQE size shuffle partitions
+# from a high initial count towards ~256 MB each, read ~256 MB file splits,
+# and split skewed join partitions.  Broadcasts stay behind AQE's measured
+# size check.
+SCALE_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.shuffle.partitions": "20000",
+}
+
+
 def get_session(app: str = "immolens", master: str | None = None,
                 shuffle_partitions: int | None = None,
                 conf: dict | None = None) -> SparkSession:

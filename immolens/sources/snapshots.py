@@ -24,6 +24,13 @@ from pyspark.sql.types import StructType
 from immolens.session import checkpoint_dir
 
 STORE_VERSION = "1"
+
+# The raw listing columns a snapshot may carry (S2, S5).  Read
+# with this schema no inference pass runs and zipcode stays text ("07200").
+RAW_SCHEMA = ("id long, title string, type string, price double, surface double, "
+              "pieces double, price_m2 double, city string, zipcode string, region string, "
+              "author string, category string, url string, image_url string, contact string, "
+              "suspicious string, score double, created_at timestamp, updated_at timestamp")
 _STORED: dict[tuple, str] = {}
 
 
@@ -66,6 +73,17 @@ def list_raw_files(spark: SparkSession, raw_dir: str) -> list[str]:
     return [r["name"] for r in files.orderBy(F.desc("name")).collect()]
 
 
+def snapshot_row_count(spark: SparkSession, directory: str, fmt: str = "csv") -> int:
+    """Rows of the latest snapshot in ``directory`` (0 when there is none
+    or it cannot be read).  Counted by Spark, so quoted newlines are handled."""
+    try:
+        if fmt == "csv":
+            return latest_raw_dataframe(spark, directory, schema=RAW_SCHEMA).count()
+        return load_clean(spark, directory).count()
+    except Exception:  # noqa: BLE001 - the panel shows 0 when nothing is there
+        return 0
+
+
 def _resolve(raw_dir: str, filename: str) -> str:
     if ".csv" not in filename:
         filename = f"{filename}.csv"
@@ -74,19 +92,34 @@ def _resolve(raw_dir: str, filename: str) -> str:
     return filename
 
 
+def _header_schema(spark: SparkSession, path: str, schema) -> StructType:
+    """The file's header columns, in file order, typed from ``schema`` (text
+    for unknown names): CSV schemas apply by position, so a snapshot with
+    fewer or reordered columns is matched by name instead."""
+    typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    types = {f.name: f.dataType for f in typed.fields}
+    header = spark.read.option("header", True).csv(path).columns
+    fields = [f"`{c}` {types[c].simpleString() if c in types else 'string'}" for c in header]
+    return StructType.fromDDL(", ".join(fields))
+
+
 def raw_dataframe(spark: SparkSession, raw_dir: str, filename: str,
                   schema: StructType | str | None = None, multiline: bool = False) -> DataFrame:
     """Header CSV scan; '.csv' and the directory are added when absent.
 
-    A fixed ``schema`` avoids an inference pass (zipcode must stay text).
-    Rows get an ``ordinal`` (file order), used by keep-first deduplication.
+    With a ``schema`` (e.g. ``RAW_SCHEMA``) the header's columns get their
+    declared types and no inference pass runs (zipcode stays text).  Rows get
+    an ``ordinal`` (file order), used by keep-first deduplication.
     ``multiline`` handles quoted newlines but makes the file unsplittable.
     """
     path = _resolve(raw_dir, filename)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"{path} does not exist")
     reader = spark.read.option("header", True).option("multiLine", multiline)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    if schema is not None:
+        reader = reader.schema(_header_schema(spark, path, schema))
+    else:
+        reader = reader.option("inferSchema", True)
     return reader.csv(path).withColumn("ordinal", F.monotonically_increasing_id())
 
 

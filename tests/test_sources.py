@@ -57,3 +57,12 @@ def test_metrics_roundtrip(spark, tmpdir_path):
     snapshots.save_metrics(spark, {"mae": 1.5, "rmse": 2.5, "r2": 0.75, "method": "prix_brut"}, path)
     assert snapshots.load_metrics(spark, path) == {"mae": 1.5, "rmse": 2.5, "r2": 0.75,
                                                    "method": "prix_brut"}
+
+
+def test_snapshot_row_count(spark, tmpdir_path):
+    assert snapshots.snapshot_row_count(spark, os.path.join(tmpdir_path, "none")) == 0
+    _write(os.path.join(tmpdir_path, "2024-01-01_x.csv"),
+           'id,title,zipcode\n1,"deux\nlignes",07200\n2,b,13000\n')
+    df = snapshots.raw_dataframe(spark, tmpdir_path, "2024-01-01_x", schema=snapshots.RAW_SCHEMA,
+                                 multiline=True)
+    assert df.count() == 2 and df.first().zipcode == "07200"
