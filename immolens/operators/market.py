@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from immolens.functions.numeric import exact_avg, spaced_thousands, trunc_long
 from immolens.operators.keys import ORDINAL, keep_first
-from immolens.operators.stats import conditional_quantiles, quantiles, scalars
+from immolens.operators.stats import conditional_quantiles, is_small, quantiles, scalars
 
 # Panel vocabularies, sentinels, thresholds.
 ALL_TYPES = "Tous"
@@ -162,7 +162,12 @@ def _price_m2() -> Column:
     return F.try_divide(F.col("prix"), F.col("surface"))
 
 
-def _global_median(df: DataFrame, value: Column, accuracy: int | None = None):
+def _global_median(df: DataFrame, value: Column, accuracy: int | None = None) -> Column:
+    """Truncated exact median as an expression for ``df.agg``: the
+    ``percentile`` aggregate itself for small inputs (one pass), the value
+    found by distributed selection (``stats.quantiles``) for large ones."""
+    if accuracy is None and is_small(df, value):
+        return trunc_long(F.median(value))
     q = quantiles(df.select(value.alias("_v")), "_v", [0.5], accuracy)[0]
     return F.lit(int(q) if q is not None else None).cast("long")
 
@@ -229,12 +234,17 @@ def type_cards(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     spark = df.sparkSession
     types = spark.createDataFrame([(t, i) for i, t in enumerate(CARD_TYPES)],
                                   "type string, type_order int")
-    agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count")])
-    medians = _type_medians(df, CARD_TYPES, F.col("prix"), accuracy)
+    if accuracy is None and is_small(df, F.col("prix")):
+        agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count"),
+                                         trunc_long(F.median("prix")).alias("median_price")])
+    else:
+        medians = _type_medians(df, CARD_TYPES, F.col("prix"), accuracy)
+        agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count")])
+        agg = agg.withColumn("median_price", _by_type(medians)) if agg is not None else None
     out = F.broadcast(types).join(agg.drop("type_order"), "type", "left") if agg is not None \
-        else types.withColumn("count", F.lit(0))
+        else types.withColumn("count", F.lit(0)).withColumn("median_price", F.lit(None))
     return (out.select("type", "type_order", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-                       _by_type(medians).alias("median_price"))
+                       F.col("median_price").cast("long").alias("median_price"))
             .orderBy("type_order"))
 
 
@@ -308,14 +318,19 @@ def analysis_quartiles(df: DataFrame, min_rows: int = 10, accuracy: int | None =
 def analysis_type_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Per type count, median, min, max price and median price per m²,
     in fixed type order; types without rows are omitted."""
-    agg = _per_type(df, STAT_TYPES, [
-        F.count(F.lit(1)).alias("count"),
-        trunc_long(F.min("prix")).alias("prix_min"),
-        trunc_long(F.max("prix")).alias("prix_max")])
-    med = _type_medians(df, STAT_TYPES, F.col("prix"), accuracy)
-    med_m2 = _type_medians(df, STAT_TYPES, _price_m2(), accuracy)
-    return (agg.select("type", "type_order", "count", _by_type(med).alias("median"),
-                       "prix_min", "prix_max", _by_type(med_m2).alias("prix_m2"))
+    base = [F.count(F.lit(1)).alias("count"),
+            trunc_long(F.min("prix")).alias("prix_min"),
+            trunc_long(F.max("prix")).alias("prix_max")]
+    if accuracy is None and is_small(df, F.col("prix")):
+        agg = _per_type(df, STAT_TYPES, base + [
+            trunc_long(F.median("prix")).alias("median"),
+            trunc_long(F.median(_price_m2())).alias("prix_m2")])
+    else:
+        med = _type_medians(df, STAT_TYPES, F.col("prix"), accuracy)
+        med_m2 = _type_medians(df, STAT_TYPES, _price_m2(), accuracy)
+        agg = _per_type(df, STAT_TYPES, base).withColumns(
+            {"median": _by_type(med), "prix_m2": _by_type(med_m2)})
+    return (agg.select("type", "type_order", "count", "median", "prix_min", "prix_max", "prix_m2")
             .orderBy("type_order"))
 
 

@@ -156,6 +156,13 @@ def select_ranks(df: DataFrame, value: Column, conditions: list, targets: list,
     return done
 
 
+def is_small(df: DataFrame, value: Column | None = None) -> bool:
+    """True when the optimizer's size estimate says a single ``percentile``
+    aggregate is safe (its value maps fit one task)."""
+    probe = df.select(value.alias("_v")) if value is not None else df
+    return estimated_bytes(probe) <= SMALL_INPUT_BYTES
+
+
 def scalars(df: DataFrame, **aggs: Column) -> dict:
     """Several global aggregates in one job: ``scalars(df, n=F.count('*'))``."""
     return df.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()

@@ -24,6 +24,12 @@ from pyspark.sql.types import StructType
 from immolens.session import checkpoint_dir
 
 STORE_VERSION = "1"
+SMALL_TABLE_BYTES = 1 << 30
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    from immolens.operators.stats import estimated_bytes
+    return estimated_bytes(df)
 
 # The raw listing columns a snapshot may carry (S2, S5).  Read
 # with this schema no inference pass runs and zipcode stays text ("07200").
@@ -48,7 +54,12 @@ def stored(spark: SparkSession, name: str, key: str, build: Callable[[], DataFra
     if path is None:
         tag = hashlib.sha1(repr(ident).encode()).hexdigest()[:16]
         path = f"{base.rstrip('/')}/immolens/{name}-{tag}"
-        build().write.mode("overwrite").parquet(path)
+        out = build()
+        if _estimated_bytes(out) <= SMALL_TABLE_BYTES:
+            # a small table is written as one file per core so that later
+            # scans are parallel; large outputs keep their own partitioning
+            out = out.repartition(spark.sparkContext.defaultParallelism)
+        out.write.mode("overwrite").parquet(path)
         _STORED[ident] = path
     return spark.read.parquet(path)
 

@@ -60,3 +60,17 @@ def test_quartiles_need_more_than_ten_rows(spark):
     assert market.analysis_quartiles(_m(spark, [_row(i, float(i)) for i in range(10)])).count() == 0
     q = market.analysis_quartiles(_m(spark, [_row(i, float(i * 1000)) for i in range(11)]))
     assert [r.bracket for r in q.collect()][0] == "< 2 500€"
+
+
+def test_large_input_path_matches(spark, monkeypatch):
+    from immolens.operators import stats
+    rows = [_row(i, float(1000 + (i * 7919) % 5000), surface=40.0 + i % 7,
+                 t="AMTXP"[i % 5]) for i in range(200)]
+    df = _m(spark, rows)
+    monkeypatch.setattr(stats, "SMALL_INPUT_BYTES", 1 << 63)
+    small = (market.analysis_type_stats(df).collect(), market.type_cards(df).collect(),
+             market.dashboard_kpis(df).collect())
+    monkeypatch.setattr(stats, "SMALL_INPUT_BYTES", 0)
+    large = (market.analysis_type_stats(df).collect(), market.type_cards(df).collect(),
+             market.dashboard_kpis(df).collect())
+    assert small == large
