@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from immolens.operators import clean, features, marts, models, quality, warehouse
 from immolens.sources import snapshots
 
-NATURAL_KEYS = {"dim_type": ["type_name"], "dim_location": ["city", "zipcode", "region"],
-                "dim_author": ["id_author"], "dim_date": ["created_at"]}
+# (listing column, dimension column) pairs forming each natural key
+NATURAL_KEYS = {"dim_type": [("type", "type_name")],
+                "dim_location": [("city", "city"), ("zipcode", "zipcode"), ("region", "region")],
+                "dim_author": [("author", "id_author")],
+                "dim_date": [("created_at", "created_at")]}
 SURROGATE_KEYS = {"dim_type": "id_type", "dim_location": "id_location", "dim_date": "id_date"}
 MART_VIEWS = {
     "dm_stats_par_ville": marts.city_mart,
@@ -26,33 +30,32 @@ def prepare(spark: SparkSession, raw: DataFrame, out_dir: str,
             fmt: str = "parquet") -> dict:
     """Quality -> clean -> features -> write the ML-ready snapshot.
 
-    The cleaned rows are persisted once (every later step needs several
-    global statistics over them) and released at the end.  Rows in and out
-    of every stage are counted from the same persisted data (S19).  The city
-    encoding and the clustering model are saved next to the data (S13, S14).
-    Returns the output paths and the stage audit rows.
+    Stage row counts (S19) are ``observe()`` metrics collected while the
+    stages run, not extra passes.  The cleaned rows are persisted once (the
+    feature step reads them for several global statistics) and released at
+    the end.  The city encoding and the clustering model are saved next to
+    the data (S13, S14).  Returns the output path and the stage audit.
     """
     snapshot_date = snapshot_date or dt.date.today().isoformat()
-    raw_n = raw.count()
-    checked = quality.data_quality(raw)
-    cleaned = clean.clean_listings(checked).persist()
-    clean_n = cleaned.count()
+    obs = {name: Observation(name) for name in ("ingest", "quality", "clean", "features")}
+    rows = F.count(F.lit(1)).alias("rows")
+    seen = raw.observe(obs["ingest"], rows)
+    checked = quality.data_quality(seen).observe(obs["quality"], rows)
+    cleaned = clean.clean_listings(checked).observe(obs["clean"], rows).persist()
     feats, enc, km = features.engineer_features(cleaned, n_cluster=n_cluster, seed=seed)
+    feats = feats.observe(obs["features"], rows)
     data_path = snapshots.write_clean(feats, os.path.join(out_dir, "clean"), snapshot_date, fmt)
     snapshots.save_encoding(enc, os.path.join(out_dir, "models", "city_encoding"))
     if km is not None:
         snapshots.save_model(km, os.path.join(out_dir, "models", "kmeans"))
-    feats_n = snapshots.load_clean(spark, os.path.join(out_dir, "clean"), snapshot_date).count() \
-        if fmt == "parquet" else None
-    quality_n = checked.count()
     cleaned.unpersist()
-    audit = [("ingest", raw_n, raw_n), ("quality", raw_n, quality_n),
-             ("clean", quality_n, clean_n), ("features", clean_n, feats_n)]
+    counts = [obs[n].get.get("rows", 0) for n in ("ingest", "quality", "clean", "features")]
+    names = ["ingest", "quality", "clean", "features"]
+    audit = [(i, names[i], counts[max(i - 1, 0)], counts[i], counts[max(i - 1, 0)] - counts[i])
+             for i in range(4)]
     return {"data": data_path, "snapshot_date": snapshot_date,
             "audit": spark.createDataFrame(
-                [(i, s, a, b, (a - b) if b is not None else None)
-                 for i, (s, a, b) in enumerate(audit)],
-                "stage_order int, stage string, rows_in long, rows_out long, dropped long")}
+                audit, "stage_order int, stage string, rows_in long, rows_out long, dropped long")}
 
 
 def build_warehouse(spark: SparkSession, raw: DataFrame, out_dir: str,
@@ -67,25 +70,27 @@ def build_warehouse(spark: SparkSession, raw: DataFrame, out_dir: str,
     names = ("dim_type", "dim_location", "dim_author", "dim_date", "fact_ads")
     paths = {name: os.path.join(out_dir, name) for name in names}
     listings = warehouse.prepare_raw(raw)
-    fresh = {"dim_type": warehouse.dim_type(listings),
-             "dim_location": warehouse.dim_location(listings),
-             "dim_author": warehouse.dim_author(listings),
-             "dim_date": warehouse.dim_date(listings)}
+    builders = {"dim_type": warehouse.dim_type, "dim_location": warehouse.dim_location,
+                "dim_author": warehouse.dim_author, "dim_date": warehouse.dim_date}
     appending = mode == "append" and all(snapshots.path_exists(spark, p)
-                                             for p in paths.values())
-    for name, df in fresh.items():
-        if appending:
-            old = spark.read.parquet(paths[name])
-            keys = NATURAL_KEYS[name]
-            new = df.join(old.select(*keys), keys, "left_anti")
-            sk = SURROGATE_KEYS.get(name)
-            if sk:   # continue the numbering after the stored keys
-                top = old.agg(F.max(sk)).first()[0] or 0
-                new = new.withColumn(sk, F.col(sk) + F.lit(top))
-            new.write.mode("append").parquet(paths[name])
-        else:
-            df.write.mode("overwrite").parquet(paths[name])
-    dims = {n: spark.read.parquet(paths[n]) for n in fresh}
+                                         for p in paths.values())
+    for name, build in builders.items():
+        if not appending:
+            build(listings).write.mode("overwrite").parquet(paths[name])
+            continue
+        # listings whose natural key is not stored yet (null-safe, as J2),
+        # numbered among themselves and shifted after the stored keys
+        old = spark.read.parquet(paths[name])
+        pairs = NATURAL_KEYS[name]
+        known = old.select(*[F.col(d).alias(f"_old_{d}") for _, d in pairs])
+        same = [listings[s].eqNullSafe(known[f"_old_{d}"]) for s, d in pairs]
+        new = build(listings.join(known, reduce(lambda a, b: a & b, same), "left_anti"))
+        sk = SURROGATE_KEYS.get(name)
+        if sk:
+            top = old.agg(F.max(sk)).first()[0] or 0
+            new = new.withColumn(sk, F.col(sk) + F.lit(top))
+        new.write.mode("append").parquet(paths[name])
+    dims = {n: spark.read.parquet(paths[n]) for n in builders}
     fact = warehouse.fact_ads(listings, dims["dim_type"], dims["dim_location"], dims["dim_date"])
     if appending:
         old_ids = spark.read.parquet(paths["fact_ads"]).select("id_annonce")

@@ -81,3 +81,14 @@ def test_batch_scoring(spark, train_df):
                         res["champion"]["method"], 0.78).collect()
     assert len(out) == 2 and all(r.current_estimated_price > 0 for r in out)
     assert out[0].confidence == 78.0
+
+
+def test_prepare_job_audit(spark, tmpdir_path):
+    from immolens.sources.adapter import listings
+    raw = listings(spark, "/root/testdata/sf0.001")
+    out = jobs.prepare(spark, raw, tmpdir_path, "2024-01-01", n_cluster=3)
+    audit = {r.stage: (r.rows_in, r.rows_out) for r in out["audit"].collect()}
+    assert audit["ingest"][1] == raw.count()
+    assert audit["quality"][0] == audit["ingest"][1]
+    assert audit["features"][1] == jobs.latest_features(spark, tmpdir_path).count()
+    assert "cluster" in jobs.latest_features(spark, tmpdir_path).columns

@@ -51,3 +51,23 @@ def test_sequence_ids_dense_across_slices(spark):
     df = spark.createDataFrame([(v,) for v in (5, 3_000_000, 7, 1 << 21, 10)], "o long")
     out = {r.o: r.n for r in sequence_ids(df, "o", "n", slice_width=1 << 20).collect()}
     assert out == {5: 1, 7: 2, 10: 3, 1 << 21: 4, 3_000_000: 5}
+
+
+def test_warehouse_job_append_is_idempotent(spark, tmpdir_path):
+    from immolens.plans import jobs
+    raw = spark.createDataFrame(_rows(), COLS)
+    jobs.build_warehouse(spark, raw, tmpdir_path)
+    first = {n: t.count() for n, t in jobs.build_warehouse(spark, raw, tmpdir_path).items()}
+    again = {n: t.count() for n, t in
+             jobs.build_warehouse(spark, raw, tmpdir_path, mode="append").items()}
+    assert first == again
+    more = raw.unionByName(spark.createDataFrame(
+        [(9, "z", "Parking", 10.0, 1.0, 10.0, "Brest", "29200", "BZH", "Z", "u", "i",
+          dt.datetime(2024, 3, 1), 9)], COLS))
+    tables = jobs.build_warehouse(spark, more, tmpdir_path, mode="append")
+    ids = {r.type_name: r.id_type for r in tables["dim_type"].collect()}
+    assert ids == {"Maison": 1, "Terrain": 2, "Parking": 3}
+    assert tables["fact_ads"].count() == first["fact_ads"] + 1
+    assert jobs.preview(spark).count() <= 5
+    audit = {r.rule: r.violations for r in warehouse.integrity_audit(tables).collect()}
+    assert all(v == 0 for v in audit.values()), audit
