@@ -74,3 +74,18 @@ def test_large_input_path_matches(spark, monkeypatch):
     large = (market.analysis_type_stats(df).collect(), market.type_cards(df).collect(),
              market.dashboard_kpis(df).collect())
     assert small == large
+
+
+def test_panels_and_report(spark):
+    df = _m(spark, [_row(i, 100000.0 + i * 1000, t="AM"[i % 2]) for i in range(20)])
+    parts = market.dashboard(df, "Maison", metrics={"mae": 55657.12, "rmse": 90235.81,
+                                                    "r2": 0.7815, "method": "prix_brut"})
+    assert set(parts) == {"kpis", "active_markets", "type_cards", "price_histogram", "model"}
+    m = parts["model"].first()
+    assert (m.mae, m.rmse, m.r2, m.r2_pct) == ("55 657", "90 236", "0.7815", "78.1")
+    assert parts["kpis"].first().ads_count == 10
+    raw = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    rep = market.run_report(raw, raw.limit(2), {})
+    c = rep["counts"].first()
+    assert (c.raw_count, c.clean_count, c.dropped, c.train, c.test) == (3, 2, 1, 1, 0)
+    assert rep["metrics"].first().mae is None
