@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from immolens.operators.stats import quantiles
+from immolens.session import checkpoint_dir
 
 # Model settings.
 CLUSTER_COLUMNS = ["surface_log", "pieces", "type_bien_APPARTEMENT", "type_bien_MAISON",
@@ -28,6 +29,9 @@ REGRESSION_RAW = dict(maxIter=200, stepSize=0.1, maxDepth=7, subsamplingRate=0.8
                       featureSubsetStrategy="0.8", seed=42)
 REGRESSION_LOG = dict(REGRESSION_RAW, maxIter=300)
 CLASSIFIER = dict(maxIter=200, stepSize=0.1, maxDepth=6, seed=42)
+# Long boosting runs: keep node ids cached and cut the lineage every 10
+# iterations (MLlib checkpoints into the shared spark.checkpoint.dir).
+TRAINING_RUNTIME = dict(cacheNodeIds=True, checkpointInterval=10)
 TARGETS = ("prix", "prix_log")
 FEATURE_LABELS = {
     "ville": "Ville (Target Encoded)",
@@ -156,8 +160,9 @@ def median_label(df: DataFrame, col: str = "prix", accuracy: int | None = None):
 
 
 def _gbt_regression(train, test, cols, target, params, use_log):
-    model = GBTRegressor(featuresCol="features", labelCol=target, **params).fit(
-        _assembled(train, cols))
+    checkpoint_dir(train.sparkSession)
+    model = GBTRegressor(featuresCol="features", labelCol=target,
+                         **{**TRAINING_RUNTIME, **params}).fit(_assembled(train, cols))
     pred = model.transform(_assembled(test, cols))
     return model, regression_metrics(pred, target, "prediction", use_log).first().asDict()
 
@@ -189,8 +194,9 @@ def train_classifier(df: DataFrame, params=None) -> dict:
     cols = feature_columns(df)
     labelled, med = median_label(df)
     ltrain, ltest = split(labelled)
+    checkpoint_dir(df.sparkSession)
     clf = GBTClassifier(featuresCol="features", labelCol="label",
-                        **(params or CLASSIFIER)).fit(_assembled(ltrain, cols))
+                        **{**TRAINING_RUNTIME, **(params or CLASSIFIER)}).fit(_assembled(ltrain, cols))
     clf_m = classification_metrics(clf.transform(_assembled(ltest, cols))).first().asDict()
     return {"feature_columns": cols, "classification": {"model": clf, "median": med, **clf_m}}
 
