@@ -71,3 +71,17 @@ def test_warehouse_job_append_is_idempotent(spark, tmpdir_path):
     assert jobs.preview(spark).count() <= 5
     audit = {r.rule: r.violations for r in warehouse.integrity_audit(tables).collect()}
     assert all(v == 0 for v in audit.values()), audit
+
+
+def test_star_invariant_to_input_partitioning(spark):
+    import os
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    from immolens.sources.adapter import listings
+    raw = listings(spark, sf)
+    base = warehouse.build_star(raw)
+    shuffled = warehouse.build_star(raw.repartition(7).sortWithinPartitions("price"))
+    for name in ("dim_location", "dim_date", "fact_ads"):
+        assert sorted(base[name].collect()) == sorted(shuffled[name].collect()), name
+    assert sorted(marts.city_mart(base).collect()) == sorted(marts.city_mart(shuffled).collect())
