@@ -221,7 +221,7 @@ from immolens.sources.adapter import city_coordinates  # noqa: E402
 
 # Fixed panel parameters used by the filtered catalogue variants.
 FILTERED_DASHBOARD = dict(type_str="Maison", region="EUROPE")
-FILTERED_ANALYSIS = dict(zone="NATION_1_1", type_str="Appartement", smin="50", smax="150",
+FILTERED_ANALYSIS = dict(zone="NATION_1_AUTOMOBILE", type_str="Appartement", smin="50", smax="150",
                          rooms="3-4 pièces")
 
 

@@ -64,27 +64,27 @@ cte("lines", """SELECT l_orderkey, sum(l_quantity) AS qty, count(*) AS n_lines
 FROM lineitem GROUP BY l_orderkey""")
 cte("geo", """SELECT n_nationkey, n_name, r_name
 FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
-cte("base", """SELECT o_orderkey, o_totalprice, o_orderdate, qty, n_lines, c_custkey, c_name,
-  n_name, r_name,
+cte("base", """SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus, qty, n_lines,
+  c_custkey, c_name, c_mktsegment, n_name, r_name,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Appartement' WHEN '2' THEN 'Maison'
     WHEN '3' THEN 'Terrain' WHEN '4' THEN 'Autre' WHEN '5' THEN 'Parking' END AS type_word
 FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey
 LEFT JOIN customer ON o_custkey = c_custkey
 LEFT JOIN geo ON c_nationkey = n_nationkey""", "lines", "geo")
 cte("copies", """SELECT b.*, c.copy FROM base b
-JOIN (VALUES (0), (1)) c(copy) ON c.copy = 0 OR b.o_orderkey % 10 = 0""", "base")
+JOIN (VALUES (0), (1)) c(copy) ON c.copy = 0 OR b.c_mktsegment = 'FURNITURE'""", "base")
 cte("listings", """SELECT o_orderkey AS id,
   concat_ws(' ', type_word, CASE WHEN n_lines IS NOT NULL THEN
-    (CASE WHEN o_orderkey % 5 = 1 THEN 'T' || CAST(n_lines AS VARCHAR)
+    (CASE WHEN c_mktsegment = 'BUILDING' THEN 'T' || CAST(n_lines AS VARCHAR)
           ELSE CAST(n_lines AS VARCHAR) || ' pièces' END)
     || ' ' || CAST(CAST(qty AS BIGINT) AS VARCHAR) || ' m²' END) AS title,
-  CASE WHEN o_orderkey % 7 = 0 THEN 'Autre' ELSE type_word END AS type,
+  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Autre' ELSE type_word END AS type,
   o_totalprice + copy * CAST(1000.0 AS DOUBLE) AS price,
-  CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE qty END AS DOUBLE) AS surface,
-  CAST(CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE n_lines END AS DOUBLE) AS pieces,
+  CAST(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE qty END AS DOUBLE) AS surface,
+  CAST(CASE WHEN o_orderstatus = 'O' THEN NULL ELSE n_lines END AS DOUBLE) AS pieces,
   (o_totalprice + copy * CAST(1000.0 AS DOUBLE))
-    / CAST(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE qty END AS DOUBLE) AS price_m2,
-  n_name || '_' || CAST(c_custkey % 4 AS VARCHAR) AS city,
+    / CAST(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE qty END AS DOUBLE) AS price_m2,
+  n_name || '_' || c_mktsegment AS city,
   CAST(c_custkey AS VARCHAR) AS zipcode,
   r_name AS region,
   c_name AS author,
@@ -93,10 +93,10 @@ cte("listings", """SELECT o_orderkey AS id,
   o_orderdate AS created_at,
   o_orderkey * 2 + copy AS ordinal
 FROM copies""", "copies")
-cte("coords", """SELECT n_name || '_' || CAST(k AS VARCHAR) AS city,
+cte("coords", """SELECT n_name || '_' || segment AS city,
   CAST(42.0 AS DOUBLE) + n_nationkey * CAST(0.35 AS DOUBLE) + k * CAST(0.1 AS DOUBLE) AS lat,
   CAST(-4.0 AS DOUBLE) + n_nationkey * CAST(0.45 AS DOUBLE) + k * CAST(0.2 AS DOUBLE) AS lng
-FROM nation JOIN (VALUES (0), (1)) t(k) ON true""")
+FROM nation JOIN (VALUES (0, 'AUTOMOBILE'), (1, 'BUILDING'), (2, 'FURNITURE')) t(k, segment) ON true""")
 
 # --------------------------------------------------------------------------
 # Star schema
@@ -402,7 +402,7 @@ FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n, {mean6('prix')} AS me
 
 QUERIES["analysis_stats"] = stats_sql("true")
 QUERIES["analysis_filtered"] = stats_sql(
-    "city = 'NATION_1_1' AND type_bien_APPARTEMENT AND surface >= 50.0 AND surface <= 150.0 "
+    "city = 'NATION_1_AUTOMOBILE' AND type_bien_APPARTEMENT AND surface >= 50.0 AND surface <= 150.0 "
     "AND pieces >= 3 AND pieces <= 4")
 
 QUERIES["analysis_type_stats"] = sql(f"""SELECT type, type_order, count,

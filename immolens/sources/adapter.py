@@ -8,16 +8,19 @@ listing column             derived from
 id, price, created_at      o_orderkey, o_totalprice, o_orderdate
 surface, pieces            sum(l_quantity), count(*) of the order's lines
 type                       first digit of o_orderpriority (TYPE_BY_DIGIT)
-city, region               n_name || '_' || c_custkey % 4, r_name
+city, region               n_name || '_' || c_mktsegment, r_name
 zipcode, author            cast(c_custkey as string), c_name
 title                      type word, rooms and surface written as text
 =========================  ==============================================
 
-To exercise the title repair, some attributes are blanked *after* the title
-is written (surface where id % 3 = 0, pieces where id % 4 = 0, type set to
-'Autre' where id % 7 = 0), and listings with id % 10 = 0 are listed a second
-time (later ordinal, price + 1000) so keep-first deduplication has work.
-Nothing is filtered away: every order yields a listing.
+Real scraped listings are incomplete, so some attributes are left out
+*after* the title is written (the title keeps the truth), following the
+order's own attributes: partially shipped orders (status 'P') state no
+surface, open orders (status 'O') no room count, and customers of the
+HOUSEHOLD segment leave the type as 'Autre'.  BUILDING customers write the
+rooms as 'T<n>'.  Listings of FURNITURE customers are posted twice (a later
+ordinal, price + 1000), so keep-first deduplication has work.  Nothing is
+filtered away: every order yields a listing.
 
 Plan: lineitem is pre-aggregated per order (partial aggregation before the
 shuffle) and joined to orders, hash-partitioned on the order key; customers
@@ -33,9 +36,10 @@ from pyspark.sql import functions as F
 from immolens.sources.tables import table
 
 # Bump when the derivation changes, so stale snapshots are not reused.
-ADAPTER_VERSION = "1"
+ADAPTER_VERSION = "2"
 
-# Listing type by the first digit of the order priority.
+# Listing type by the first digit of the order priority, and
+# the order / customer attributes that shape the raw listings.
 TYPE_BY_DIGIT = {
     "1": "Appartement",
     "2": "Maison",
@@ -43,6 +47,12 @@ TYPE_BY_DIGIT = {
     "4": "Autre",
     "5": "Parking",
 }
+NO_SURFACE_STATUS = "P"
+NO_ROOMS_STATUS = "O"
+UNTYPED_SEGMENT = "HOUSEHOLD"
+T_ROOMS_SEGMENT = "BUILDING"
+REPOSTED_SEGMENT = "FURNITURE"
+MAPPED_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
 
 RAW_COLUMNS = ["id", "title", "type", "price", "surface", "pieces", "price_m2",
                "city", "zipcode", "region", "author", "url", "image_url",
@@ -70,12 +80,14 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     # listing derivation over all cores when the join is broadcast.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority") \
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority",
+        "o_orderstatus") \
         .repartition(parts, "o_orderkey")
     lines = (table(spark, sf_dir, "lineitem")
              .groupBy("l_orderkey")
              .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n_lines")))
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
+                                                       "c_mktsegment")
     geo = F.broadcast(_geography(spark, sf_dir))   # 25 rows at every scale
 
     base = (orders
@@ -84,28 +96,30 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(geo, F.col("c_nationkey") == geo.n_nationkey, "left"))
 
     oid = F.col("o_orderkey")
+    status, segment = F.col("o_orderstatus"), F.col("c_mktsegment")
     type_word = _type_from_priority(F.col("o_orderpriority"))
     pieces_txt = F.col("n_lines").cast("string")
     surface_txt = F.col("qty").cast("bigint").cast("string")
-    rooms_txt = F.when(oid % 5 == 1, F.concat(F.lit("T"), pieces_txt)) \
+    rooms_txt = F.when(segment == T_ROOMS_SEGMENT, F.concat(F.lit("T"), pieces_txt)) \
                  .otherwise(F.concat(pieces_txt, F.lit(" pièces")))
     tail = F.when(F.col("n_lines").isNotNull(),
                   F.concat(rooms_txt, F.lit(" "), surface_txt, F.lit(" m²")))
 
-    surface = F.when(oid % 3 == 0, F.lit(None)).otherwise(F.col("qty")).cast("double")
-    # One pass: listings with id % 10 = 0 are emitted twice (copy 1 = replay).
-    copy = F.explode(F.when(oid % 10 == 0, F.array(F.lit(0), F.lit(1)))
+    surface = F.when(status == NO_SURFACE_STATUS, F.lit(None)).otherwise(F.col("qty")).cast("double")
+    # One pass: re-posted listings are emitted twice (copy 1 = the repost).
+    copy = F.explode(F.when(segment == REPOSTED_SEGMENT, F.array(F.lit(0), F.lit(1)))
                      .otherwise(F.array(F.lit(0)))).alias("copy")
     price = F.col("o_totalprice") + F.col("copy") * F.lit(1000.0)
     return base.select("*", copy).select(
         oid.alias("id"),
         F.concat_ws(" ", type_word, tail).alias("title"),
-        F.when(oid % 7 == 0, F.lit("Autre")).otherwise(type_word).alias("type"),
+        F.when(segment == UNTYPED_SEGMENT, F.lit("Autre")).otherwise(type_word).alias("type"),
         price.alias("price"),
         surface.alias("surface"),
-        F.when(oid % 4 == 0, F.lit(None)).otherwise(F.col("n_lines")).cast("double").alias("pieces"),
+        F.when(status == NO_ROOMS_STATUS, F.lit(None)).otherwise(F.col("n_lines"))
+         .cast("double").alias("pieces"),
         F.try_divide(price, surface).alias("price_m2"),
-        F.concat(F.col("n_name"), F.lit("_"), (F.col("c_custkey") % 4).cast("string")).alias("city"),
+        F.concat(F.col("n_name"), F.lit("_"), segment).alias("city"),
         F.col("c_custkey").cast("string").alias("zipcode"),
         F.col("r_name").alias("region"),
         F.col("c_name").alias("author"),
@@ -119,13 +133,13 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def city_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinates for the synthetic city names, derived from ``nation``.
 
-    Only the ``_0`` and ``_1`` cities of each nation get a position, so the
-    city map drops the others, as it drops unknown towns.
+    Only the cities of three segments get a position, so the city map drops
+    the others, as it drops unknown towns.
     """
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    k = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    k = F.posexplode(F.array(*[F.lit(s) for s in MAPPED_SEGMENTS])).alias("k", "segment")
     return (nation.select("n_nationkey", "n_name", k)
-            .select(F.concat(F.col("n_name"), F.lit("_"), F.col("k").cast("string")).alias("city"),
+            .select(F.concat(F.col("n_name"), F.lit("_"), F.col("segment")).alias("city"),
                     (F.lit(42.0) + F.col("n_nationkey") * 0.35 + F.col("k") * 0.1).alias("lat"),
                     (F.lit(-4.0) + F.col("n_nationkey") * 0.45 + F.col("k") * 0.2).alias("lng")))
 
