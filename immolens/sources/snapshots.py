@@ -55,10 +55,13 @@ def stored(spark: SparkSession, name: str, key: str, build: Callable[[], DataFra
         tag = hashlib.sha1(repr(ident).encode()).hexdigest()[:16]
         path = f"{base.rstrip('/')}/immolens/{name}-{tag}"
         out = build()
-        if _estimated_bytes(out) <= SMALL_TABLE_BYTES:
-            # a small table is written as one file per core so that later
-            # scans are parallel; large outputs keep their own partitioning
-            out = out.repartition(spark.sparkContext.defaultParallelism)
+        size = _estimated_bytes(out)
+        if size <= SMALL_TABLE_BYTES:
+            # a small table is spread over up to one file per core (about
+            # 1 MB each) so that later scans run in parallel; large outputs
+            # keep their own partitioning
+            files = max(1, min(spark.sparkContext.defaultParallelism, size // (1 << 20) + 1))
+            out = out.repartition(int(files))
         out.write.mode("overwrite").parquet(path)
         _STORED[ident] = path
     return spark.read.parquet(path)
