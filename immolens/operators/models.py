@@ -32,7 +32,6 @@ CLASSIFIER = dict(maxIter=200, stepSize=0.1, maxDepth=6, seed=42)
 # Long boosting runs: keep node ids cached and cut the lineage every 10
 # iterations (MLlib checkpoints into the shared spark.checkpoint.dir).
 TRAINING_RUNTIME = dict(cacheNodeIds=True, checkpointInterval=10)
-TARGETS = ("prix", "prix_log")
 FEATURE_LABELS = {
     "ville": "Ville (Target Encoded)",
     "surface": "Surface (m²)",

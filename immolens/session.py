@@ -35,8 +35,11 @@ SCALE_CONF = {
 
 def get_session(app: str = "immolens", master: str | None = None,
                 shuffle_partitions: int | None = None,
-                conf: dict | None = None) -> SparkSession:
+                conf: dict | None = None, large: bool = False) -> SparkSession:
+    """Session with the defaults above; ``large=True`` adds ``SCALE_CONF``."""
     builder = SparkSession.builder.appName(app)
+    if large:
+        conf = {**SCALE_CONF, **(conf or {})}
     if master:
         builder = builder.master(master)
     for k, v in {**DEFAULT_CONF, **(conf or {})}.items():

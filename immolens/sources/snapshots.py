@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 from collections.abc import Callable
 
@@ -215,7 +214,3 @@ def load_metrics(spark: SparkSession, path: str) -> dict:
     except Exception:  # noqa: BLE001 - a missing folder means "not trained"
         row = None
     return row.asDict() if row else {"mae": None, "rmse": None, "r2": None, "method": None}
-
-
-def metrics_json(metrics: dict) -> str:
-    return json.dumps({k: metrics.get(k) for k in ("mae", "rmse", "r2", "method")})

@@ -89,3 +89,19 @@ def test_panels_and_report(spark):
     c = rep["counts"].first()
     assert (c.raw_count, c.clean_count, c.dropped, c.train, c.test) == (3, 2, 1, 1, 0)
     assert rep["metrics"].first().mae is None
+
+
+def test_city_map_with_town_table(spark):
+    rows = []
+    for i in range(20):
+        rows.append(("Paris", 500000.0, 50.0, i))
+    for i in range(4):
+        rows.append(("Lyon", 200000.0, 100.0, 100 + i))
+    rows.append(("Nowhere", 1.0, 1.0, 200))
+    raw = spark.createDataFrame(rows, "city string, price double, surface double, ordinal long")
+    out = {r.city: r for r in market.city_map(raw).collect()}
+    assert set(out) == {"Paris", "Lyon"}
+    assert out["Paris"].id == 1 and out["Paris"].price_m2 == 10000 and out["Paris"].active
+    assert out["Lyon"].price_m2 == 2000 and not out["Lyon"].active
+    assert out["Paris"].price == "10 000" and out["Lyon"].trend == "4 annonces"
+    assert out["Paris"].lat == 48.8566
