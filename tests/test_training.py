@@ -92,3 +92,20 @@ def test_prepare_job_audit(spark, tmpdir_path):
     assert audit["quality"][0] == audit["ingest"][1]
     assert audit["features"][1] == jobs.latest_features(spark, tmpdir_path).count()
     assert "cluster" in jobs.latest_features(spark, tmpdir_path).columns
+
+
+def test_log_champion_is_inverted(spark, train_df):
+    feats, km = models.train_clustering(train_df.withColumn("surface_log", F.log1p("surface")), 2)
+    res = models.train_regressions(feats, SMALL, SMALL)
+    enc = spark.createDataFrame([("PARIS", 300000.0)], "ville string, encoding double")
+    req = spark.createDataFrame([("Paris", "Maison", 80.0, 3)],
+                                "city string, property_type string, surface_area double, rooms int")
+    log_model = res["regression_log"]["model"]
+    raw_price = scoring.score(req, enc, km, log_model, res["feature_columns"], "prix_brut").first()
+    inverted = scoring.score(req, enc, km, log_model, res["feature_columns"], "log_prix").first()
+    assert raw_price.current_estimated_price < 20          # a log-scale number
+    assert inverted.current_estimated_price > 10000         # back on the price scale
+    clamped = scoring.score(req, enc, km, log_model, res["feature_columns"], "log_prix",
+                            ranges={"surface_min": 100, "surface_max": 200,
+                                    "pieces_min": 1, "pieces_max": 2}).first()
+    assert clamped.surface_area == 100.0 and clamped.rooms == 2

@@ -85,3 +85,15 @@ def test_star_invariant_to_input_partitioning(spark):
     for name in ("dim_location", "dim_date", "fact_ads"):
         assert sorted(base[name].collect()) == sorted(shuffled[name].collect()), name
     assert sorted(marts.city_mart(base).collect()) == sorted(marts.city_mart(shuffled).collect())
+
+
+def test_sql_views_equal_dataframe_marts(spark):
+    from immolens.plans import views
+    star = warehouse.build_star(spark.createDataFrame(_rows(), COLS))
+    for name, df in star.items():
+        df.createOrReplaceTempView(name)
+    views.create_mart_views(spark)
+    pairs = {"dm_stats_par_ville": marts.city_mart, "dm_stats_region_type": marts.region_type_mart,
+             "dm_stats_mensuelles": marts.monthly_mart}
+    for view, fn in pairs.items():
+        assert spark.table(view).collect() == fn(star).collect(), view
