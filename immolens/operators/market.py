@@ -174,8 +174,8 @@ def _global_median(df: DataFrame, value: Column, accuracy: int | None = None) ->
 
 def dashboard_kpis(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Median and mean price, median price per m² (null when no row has
-    a positive surface), listing count; integers truncated.  The medians are
-    global statistics (``stats.quantiles``), the rest one aggregate."""
+    a positive surface), listing count; integers truncated.  One aggregate;
+    on large inputs the medians come from ``stats.quantiles`` first."""
     med = _global_median(df, F.col("prix"), accuracy)
     med_m2 = _global_median(df, _price_m2(), accuracy)
     return df.agg(
@@ -203,6 +203,10 @@ def active_markets(df: DataFrame, r2: float = DEFAULT_R2) -> DataFrame:
     omitted.  ``confidence = min(95, max(70, int(100*r2 + n/100)))``."""
     agg = _per_type(df, MARKET_TYPES, [F.count(F.lit(1)).alias("count"),
                                        trunc_long(exact_avg("prix")).alias("mean_price")])
+    if agg is None:
+        return df.sparkSession.createDataFrame(
+            [], "type string, type_order int, count long, mean_price long, confidence long, "
+                "label string")
     conf = trunc_long(F.lit(float(r2) * 100) + F.col("count") / F.lit(100))
     return (agg.select("type", "type_order", "count", "mean_price",
                        F.least(F.lit(95), F.greatest(F.lit(70), conf)).alias("confidence"),
@@ -322,6 +326,10 @@ def analysis_quartiles(df: DataFrame, min_rows: int = 10, accuracy: int | None =
 def analysis_type_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Per type count, median, min, max price and median price per m²,
     in fixed type order; types without rows are omitted."""
+    if not any(TYPE_COL_MAP[t] in df.columns for t in STAT_TYPES):
+        return df.sparkSession.createDataFrame(
+            [], "type string, type_order int, count long, median long, prix_min long, "
+                "prix_max long, prix_m2 long")
     base = [F.count(F.lit(1)).alias("count"),
             trunc_long(F.min("prix")).alias("prix_min"),
             trunc_long(F.max("prix")).alias("prix_max")]

@@ -66,6 +66,8 @@ def conditional_quantiles(df: DataFrame, value: Column, conditions: list, probs,
                           threshold: int = SELECTION_THRESHOLD) -> list[list]:
     """Quantiles of ``value`` over the rows matching each condition (e.g. one
     per property type), all from the same passes over ``df``."""
+    if not conditions:
+        return []
     v = value.cast("double")
     masked = [F.when(c, v) for c in conditions]
     if accuracy or estimated_bytes(df.select(v.alias("_v"))) <= SMALL_INPUT_BYTES:
