@@ -10,10 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from immolens.operators import marts, warehouse
-from immolens.sources.snapshots import stored
+from immolens.operators import (clean, features, market, marts, models, quality, scoring,
+                                warehouse)
+from immolens.operators.keys import keep_first
+from immolens.sources.adapter import city_coordinates
 from immolens.sources.adapter import listings_snapshot as listings
+from immolens.sources.snapshots import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
@@ -85,10 +89,7 @@ def integrity_audit(spark, sf_dir):
 
 
 # ------------------------------------------------------------ preparation
-from pyspark.sql import functions as F  # noqa: E402
 
-from immolens.operators import clean, features, quality  # noqa: E402
-from immolens.operators.keys import keep_first  # noqa: E402
 
 
 def _raw(spark, sf_dir):
@@ -216,8 +217,6 @@ def log_features(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ market
-from immolens.operators import market, models, scoring  # noqa: E402
-from immolens.sources.adapter import city_coordinates  # noqa: E402
 
 # Fixed panel parameters used by the filtered catalogue variants.
 FILTERED_DASHBOARD = dict(type_str="Maison", region="EUROPE")
