@@ -47,3 +47,12 @@ def test_where_projected(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
     out = stats.where_projected(df, F.col("x") > 1)
     assert [r.x for r in out.collect()] == [2] and out.columns == ["x"]
+
+
+def test_selection_on_wide_exponential_spread(spark, monkeypatch):
+    vals = [float(2.0 ** k) for k in range(-300, 300, 7)] + [-1e300, 1e300]
+    df = spark.createDataFrame([(v,) for v in vals], "p double")
+    probs = [0.1, 0.5, 0.9]
+    expected = list(df.agg(F.percentile("p", F.array(*[F.lit(p) for p in probs]))).first()[0])
+    _forced_selection(monkeypatch)
+    assert stats.quantiles(df, "p", probs, threshold=0) == expected
