@@ -42,7 +42,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = get_session("immolens-bench", master=f"local[{cpus}]",
-                        shuffle_partitions=int(cpus) * 2,
+                        shuffle_partitions=int(cpus),
                         conf={"spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark, tempfile.mkdtemp(prefix="immolens-bench-", dir="/tmp"))
