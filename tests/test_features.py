@@ -82,3 +82,17 @@ def test_engineer_features_all_numeric(df):
         assert isinstance(f.dataType, (NumericType, BooleanType)), f
     assert out.count() == 3
     assert sorted(r.prix for r in out.collect()) == [200000, 300000, 400000]
+
+
+def test_saved_cluster_model_and_encoding_roundtrip(spark, df, tmpdir_path):
+    import os
+    from immolens.sources import snapshots
+    d = features.encode_categoricals(features.add_derived_features(df.drop("title")))
+    out, model = models.train_clustering(d, 2, ["surface", "pieces"], seed=3)
+    snapshots.save_model(model, os.path.join(tmpdir_path, "kmeans"))
+    again = models.predict_cluster(d, snapshots.load_pipeline_model(os.path.join(tmpdir_path, "kmeans")))
+    assert [r.cluster for r in again.collect()] == [r.cluster for r in out.collect()]
+    _, enc = features.target_encode_ville(df)
+    snapshots.save_encoding(enc, os.path.join(tmpdir_path, "enc"))
+    loaded = snapshots.load_encoding(spark, os.path.join(tmpdir_path, "enc"))
+    assert sorted(loaded.collect()) == sorted(enc.collect())
