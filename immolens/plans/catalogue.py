@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from immolens.operators import (clean, features, market, marts, models, quality, scoring,
                                 warehouse)
 from immolens.operators.keys import keep_first
+from immolens.plans import views
 from immolens.sources.adapter import city_coordinates
 from immolens.sources.adapter import listings_snapshot as listings
 from immolens.sources.snapshots import stored
@@ -58,6 +59,30 @@ def monthly_mart(spark, sf_dir):
     return marts.monthly_mart(_star(spark, sf_dir))
 
 
+def _mart_view(spark, sf_dir, view):
+    """A mart read through Spark SQL: the star tables are registered as
+    temporary views and the mart is the SQL view over them (plans/views.py)."""
+    for name, df in _star(spark, sf_dir).items():
+        df.createOrReplaceTempView(name)
+    views.create_mart_views(spark)
+    return spark.table(view)
+
+
+@query
+def city_mart_sql(spark, sf_dir):
+    return _mart_view(spark, sf_dir, "dm_stats_par_ville")
+
+
+@query
+def region_type_mart_sql(spark, sf_dir):
+    return _mart_view(spark, sf_dir, "dm_stats_region_type")
+
+
+@query
+def monthly_mart_sql(spark, sf_dir):
+    return _mart_view(spark, sf_dir, "dm_stats_mensuelles")
+
+
 @query
 def dim_type(spark, sf_dir):
     return _star(spark, sf_dir)["dim_type"]

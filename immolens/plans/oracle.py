@@ -154,6 +154,11 @@ QUERIES["monthly_mart"] = sql(f"""SELECT d.year, d.month,
 FROM fact_ads f JOIN dim_date d ON f.id_date = d.id_date
 GROUP BY d.year, d.month""", "fact_ads")
 
+# The Spark SQL views compute the same marts.
+QUERIES["city_mart_sql"] = QUERIES["city_mart"]
+QUERIES["region_type_mart_sql"] = QUERIES["region_type_mart"]
+QUERIES["monthly_mart_sql"] = QUERIES["monthly_mart"]
+
 QUERIES["dim_type"] = sql("SELECT * FROM dim_type", "dim_type")
 QUERIES["dim_location"] = sql("SELECT * FROM dim_location", "dim_location")
 QUERIES["dim_author"] = sql("SELECT * FROM dim_author", "dim_author")
