@@ -10,6 +10,7 @@ from immolens.functions.numeric import exact_avg, exact_sum
 from immolens.functions.text import strip_upper
 from immolens.operators.clean import KEY_COLUMNS
 from immolens.operators.stats import quantiles, scalars
+from immolens.session import checkpoint_dir
 
 # Smoothing weight, trimming quantiles, one-hot vocabulary.
 SMOOTHING = 20
@@ -124,14 +125,22 @@ def encode_categoricals(df: DataFrame, vocabularies: dict | None = None,
 
 
 def engineer_features(df: DataFrame, n_cluster: int | None = 8, cluster_cols=None,
-                      seed: int = 42, accuracy: int | None = None):
+                      seed: int = 42, accuracy: int | None = None,
+                      checkpoint: bool | None = None):
     """M7: dropna(prix) -> outliers -> encoding -> logs -> drop -> one-hot -> KMeans.
 
     Returns ``(features, encoding_table, kmeans_model_or_None)``;
-    ``n_cluster=None`` skips clustering.
+    ``n_cluster=None`` skips clustering.  The step reads its input several
+    times (quantiles, global mean, output); ``checkpoint`` (default: when a
+    shared ``spark.checkpoint.dir`` is configured) writes the input once and
+    cuts its lineage, so the upstream steps are not recomputed per pass.
     """
     from immolens.operators import models  # local import: MLlib is heavy
 
+    if checkpoint is None:
+        checkpoint = checkpoint_dir(df.sparkSession) is not None
+    if checkpoint and not df.storageLevel.useMemory:
+        df = df.checkpoint(eager=True)
     out = df.where(F.col("prix").isNotNull()) if "prix" in df.columns else df
     out = remove_outliers(out, accuracy=accuracy)
     out, enc = target_encode_ville(out)
