@@ -80,8 +80,10 @@ def build_star(raw: DataFrame) -> dict[str, DataFrame]:
 def integrity_audit(star: dict[str, DataFrame]) -> DataFrame:
     """violations per declared constraint, one row per rule.
 
-    Primary keys and UNIQUE via grouped counts, NOT NULL via ``count_if``,
-    foreign keys via ``left_anti`` joins; all rules in one union.
+    Primary keys and UNIQUE via grouped counts.  The fact table's NOT NULL
+    and foreign-key rules share one pass: the fact is left-joined to the
+    distinct keys of each dimension (distinct, so no fact row can multiply)
+    and one conditional aggregate counts nulls and keys without a match.
     """
     fact, loc, typ = star["fact_ads"], star["dim_location"], star["dim_type"]
     author, date = star["dim_author"], star["dim_date"]
@@ -95,10 +97,20 @@ def integrity_audit(star: dict[str, DataFrame]) -> DataFrame:
         return df.agg(sum_(F.count_if(F.col(c).isNull()) for c in cols).cast("long")
                       .alias("violations")).select(F.lit(rule).alias("rule"), "violations")
 
-    def orphans(child, key, parent, pkey, rule):
-        bad = child.join(parent, child[key] == parent[pkey], "left_anti")
-        return bad.agg(F.count(F.lit(1)).cast("long").alias("violations")) \
-                  .select(F.lit(rule).alias("rule"), "violations")
+    fks = [("id_date", date), ("id_location", loc), ("id_type", typ), ("id_author", author)]
+    checked = fact.select("price", "title", *[k for k, _ in fks])
+    for key, parent in fks:
+        keys = parent.select(F.col(key).alias(f"_{key}")).distinct() \
+                     .withColumn(f"_has_{key}", F.lit(True))
+        checked = checked.join(keys, checked[key] == keys[f"_{key}"], "left")
+    not_null = ["price", "title", "id_date", "id_location", "id_type", "id_author"]
+    fact_rules = checked.agg(
+        sum_(F.count_if(F.col(c).isNull()) for c in not_null).cast("long").alias("nn"),
+        *[F.count_if(F.col(f"_has_{k}").isNull()).cast("long").alias(k) for k, _ in fks])
+    fact_rows = fact_rules.select(F.explode(F.array(
+        F.struct(F.lit("not null fact_ads").alias("rule"), F.col("nn").alias("violations")),
+        *[F.struct(F.lit(f"fk fact_ads.{k}").alias("rule"), F.col(k).alias("violations"))
+          for k, _ in fks])).alias("r")).select("r.rule", "r.violations")
 
     rules = [
         dup(fact, "id_annonce", "pk fact_ads.id_annonce"),
@@ -107,15 +119,10 @@ def integrity_audit(star: dict[str, DataFrame]) -> DataFrame:
         dup(typ, "type_name", "unique dim_type.type_name"),
         dup(author, "id_author", "pk dim_author.id_author"),
         dup(date, "id_date", "pk dim_date.id_date"),
-        nulls(fact, ["price", "title", "id_date", "id_location", "id_type", "id_author"],
-              "not null fact_ads"),
         nulls(loc, ["city"], "not null dim_location.city"),
         nulls(typ, ["type_name"], "not null dim_type.type_name"),
         nulls(date, ["created_at", "year", "month", "day"], "not null dim_date"),
-        orphans(fact, "id_date", date, "id_date", "fk fact_ads.id_date"),
-        orphans(fact, "id_location", loc, "id_location", "fk fact_ads.id_location"),
-        orphans(fact, "id_type", typ, "id_type", "fk fact_ads.id_type"),
-        orphans(fact, "id_author", author, "id_author", "fk fact_ads.id_author"),
+        fact_rows,
     ]
     return reduce(DataFrame.unionByName, rules)
 
