@@ -61,7 +61,7 @@ def fact_ads(listings: DataFrame, types: DataFrame, locations: DataFrame,
     return joined.select(
         ads.id.alias("id_annonce"), ads.price, ads.title, ads.surface, ads.price_m2,
         ads.url, ads.image_url, "id_date", "id_location", "id_type",
-        ads.author.alias("id_author"))
+        ads.author.alias("id_author")).select(*FACT_COLUMNS)
 
 
 def build_star(raw: DataFrame) -> dict[str, DataFrame]:
