@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import importlib
+from immolens.llm import langid
 
-#: query name -> (module, function); ``ORACLE_SQL`` of the module is its SQL, if any
+#: query name -> the operator's module; its ORACLE_SQL is the query's SQL, if it has one
 REGISTERED = {
-    "op1_language_id": "langid",
-    
-    "op3_quality_rules": "quality_rules",
-    
-    "op5_toxicity": "toxicity",
-    
-    "op7_license_scan": "licenses",
-    
-    "op9_packing": "packing",
-    
+    "op1_language_id": langid,
 }
 
-def _module(name: str):
-    return importlib.import_module(f"immolens.llm.{name}")
-
-QUERIES = {name: _module(m).query for name, m in REGISTERED.items()}
-ORACLE_SQL = {name: sql for name, m in REGISTERED.items()
-              if (sql := getattr(_module(m), "ORACLE_SQL", None))}
+QUERIES = {name: module.query for name, module in REGISTERED.items()}
+ORACLE_SQL = {name: module.ORACLE_SQL for name, module in REGISTERED.items()
+              if hasattr(module, "ORACLE_SQL")}
