@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from immolens.llm import langid
+from immolens.llm import langid, packing, token_files
 
 #: query name -> the operator's module; its ORACLE_SQL is the query's SQL, if it has one
 REGISTERED = {
     "op1_language_id": langid,
+    "op8_token_output": token_files,
+    "op9_packing": packing,
 }
 
 QUERIES = {name: module.query for name, module in REGISTERED.items()}
