@@ -166,26 +166,30 @@ class Plan:
 
 
 # ------------------------------------------------------------------- the jobs
-def tokenized(docs: DataFrame, path: str, end_id: int, window: int, unit: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, window: int, unit: int,
+              kind: str) -> DataFrame:
     """Ids and lengths, numbered inside the task that wrote them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokens.encoder(path).encode, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4")
+        own, part = tokens.encoder(path), TaskContext.get().partitionId()
         seen, full, tail = [0] * (window // unit), 0, 0
         for b in batches:
-            rows = []
-            for key, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.concatenate((encode(text.as_py()), end))
-                u = len(ids) % window // unit
-                rows.append((part, key.as_py(), len(ids), u, seen[u], full, tail, ids.tobytes()))
-                seen[u] += 1
-                full += len(ids) // window
-                tail += len(ids) % unit
-                if len(rows) == 512:
+            for begin, end in tokens.slices(b.column(1)):
+                ids, at = own.encode(b.column(1).slice(begin, end - begin), end_id)
+                data, width, at = ids.astype(kind).tobytes(), int(kind[-1]), at.tolist()
+                rows = []
+                for i, key in enumerate(b.column(0).slice(begin, end - begin).to_pylist()):
+                    n = at[i + 1] - at[i]
+                    u = n % window // unit
+                    rows.append((part, key, n, u, seen[u], full, tail,
+                                 data[width * at[i]:width * at[i + 1]]))
+                    seen[u] += 1
+                    full += n // window
+                    tail += n % unit
+                    if len(rows) == 2048:
+                        yield _batch(rows, LENGTHS)
+                        rows = []
+                if rows:
                     yield _batch(rows, LENGTHS)
-                    rows = []
-            if rows:
-                yield _batch(rows, LENGTHS)
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
                    .mapInArrow(run, LENGTHS), "packing-ids")
@@ -205,7 +209,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
          unit: int = UNIT, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset (and its ``ids``, little-endian unsigned 32-bit)."""
-    ids = tokenized(docs, tokenizer or tokens.tokenizer_path(), end_id, window, unit)
+    path = tokenizer or tokens.tokenizer_path()
+    kind = tokens.id_type(path)
+    ids = tokenized(docs, path, end_id, window, unit, kind)
     size = window // unit
     # a row of counts per task of the job above
     counted = (ids.groupBy("part").agg(
@@ -230,7 +236,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
             columns = [b.column(i) for i in range(7)]
             for i, (part, key, n, u, cls_before, full_before, tail_before) in enumerate(
                     zip(*(c.to_pylist() for c in columns), strict=True)):
-                k, data = before[part], b.column(7)[i].as_buffer()
+                k = before[part]
+                data = np.frombuffer(b.column(7)[i].as_buffer(), kind).astype("<u4").tobytes()
                 at = n // window * window
                 pieces = [(w * window, window, int(full_base[k]) + full_before + w, 0)
                           for w in range(n // window)]
@@ -250,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
                 for start, length, sequence, offset in pieces:
                     own = data[4 * start:4 * (start + length)]
                     row = (key, start, length, zlib.crc32(own), n, sequence, offset)
-                    rows.append((*row, own.to_pybytes()) if with_ids else row)
+                    rows.append((*row, own) if with_ids else row)
                 if len(rows) >= 5_000:
                     yield _batch(rows, schema)
                     rows = []

@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from immolens.llm import tokens
 from immolens.llm.common import scratch_path, table, written
 
-BLOCK_TOKENS = 1 << 18
-LANES = 512
-SECTION_STEPS = 256
+BLOCK_TOKENS = 1 << 19
+LANES = 1024
+SECTION_STEPS = 128
 MIN_TABLE_BITS = 12
 LOW = np.uint64(1 << 31)            # states stay in [2^31, 2^63)
 HEAD = "<4sHHIIIIIII"
@@ -149,7 +149,7 @@ def decode_block(payload: bytes, t: Table, symbols: np.ndarray,
 
 
 # ------------------------------------------------------------------ the jobs
-def _raw_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def _raw_blocks(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
     """Ids in document order, cut into blocks of whole documents."""
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                            F.col("text").alias("text"), F.xxhash64("text").alias("tie"))
@@ -157,8 +157,7 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                .select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokens.encoder(path).encode, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4")
+        own, part = tokens.encoder(path), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
         size = block = before = 0
@@ -168,36 +167,38 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                    np.array([k or 0 for k in keys], "<i8").tobytes(),
                    np.array([k is None for k in keys], np.uint8).tobytes(),
                    np.array([len(x) for x in ids], "<u4").tobytes(),
-                   np.concatenate(ids).astype("<u4").tobytes()]
+                   np.concatenate(ids).astype(kind).tobytes()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64()]
                                                   + [pa.binary()] * 4, strict=True)],
                 names=["part", "block", "part_start", "doc_ids", "null_ids", "lengths", "ids"])
 
         for b in batches:
-            for key, text in zip(b.column(0), b.column(1), strict=True):
-                keys.append(key.as_py())
-                ids.append(np.concatenate((encode(text.as_py()), end)))
-                size += len(ids[-1])
-                if size >= BLOCK_TOKENS:
-                    yield close()
-                    block, before, size = block + 1, before + size, 0
-                    ids.clear()
-                    keys.clear()
+            for begin, end in tokens.slices(b.column(1)):
+                flat, at = own.encode(b.column(1).slice(begin, end - begin), end_id)
+                for i, key in enumerate(b.column(0).slice(begin, end - begin).to_pylist()):
+                    keys.append(key)
+                    ids.append(flat[at[i]:at[i + 1]])
+                    size += len(ids[-1])
+                    if size >= BLOCK_TOKENS:
+                        yield close()
+                        block, before, size = block + 1, before + size, 0
+                        ids.clear()
+                        keys.clear()
         if ids:
             yield close()
 
     return written(ordered.mapInArrow(run, BLOCKS), "token-blocks")
 
 
-def corpus_table(blocks: DataFrame) -> Table:
+def corpus_table(blocks: DataFrame, kind: str = "<u4") -> Table:
     """Counts of every id of every block: one row per id and task is shuffled,
     one row per id (the vocabulary bounds it) comes to the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for b in batches:
             for ids in b.column(0):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                got = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if len(got) > len(counts):
                     got[:len(counts)] += counts
                     counts = got
@@ -218,13 +219,15 @@ def corpus_table(blocks: DataFrame) -> Table:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None,
                  end_id: int = 1) -> Table:
     """Write ``docs`` (doc_id, text) as token files under ``folder``; gives the table."""
-    blocks = _raw_blocks(docs, tokenizer or tokens.tokenizer_path(), end_id)
-    shared = corpus_table(blocks)
+    path = tokenizer or tokens.tokenizer_path()
+    kind = tokens.id_type(path)
+    blocks = _raw_blocks(docs, path, end_id, kind)
+    shared = corpus_table(blocks, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids = np.frombuffer(b.column(6)[i].as_buffer(), "<u4")
+                ids = np.frombuffer(b.column(6)[i].as_buffer(), kind).astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(k).slice(i, 1) for k in range(6)),
                      pa.array([encode_block(ids, shared)], pa.binary())],

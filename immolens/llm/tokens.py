@@ -1,22 +1,30 @@
-"""Token ids of whole texts with a public tokenizer, words encoded once and kept.
+"""Token ids of whole texts with a public tokenizer, distinct words encoded once.
 
-``word_bpe_49k`` drops white space and never merges across it, so a text's ids
-are its words' ids in a row: distinct words go through the library, repeated
-ones come from a bounded table in the worker.
+``word_bpe_49k`` lower-cases, drops white space and never merges across it, so
+a text's ids are its words' ids in a row.  A batch's distinct words are found by
+Arrow; plain ones are cut into letters and the marks behind them, looked up in a
+bounded table of the worker, and new ones go through the library, joined by
+spaces (a word's last id is one that ends a word).  Anything else, such as
+digits, apostrophes, other scripts or special tokens, goes through the library
+as it stands.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from immolens.llm.common import worker_cache
 
-KEPT_WORDS = 500_000            # of a worker's table; it is emptied when full
-#: str.split() cuts at these, the tokenizer doesn't take them for white space
-NOT_BLANKS = "\x1c\x1d\x1e\x1f"
+KEPT_WORDS = 1_000_000          # of a worker's table; it is emptied when full
+SLICE_BYTES = 32 << 20          # text encoded together, unless one text is longer
+MARKS = ".,!?;:*%$&#"           # neither letters nor digits nor apostrophes
+LATIN = "ɐ"                # below it, letters are single code points in any normal form
+WORD_END = "</w>"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,30 +33,93 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit integers."""
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
         self.library = Tokenizer.from_file(path)
+        # the same model for lower-case letters between spaces: nothing to normalise
+        own["normalizer"] = None
+        own["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False,
+                                          "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(own))
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.kept: dict[str, bytes] = {}
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        words = [text] if any(c in text for c in NOT_BLANKS) else text.split()
-        kept = self.kept
-        new = [w for w in set(words) if w not in kept]
+    def _learn(self, new: list[str]) -> None:
+        ids = np.array(self.plain.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) != len(new):
+            raise ValueError("the tokenizer doesn't mark the ends of words")
+        data, at = ids.tobytes(), 0
+        for word, end in zip(new, (4 * cut).tolist(), strict=True):
+            self.kept[word] = data[at:end]
+            at = end
+
+    def _table(self, words: list[str]) -> list[bytes]:
+        cores: list[str | None] = []
+        marks: list[str] = []
+        for w in words:
+            low = w.lower()
+            core = low.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < LATIN):
+                cores.append(core)
+                marks.append(low[len(core):])
+            else:
+                cores.append(None)
+                marks.append(w)
+        new = [c for c in dict.fromkeys(cores) if c is not None and c not in self.kept]
+        if len(self.kept) + len(new) > KEPT_WORDS:
+            self.kept.clear()
+            new = [c for c in dict.fromkeys(cores) if c is not None]
         if new:
-            if len(kept) + len(new) > KEPT_WORDS:
-                kept.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False),
-                               strict=True):
-                kept[word] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(kept.__getitem__, words)), "<u4")
+            self._learn(new)
+        other = list(dict.fromkeys(marks))
+        given = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(
+            other, self.library.encode_batch_fast(other, add_special_tokens=False), strict=True)}
+        kept = self.kept
+        return [(kept[c] + given[m] if m else kept[c]) if c is not None else given[m]
+                for c, m in zip(cores, marks, strict=True)]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): all ids in a row, each text's followed by ``end_id``;
+        text i has ids[offsets[i]:offsets[i + 1]].  Null is empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends = (ends - ends[0])[1:]
+        coded = lists.flatten().dictionary_encode()
+        words = [*self._table(coded.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
+        flat = np.frombuffer(b"".join(words), "<u4")
+        length = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        start = np.cumsum(length) - length
+        at = np.insert(coded.indices.to_numpy(), ends, len(words) - 1)
+        some = length[at]
+        done = np.cumsum(some)
+        ids = flat[np.repeat(start[at] - done + some, some) + np.arange(done[-1] if len(done) else 0)]
+        return ids, np.concatenate(([0], done[ends + np.arange(len(ends))]))
 
 
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder."""
-    return worker_cache(f"tokenizer {sys.intern(path)}", lambda: WordEncoder(path))
+    return worker_cache(f"tokenizer {path}", lambda: WordEncoder(path))
+
+
+def slices(texts: pa.Array):
+    """(begin, end) of rows that are encoded together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False),
+                      dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        before = int(sizes[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        yield begin, end
+        begin = end
+
+
+def id_type(path: str) -> str:
+    """The narrowest type that holds every id of the tokenizer."""
+    return "<u2" if len(encoder(path).ends) <= 1 << 16 else "<u4"
