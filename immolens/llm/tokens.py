@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from immolens.llm.common import worker_cache
 
-KEPT_WORDS = 1_000_000          # of a worker's table; it is emptied when full
-SLICE_BYTES = 32 << 20          # text encoded together, unless one text is longer
+KEPT_WORDS = 400_000            # of a worker's table; it is emptied when full
+SLICE_BYTES = 16 << 20          # text encoded together, unless one text is longer
 MARKS = ".,!?;:*%$&#"           # neither letters nor digits nor apostrophes
 LATIN = "ɐ"                # below it, letters are single code points in any normal form
 WORD_END = "</w>"
