@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from immolens.llm import langid, packing, quality_rules, simhash, token_files, toxicity
+from immolens.llm import (chat, langid, licenses, packing, quality_rules, simhash, token_files,
+                          toxicity)
 
 #: query name -> the operator's module; its ORACLE_SQL is the query's SQL, if it has one
 REGISTERED = {
     "op1_language_id": langid,
+    "op2_chat_format": chat,
     "op3_quality_rules": quality_rules,
     "op4_simhash_dedup": simhash,
     "op5_toxicity": toxicity,
+    "op7_license_scan": licenses,
     "op8_token_output": token_files,
     "op9_packing": packing,
 }
