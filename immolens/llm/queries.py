@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from immolens.llm import (chat, langid, licenses, packing, quality_rules, simhash, token_files,
-                          toxicity)
+from immolens.llm import (chat, langid, licenses, packing, quality_rules, simhash,
+                          suffix_dedup, token_files, toxicity)
 
 #: query name -> the operator's module; its ORACLE_SQL is the query's SQL, if it has one
 REGISTERED = {
@@ -12,6 +12,7 @@ REGISTERED = {
     "op3_quality_rules": quality_rules,
     "op4_simhash_dedup": simhash,
     "op5_toxicity": toxicity,
+    "op6_suffix_dedup": suffix_dedup,
     "op7_license_scan": licenses,
     "op8_token_output": token_files,
     "op9_packing": packing,
