@@ -246,14 +246,15 @@ def _kept(body: bytes, at: list[int] | None) -> tuple[int, int, bytes]:
 
 
 def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
-          with_bytes: bool = False) -> DataFrame:
-    """The ``keep`` columns with n_bytes, n_removed, n_spans, kept_sha256 (and the
-    bytes that are left, ``kept``), one row per input row."""
+          kept: str | None = None) -> DataFrame:
+    """The ``keep`` columns with n_bytes, n_removed, n_spans, kept_sha256, one row
+    per input row; also what is left, ``kept``, as ``binary`` or as a ``string``
+    without the characters that lost some of their bytes."""
     texts = _stored_texts(docs, keep, text)
     marks = repeated(texts).groupBy("rid").agg(F.collect_list("at").alias("at"))
     joined = texts.join(marks.hint("shuffle_hash"), "rid", "left").select("row", "body", "at")
     schema = ddl("n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-                 + (", kept binary" if with_bytes else ""))
+                 + (f", kept {kept}" if kept else ""))
     schema = type(schema)([joined.schema["row"], *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +265,11 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
                 removed, spans, left = _kept(own, at.as_py())
                 got.append((len(own), removed, spans, hashlib.sha256(left).hexdigest(), left))
             columns = list(zip(*got, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            some = 5 if with_bytes else 4
+            if kept == "string":
+                columns[4] = [x.decode("utf-8", "ignore") for x in columns[4]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(),
+                     pa.string() if kept == "string" else pa.binary()]
+            some = 5 if kept else 4
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, t) for c, t in zip(columns[:some], types[:some],
                                                                strict=True))],
@@ -281,10 +285,8 @@ def query(spark, sf_dir) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with what is left of its text; a character
     that lost some of its bytes goes whole; null stays null."""
-    left = dedup(docs, keep=tuple(docs.columns), with_bytes=True)
-    text = F.when(F.col("text").isNull(), F.col("text")).when(
-        F.col("n_removed") == 0, F.col("text")).otherwise(
-        F.expr("replace(decode(kept, 'utf-8'), '\\ufffd', '')"))
+    left = dedup(docs, keep=tuple(docs.columns), kept="string")
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
     return (left.withColumn("text", text)
             .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
             .select(*docs.columns))
