@@ -8,7 +8,8 @@ rejected.
 Cases: null text, empty text and text without a letter give ``und``, score 0,
 rejected; rows without a label are not learned from; an empty or unlabelled
 training table predicts ``und`` for everything; repeated rows and null ids get
-one result each; extra columns are kept when ``keep`` names them.
+one result each; ``accepted`` keeps all columns, whatever they are called, and
+``predict`` the id alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from immolens.llm.common import ddl, id_hash
+from immolens.llm.common import id_hash, table
 
 SAMPLE_ROWS = 300           # labelled rows learned from, per language
 SAMPLE_CHARS = 1_500        # of each such row
@@ -93,31 +94,36 @@ def _predictor(dicts: dict[str, bytes]):
     return predict
 
 
-def predict(docs: DataFrame, dicts: dict[str, bytes], text: str = "text",
-            keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus lang_pred, score and rejected, one row per input row.
+def predict(docs: DataFrame, dicts: dict[str, bytes], key: str = "doc_id",
+            text: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, rejected), one row per input row.
 
     The dictionaries travel with the task: languages x ``DICT_BYTES``.
     """
-    out = [f for f in docs.schema.fields if f.name in keep]
-    schema = ddl("lang_pred string, score double, rejected boolean")
-    for f in reversed(out):
-        schema.fields.insert(0, f)
-    names = [f.name for f in out]
-    schema.names = names + ["lang_pred", "score", "rejected"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _predictor(dicts)
         for b in batches:
-            got = [one(t.as_py()) for t in b.column(len(names))]
+            got = [one(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(names))),
-                 pa.array([g[0] for g in got], pa.string()),
+                [b.column(0), pa.array([g[0] for g in got], pa.string()),
                  pa.array([g[1] for g in got], pa.float64()),
                  pa.array([g[2] for g in got], pa.bool_())],
-                names=[*names, "lang_pred", "score", "rejected"])
+                names=["doc_id", "lang_pred", "score", "rejected"])
+
+    return (docs.select(F.col(key).cast("long").alias("doc_id"), text)
+            .mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean"))
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+def accepted(docs: DataFrame, dicts: dict[str, bytes], text: str = "text") -> DataFrame:
+    """The rows that are not rejected, with all their columns."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = _predictor(dicts)
+        for b in batches:
+            yield b.filter(pa.array([not one(t.as_py())[2] for t in b.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -126,16 +132,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir) -> DataFrame:
-    from immolens.llm.common import table
     docs = table(spark, sf_dir, "documents")
     dicts = train(training_rows(docs))
-    return (predict(docs.select("doc_id", "text"), dicts)
+    return (predict(docs, dicts)
             .select("doc_id", (id_hash() % 4 == 2).alias("held_out"), "lang_pred", "score",
                     "rejected"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the identifier rejects go."""
-    dicts = train(training_rows(docs))
-    columns = docs.columns
-    return (predict(docs, dicts, keep=tuple(columns)).where(~F.col("rejected")).select(*columns))
+    return accepted(docs, train(training_rows(docs)))

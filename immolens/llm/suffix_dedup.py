@@ -245,11 +245,11 @@ def _kept(body: bytes, at: list[int] | None) -> tuple[int, int, bytes]:
     return int(gone.sum()), runs, np.frombuffer(body, np.uint8)[~gone].tobytes()
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
-          kept: str | None = None) -> DataFrame:
-    """The ``keep`` columns with n_bytes, n_removed, n_spans, kept_sha256, one row
-    per input row; also what is left, ``kept``, as ``binary`` or as a ``string``
-    without the characters that lost some of their bytes."""
+def removed(docs: DataFrame, keep: tuple[str, ...], text: str = "text",
+            kept: str | None = None) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept_sha256), one row per input row;
+    ``row`` is a struct of the ``keep`` columns.  Also what is left, ``kept``, as
+    ``binary`` or as a ``string`` without the characters that lost some bytes."""
     texts = _stored_texts(docs, keep, text)
     marks = repeated(texts).groupBy("rid").agg(F.collect_list("at").alias("at"))
     joined = texts.join(marks.hint("shuffle_hash"), "rid", "left").select("row", "body", "at")
@@ -275,7 +275,14 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
                                                                strict=True))],
                 names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:1 + some])
 
-    return joined.mapInArrow(run, schema).select("row.*", *schema.names[1:])
+    return joined.mapInArrow(run, schema)
+
+
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+          kept: str | None = None) -> DataFrame:
+    """The ``keep`` columns, and those of ``removed``."""
+    out = removed(docs, keep, text, kept)
+    return out.select("row.*", *out.columns[1:])
 
 
 def query(spark, sf_dir) -> DataFrame:
@@ -285,8 +292,7 @@ def query(spark, sf_dir) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document with what is left of its text; a character
     that lost some of its bytes goes whole; null stays null."""
-    left = dedup(docs, keep=tuple(docs.columns), kept="string")
-    text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return (left.withColumn("text", text)
-            .withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-            .select(*docs.columns))
+    left = removed(docs, tuple(docs.columns), kept="string")
+    text = F.when(F.col("row")["text"].isNotNull(), F.col("kept"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
