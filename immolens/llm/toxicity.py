@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from immolens.llm.common import id_hash, table
+from immolens.llm.common import id_hash, table, written
 from immolens.llm.terms import coded_words, letters
 from immolens.llm.tokens import slices
 
@@ -88,12 +88,14 @@ def text_buckets(texts: pa.Array, known: np.ndarray | None = None):
     return both % width, np.searchsorted(both // width, np.arange(len(ends)), "right")
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[int]]]:
-    """(label, sorted buckets) of the labelled rows that are learned from.
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], dict[int, float]]:
+    """[(id, label, buckets)] of the labelled rows that are learned from, and the
+    values of their buckets.
 
     Of each label the ``SAMPLE_ROWS`` ids with the smallest hash; the rank limit
     is applied before the shuffle.  The ids, so bounded, are broadcast to the
-    documents, and only buckets in ``MIN_DOCS`` rows come to the driver.
+    documents.  Buckets are tested where they are counted, and only those with a
+    value come to the driver.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
@@ -107,39 +109,45 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[int]]]:
             for begin, end in slices(b.column(2)):
                 got, ends = text_buckets(b.column(2).slice(begin, end - begin))
                 which = np.repeat(np.arange(begin, end), np.diff(ends, prepend=0))
+                # each row once without a bucket: it is counted even if it has no word
+                which = np.concatenate((np.arange(begin, end), which))
+                got = np.concatenate((np.full(end - begin, -1), got))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(which)),
                      b.column(1).cast(pa.int32()).take(pa.array(which)),
                      pa.array(got, pa.int64())], names=["doc_id", "toxic", "bucket"])
 
-    pairs = texts.mapInArrow(run, "doc_id long, toxic int, bucket long").distinct()
-    often = pairs.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
-    rows = (texts.select("doc_id", "toxic").distinct()
-            .join(pairs.join(often, "bucket").groupBy("doc_id").agg(
-                F.sort_array(F.collect_list("bucket")).alias("buckets")), "doc_id", "left"))
-    return sorted(((r["doc_id"], r["toxic"], r["buckets"] or []) for r in rows.collect()),
+    pairs = written(texts.mapInArrow(run, "doc_id long, toxic int, bucket long").distinct(),
+                    "toxicity-sample")
+    counted = pairs.groupBy("bucket").agg(F.count("*").alias("n"),
+                                          F.count_if(F.col("toxic") == 1).alias("k"))
+    total = counted.where("bucket = -1").first()
+    if total is None:
+        return [], {}
+    n, k = total["n"], total["k"]
+    off = F.abs(F.col("k") - F.col("n") * (k / n)) - 0.5
+    spread = F.sqrt(F.col("n") * (1 - F.col("n") / n) * (k * (n - k) / n / n)) + 1e-9
+    value = (off / spread - SURE_FROM) / (SURE_AT - SURE_FROM)
+    sure = (counted.where((F.col("bucket") >= 0) & (F.col("n") >= MIN_DOCS))
+            .select("bucket", F.least(value, F.lit(1.0)).alias("value")).where("value > 0"))
+    sure = written(sure, "toxicity-buckets")
+    told = pairs.join(sure, "bucket", "left").groupBy("doc_id", "toxic").agg(
+        F.sort_array(F.collect_list(F.expr("if(value is null, null, bucket)"))).alias("buckets"))
+    rows = sorted(((r["doc_id"], r["toxic"], r["buckets"]) for r in told.collect()),
                   key=lambda r: r[0])
+    return rows, {r["bucket"]: r["value"] for r in sure.collect()}
 
 
-def learn(rows: list[tuple[int, int, list[int]]]) -> Machine | None:
+def learn(rows: list[tuple[int, int, list[int]]], value: dict[int, float]) -> Machine | None:
     """Adam on the logistic loss with decay; None without rows of both labels."""
     y = np.array([t == 1 for _, t, _ in rows], np.float64)
     if not 0 < y.sum() < len(y):
         return None
-    known, at = np.unique(np.concatenate([np.array(b, np.int64) for *_, b in rows]),
-                          return_inverse=True)
-    text = np.repeat(np.arange(len(rows)), [len(b) for *_, b in rows])
-    toxic, all_of = np.bincount(at, y[text], len(known)), np.bincount(at, minlength=len(known))
-    share = all_of / len(y)
-    off = toxic - y.sum() * share
-    spread = np.sqrt(share * (1 - share) * y.sum() * (len(y) - y.sum()) / len(y)) + 1e-9
-    sure = np.maximum(0, np.abs(off) - 0.5) / spread
-    x = np.clip((sure - SURE_FROM) / (SURE_AT - SURE_FROM), 0, 1)
-    stay = x > 0
-    x, known = x[stay], known[stay]
-    text, at = text[stay[at]], (np.cumsum(stay) - 1)[at[stay[at]]]
-    size = np.bincount(text, minlength=len(rows))
-    ends = np.cumsum(size)
+    known = np.array(sorted(value), np.int64)
+    x = np.array([value[int(b)] for b in known])
+    size = np.array([len(b) for *_, b in rows])
+    at = np.searchsorted(known, np.array([i for *_, b in rows for i in b], np.int64))
+    text, ends = np.repeat(np.arange(len(rows)), size), np.cumsum(size)
     rng = np.random.default_rng(SEED)
     odds = float(np.log(y.sum() / (len(y) - y.sum())))
     m = Machine(known, x, odds, np.zeros(len(known)), rng.normal(0, 0.02, (len(known), FACTORS)))
@@ -193,7 +201,7 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
 def query(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(id_hash() % 5 != 0)
-    machine = learn(sample(docs, labels))
+    machine = learn(*sample(docs, labels))
     return score(docs, machine).select(
         "doc_id", (id_hash() % 5 == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
