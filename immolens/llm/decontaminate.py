@@ -4,9 +4,10 @@ Terms are hashed words weighted by their inverse document frequency over all
 documents; terms in more than ``MAX_SHARE`` of them say nothing and weigh nothing.
 A randomised SVD (subspace iteration; the products with the matrix are made by
 tasks and summed by term) finds the latent basis of the benchmark's TF-IDF
-passages.  Every window of every document is projected, in one pass and without a
-shuffle, and compared with all passages by cosine; windows beyond ``MIN_COSINE`` are
-candidates.  A candidate counts if the longest common subsequence of the passage
+passages.  Every window of every document is compared with all passages by cosine,
+in one pass and without a shuffle.  The basis is orthonormal, so a window's cosine
+is at most the share of its length that lies in the benchmark's words: only windows
+that can pass are projected.  Those beyond ``MIN_COSINE`` are candidates.  A candidate counts if the longest common subsequence of the passage
 and the window with its surroundings has ``MIN_LCS`` of the passage's words, and
 ``MIN_ANSWER`` of the words of its last sentence, where the answer stands.
 
@@ -36,21 +37,22 @@ from immolens.llm.terms import coded_words, letters
 from immolens.llm.tokens import slices
 
 TERMS = 1 << 16             # hashed terms
-MAX_SHARE = 0.1             # of documents; more frequent terms weigh nothing
+MAX_SHARE = 0.4             # of documents; more frequent terms weigh nothing
 HOP = 32                    # words; a window is two hops, a passage of the benchmark as long
-RANK = 160
+RANK = 128
 OVERSAMPLED = 16
 POWERS = 2                  # subspace iterations
 MIN_COSINE = 0.2
 MIN_LCS = 0.6
 MIN_ANSWER = 0.5
 BLOCK_PASSAGES = 4_096
+FREQUENT = 1_024            # words of a batch that are multiplied as a matrix
+CELLS = 1 << 22             # of a matrix at a time
 SEED = 10
 
 
-def term(word: str) -> int:
-    """Hashed term of a lower-cased word, -1 if it has no letter."""
-    own = letters(word)
+def term(own: str) -> int:
+    """Hashed term of a word's letters, -1 if there are none."""
     return zlib.crc32(own.encode("utf-8", "replace")) % TERMS if own else -1
 
 
@@ -79,7 +81,7 @@ def term_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
             rows += b.num_rows
             for begin, end in slices(b.column(0)):
                 words, codes, ends = coded_words(b.column(0).slice(begin, end - begin))
-                own = np.fromiter(map(term, words), np.int64, len(words))[codes]
+                own = np.fromiter(map(term, map(letters, words)), np.int64, len(words))[codes]
                 doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 both = pd.unique((doc * TERMS + own)[own >= 0])
                 counts += np.bincount(both % TERMS, minlength=TERMS)
@@ -202,58 +204,93 @@ class Queries:
                 for part in (words, answer)])
         self.latent = np.array(latent, np.float32).reshape(len(latent), rows.shape[1]).T
 
+    def _projected(self, at: np.ndarray, code: np.ndarray, weight: np.ndarray, own: np.ndarray,
+                   hops: int) -> np.ndarray:
+        """The latent vectors of ``hops`` hops (and a null one), of their words
+        (hop, code) in order.  A batch's frequent words are counted in a matrix and
+        multiplied, the others are added up one by one."""
+        part = np.zeros((hops + 1, self.rows.shape[1]), np.float32)
+        often = np.argsort(-np.bincount(code, minlength=len(own)), kind="stable")[:FREQUENT]
+        rank = np.full(len(own), -1)
+        rank[often] = np.arange(len(often))
+        known = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
+        rows = self.rows[known[often]] * weight[often, None]
+        for begin in range(0, hops, CELLS // FREQUENT):
+            end = min(hops, begin + CELLS // FREQUENT)
+            some = slice(*np.searchsorted(at, (begin, end)))
+            counts = np.zeros((end - begin, FREQUENT), np.float32)
+            which = rank[code[some]] >= 0
+            counts[at[some][which] - begin, rank[code[some][which]]] = 1
+            part[begin:end] = counts[:, :len(often)] @ rows
+        rare = rank[code] < 0
+        at, code = at[rare], code[rare]
+        if len(at):
+            cut = np.flatnonzero(np.diff(at, prepend=-1))
+            part[at[cut]] += np.add.reduceat(self.rows[known[code]] * weight[code, None], cut, axis=0)
+        return part
+
+    def _near(self, part: np.ndarray, first: np.ndarray, after: np.ndarray, norm: np.ndarray
+              ) -> Iterator[tuple[int, int, float]]:
+        """(window, passage, cosine) beyond ``MIN_COSINE``, in blocks of windows."""
+        step = max(1, CELLS // max(1, len(self.items)))
+        for begin in range(0, len(first), step):
+            own = slice(begin, begin + step)
+            cosine = ((part[first[own]] + part[after[own]]) @ self.latent) / norm[own, None]
+            for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE)), strict=True):
+                yield begin + i, j, float(cosine[i, j])
+
     def matches(self, texts: pa.Array) -> list[tuple[int, int, float, float]]:
         """(row, item, cosine, share of the passage) of every match; the best one
         of a row and an item."""
         words, codes, ends = coded_words(texts)
+        words = list(map(letters, words))
         own = np.fromiter(map(term, words), np.int64, len(words))
+        number = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
         weight = np.where(own >= 0, self.weights[own], 0).astype(np.float32)
-        known = np.minimum(np.searchsorted(self.terms, own), max(0, len(self.terms) - 1))
-        known = np.where((weight > 0) & (self.terms[known] == own), known, -1)
-        number = np.fromiter((self.vocabulary.get(letters(w), -1) for w in words), np.int64,
-                             len(words))
         # words without a letter don't count as places
-        some = (own >= 0)[codes]
-        ends = np.concatenate(([0], np.cumsum(some)))[ends]
-        codes = codes[some]
+        if (own < 0).any():
+            some = (own >= 0)[codes]
+            ends = np.concatenate(([0], np.cumsum(some)))[ends]
+            codes = codes[some]
         sizes = np.diff(ends, prepend=0)
-        hops = -(-sizes // HOP)
+        begins, hops = ends - sizes, -(-sizes // HOP)
         first_hop = np.cumsum(hops) - hops
-        begins = ends - sizes
-        doc = np.repeat(np.arange(len(ends)), sizes)
-        hop = first_hop[doc] + (np.arange(len(codes)) - begins[doc]) // HOP
-        square = np.bincount(hop, weight[codes] ** 2, int(hops.sum()))
-        at = np.flatnonzero(known[codes] >= 0)
-        if not len(at):
-            return []
-        cut = np.flatnonzero(np.diff(hop[at], prepend=-1))
-        live = hop[at][cut]                                 # hops with a latent part
-        part = np.add.reduceat(self.rows[known[codes[at]]] * weight[codes[at], None], cut, axis=0)
         doc_of = np.repeat(np.arange(len(ends)), hops)
-        # a window is a hop and the next of its document; it may begin before a live hop
-        window = np.unique(np.concatenate((live, np.maximum(live - 1, 0))))
-        place = np.full(len(square) + 1, -1)
-        place[live] = np.arange(len(live))
-        z = np.where((place[window] >= 0)[:, None], part[place[window]], 0)
-        after = window + 1
-        joined = np.zeros(len(window), bool)
-        inside = after < len(square)
-        joined[inside] = doc_of[after[inside]] == doc_of[window[inside]]
-        use = joined & (place[np.minimum(after, len(square))] >= 0)
-        z[use] += part[place[after[use]]]
-        norm = square[window] + np.where(joined, square[np.minimum(after, len(square) - 1)], 0)
-        cosine = (z @ self.latent) / np.sqrt(np.maximum(norm, 1e-12))[:, None]
+        hop_at = begins[doc_of] + (np.arange(len(doc_of)) - first_hop[doc_of]) * HOP
+        known = np.flatnonzero(((number >= 0) & (weight > 0))[codes])
+        if not len(known):
+            return []
+        length = np.add.reduceat((weight * weight)[codes], hop_at, dtype=np.float64)
+        # a benchmark word counts once a hop
+        pairs = pd.unique((np.searchsorted(hop_at, known, "right") - 1) * len(words) + codes[known])
+        hop, code = pairs // len(words), pairs % len(words)
+        inside = np.sqrt(np.bincount(hop, weight[code].astype(np.float64) ** 2, len(length)))
+        # a window is a hop and the next of its document
+        joined = np.append(doc_of[1:] == doc_of[:-1], False)
+        norm = np.sqrt(np.maximum(length + joined * np.append(length[1:], 0), 1e-12))
+        most = inside + joined * np.append(inside[1:], 0)
+        window = np.flatnonzero(most >= MIN_COSINE * norm)
+        if not len(window):
+            return []
+        wanted = np.zeros(len(length) + 1, bool)
+        wanted[window] = True
+        wanted[window[joined[window]] + 1] = True
+        some = wanted[hop]
+        hop, code = hop[some], code[some]
+        place = np.cumsum(wanted) - 1
+        part = self._projected(place[hop], code, weight, own, int(wanted.sum()))
+        after = np.where(joined[window], place[window + 1], len(part) - 1)
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for i, j in zip(*np.nonzero(cosine >= MIN_COSINE), strict=True):
+        for i, j, cosine in self._near(part, place[window], after, norm[window]):
             d = int(doc_of[window[i]])
-            start = begins[d] + (window[i] - first_hop[d]) * HOP
+            start = hop_at[window[i]]
             near = number[codes[max(begins[d], start - HOP):min(ends[d], start + 3 * HOP)]]
             near = near[near >= 0].tolist()
             (whole, n), (answer, n_answer) = self.checks[j]
             share = lcs(whole, n, near) / n
             if share < MIN_LCS or n_answer and lcs(answer, n_answer, near) < MIN_ANSWER * n_answer:
                 continue
-            key, found = (d, self.items[j]), (share, min(1.0, float(cosine[i, j])))
+            key, found = (d, self.items[j]), (share, min(1.0, cosine))
             if found > best.get(key, (0.0, 0.0)):
                 best[key] = found
         return [(d, item, c, s) for (d, item), (s, c) in sorted(best.items())]
