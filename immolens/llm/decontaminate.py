@@ -39,10 +39,10 @@ from immolens.llm.tokens import slices
 TERMS = 1 << 16             # hashed terms
 MAX_SHARE = 0.4             # of documents; more frequent terms weigh nothing
 HOP = 32                    # words; a window is two hops, a passage of the benchmark as long
-RANK = 128
+RANK = 160
 OVERSAMPLED = 16
 POWERS = 2                  # subspace iterations
-MIN_COSINE = 0.2
+MIN_COSINE = 0.18
 MIN_LCS = 0.6
 MIN_ANSWER = 0.5
 BLOCK_PASSAGES = 4_096
