@@ -15,23 +15,44 @@ def trunc_long(col) -> Column:
     return _c(col).try_cast("long")
 
 
-def exact_avg(col, scale: int = 2) -> Column:
-    """Average computed from an exact decimal sum, returned as double.
+# Sums are kept in decimals of this type: they do not depend on the order in
+# which partitions are merged (a double sum does), and hold 28 whole digits.
+EXACT = "decimal(38,10)"
 
-    The sum of ``decimal(18, scale)`` values does not depend on the order in
-    which partitions are merged, so the result is identical on every run and
-    every cluster layout (a double sum is not).
-    """
-    return F.avg(_c(col).cast(f"decimal(18,{scale})")).cast("double")
 
+def exact(col) -> Column:
+    c = _c(col).cast("double")
+    return F.when(F.abs(c) < F.lit(1e28), c).try_cast(EXACT)
 
-def round_avg(col, dp: int, scale: int = 2) -> Column:
-    """C12 on an average: half-up rounding of the exact decimal mean."""
-    return F.round(F.avg(_c(col).cast(f"decimal(18,{scale})")), dp).cast("double")
 
+def _ordinary(col) -> Column:
+    """No value of the group is infinite, NaN or beyond the decimals."""
+    c = _c(col).cast("double")
+    return F.count_if(F.isnan(c) | (F.abs(c) >= F.lit(1e28))) == 0
 
-def exact_sum(col, scale: int = 2) -> Column:
-    return F.sum(_c(col).cast(f"decimal(18,{scale})")).cast("double")
+
+def exact_sum(col) -> Column:
+    """The sum as a double, from a decimal sum; the plain sum of a group that
+    holds infinite, undefined or huge values."""
+    return F.when(_ordinary(col), F.sum(exact(col)).cast("double")).otherwise(
+        F.sum(_c(col).cast("double")))
+
+
+def exact_avg(col) -> Column:
+    """The mean at full precision, the same on every cluster layout."""
+    return exact_sum(col) / F.nullif(F.count(_c(col)), F.lit(0))
+
+
+def round_avg(col, dp: int) -> Column:
+    """C12 on an average: half-up rounding of the exact mean."""
+    return F.when(_ordinary(col), F.round(F.avg(_c(col).try_cast("decimal(28,10)")), dp)
+                  .cast("double")).otherwise(F.round(F.avg(_c(col).cast("double")), dp))
+
+
+def round_ratio(total, count, dp: int) -> Column:
+    """Half-up rounding of a mean given as an exact sum and a count."""
+    ratio = F.try_divide(_c(total).cast("decimal(28,10)"), _c(count).cast("decimal(12,0)"))
+    return F.round(ratio, dp).cast("double")
 
 
 def spaced_thousands(col) -> Column:

@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Title patterns and the type keywords they imply.
-SURFACE_PATTERN = r"(\d+)\s*m[²2]"
-ROOMS_PATTERN = r"(\d+)\s*pièce"
+# Blanks are Unicode's, as the titles' no-break spaces need.
+BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+SURFACE_PATTERN = rf"(\d+){BLANK}*m[²2]"
+ROOMS_PATTERN = rf"(\d+){BLANK}*pièce"
+EDGES = rf"^{BLANK}+|{BLANK}+$"
 ROOMS_T_PATTERN = r"[tT](\d+)"
 # (keyword regex on the lower-cased title, type) in the order they are tried;
 # a later match overrides an earlier one.
@@ -28,13 +31,13 @@ def strip_upper(col) -> Column:
 
     ``trim`` only removes ASCII spaces, hence the regex.  Null stays null.
     """
-    return F.upper(F.regexp_replace(_c(col), r"^\s+|\s+$", ""))
+    return F.upper(F.regexp_replace(_c(col), EDGES, ""))
 
 
 def is_blank(col) -> Column:
     """True when null or empty after stripping whitespace."""
     c = _c(col)
-    return c.isNull() | (F.regexp_replace(c, r"^\s+|\s+$", "") == "")
+    return c.isNull() | (F.regexp_replace(c, EDGES, "") == "")
 
 
 def first_number(col, pattern: str) -> Column:

@@ -40,9 +40,15 @@ def select_features(df: DataFrame, keep=(ORDINAL,)) -> DataFrame:
 
 def manage_duplicates(df: DataFrame, id_col: str = "id_annonce",
                       ordinal: str = ORDINAL) -> DataFrame:
-    """Keep the first row per id (smallest ordinal); no id column = no-op."""
-    return keep_first(df, id_col, ordinal) if ordinal in df.columns else (
-        df.dropDuplicates([id_col]) if id_col in df.columns else df)
+    """Keep the first row per id (smallest ordinal); no id column = no-op.
+
+    Rows without an order have no first one: the row with the smallest hash is
+    kept then, the same on every run.
+    """
+    if ordinal in df.columns or id_col not in df.columns:
+        return keep_first(df, id_col, ordinal)
+    hashed = df.distinct().withColumn(ordinal, F.xxhash64(*df.columns))
+    return keep_first(hashed, id_col, ordinal).drop(ordinal)
 
 
 def hash_contact_names(df: DataFrame, columns=("agence",)) -> DataFrame:
@@ -67,26 +73,25 @@ def numeric_columns(df: DataFrame, exclude=KEY_COLUMNS) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
-def column_means(df: DataFrame, columns: list[str], scale: int = 2) -> dict:
+def column_means(df: DataFrame, columns: list[str]) -> dict:
     """Means of several columns in one aggregate job (a single row comes back)."""
     if not columns:
         return {}
-    row = df.agg(*[exact_avg(c, scale).alias(c) for c in columns]).first()
+    row = df.agg(*[exact_avg(c).alias(c) for c in columns]).first()
     return row.asDict()
 
 
-def impute_missing_values(df: DataFrame, strategy: str = "mean", columns=None,
-                          scale: int = 2) -> DataFrame:
+def impute_missing_values(df: DataFrame, strategy: str = "mean", columns=None) -> DataFrame:
     """A1: fill nulls of numeric columns with the column mean.
 
     Key columns are never imputed; an all-null column stays null; strategies
     other than ``mean`` leave the frame unchanged.  Means come from exact
-    decimal sums (``scale`` decimals), so they do not depend on partitioning.
+    sums, so they do not depend on partitioning.
     """
     if strategy != "mean":
         return df
     cols = list(columns) if columns is not None else numeric_columns(df)
-    means = column_means(df, [c for c in cols if c in df.columns], scale)
+    means = column_means(df, [c for c in cols if c in df.columns])
     fills = {c: F.coalesce(F.col(c), F.lit(m)) for c, m in means.items() if m is not None}
     return df.withColumns(fills) if fills else df
 

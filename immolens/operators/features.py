@@ -6,27 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from immolens.functions.numeric import exact_avg, exact_sum
+from immolens.functions.numeric import exact, exact_avg
 from immolens.functions.text import strip_upper
 from immolens.operators.clean import KEY_COLUMNS
 from immolens.operators.stats import quantiles, scalars
-from immolens.session import checkpoint_dir
 
-# Smoothing weight, trimming quantiles, one-hot vocabulary.
+# Smoothing weight, trimming quantiles.
 SMOOTHING = 20
 OUTLIER_BOUNDS = (0.01, 0.99)
-TYPE_VOCABULARY = ["APPARTEMENT", "AUTRE", "MAISON", "PARKING", "TERRAIN"]
 NON_FEATURES = ["zipcode", "region", "agence", "title"]
-MAX_ONE_HOT_LEVELS = 1000
 
 
 def remove_outliers(df: DataFrame, col: str = "prix", lower: float = OUTLIER_BOUNDS[0],
-                    upper: float = OUTLIER_BOUNDS[1], accuracy: int | None = None) -> DataFrame:
+                    upper: float = OUTLIER_BOUNDS[1]) -> DataFrame:
     """keep ``q(lower) <= col <= q(upper)`` (linear-interpolated quantiles).
 
     The bounds become literals, so the range filter reaches the scan.
     """
-    lo, hi = quantiles(df, col, [lower, upper], accuracy)
+    lo, hi = quantiles(df, col, [lower, upper])
     if lo is None:
         return df.where(F.lit(False))
     return df.where(F.col(col).between(F.lit(lo), F.lit(hi)))
@@ -36,16 +33,19 @@ def fit_target_encoding(df: DataFrame, col: str = "ville", target: str = "prix",
                         smoothing: int = SMOOTHING) -> DataFrame:
     """A2: ``(n * mean_city + k * mean_all) / (n + k)`` per value of ``col``.
 
-    Returns the encoding table ``(col, encoding)``: one grouped aggregate
-    (map-side combined, so a hot city is reduced before the shuffle) plus the
-    global mean as a literal.  Null keys get no encoding.
+    Returns the encoding table ``(col, encoding)`` from one grouped aggregate
+    (map-side combined, so a hot city is reduced before the shuffle); the
+    global mean is made from its sums and counts, not from another pass.
+    Null keys get no encoding.
     """
-    overall = scalars(df, m=exact_avg(target))["m"]
+    by_key = df.groupBy(col).agg(F.sum(exact(target)).alias("_s"), F.count(target).alias("_n"))
+    overall = by_key.agg((F.sum("_s").cast("double") / F.nullif(F.sum("_n"), F.lit(0)))
+                         .alias("_mean"))
+    mean = scalars(overall, m=F.first("_mean"))["m"]
     k = float(smoothing)
-    return (df.where(F.col(col).isNotNull())
-            .groupBy(col)
-            .agg(exact_sum(target).alias("_s"), F.count(target).alias("_n"))
-            .select(col, ((F.col("_s") + F.lit(k * overall if overall is not None else None))
+    return (by_key.where(F.col(col).isNotNull())
+            .select(col, ((F.coalesce(F.col("_s").cast("double"), F.lit(0.0))
+                           + F.lit(k * mean if mean is not None else None))
                           / (F.col("_n") + F.lit(smoothing))).alias("encoding")))
 
 
@@ -69,7 +69,7 @@ def apply_target_encoding(df: DataFrame, encoding: DataFrame, col: str = "ville"
             raise KeyError(f"unknown values in {col!r} for the saved encoding")
     if on_unknown == "default":
         if default is None:
-            default = encoding.agg(F.avg("encoding")).first()[0]
+            default = encoding.agg(exact_avg("encoding")).first()[0]
         joined = joined.withColumn("_enc", F.coalesce("_enc", F.lit(default)))
     return joined.withColumn(col, F.col("_enc")).drop("_key", "_enc").select(*df.columns)
 
@@ -92,15 +92,9 @@ def drop_non_features(df: DataFrame, columns=NON_FEATURES) -> DataFrame:
 
 
 def one_hot_vocabulary(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct values of a low-cardinality column (bounded collect)."""
-    if col == "type_bien":
-        return list(TYPE_VOCABULARY)
-    vals = (df.where(F.col(col).isNotNull()).select(col).distinct()
-            .limit(MAX_ONE_HOT_LEVELS + 1).collect())
-    if len(vals) > MAX_ONE_HOT_LEVELS:
-        raise ValueError(f"{col!r} has more than {MAX_ONE_HOT_LEVELS} levels; "
-                         "pass an explicit vocabulary")
-    return sorted(r[0] for r in vals)
+    """Sorted distinct values of a column: its flags' names.  They become
+    columns of the plan, so they come to the driver, however many there are."""
+    return sorted(r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().collect())
 
 
 def encode_categoricals(df: DataFrame, vocabularies: dict | None = None,
@@ -125,24 +119,17 @@ def encode_categoricals(df: DataFrame, vocabularies: dict | None = None,
 
 
 def engineer_features(df: DataFrame, n_cluster: int | None = 8, cluster_cols=None,
-                      seed: int = 42, accuracy: int | None = None,
-                      checkpoint: bool | None = None):
+                      seed: int = 42):
     """M7: dropna(prix) -> outliers -> encoding -> logs -> drop -> one-hot -> KMeans.
 
     Returns ``(features, encoding_table, kmeans_model_or_None)``;
     ``n_cluster=None`` skips clustering.  The step reads its input several
-    times (quantiles, global mean, output); ``checkpoint`` (default: when a
-    shared ``spark.checkpoint.dir`` is configured) writes the input once and
-    cuts its lineage, so the upstream steps are not recomputed per pass.
+    times (quantiles, levels, global mean, output): pass a stored table.
     """
     from immolens.operators import models  # local import: MLlib is heavy
 
-    if checkpoint is None:
-        checkpoint = checkpoint_dir(df.sparkSession) is not None
-    if checkpoint and not df.storageLevel.useMemory:
-        df = df.checkpoint(eager=True)
     out = df.where(F.col("prix").isNotNull()) if "prix" in df.columns else df
-    out = remove_outliers(out, accuracy=accuracy)
+    out = remove_outliers(out)
     out, enc = target_encode_ville(out)
     out = encode_categoricals(drop_non_features(add_derived_features(out)))
     model = None

@@ -11,16 +11,17 @@ ORDINAL = "ordinal"
 def keep_first(df: DataFrame, key: str, ordinal: str = ORDINAL) -> DataFrame:
     """One row per ``key``, the one with the smallest ``ordinal``.
 
-    Expressed as ``min_by(struct(row), ordinal)`` so the hash aggregate
-    combines map-side: a hot key holding a third of the rows is reduced in
-    every map task before the shuffle, instead of being sorted in one window
-    task.  A missing key column is a no-op; null keys collapse to one row.
+    The smallest ordinals come from a hash aggregate of two narrow columns,
+    combined map-side; the rows are then matched by (key, ordinal) in a hash
+    join without a sort.  A hot key's rows are dealt by their ordinals, so
+    none of its rows but the first meets another.  Null keys collapse to one
+    row; a missing key column is a no-op.  Ordinals are unique.
     """
     if key not in df.columns:
         return df
-    others = [c for c in df.columns if c != key]
-    firsts = df.groupBy(key).agg(F.min_by(F.struct(*others), F.col(ordinal)).alias("_first"))
-    return firsts.select(key, "_first.*").select(*df.columns)
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(ordinal).alias("_first"))
+    return df.join(first.hint("shuffle_hash"), df[key].eqNullSafe(first["_key"])
+                   & (df[ordinal] == first["_first"]), "left_semi")
 
 
 def sequence_ids(df: DataFrame, order_col: str, name: str,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from immolens.functions.numeric import exact_avg, spaced_thousands, trunc_long
 from immolens.operators.keys import ORDINAL, keep_first
-from immolens.operators.stats import conditional_quantiles, is_small, quantiles, scalars
+from immolens.operators.stats import quantile_table, quantiles, scalars
 
 # Panel vocabularies, sentinels, thresholds.
 ALL_TYPES = "Tous"
@@ -162,26 +162,20 @@ def _price_m2() -> Column:
     return F.try_divide(F.col("prix"), F.col("surface"))
 
 
-def _global_median(df: DataFrame, value: Column, accuracy: int | None = None) -> Column:
-    """Truncated exact median as an expression for ``df.agg``: the
-    ``percentile`` aggregate itself for small inputs (one pass), the value
-    found by distributed selection (``stats.quantiles``) for large ones."""
-    if accuracy is None and is_small(df, value):
-        return trunc_long(F.median(value))
-    q = quantiles(df.select(value.alias("_v")), "_v", [0.5], accuracy)[0]
-    return F.lit(int(q) if q is not None else None).cast("long")
+def _whole(v) -> Column:
+    """A truncated figure as a long literal."""
+    return F.lit(int(v) if v is not None else None).cast("long")
 
 
-def dashboard_kpis(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def dashboard_kpis(df: DataFrame) -> DataFrame:
     """Median and mean price, median price per m² (null when no row has
-    a positive surface), listing count; integers truncated.  One aggregate;
-    on large inputs the medians come from ``stats.quantiles`` first."""
-    med = _global_median(df, F.col("prix"), accuracy)
-    med_m2 = _global_median(df, _price_m2(), accuracy)
+    a positive surface), listing count; integers truncated.  Both medians
+    come from one job, the rest from one aggregate."""
+    (med,), (med_m2,) = quantile_table(df, [(F.col("prix"), None), (_price_m2(), None)], [0.5])
     return df.agg(
-        med.alias("median_price"),
+        _whole(med).alias("median_price"),
         trunc_long(exact_avg("prix")).alias("mean_price"),
-        F.when(F.count_if(F.col("surface") > 0) > 0, med_m2).alias("prix_m2"),
+        F.when(F.count_if(F.col("surface") > 0) > 0, _whole(med_m2)).alias("prix_m2"),
         F.count(F.lit(1)).alias("ads_count"))
 
 
@@ -214,14 +208,12 @@ def active_markets(df: DataFrame, r2: float = DEFAULT_R2) -> DataFrame:
             .orderBy("type_order").limit(3))
 
 
-def _type_medians(df: DataFrame, types: list[str], value: Column,
-                  accuracy: int | None = None) -> dict:
-    """Truncated median of ``value`` per type flag, all types in the same
-    passes (``stats.conditional_quantiles``: exact and skew-proof)."""
+def _type_medians(df: DataFrame, types: list[str], *values: Column) -> list[dict]:
+    """Truncated median of each value per type flag, all in the same job."""
     present = [t for t in types if TYPE_COL_MAP[t] in df.columns]
-    qs = conditional_quantiles(df, value, [F.col(TYPE_COL_MAP[t]) for t in present], [0.5],
-                               accuracy)
-    return {t: (int(q[0]) if q[0] is not None else None) for t, q in zip(present, qs)}
+    got = quantile_table(df, [(v, F.col(TYPE_COL_MAP[t])) for v in values for t in present], [0.5])
+    whole = [int(q) if q is not None else None for (q,) in got]
+    return [dict(zip(present, whole[k * len(present):], strict=False)) for k in range(len(values))]
 
 
 def _by_type(values: dict) -> Column:
@@ -232,19 +224,15 @@ def _by_type(values: dict) -> Column:
     return out
 
 
-def type_cards(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def type_cards(df: DataFrame) -> DataFrame:
     """Count and median price for apartments and houses; a type without
     rows is kept with count 0 and a null median."""
     spark = df.sparkSession
     types = spark.createDataFrame([(t, i) for i, t in enumerate(CARD_TYPES)],
                                   "type string, type_order int")
-    if accuracy is None and is_small(df, F.col("prix")):
-        agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count"),
-                                         trunc_long(F.median("prix")).alias("median_price")])
-    else:
-        medians = _type_medians(df, CARD_TYPES, F.col("prix"), accuracy)
-        agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count")])
-        agg = agg.withColumn("median_price", _by_type(medians)) if agg is not None else None
+    (medians,) = _type_medians(df, CARD_TYPES, F.col("prix"))
+    agg = _per_type(df, CARD_TYPES, [F.count(F.lit(1)).alias("count")])
+    agg = agg.withColumn("median_price", _by_type(medians)) if agg is not None else None
     out = F.broadcast(types).join(agg.drop("type_order"), "type", "left") if agg is not None \
         else types.withColumn("count", F.lit(0)).withColumn("median_price", F.lit(None))
     return (out.select("type", "type_order", F.coalesce("count", F.lit(0)).cast("long").alias("count"),
@@ -292,24 +280,23 @@ def dashboard(df: DataFrame, type_str: str = ALL_TYPES, region: str = ALL_REGION
 
 
 # ------------------------------------------------------------------ B2
-def analysis_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def analysis_stats(df: DataFrame) -> DataFrame:
     """Count, median, mean, min, max of the filtered prices."""
     return df.agg(F.count(F.lit(1)).alias("count"),
-                  _global_median(df, F.col("prix"), accuracy).alias("median"),
+                  _whole(quantiles(df, "prix", [0.5])[0]).alias("median"),
                   trunc_long(exact_avg("prix")).alias("mean"),
                   trunc_long(F.min("prix")).alias("min"),
                   trunc_long(F.max("prix")).alias("max"))
 
 
-def analysis_quartiles(df: DataFrame, min_rows: int = 10, accuracy: int | None = None) -> DataFrame:
+def analysis_quartiles(df: DataFrame, min_rows: int = 10) -> DataFrame:
     """A10: four price brackets cut at the truncated quartiles, 25 % each;
     empty unless more than ``min_rows`` rows.  Bounds are numeric (lo, hi)."""
     spark = df.sparkSession
     schema = "bracket_order int, lo long, hi long, bracket string, pct int"
-    n = df.count()
-    if n <= min_rows:
+    if df.limit(min_rows + 1).count() <= min_rows:
         return spark.createDataFrame([], schema)
-    qs = quantiles(df, "prix", [0.25, 0.5, 0.75], accuracy)
+    qs = quantiles(df, "prix", [0.25, 0.5, 0.75])
     if any(q is None for q in qs):
         return spark.createDataFrame([], schema)
     q25, q50, q75 = (int(q) for q in qs)
@@ -323,7 +310,7 @@ def analysis_quartiles(df: DataFrame, min_rows: int = 10, accuracy: int | None =
     return spark.createDataFrame(rows, schema)
 
 
-def analysis_type_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def analysis_type_stats(df: DataFrame) -> DataFrame:
     """Per type count, median, min, max price and median price per m²,
     in fixed type order; types without rows are omitted."""
     if not any(TYPE_COL_MAP[t] in df.columns for t in STAT_TYPES):
@@ -333,15 +320,9 @@ def analysis_type_stats(df: DataFrame, accuracy: int | None = None) -> DataFrame
     base = [F.count(F.lit(1)).alias("count"),
             trunc_long(F.min("prix")).alias("prix_min"),
             trunc_long(F.max("prix")).alias("prix_max")]
-    if accuracy is None and is_small(df, F.col("prix")):
-        agg = _per_type(df, STAT_TYPES, base + [
-            trunc_long(F.median("prix")).alias("median"),
-            trunc_long(F.median(_price_m2())).alias("prix_m2")])
-    else:
-        med = _type_medians(df, STAT_TYPES, F.col("prix"), accuracy)
-        med_m2 = _type_medians(df, STAT_TYPES, _price_m2(), accuracy)
-        agg = _per_type(df, STAT_TYPES, base).withColumns(
-            {"median": _by_type(med), "prix_m2": _by_type(med_m2)})
+    med, med_m2 = _type_medians(df, STAT_TYPES, F.col("prix"), _price_m2())
+    agg = _per_type(df, STAT_TYPES, base).withColumns(
+        {"median": _by_type(med), "prix_m2": _by_type(med_m2)})
     return (agg.select("type", "type_order", "count", "median", "prix_min", "prix_max", "prix_m2")
             .orderBy("type_order"))
 
@@ -383,12 +364,15 @@ def city_frequency(raw: DataFrame, k: int = FREQUENT_CITIES) -> DataFrame:
 
 def city_labels(raw: DataFrame, k: int = FREQUENT_CITIES) -> DataFrame:
     """W3: 'city, zipcode' for the frequent cities, zipcode of the city's
-    first row in file order (``min_by`` ordinal, combined map-side)."""
-    stats = (raw.where(F.col("city").isNotNull()).groupBy("city")
-             .agg(F.count(F.lit(1)).alias("count"),
-                  F.min_by("zipcode", F.col(ORDINAL)).alias("zipcode"))
-             .orderBy(F.desc("count"), "city").limit(k))
-    return stats.select("city", "count", F.concat_ws(", ", "city", "zipcode").alias("label"))
+    first row in file order.  Counts and first ordinals come from one hash
+    aggregate; only the ``k`` rows that are wanted are then looked up."""
+    top = (raw.where(F.col("city").isNotNull()).groupBy("city")
+           .agg(F.count(F.lit(1)).alias("count"), F.min(ORDINAL).alias("_first"))
+           .orderBy(F.desc("count"), "city").limit(k))
+    first = raw.select(F.col("city").alias("_city"), F.col(ORDINAL).alias("_ordinal"), "zipcode")
+    return (first.join(F.broadcast(top), (F.col("_city") == F.col("city"))
+                       & (F.col("_ordinal") == F.col("_first")))
+            .select("city", "count", F.concat_ws(", ", "city", "zipcode").alias("label")))
 
 
 def option_lists(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> DataFrame:
@@ -412,11 +396,11 @@ def option_lists(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> Dat
             .unionByName(cities.withColumn("position", F.col("position").cast("int"))))
 
 
-def input_ranges(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def input_ranges(df: DataFrame) -> DataFrame:
     """Surface q01-q99 and rooms 1-q99 (truncated), defaults when empty."""
     spark = df.sparkSession
-    s = quantiles(df, "surface", [0.01, 0.99], accuracy)
-    p = quantiles(df, "pieces", [0.99], accuracy)
+    s, (_, *p) = quantile_table(df, [(F.col("surface"), None), (F.col("pieces"), None)],
+                                [0.01, 0.99])
     surface = (int(s[0]), int(s[1])) if s[0] is not None else SURFACE_RANGE_DEFAULT
     pieces = (PIECES_RANGE_DEFAULT[0], int(p[0])) if p[0] is not None else PIECES_RANGE_DEFAULT
     return spark.createDataFrame([(surface[0], surface[1], pieces[0], pieces[1])],
@@ -461,8 +445,8 @@ def city_map(raw: DataFrame, coords: DataFrame | None = None, k: int = MAP_CITIE
 
 
 # ------------------------------------------------------------------ B5
-def market_alerts(raw: DataFrame, k: int = ALERT_CITIES, min_count: int = ALERT_MIN_COUNT,
-                  accuracy: int | None = None) -> DataFrame:
+def market_alerts(raw: DataFrame, k: int = ALERT_CITIES,
+                  min_count: int = ALERT_MIN_COUNT) -> DataFrame:
     """The ``k`` busiest cities (at least ``min_count`` rows with a
     positive surface) with mean price per m², its deviation from the
     national median in % (1 dp) and whether it lies above it (C18)."""
@@ -473,7 +457,7 @@ def market_alerts(raw: DataFrame, k: int = ALERT_CITIES, min_count: int = ALERT_
     r = (raw.where(F.col("city").isNotNull() & F.col("price").isNotNull()
                    & (F.col("surface") > 0))
          .withColumn("prix_m2", F.col("price") / F.col("surface")))
-    med = quantiles(r, "prix_m2", [0.5], accuracy)[0]
+    med = quantiles(r, "prix_m2", [0.5])[0]
     stats = (r.groupBy("city").agg(F.avg("prix_m2").alias("mean"),
                                    F.count(F.lit(1)).alias("count"))
              .where(F.col("count") >= min_count)

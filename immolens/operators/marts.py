@@ -1,45 +1,62 @@
-"""Summary marts over the star schema."""
+"""Summary marts over the star schema.
+
+The fact is summed by the keys of the dimensions it is joined to (partial
+sums before the shuffle), and only those sums are joined and summed again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from immolens.functions.numeric import round_avg
+from immolens.functions.numeric import exact, round_ratio
+
+MEASURES = ("price", "surface")
+
+
+def _sums(fact: DataFrame, *keys: str) -> DataFrame:
+    return fact.groupBy(*keys).agg(
+        F.count("id_annonce").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"),
+        F.sum("price_m2").alias("price_m2"), F.count("price_m2").alias("price_m2_n"),
+        *(x for m in MEASURES for x in (F.sum(exact(m)).alias(m), F.count(m).alias(f"{m}_n"))))
+
+
+def _mean(measure: str, dp: int):
+    return round_ratio(F.sum(measure), F.sum(f"{measure}_n"), dp)
+
+
+def _volume():
+    return F.sum("n").alias("volume_annonces")
+
+
+def _price_m2():
+    mean = F.sum("price_m2") / F.nullif(F.sum("price_m2_n"), F.lit(0))
+    return F.round(mean, 2).alias("prix_m2_moyen")
 
 
 def city_mart(star: dict[str, DataFrame]) -> DataFrame:
     """A3: volume, average price/surface/price per m², min and max per city."""
-    f, loc = star["fact_ads"], star["dim_location"]
-    return (f.join(loc, "id_location")
+    return (_sums(star["fact_ads"], "id_location").join(star["dim_location"], "id_location")
             .groupBy("region", "city")
-            .agg(F.count("id_annonce").alias("volume_annonces"),
-                 round_avg("price", 2).alias("prix_moyen"),
-                 round_avg("surface", 1).alias("surface_moyenne"),
-                 F.round(F.avg("price_m2"), 2).alias("prix_m2_moyen"),
-                 F.min("price").alias("prix_minimum"),
-                 F.max("price").alias("prix_maximum"))
+            .agg(_volume(), _mean("price", 2).alias("prix_moyen"),
+                 _mean("surface", 1).alias("surface_moyenne"), _price_m2(),
+                 F.min("low").alias("prix_minimum"), F.max("high").alias("prix_maximum"))
             .orderBy(F.desc("volume_annonces"), "region", "city"))
 
 
 def region_type_mart(star: dict[str, DataFrame]) -> DataFrame:
     """A4: the same measures per region and property type."""
-    f, loc, typ = star["fact_ads"], star["dim_location"], star["dim_type"]
-    return (f.join(loc, "id_location").join(typ, "id_type")
+    return (_sums(star["fact_ads"], "id_location", "id_type")
+            .join(star["dim_location"], "id_location").join(star["dim_type"], "id_type")
             .groupBy("region", "type_name")
-            .agg(F.count("id_annonce").alias("volume_annonces"),
-                 round_avg("price", 2).alias("prix_moyen"),
-                 F.round(F.avg("price_m2"), 2).alias("prix_m2_moyen"),
-                 round_avg("surface", 1).alias("surface_moyenne"))
+            .agg(_volume(), _mean("price", 2).alias("prix_moyen"), _price_m2(),
+                 _mean("surface", 1).alias("surface_moyenne"))
             .orderBy("region", F.desc("volume_annonces"), "type_name"))
 
 
 def monthly_mart(star: dict[str, DataFrame]) -> DataFrame:
     """A5: volume and averages per calendar month."""
-    f, d = star["fact_ads"], star["dim_date"]
-    return (f.join(d, "id_date")
+    return (_sums(star["fact_ads"], "id_date").join(star["dim_date"], "id_date")
             .groupBy("year", "month")
-            .agg(F.count("id_annonce").alias("volume_annonces"),
-                 round_avg("price", 2).alias("prix_moyen"),
-                 F.round(F.avg("price_m2"), 2).alias("prix_m2_moyen"))
+            .agg(_volume(), _mean("price", 2).alias("prix_moyen"), _price_m2())
             .orderBy("year", "month"))

@@ -152,9 +152,9 @@ def classification_metrics(pred: DataFrame, label: str = "label",
 
 
 # ------------------------------------------------------------------ models
-def median_label(df: DataFrame, col: str = "prix", accuracy: int | None = None):
+def median_label(df: DataFrame, col: str = "prix"):
     """``label = prix > median(prix)`` (0/1) and the median itself."""
-    med = quantiles(df, col, [0.5], accuracy)[0]
+    med = quantiles(df, col, [0.5])[0]
     return df.withColumn("label", (F.col(col) > F.lit(med)).cast("int")), med
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from immolens.functions.numeric import trunc_long
 from immolens.functions.text import city_from_label, strip_upper
-from immolens.operators.features import TYPE_VOCABULARY, apply_target_encoding
+from immolens.operators.features import apply_target_encoding
 from immolens.operators.models import predict_cluster
 
 # Yearly price growth used for projections, and the horizons.
@@ -24,6 +24,7 @@ HORIZONS = [
     ("2 ans", (1 + ANNUAL_RATE) ** 2, f"+{((1 + ANNUAL_RATE) ** 2 - 1) * 100:.1f}%"),
 ]
 TODAY = "Auj."
+FLAG = "type_bien_"
 
 
 def clamp_requests(requests: DataFrame, ranges: dict) -> DataFrame:
@@ -38,10 +39,13 @@ def clamp_requests(requests: DataFrame, ranges: dict) -> DataFrame:
         .cast(requests.schema["rooms"].dataType)})
 
 
-def request_features(requests: DataFrame, encoding: DataFrame,
+def request_features(requests: DataFrame, encoding: DataFrame, flags: list[str],
                      default_encoding: float | None = None) -> DataFrame:
     """C15, J6 + A19, C16 (rooms <= 0 -> 1), P7 and type flags for a frame of
-    requests ``(city, property_type, surface_area, rooms)``."""
+    requests ``(city, property_type, surface_area, rooms)``.
+
+    ``flags`` are the trained ``type_bien_*`` columns; a type that none of
+    them stands for, or none at all, leaves them all false."""
     r = requests.withColumns({
         "ville": city_from_label("city"),
         "surface": F.col("surface_area").cast("double"),
@@ -49,8 +53,8 @@ def request_features(requests: DataFrame, encoding: DataFrame,
         "surface_log": F.log1p(F.col("surface_area").cast("double")),
         "_type": strip_upper("property_type"),
     })
-    r = r.withColumns({f"type_bien_{v}": F.coalesce(F.col("_type") == F.lit(v), F.lit(False))
-                       for v in TYPE_VOCABULARY}).drop("_type")
+    r = r.withColumns({f: F.coalesce(F.col("_type") == F.lit(f.removeprefix(FLAG)), F.lit(False))
+                       for f in flags}).drop("_type")
     return apply_target_encoding(r, encoding, "ville", on_unknown="default",
                                  default=default_encoding)
 
@@ -63,7 +67,9 @@ def score(requests: DataFrame, encoding: DataFrame, cluster_model, model,
     ``ranges`` (the A18 input ranges) clamps surface and rooms first."""
     if ranges:
         requests = clamp_requests(requests, ranges)
-    feats = predict_cluster(request_features(requests, encoding, default_encoding), cluster_model)
+    flags = [c for c in feature_cols if c.startswith(FLAG)]
+    feats = predict_cluster(request_features(requests, encoding, flags, default_encoding),
+                            cluster_model)
     assembled = VectorAssembler(inputCols=feature_cols, outputCol="features").transform(
         feats.withColumns({c: F.col(c).cast("double") for c in feature_cols}
                           ).withColumns({f"_keep_{c}": F.col(c) for c in requests.columns}))
@@ -71,15 +77,17 @@ def score(requests: DataFrame, encoding: DataFrame, cluster_model, model,
     price = F.expm1("prediction") if method == "log_prix" else F.col("prediction")
     return pred.select(
         *[F.col(f"_keep_{c}").alias(c) for c in requests.columns],
+        price.alias("predicted_price"),
         trunc_long(price).alias("current_estimated_price"),
         (F.round(F.lit(r2 * 100), 1) if r2 is not None else F.lit(None).cast("double"))
         .alias("confidence"),
-        trunc_long(price / F.col("surface_area")).alias("price_per_sqm"),
+        trunc_long(F.try_divide(price, F.col("surface_area"))).alias("price_per_sqm"),
         F.col("cluster"))
 
 
 def projections(df: DataFrame, price_col: str, keys=(), include_today: bool = True) -> DataFrame:
-    """Long form ``(period, price, pct)``, one row per horizon (and today)."""
+    """Long form ``(period, price, pct)``, one row per horizon (and today);
+    ``price_col`` is the untruncated price (``predicted_price`` of ``score``)."""
     p = F.col(price_col)
     items = [F.struct(F.lit(TODAY).alias("period"), trunc_long(p).alias("price"),
                       F.lit(None).cast("string").alias("pct"))] if include_today else []

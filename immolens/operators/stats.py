@@ -1,7 +1,7 @@
 """Global statistics (J9): one aggregate job, one row back to the driver.
 
 A global statistic (mean, quantile, median) is a barrier by nature.  It is
-computed by a single aggregate over the whole column and returned as a few
+computed over the whole column by one distributed job and returned as a few
 scalars, which are then used as literals.  Literals keep later filters
 pushable to the parquet scan and avoid joining every row to a one-row table.
 """
@@ -10,167 +10,87 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentiles(col, probs, accuracy: int | None = None) -> Column:
-    """Exact linear-interpolated percentiles (``percentile``), or the
-    approximate ``percentile_approx`` when ``accuracy`` is given.
+# A slice holds the values that share sign, exponent and this many of the
+# leading steps of an octave: at most 2^24 slices of a measure, at any size.
+SLICE_STEPS = 4096
+
+
+def _slice(v: Column) -> Column:
+    """A long that never falls when the double ``v`` rises (NaN comes last)."""
+    size = F.abs(v)
+    octave = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1074)), F.lit(1023))
+    step = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * SLICE_STEPS)
+    place = ((octave + 1075) * SLICE_STEPS
+             + F.least(F.greatest(step, F.lit(0)), F.lit(SLICE_STEPS - 1)))
+    return (F.when(F.isnan(v), F.lit(1 << 24)).when(v == 0, F.lit(0))
+            .when(v < 0, -place).otherwise(place).cast("long"))
 
-    The exact aggregate keeps a value -> count map per group (combined
-    map-side), so its memory follows the number of distinct values, not rows.
-    For very high-cardinality columns pass ``accuracy`` (e.g. 1_000_000).
-    """
-    c = F.col(col) if isinstance(col, str) else col
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if accuracy:
-        return F.percentile_approx(c, arr, accuracy)
-    return F.percentile(c, arr)
-
-
-# Inputs up to this many non-null values use the single-pass ``percentile``
-# aggregate (its value -> count map is bounded by the row count); larger
-# inputs use the distributed selection below.
-SELECTION_THRESHOLD = 5_000_000
-SELECTION_BUCKETS = 4096
-# Plans whose optimizer size estimate (an upper bound, no job needed) is
-# below this go straight to ``percentile`` without counting first.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan (upper bound; computes nothing)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: treat as large
-        return 1 << 62
-
-
-def quantiles(df: DataFrame, col: str, probs, accuracy: int | None = None,
-              threshold: int = SELECTION_THRESHOLD) -> list:
-    """Quantiles of ``col`` (nulls ignored) as Python floats (None if empty).
-
-    Exact, with Spark's ``percentile`` interpolation.  ``accuracy`` switches
-    to ``percentile_approx``.  Small inputs (by the optimizer's estimate) take
-    one ``percentile`` pass; otherwise the values are counted and, above
-    ``threshold``, the exact answer is found by ``select_ranks`` instead of
-    one global ``percentile`` aggregate (whose value maps would all be merged
-    in a single task).
-    """
-    return conditional_quantiles(df, F.col(col), [F.lit(True)], probs, accuracy, threshold)[0]
 
+def quantile_table(df: DataFrame, measures: list[tuple[Column, Column | None]],
+                   probs) -> list[list]:
+    """Quantiles of several ``(value, condition or None)`` measures in one job.
 
-def conditional_quantiles(df: DataFrame, value: Column, conditions: list, probs,
-                          accuracy: int | None = None,
-                          threshold: int = SELECTION_THRESHOLD) -> list[list]:
-    """Quantiles of ``value`` over the rows matching each condition (e.g. one
-    per property type), all from the same passes over ``df``."""
-    if not conditions:
+    Exact, with Spark's ``percentile`` interpolation; nulls are ignored and a
+    measure without a value gives ``None``.  One way for every size: values
+    are counted by ``(measure, value)`` with partial sums, so that a hot value
+    is one row; the distinct values fall into ordered slices, whose totals
+    tell which slice holds a wanted rank; and only those slices are sorted.
+    ``len(measures) * len(probs) * 2`` rows come back.
+    """
+    if not measures:
         return []
-    v = value.cast("double")
-    masked = [F.when(c, v) for c in conditions]
-    if accuracy or estimated_bytes(df.select(v.alias("_v"))) <= SMALL_INPUT_BYTES:
-        fn = (lambda m: F.percentile_approx(m, list(map(float, probs)), accuracy)) if accuracy \
-            else (lambda m: percentiles(m, probs))
-        row = df.agg(*[fn(m).alias(f"q{i}") for i, m in enumerate(masked)]).first()
-        return [list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
-                for i in range(len(conditions))]
-    head = df.agg(*[agg(m).alias(f"{name}{i}") for i, m in enumerate(masked)
-                    for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    results: list = [None] * len(conditions)
-    positions: dict[int, list[float]] = {}
-    targets = []
-    for i in range(len(conditions)):
-        n = head[f"n{i}"]
-        if not n:
-            results[i] = [None] * len(probs)
-        elif n <= threshold:
-            results[i] = list(df.agg(percentiles(masked[i], probs).alias("q")).first()["q"])
-        else:
-            positions[i] = [(n - 1) * float(p) for p in probs]
-            ranks = {int(math.floor(x)) for x in positions[i]} | {int(math.ceil(x)) for x in positions[i]}
-            targets += [(i, r, head[f"lo{i}"], head[f"hi{i}"]) for r in sorted(ranks)]
-    values = select_ranks(df, v, conditions, targets) if targets else {}
-    for i, pos_list in positions.items():
-        results[i] = [_interpolate(values, i, pos) for pos in pos_list]
-    return results
-
-
-def _interpolate(values: dict, i: int, pos: float) -> float:
+    items = [F.when((c if c is not None else F.lit(True)) & v.isNotNull(),
+                    F.struct(F.lit(i).alias("m"), v.cast("double").alias("v")))
+             for i, (v, c) in enumerate(measures)]
+    counts = (df.select(F.explode(F.array_compact(F.array(*items))).alias("x"))
+              .select(F.col("x.m").alias("m"), F.col("x.v").alias("v"))
+              .groupBy("m", "v").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("s", _slice(F.col("v"))))
+    by_measure = Window.partitionBy("m")
+    upto = by_measure.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = F.array(*[F.transform(F.array(F.floor(F.lit(float(p)) * (F.col("total") - 1)),
+                                          F.ceil(F.lit(float(p)) * (F.col("total") - 1))),
+                                  lambda r: r.cast("long")) for p in probs])
+    wanted = (counts.groupBy("m", "s").agg(F.sum("n").alias("n"))
+              .select("m", "s", (F.sum("n").over(upto) - F.col("n")).alias("before"), "n",
+                      F.sum("n").over(by_measure).alias("total"))
+              .select("m", "s", "before", "n", "total",
+                      F.explode(F.array_distinct(F.flatten(ranks))).alias("r"))
+              .where((F.col("before") <= F.col("r")) & (F.col("r") < F.col("before") + F.col("n")))
+              .drop("n"))
+    inside = Window.partitionBy("m", "s").orderBy("v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    found = (counts.join(wanted.groupBy("m", "s").agg(
+                 F.first("before").alias("before"), F.first("total").alias("total"),
+                 F.collect_set("r").alias("ranks")), ["m", "s"])
+             .withColumn("upto", F.col("before") + F.sum("n").over(inside))
+             .select("m", "v", "total", F.explode(F.filter(
+                 "ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))))
+                 .alias("r")))
+    value, total = {}, {}
+    for row in found.collect():
+        value[row["m"], row["r"]] = row["v"]
+        total[row["m"]] = row["total"]
+    return [[_interpolate(value, i, float(p) * (total[i] - 1)) if i in total else None
+             for p in probs] for i in range(len(measures))]
+
+
+def _interpolate(value: dict, i: int, pos: float) -> float:
     """Spark's percentile interpolation between the values at the two ranks."""
-    lo_r, hi_r = int(math.floor(pos)), int(math.ceil(pos))
-    lo_v, hi_v = values[(i, lo_r)], values[(i, hi_r)]
-    if lo_r == hi_r or lo_v == hi_v:
-        return lo_v
-    return (hi_r - pos) * lo_v + (pos - lo_r) * hi_v
-
-
-def select_ranks(df: DataFrame, value: Column, conditions: list, targets: list,
-                 buckets: int = SELECTION_BUCKETS, max_rounds: int = 256,
-                 max_final_rows: int = 100_000) -> dict:
-    """Exact values at 0-based ranks among the rows matching a condition.
-
-    ``targets`` are ``(condition index, rank, min, max)``.  Distributed
-    selection: every round scans the column once, puts each value inside a
-    target's current range ``[a, b]`` into one of ``buckets`` equal-width
-    buckets (a monotone function of the value) and aggregates ``count, min,
-    max`` per (target, bucket).  At most ``targets x buckets`` rows come
-    back; the bucket holding the wanted rank becomes the next range, and a
-    range that collapses to one value is the answer.  No task holds more than
-    one bucket's counters, whatever the skew.  Each round shrinks a range at
-    least ``buckets``-fold, so doubles converge in a few dozen rounds at most
-    (typically 3-5).  Returns ``{(index, rank): v}``.
-    """
-    x = value.cast("double")
-    state = {(i, r): (lo, hi, 0, None) for i, r, lo, hi in targets}   # (a, b, below, rows)
-    done: dict = {}
-    for _ in range(max_rounds):
-        for key, (a, b, _, _) in state.items():
-            if key not in done and a == b:
-                done[key] = a
-        active = [(key, st) for key, st in state.items() if key not in done]
-        if not active:
-            break
-        tags = []
-        for j, ((i, _), (a, b, _, _)) in enumerate(active):
-            width = (b - a) / buckets
-            if width > 0:
-                bucket = F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1))
-            else:   # a sub-normal range: split at its lower end
-                bucket = F.when(x > F.lit(a), F.lit(1)).otherwise(F.lit(0))
-            tags.append(F.when(conditions[i] & x.between(F.lit(a), F.lit(b)),
-                               F.struct(F.lit(j).alias("t"), bucket.cast("long").alias("b"))))
-        rows = (df.select(x.alias("_x"), F.explode(F.filter(F.array(*tags),
-                                                               lambda e: e.isNotNull())).alias("_k"))
-                .groupBy("_k.t", "_k.b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
-                .collect())
-        by_target: dict[int, list] = {}
-        for row in rows:
-            by_target.setdefault(row["t"], []).append(row)
-        for j, ((i, r), (a, b, below, _)) in enumerate(active):
-            seen = below
-            for row in sorted(by_target.get(j, []), key=lambda z: z["b"]):
-                if seen + row["n"] > r:
-                    state[(i, r)] = (row["mn"], row["mx"], seen, row["n"])
-                    break
-                seen += row["n"]
-    for (i, r), (a, b, below, rows) in state.items():   # not converged: finish exactly
-        if (i, r) not in done:
-            if rows is None or rows > max_final_rows:
-                raise RuntimeError("quantile selection did not converge; pass accuracy=")
-            rest = (df.where(conditions[i] & x.between(F.lit(a), F.lit(b)))
-                    .select(x.alias("v")).orderBy("v").limit(r - below + 1).collect())
-            done[(i, r)] = rest[-1]["v"]
-    return done
-
-
-def is_small(df: DataFrame, value: Column | None = None) -> bool:
-    """True when the optimizer's size estimate says a single ``percentile``
-    aggregate is safe (its value maps fit one task)."""
-    probe = df.select(value.alias("_v")) if value is not None else df
-    return estimated_bytes(probe) <= SMALL_INPUT_BYTES
+    lo, hi = math.floor(pos), math.ceil(pos)
+    low, high = value[i, lo], value[i, hi]
+    if lo == hi or low == high:
+        return low
+    return (hi - pos) * low + (pos - lo) * high
+
+
+def quantiles(df: DataFrame, col: str, probs) -> list:
+    """Quantiles of one column as Python floats (None if there is no value)."""
+    return quantile_table(df, [(F.col(col), None)], probs)[0]
 
 
 def scalars(df: DataFrame, **aggs: Column) -> dict:

@@ -80,51 +80,50 @@ def build_star(raw: DataFrame) -> dict[str, DataFrame]:
 def integrity_audit(star: dict[str, DataFrame]) -> DataFrame:
     """violations per declared constraint, one row per rule.
 
-    Primary keys and UNIQUE via grouped counts.  The fact table's NOT NULL
-    and foreign-key rules share one pass: the fact is left-joined to the
-    distinct keys of each dimension (distinct, so no fact row can multiply)
-    and one conditional aggregate counts nulls and keys without a match.
+    Each table is grouped by its key once, which gives repeated keys and
+    nulls together and leaves one row per key.  The fact's NOT NULL and
+    foreign-key rules share a pass that is left-joined to those keys; a null
+    key breaks NOT NULL, not the foreign key (as in SQL).
     """
-    fact, loc, typ = star["fact_ads"], star["dim_location"], star["dim_type"]
-    author, date = star["dim_author"], star["dim_date"]
-
-    def dup(df, key, rule):
-        return (df.groupBy(key).count().where(F.col("count") > 1)
-                .agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("violations"))
-                .select(F.lit(rule).alias("rule"), "violations"))
-
-    def nulls(df, cols, rule):
-        return df.agg(sum_(F.count_if(F.col(c).isNull()) for c in cols).cast("long")
-                      .alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-
-    fks = [("id_date", date), ("id_location", loc), ("id_type", typ), ("id_author", author)]
-    checked = fact.select("price", "title", *[k for k, _ in fks])
-    for key, parent in fks:
-        keys = parent.select(F.col(key).alias(f"_{key}")).distinct() \
-                     .withColumn(f"_has_{key}", F.lit(True))
-        checked = checked.join(keys, checked[key] == keys[f"_{key}"], "left")
-    not_null = ["price", "title", "id_date", "id_location", "id_type", "id_author"]
-    fact_rules = checked.agg(
-        sum_(F.count_if(F.col(c).isNull()) for c in not_null).cast("long").alias("nn"),
-        *[F.count_if(F.col(f"_has_{k}").isNull()).cast("long").alias(k) for k, _ in fks])
-    fact_rows = fact_rules.select(F.explode(F.array(
-        F.struct(F.lit("not null fact_ads").alias("rule"), F.col("nn").alias("violations")),
-        *[F.struct(F.lit(f"fk fact_ads.{k}").alias("rule"), F.col(k).alias("violations"))
-          for k, _ in fks])).alias("r")).select("r.rule", "r.violations")
-
-    rules = [
-        dup(fact, "id_annonce", "pk fact_ads.id_annonce"),
-        dup(loc, "id_location", "pk dim_location.id_location"),
-        dup(typ, "id_type", "pk dim_type.id_type"),
-        dup(typ, "type_name", "unique dim_type.type_name"),
-        dup(author, "id_author", "pk dim_author.id_author"),
-        dup(date, "id_date", "pk dim_date.id_date"),
-        nulls(loc, ["city"], "not null dim_location.city"),
-        nulls(typ, ["type_name"], "not null dim_type.type_name"),
-        nulls(date, ["created_at", "year", "month", "day"], "not null dim_date"),
-        fact_rows,
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    fact, typ = star["fact_ads"], star["dim_type"]
+    dims = {"dim_location": ("id_location", ["city"], "not null dim_location.city"),
+            "dim_type": ("id_type", ["type_name"], "not null dim_type.type_name"),
+            "dim_author": ("id_author", [], None),
+            "dim_date": ("id_date", ["created_at", "year", "month", "day"], "not null dim_date")}
+
+    def keyed(df, key, required):
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), sum_(
+            [F.lit(0), *(F.count_if(F.col(c).isNull()) for c in required)]).alias("_nulls"))
+
+    def rows(df, **rules):
+        return df.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in rules.items()])
+
+    def told(one, names):
+        return one.select(F.inline(F.array(*[
+            F.struct(F.lit(rule).alias("rule"), F.col(c).alias("violations"))
+            for c, rule in names.items()])))
+
+    repeated = F.sum(F.when(F.col("_n") > 1, F.col("_n")))
+    parts, keys = [], {}
+    for name, (key, required, rule) in dims.items():
+        keys[key] = keyed(star[name], key, required)
+        names = {"pk": f"pk {name}.{key}"} | ({"nn": rule} if rule else {})
+        parts.append(told(rows(keys[key], pk=repeated, **({"nn": F.sum("_nulls")} if rule else {})),
+                          names))
+    parts.append(told(rows(keyed(typ, "type_name", []), pk=repeated),
+                      {"pk": "unique dim_type.type_name"}))
+    parts.append(told(rows(keyed(fact, "id_annonce", []), pk=repeated),
+                      {"pk": "pk fact_ads.id_annonce"}))
+    not_null = ["price", "title", *keys]
+    checked = fact.select(*not_null)
+    for key, known in keys.items():
+        known = known.select(F.col(key).alias(f"_{key}"))
+        checked = checked.join(known, checked[key] == known[f"_{key}"], "left")
+    parts.append(told(
+        rows(checked, nn=sum_(F.count_if(F.col(c).isNull()) for c in not_null),
+             **{k: F.count_if(F.col(k).isNotNull() & F.col(f"_{k}").isNull()) for k in keys}),
+        {"nn": "not null fact_ads", **{k: f"fk fact_ads.{k}" for k in keys}}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sum_(cols):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from immolens.operators import (clean, features, market, marts, models, quality, scoring,
@@ -126,7 +126,9 @@ def _quality(spark, sf_dir):
 
 
 def _clean(spark, sf_dir):
-    return clean.clean_listings(_quality(spark, sf_dir))
+    """The cleaned rows, written once per snapshot: what follows reads them
+    several times."""
+    return stored(spark, "clean", sf_dir, lambda: clean.clean_listings(_quality(spark, sf_dir)))
 
 
 def _trimmed(spark, sf_dir):
@@ -163,12 +165,12 @@ def rejected_rows(spark, sf_dir):
 
 @query
 def numeric_clean(spark, sf_dir):
-    """C1 on text renderings of the listing numbers ('112 946 €', '45,5 m2')."""
+    """C1 on text renderings of the listing numbers ('112 946,50 €', '45,5 m2')."""
     raw = _raw(spark, sf_dir)
     txt = raw.select(
         "id", "ordinal",
-        F.concat(F.replace(F.format_number(F.col("price").try_cast("long"), 0),
-                           F.lit(","), F.lit(" ")), F.lit(" €")).alias("prix_txt"),
+        F.concat(F.translate(F.format_number("price", 2), ",.", " ,"), F.lit("\u00a0€"))
+         .alias("prix_txt"),
         F.concat(F.col("surface").try_cast("long").cast("string"), F.lit(",5 m2")).alias("surface_txt"),
         F.concat(F.lit(" "), F.col("pieces").try_cast("long").cast("string"), F.lit(" pièces"))
          .alias("pieces_txt"))
@@ -215,28 +217,40 @@ def outlier_trim(spark, sf_dir):
 
 @query
 def target_encoding(spark, sf_dir):
-    return features.fit_target_encoding(_trimmed(spark, sf_dir))
+    return _encoding(spark, sf_dir)
+
+
+def _encoding(spark, sf_dir):
+    return stored(spark, "encoding", sf_dir,
+                  lambda: features.fit_target_encoding(_trimmed(spark, sf_dir)))
 
 
 @query
 def target_encode_apply(spark, sf_dir):
     """M4: the saved encoding applied to raw city names (upper-cased lookup);
     unknown or missing cities get the unweighted mean of the encodings."""
-    enc = features.fit_target_encoding(_trimmed(spark, sf_dir))
+    enc = _encoding(spark, sf_dir)
     raw = _raw(spark, sf_dir).select("id", "ordinal", F.col("city").alias("ville"))
     return features.apply_target_encoding(raw, enc, "ville", on_unknown="default",
                                           normalise=True)
 
 
+@query
+def features_table(spark, sf_dir):
+    """M7: the whole ML-ready row but the cluster (logs to 8 decimals)."""
+    f = _features_table(spark, sf_dir)
+    return f.withColumns({c: F.round(c, 8) for c in ("prix_log", "surface_log")})
+
+
 @query
 def one_hot(spark, sf_dir):
-    f = _features(spark, sf_dir)
+    f = _features_table(spark, sf_dir)
     return f.select("id_annonce", *[c for c in f.columns if c.startswith("type_bien_")])
 
 
 @query
 def log_features(spark, sf_dir):
-    f = _features(spark, sf_dir)
+    f = _features_table(spark, sf_dir)
     return f.select("id_annonce", F.round("prix_log", 8).alias("prix_log"),
                     F.round("surface_log", 8).alias("surface_log"))
 
@@ -364,21 +378,19 @@ def run_counts(spark, sf_dir):
 @query
 def stage_audit(spark, sf_dir):
     """Rows in and out of every preparation stage (one row per stage)."""
-    raw = _raw(spark, sf_dir)
-    q = quality.data_quality(raw)
-    c = clean.clean_listings(q)
-    f, _, _ = features.engineer_features(c, n_cluster=None)
-    stages = [("ingest", raw), ("quality", q), ("clean", c), ("features", f)]
-    counts = None
-    for i, (name, df) in enumerate(stages):
-        part = df.select(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"))
-        counts = part if counts is None else counts.unionByName(part)
-    rows_out = counts.groupBy("stage_order", "stage").agg(F.count(F.lit(1)).alias("rows_out"))
-    w = Window.orderBy("stage_order")
-    return (rows_out.withColumn("rows_in", F.coalesce(F.lag("rows_out").over(w), F.col("rows_out")))
-            .withColumn("dropped", F.col("rows_in") - F.col("rows_out"))
-            .select("stage_order", "stage", "rows_in", "rows_out", "dropped")
-            .orderBy("stage_order"))
+    # one pass over the raw rows gives two of the counts; the others are those
+    # of the stored stages
+    first = quality.rule_counts(_raw(spark, sf_dir))
+    one = F.count(F.lit(1))
+    counts = (first.select(F.col("rows_in").alias("ingest"), F.col("rows_out").alias("quality"))
+              .crossJoin(_clean(spark, sf_dir).agg(one.alias("clean")))
+              .crossJoin(_features_table(spark, sf_dir).agg(one.alias("features"))))
+    names = ["ingest", "quality", "clean", "features"]
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"),
+                 F.col(names[max(0, i - 1)]).alias("rows_in"), F.col(name).alias("rows_out"),
+                 (F.col(names[max(0, i - 1)]) - F.col(name)).alias("dropped"))
+        for i, name in enumerate(names)])))
 
 
 @query
@@ -429,8 +441,7 @@ CATALOGUE_CLF = dict(maxIter=10, stepSize=0.1, maxDepth=5, seed=42)
 def _clustered(spark, sf_dir):
     """M5 on the stored ML-ready rows (as the training job reads them)."""
     feats, km = models.train_clustering(_features_table(spark, sf_dir), 8)
-    enc = features.fit_target_encoding(_trimmed(spark, sf_dir))
-    return feats, enc, km
+    return feats, _encoding(spark, sf_dir), km
 
 
 def _trained(spark, sf_dir):

@@ -4,8 +4,9 @@ Each query is a chain of CTEs over the driver's views.  ``sql(final, *deps)``
 assembles the ``WITH`` clause from the registry in dependency order.
 Rules that keep both engines bit-identical:
 
-* averages that are reported rounded use exact integer arithmetic here and a
-  decimal average in Spark (half-up rounding of the exact mean);
+* sums are exact on both sides: of the values' decimal text here, of decimals
+  in Spark; averages that are reported rounded use integer arithmetic here
+  (half-up rounding of the exact mean);
 * ``CAST(x AS BIGINT)`` rounds in DuckDB and truncates in Spark, so the
   oracle writes ``CAST(trunc(x) AS BIGINT)``;
 * decimal literals are cast to DOUBLE where Spark computes in double.
@@ -38,6 +39,16 @@ def sql(final: str, *deps: str) -> str:
     return f"WITH {parts}\n{final}"
 
 
+def exact_sum(x: str) -> str:
+    """The sum of the values' shortest decimal text, as the nearest double."""
+    return (f"CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,10))) AS VARCHAR) AS DOUBLE)")
+
+
+def mean(x: str) -> str:
+    """The mean at full precision."""
+    return f"({exact_sum(x)} / nullif(count({x}), 0))"
+
+
 def rnd_avg(x: str, dp: int, scale: int = 2) -> str:
     """Half-up rounded mean of values with ``scale`` decimals, exactly."""
     s = f"sum(CAST(round({x} * {10 ** scale}) AS HUGEINT))"
@@ -47,12 +58,6 @@ def rnd_avg(x: str, dp: int, scale: int = 2) -> str:
     return f"(CAST({num} // {den} AS DOUBLE) / {10 ** dp})"
 
 
-def exact_avg(x: str, scale: int = 2) -> str:
-    """Mean from the exact sum (as Spark's decimal average, unrounded)."""
-    return (f"(CAST(sum(CAST(round({x} * {10 ** scale}) AS HUGEINT)) AS DOUBLE) "
-            f"/ {10 ** scale} / count({x}))")
-
-
 def trunc_long(x: str) -> str:
     return f"CAST(trunc({x}) AS BIGINT)"
 
@@ -67,7 +72,10 @@ FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
 cte("base", """SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus, qty, n_lines,
   c_custkey, c_name, c_mktsegment, n_name, r_name,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Appartement' WHEN '2' THEN 'Maison'
-    WHEN '3' THEN 'Terrain' WHEN '4' THEN 'Autre' WHEN '5' THEN 'Parking' END AS type_word
+    WHEN '3' THEN 'Terrain'
+    WHEN '4' THEN CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'Loft' ELSE 'Autre' END
+    WHEN '5' THEN 'Parking' END AS type_word,
+  CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN chr(160) ELSE ' ' END AS gap, c_nationkey
 FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey
 LEFT JOIN customer ON o_custkey = c_custkey
 LEFT JOIN geo ON c_nationkey = n_nationkey""", "lines", "geo")
@@ -76,15 +84,18 @@ JOIN (VALUES (0), (1)) c(copy) ON c.copy = 0 OR b.c_mktsegment = 'FURNITURE'""",
 cte("listings", """SELECT o_orderkey AS id,
   concat_ws(' ', type_word, CASE WHEN n_lines IS NOT NULL THEN
     (CASE WHEN c_mktsegment = 'BUILDING' THEN 'T' || CAST(n_lines AS VARCHAR)
-          ELSE CAST(n_lines AS VARCHAR) || ' pièces' END)
-    || ' ' || CAST(CAST(qty AS BIGINT) AS VARCHAR) || ' m²' END) AS title,
+          ELSE CAST(n_lines AS VARCHAR) || gap || 'pièces' END)
+    || ' ' || CAST(CAST(qty AS BIGINT) AS VARCHAR) || gap || 'm²' END) AS title,
   CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Autre' ELSE type_word END AS type,
   o_totalprice + copy * CAST(1000.0 AS DOUBLE) AS price,
   CAST(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE qty END AS DOUBLE) AS surface,
   CAST(CASE WHEN o_orderstatus = 'O' THEN NULL ELSE n_lines END AS DOUBLE) AS pieces,
   (o_totalprice + copy * CAST(1000.0 AS DOUBLE))
     / CAST(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE qty END AS DOUBLE) AS price_m2,
-  n_name || '_' || c_mktsegment AS city,
+  CASE WHEN c_mktsegment = 'MACHINERY'
+         THEN chr(160) || n_name || '_' || c_mktsegment || chr(160)
+       WHEN c_mktsegment = 'HOUSEHOLD' AND c_nationkey = 0 THEN chr(160)
+       ELSE n_name || '_' || c_mktsegment END AS city,
   CAST(c_custkey AS VARCHAR) AS zipcode,
   r_name AS region,
   c_name AS author,
@@ -187,34 +198,44 @@ UNION ALL SELECT 'not null dim_type.type_name', CAST(count_if(type_name IS NULL)
 UNION ALL SELECT 'not null dim_date', CAST(count_if(created_at IS NULL) + count_if(year IS NULL)
   + count_if(month IS NULL) + count_if(day IS NULL) AS BIGINT) FROM dim_date
 UNION ALL SELECT 'fk fact_ads.id_date', CAST(count(*) AS BIGINT) FROM fact_ads f
-  WHERE NOT EXISTS (SELECT 1 FROM dim_date d WHERE d.id_date = f.id_date)
+  WHERE id_date IS NOT NULL AND id_date NOT IN
+    (SELECT id_date FROM dim_date WHERE id_date IS NOT NULL)
 UNION ALL SELECT 'fk fact_ads.id_location', CAST(count(*) AS BIGINT) FROM fact_ads f
-  WHERE NOT EXISTS (SELECT 1 FROM dim_location d WHERE d.id_location = f.id_location)
+  WHERE id_location IS NOT NULL AND id_location NOT IN
+    (SELECT id_location FROM dim_location WHERE id_location IS NOT NULL)
 UNION ALL SELECT 'fk fact_ads.id_type', CAST(count(*) AS BIGINT) FROM fact_ads f
-  WHERE NOT EXISTS (SELECT 1 FROM dim_type d WHERE d.id_type = f.id_type)
+  WHERE id_type IS NOT NULL AND id_type NOT IN
+    (SELECT id_type FROM dim_type WHERE id_type IS NOT NULL)
 UNION ALL SELECT 'fk fact_ads.id_author', CAST(count(*) AS BIGINT) FROM fact_ads f
-  WHERE NOT EXISTS (SELECT 1 FROM dim_author d WHERE d.id_author = f.id_author)
+  WHERE id_author IS NOT NULL AND id_author NOT IN
+    (SELECT id_author FROM dim_author WHERE id_author IS NOT NULL)
 """, "fact_ads", "dim_author")
 
 
 # --------------------------------------------------------------------------
 # Preparation: quality -> clean -> features
 # --------------------------------------------------------------------------
+# Every character that Unicode counts as white space, listed one by one.
+BLANKS = " || ".join(f"chr({c})" for c in (
+    *range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287,
+    12288))
+
+
 def strip_upper(x: str) -> str:
-    return f"upper(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'))"
+    return f"upper(trim({x}, {BLANKS}))"
 
 
 def blank(x: str) -> str:
-    return f"({x} IS NULL OR regexp_replace({x}, '^\\s+|\\s+$', '', 'g') = '')"
+    return f"({x} IS NULL OR trim({x}, {BLANKS}) = '')"
 
 
-def num_from(x: str, pattern: str) -> str:
-    return f"TRY_CAST(nullif(regexp_extract({x}, '{pattern}', 1), '') AS DOUBLE)"
+def marked(x: str) -> str:
+    """The text with a tilde for every white space character."""
+    return f"translate({x}, {BLANKS}, repeat('~', 25))"
 
 
-def mean6(x: str) -> str:
-    """Spark's avg(decimal(18,2)) -> decimal(22,6), as a double."""
-    return rnd_avg(x, 6)
+def num_from(x: str, pattern: str) -> str:
+    return f"TRY_CAST(nullif(regexp_extract({x}, '{pattern}', 1), '') AS DOUBLE)"
 
 
 TYPE_FIX = """CASE WHEN type IS NULL OR upper(type) = 'AUTRE' THEN
@@ -226,8 +247,8 @@ TYPE_FIX = """CASE WHEN type IS NULL OR upper(type) = 'AUTRE' THEN
   ELSE type END"""
 
 cte("q_fill", f"""SELECT * REPLACE (
-  coalesce(surface, {num_from('title', '(\\d+)\\s*m[²2]')}) AS surface,
-  coalesce(pieces, {num_from('title', '(\\d+)\\s*pièce')}, {num_from('title', '[tT](\\d+)')}) AS pieces,
+  coalesce(surface, {num_from(marked('title'), '(\\d+)~*m[²2]')}) AS surface,
+  coalesce(pieces, {num_from(marked('title'), '(\\d+)~*pièce')}, {num_from('title', '[tT](\\d+)')}) AS pieces,
   {TYPE_FIX} AS type)
 FROM listings""", "listings")
 cte("q_ext", """SELECT * REPLACE (
@@ -249,8 +270,8 @@ cte("c_dedup", """SELECT * EXCLUDE (rn) FROM (SELECT *,
 cte("c_norm", f"""SELECT id_annonce, prix, surface, pieces,
   {strip_upper('type_bien')} AS type_bien, {strip_upper('ville')} AS ville,
   zipcode, region, sha256(agence) AS agence FROM c_dedup""", "c_dedup")
-cte("c_means", f"""SELECT {mean6('prix')} AS m_prix, {mean6('surface')} AS m_surface,
-  {mean6('pieces')} AS m_pieces FROM c_norm""", "c_norm")
+cte("c_means", f"""SELECT {mean('prix')} AS m_prix, {mean('surface')} AS m_surface,
+  {mean('pieces')} AS m_pieces FROM c_norm""", "c_norm")
 cte("clean", """SELECT id_annonce, coalesce(prix, m_prix) AS prix,
   coalesce(surface, m_surface) AS surface, coalesce(pieces, m_pieces) AS pieces,
   type_bien, ville, zipcode, region, agence FROM c_norm, c_means""", "c_norm", "c_means")
@@ -258,12 +279,12 @@ cte("f_bounds", """SELECT quantile_cont(prix, 0.01) AS lo, quantile_cont(prix, 0
 FROM clean WHERE prix IS NOT NULL""", "clean")
 cte("f_trim", """SELECT c.* FROM clean c, f_bounds
 WHERE c.prix IS NOT NULL AND c.prix BETWEEN lo AND hi""", "clean", "f_bounds")
-cte("f_gm", f"SELECT {mean6('prix')} AS gm FROM f_trim", "f_trim")
-cte("encoding", """SELECT ville,
-  (CAST(sum(CAST(round(prix * 100) AS HUGEINT)) AS DOUBLE) / 100 + 20 * any_value(gm))
+cte("f_gm", f"SELECT {mean('prix')} AS gm FROM f_trim", "f_trim")
+cte("encoding", f"""SELECT ville,
+  ({exact_sum('prix')} + 20 * any_value(gm))
     / (count(prix) + 20) AS encoding
 FROM f_trim, f_gm WHERE ville IS NOT NULL GROUP BY ville""", "f_trim", "f_gm")
-TYPE_VOCAB = ["APPARTEMENT", "AUTRE", "MAISON", "PARKING", "TERRAIN"]
+TYPE_VOCAB = ["APPARTEMENT", "AUTRE", "LOFT", "MAISON", "PARKING", "TERRAIN"]
 ONE_HOT = ",\n  ".join(f"coalesce(type_bien = '{v}', false) AS type_bien_{v}" for v in TYPE_VOCAB)
 cte("features", f"""SELECT t.id_annonce, t.prix, t.surface, t.pieces, e.encoding AS ville,
   ln(1 + t.prix) AS prix_log, ln(1 + t.surface) AS surface_log,
@@ -290,7 +311,7 @@ QUERIES["numeric_clean"] = sql("""SELECT id, ordinal, prix_txt, surface_txt, pie
   TRY_CAST(nullif(regexp_replace(replace(replace(replace(replace(lower(pieces_txt), 'm2', ''),
     'm²', ''), '€', ''), ',', '.'), '[^0-9.]', '', 'g'), '') AS DOUBLE) AS pieces
 FROM (SELECT id, ordinal,
-  replace(format('{:,}', CAST(trunc(price) AS BIGINT)), ',', ' ') || ' €' AS prix_txt,
+  replace(replace(format('{:,.2f}', price), ',', ' '), '.', ',') || chr(160) || '€' AS prix_txt,
   CAST(CAST(trunc(surface) AS BIGINT) AS VARCHAR) || ',5 m2' AS surface_txt,
   ' ' || CAST(CAST(trunc(pieces) AS BIGINT) AS VARCHAR) || ' pièces' AS pieces_txt
   FROM listings)""", "listings")
@@ -303,18 +324,20 @@ QUERIES["dedupe_first"] = sql("""SELECT * EXCLUDE (rn) FROM (SELECT *,
                               "listings")
 QUERIES["mean_impute"] = sql(f"""SELECT id, ordinal, coalesce(price, mp) AS price,
   coalesce(surface, ms) AS surface, coalesce(pieces, mq) AS pieces
-FROM listings, (SELECT {mean6('price')} AS mp, {mean6('surface')} AS ms,
-  {mean6('pieces')} AS mq FROM listings)""", "listings")
+FROM listings, (SELECT {mean('price')} AS mp, {mean('surface')} AS ms,
+  {mean('pieces')} AS mq FROM listings)""", "listings")
 QUERIES["clean_listings"] = sql("SELECT * FROM clean", "clean")
 QUERIES["outlier_trim"] = sql("SELECT * FROM f_trim", "f_trim")
 QUERIES["target_encoding"] = sql("SELECT * FROM encoding", "encoding")
 QUERIES["target_encode_apply"] = sql(f"""SELECT l.id, l.ordinal,
-  coalesce(e.encoding, (SELECT avg(encoding) FROM encoding)) AS ville
+  coalesce(e.encoding, (SELECT {mean('encoding')} FROM encoding)) AS ville
 FROM listings l LEFT JOIN encoding e ON {strip_upper('l.city')} = e.ville""",
                                      "listings", "encoding")
 QUERIES["one_hot"] = sql(
     f"SELECT id_annonce, {', '.join('type_bien_' + v for v in TYPE_VOCAB)} FROM features",
     "features")
+QUERIES["features_table"] = sql(f"""SELECT * REPLACE (round(prix_log, 8) AS prix_log,
+  round(surface_log, 8) AS surface_log) FROM features""", "features")
 QUERIES["log_features"] = sql("""SELECT id_annonce, round(prix_log, 8) AS prix_log,
   round(surface_log, 8) AS surface_log FROM features""", "features")
 
@@ -354,7 +377,7 @@ def kpis(where: str) -> str:
   ads_count
 FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n,
   {sorted_list('prix / surface')} AS v2, count(prix / surface) AS n2,
-  count_if(surface > 0) AS npos, count(*) AS ads_count, {mean6('prix')} AS mean
+  count_if(surface > 0) AS npos, count(*) AS ads_count, {mean('prix')} AS mean
   FROM market WHERE {where})""", "market")
 
 
@@ -372,7 +395,7 @@ QUERIES["active_markets"] = sql(f"""SELECT type, type_order, count, mean_price,
   least(95, greatest(70, {trunc_long(f'CAST({R2_PCT} AS DOUBLE) + count / 100')})) AS confidence,
   CAST(count AS VARCHAR) || ' annonces' AS label
 FROM ({per_type(['Appartement', 'Maison', 'Terrain'],
-                f"count(*) AS count, {trunc_long(mean6('prix'))} AS mean_price")})""", "market")
+                f"count(*) AS count, {trunc_long(mean('prix'))} AS mean_price")})""", "market")
 
 QUERIES["type_cards"] = sql(f"""SELECT t.type, t.type_order, coalesce(a.count, 0) AS count,
   a.median_price
@@ -401,7 +424,7 @@ QUERIES["price_histogram_legacy"] = histogram(True)
 def stats_sql(where: str) -> str:
     return sql(f"""SELECT cnt AS count, {trunc_long(pctl('v', 'n', 0.5))} AS median,
   {trunc_long('mean')} AS mean, {trunc_long('mn')} AS min, {trunc_long('mx')} AS max
-FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n, {mean6('prix')} AS mean,
+FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n, {mean('prix')} AS mean,
   min(prix) AS mn, max(prix) AS mx, count(*) AS cnt FROM market WHERE {where})""", "market")
 
 
@@ -480,7 +503,7 @@ QUERIES["city_map"] = sql(f"""SELECT CAST(id AS BIGINT) AS id, lat, lng,
   count, count >= 15 AS active
 FROM (SELECT *, coalesce({trunc_long('m2')}, 0) AS pm2, {trunc_long('avg_price')} AS avg_i,
         row_number() OVER (ORDER BY count DESC, city) AS id FROM (
-  SELECT city, {mean6('price')} AS avg_price, count(*) AS count,
+  SELECT city, {mean('price')} AS avg_price, count(*) AS count,
     avg(CASE WHEN surface > 0 THEN price / surface END) AS m2
   FROM listings WHERE city IS NOT NULL AND price IS NOT NULL
   GROUP BY city ORDER BY count DESC, city LIMIT 30)) top

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -51,6 +52,20 @@ def get_session(app: str = "immolens", master: str | None = None,
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that stored tables go to: ``spark.checkpoint.dir``.
+
+    A cluster must name one that all its executors share; only a session
+    with a local master falls back to a temporary folder.
+    """
+    folder = checkpoint_dir(spark)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return checkpoint_dir(spark, tempfile.mkdtemp(prefix="immolens-"))
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 

@@ -15,7 +15,10 @@ title                      type word, rooms and surface written as text
 
 Real scraped listings are incomplete, so some attributes are left out
 *after* the title is written (the title keeps the truth), following the
-order's own attributes: partially shipped orders (status 'P') state no
+order's own attributes, and typed by hand: AUTOMOBILE titles hold no-break
+spaces and MACHINERY cities are padded with them (HOUSEHOLD cities of the first
+nation are nothing else); AUTOMOBILE orders of priority 4 are lofts, a type
+that nothing announces.  Partially shipped orders (status 'P') state no
 surface, open orders (status 'O') no room count, and customers of the
 HOUSEHOLD segment leave the type as 'Autre'.  BUILDING customers write the
 rooms as 'T<n>'.  Listings of FURNITURE customers are posted twice (a later
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from immolens.sources.tables import table
 
 # Bump when the derivation changes, so stale snapshots are not reused.
-ADAPTER_VERSION = "2"
+ADAPTER_VERSION = "3"
 
 # Listing type by the first digit of the order priority, and
 # the order / customer attributes that shape the raw listings.
@@ -52,6 +55,10 @@ NO_ROOMS_STATUS = "O"
 UNTYPED_SEGMENT = "HOUSEHOLD"
 T_ROOMS_SEGMENT = "BUILDING"
 REPOSTED_SEGMENT = "FURNITURE"
+NO_BREAK_SEGMENT = "AUTOMOBILE"      # writes no-break spaces in titles
+PADDED_SEGMENT = "MACHINERY"         # puts them around the city
+LOFT = ("AUTOMOBILE", "4")           # a type outside the usual five
+NO_BREAK = "\u00a0"
 MAPPED_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
 
 RAW_COLUMNS = ["id", "title", "type", "price", "surface", "pieces", "price_m2",
@@ -97,13 +104,20 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     oid = F.col("o_orderkey")
     status, segment = F.col("o_orderstatus"), F.col("c_mktsegment")
-    type_word = _type_from_priority(F.col("o_orderpriority"))
+    loft = (segment == LOFT[0]) & (F.substring("o_orderpriority", 1, 1) == LOFT[1])
+    type_word = F.when(loft, F.lit("Loft")).otherwise(
+        _type_from_priority(F.col("o_orderpriority")))
+    blank = F.when(segment == NO_BREAK_SEGMENT, F.lit(NO_BREAK)).otherwise(F.lit(" "))
+    name = F.concat(F.col("n_name"), F.lit("_"), segment)
+    city = (F.when(segment == PADDED_SEGMENT, F.concat(F.lit(NO_BREAK), name, F.lit(NO_BREAK)))
+            .when((segment == UNTYPED_SEGMENT) & (F.col("c_nationkey") == 0), F.lit(NO_BREAK))
+            .otherwise(name))
     pieces_txt = F.col("n_lines").cast("string")
     surface_txt = F.col("qty").cast("bigint").cast("string")
     rooms_txt = F.when(segment == T_ROOMS_SEGMENT, F.concat(F.lit("T"), pieces_txt)) \
-                 .otherwise(F.concat(pieces_txt, F.lit(" pièces")))
+                 .otherwise(F.concat(pieces_txt, blank, F.lit("pièces")))
     tail = F.when(F.col("n_lines").isNotNull(),
-                  F.concat(rooms_txt, F.lit(" "), surface_txt, F.lit(" m²")))
+                  F.concat(rooms_txt, F.lit(" "), surface_txt, blank, F.lit("m²")))
 
     surface = F.when(status == NO_SURFACE_STATUS, F.lit(None)).otherwise(F.col("qty")).cast("double")
     # One pass: re-posted listings are emitted twice (copy 1 = the repost).
@@ -119,7 +133,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == NO_ROOMS_STATUS, F.lit(None)).otherwise(F.col("n_lines"))
          .cast("double").alias("pieces"),
         F.try_divide(price, surface).alias("price_m2"),
-        F.concat(F.col("n_name"), F.lit("_"), segment).alias("city"),
+        city.alias("city"),
         F.col("c_custkey").cast("string").alias("zipcode"),
         F.col("r_name").alias("region"),
         F.col("c_name").alias("author"),

@@ -14,21 +14,17 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from immolens.session import checkpoint_dir
+from immolens.session import shared_folder
 
-STORE_VERSION = "1"
-SMALL_TABLE_BYTES = 1 << 30
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    from immolens.operators.stats import estimated_bytes
-    return estimated_bytes(df)
+STORE_VERSION = "2"
 
 # The raw listing columns a snapshot may carry (S2, S5).  Read
 # with this schema no inference pass runs and zipcode stays text ("07200").
@@ -41,37 +37,35 @@ _STORED: dict[tuple, str] = {}
 
 # ------------------------------------------------------------ stored tables
 def stored(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """``build()`` written once (per application, name and key) and read back.
-
-    Without a configured checkpoint folder the lazy ``build()`` is returned.
-    """
-    base = checkpoint_dir(spark)
-    if not base:
-        return build()
+    """``build()`` written once (per application, name and key) and read back,
+    with its own partitioning, whatever its size."""
     ident = (spark.sparkContext.applicationId, name, key, STORE_VERSION)
-    path = _STORED.get(ident)
-    if path is None:
+    if ident not in _STORED:
         tag = hashlib.sha1(repr(ident).encode()).hexdigest()[:16]
-        path = f"{base.rstrip('/')}/immolens/{name}-{tag}"
-        out = build()
-        size = _estimated_bytes(out)
-        if size <= SMALL_TABLE_BYTES:
-            # a small table is spread over up to one file per core (about
-            # 1 MB each) so that later scans run in parallel; large outputs
-            # keep their own partitioning
-            files = max(1, min(spark.sparkContext.defaultParallelism, size // (1 << 20) + 1))
-            out = out.repartition(int(files))
-        out.write.mode("overwrite").parquet(path)
+        path = f"{shared_folder(spark)}/immolens/{name}-{tag}"
+        build().write.mode("overwrite").parquet(path)
         _STORED[ident] = path
-    return spark.read.parquet(path)
+    return spark.read.parquet(_STORED[ident])
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Forget this application's stored tables and empty their folders."""
+    app = spark.sparkContext.applicationId
+    for ident in [i for i in _STORED if i[0] == app]:
+        path = _STORED.pop(ident)
+        spark.read.parquet(path).limit(0).write.mode("overwrite").parquet(f"{path}-cleared")
+        spark.read.parquet(f"{path}-cleared").write.mode("overwrite").parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop filesystem of the path (works for
-    local, HDFS and object-store paths alike)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether the path is there, on any filesystem; no other failure is hidden."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as failure:
+        if failure.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 # ------------------------------------------------------------ raw snapshots
@@ -80,29 +74,34 @@ def list_raw_files(spark: SparkSession, raw_dir: str) -> list[str]:
     first.  Only file metadata is read (the content column is pruned)."""
     if not path_exists(spark, raw_dir):
         raise FileNotFoundError(f"{raw_dir} does not exist")
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
-             .option("recursiveFileLookup", "false").load(raw_dir)
-             .select(F.element_at(F.split("path", "/"), -1).alias("name")))
-    return [r["name"] for r in files.orderBy(F.desc("name")).collect()]
+    return [r["name"] for r in _raw_names(spark, raw_dir).orderBy(F.desc("name")).collect()]
+
+
+def _raw_names(spark: SparkSession, raw_dir: str) -> DataFrame:
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(raw_dir)
+            .select(F.element_at(F.split("path", "/"), -1).alias("name")))
+
+
+def _latest_name(spark: SparkSession, raw_dir: str) -> str | None:
+    """The greatest file name, found without bringing the others to the driver."""
+    return _raw_names(spark, raw_dir).agg(F.max("name")).first()[0]
 
 
 def snapshot_row_count(spark: SparkSession, directory: str, fmt: str = "csv") -> int:
-    """Rows of the latest snapshot in ``directory`` (0 when there is none
-    or it cannot be read).  Counted by Spark, so quoted newlines are handled."""
-    try:
-        if fmt == "csv":
-            return latest_raw_dataframe(spark, directory, schema=RAW_SCHEMA).count()
-        return load_clean(spark, directory).count()
-    except Exception:  # noqa: BLE001 - the panel shows 0 when nothing is there
+    """Rows of the latest snapshot in ``directory``, 0 when there is none;
+    a snapshot that cannot be read raises.  Quoted newlines are handled."""
+    if not path_exists(spark, directory):
         return 0
+    if fmt != "csv":
+        return load_clean(spark, directory).count()
+    latest = _latest_name(spark, directory)
+    return raw_dataframe(spark, directory, latest, schema=RAW_SCHEMA).count() if latest else 0
 
 
 def _resolve(raw_dir: str, filename: str) -> str:
-    if ".csv" not in filename:
-        filename = f"{filename}.csv"
-    if not filename.startswith(raw_dir):
-        filename = os.path.join(raw_dir, filename)
-    return filename
+    """A snapshot is named by its last path component, with or without suffix."""
+    name = filename.rstrip("/").rsplit("/", 1)[-1]
+    return f"{raw_dir.rstrip('/')}/{name if '.csv' in name else name + '.csv'}"
 
 
 def _header_schema(spark: SparkSession, path: str, schema) -> StructType:
@@ -133,15 +132,42 @@ def raw_dataframe(spark: SparkSession, raw_dir: str, filename: str,
         reader = reader.schema(_header_schema(spark, path, schema))
     else:
         reader = reader.option("inferSchema", True)
-    return reader.csv(path).withColumn("ordinal", F.monotonically_increasing_id())
+    return with_ordinal(reader.csv(path))
+
+
+# Bytes of a file that an ordinal can count (2^44), and files above that.
+FILE_BYTES = 1 << 44
+
+
+def with_ordinal(scan: DataFrame) -> DataFrame:
+    """Add ``ordinal``: file order by name, then the place inside the file.
+
+    A row's place is the first byte of its split plus its number in the split,
+    which no later split's first byte reaches: the order of the rows depends
+    neither on how many splits there are nor on which task reads them.  The
+    split table has one row per split.
+    """
+    columns = scan.columns
+    rows = scan.select("*", F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_name").alias("_name"),
+                       F.col("_metadata.file_block_start").alias("_start"),
+                       F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("_file", "_name", "_start").agg(F.min("_id").alias("_first"))
+    splits = splits.select("_file", "_start", "_first", F.dense_rank().over(
+        Window.orderBy("_name", "_file")).cast("long").alias("_rank"))
+    place = F.col("_start") + F.col("_id") - F.col("_first")
+    return (rows.join(splits, ["_file", "_start"])
+            .select(*columns, ((F.col("_rank") - 1) * FILE_BYTES + place).alias("ordinal")))
 
 
 def latest_raw_dataframe(spark: SparkSession, raw_dir: str, **kw) -> DataFrame:
     """S3: the snapshot with the greatest file name."""
-    files = list_raw_files(spark, raw_dir)
-    if not files:
+    if not path_exists(spark, raw_dir):
+        raise FileNotFoundError(f"{raw_dir} does not exist")
+    latest = _latest_name(spark, raw_dir)
+    if latest is None:
         raise FileNotFoundError(f"no .csv snapshot in {raw_dir}")
-    return raw_dataframe(spark, raw_dir, files[0], **kw)
+    return raw_dataframe(spark, raw_dir, latest, **kw)
 
 
 def load_raw(spark: SparkSession, raw_dir: str, filename: str | None = None, **kw) -> DataFrame:
@@ -170,11 +196,13 @@ def write_clean(df: DataFrame, clean_dir: str, snapshot_date: str, fmt: str = "p
 
 
 def load_clean(spark: SparkSession, clean_dir: str, snapshot_date: str | None = None) -> DataFrame:
-    """The given or latest ``snapshot_date`` partition (partition pruning:
-    only that folder is scanned)."""
+    """The given or latest ``snapshot_date`` partition.  The latest is the
+    greatest folder name of the listing that the read makes anyway, and only
+    that folder is scanned."""
     df = spark.read.parquet(clean_dir)
     if snapshot_date is None:
-        snapshot_date = df.agg(F.max("snapshot_date")).first()[0]
+        snapshot_date = max((m[1] for f in df.inputFiles()
+                             if (m := re.search(r"/snapshot_date=([^/]+)/", f))), default=None)
     return df.where(F.col("snapshot_date") == F.lit(snapshot_date)).drop("snapshot_date")
 
 
@@ -209,8 +237,6 @@ def save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
 
 def load_metrics(spark: SparkSession, path: str) -> dict:
     """The stored metrics, or nulls when nothing was trained yet."""
-    try:
-        row = spark.read.schema(METRICS_SCHEMA).json(path).first()
-    except Exception:  # noqa: BLE001 - a missing folder means "not trained"
-        row = None
+    row = (spark.read.schema(METRICS_SCHEMA).json(path).first()
+           if path_exists(spark, path) else None)
     return row.asDict() if row else {"mae": None, "rmse": None, "r2": None, "method": None}
