@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from immolens.llm.common import table
-from immolens.llm.terms import coded_words, letters
+from immolens.llm.terms import NOT_LETTERS, coded_words, letters
 from immolens.llm.tokens import slices
 
 TERMS = 1 << 16             # hashed terms
@@ -56,6 +57,13 @@ def term(own: str) -> int:
     return zlib.crc32(own.encode("utf-8", "replace")) % TERMS if own else -1
 
 
+def hashed(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words' letters and hashed terms."""
+    own = [w if w.isalpha() else NOT_LETTERS.sub("", w) for w in words]
+    terms = np.fromiter(map(zlib.crc32, map(str.encode, own)), np.int64, len(own)) % TERMS
+    return own, np.where(np.fromiter(map(bool, own), bool, len(own)), terms, -1)
+
+
 def words_of(text: str | None) -> list[str]:
     return [x for w in (text or "").lower().split() if (x := letters(w))]
 
@@ -81,7 +89,7 @@ def term_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
             rows += b.num_rows
             for begin, end in slices(b.column(0)):
                 words, codes, ends = coded_words(b.column(0).slice(begin, end - begin))
-                own = np.fromiter(map(term, map(letters, words)), np.int64, len(words))[codes]
+                own = hashed(words)[1][codes]
                 doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 both = pd.unique((doc * TERMS + own)[own >= 0])
                 counts += np.bincount(both % TERMS, minlength=TERMS)
@@ -243,9 +251,8 @@ class Queries:
         """(row, item, cosine, share of the passage) of every match; the best one
         of a row and an item."""
         words, codes, ends = coded_words(texts)
-        words = list(map(letters, words))
-        own = np.fromiter(map(term, words), np.int64, len(words))
-        number = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int64, len(words))
+        words, own = hashed(words)
+        number = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         weight = np.where(own >= 0, self.weights[own], 0).astype(np.float32)
         # words without a letter don't count as places
         if (own < 0).any():
