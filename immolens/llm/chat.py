@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from immolens.llm.common import table, written
+from immolens.llm.common import lean, table, written
 
 LOSS_ROLE = "assistant"
 MARKED = "\\\\<>\\[\\]"                       # characters that are escaped, for a pattern
@@ -207,6 +207,7 @@ def read_turns(formatted: DataFrame) -> DataFrame:
 def digests(read: DataFrame) -> DataFrame:
     """One row per conversation.  Turns are dealt by conversation and sorted; a
     task streams them, so a conversation of any length takes no more memory."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list = []
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,5 +59,17 @@ def worker_cache(name: str, make):
     return kept[name]
 
 
+def lean(run):
+    """``run``, after which the worker hands the memory it no longer needs back:
+    workers go on to other tasks, and what they hold adds up on an executor."""
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def ddl(text: str) -> StructType:
     return StructType.fromDDL(text)

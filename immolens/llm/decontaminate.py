@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from immolens.llm.common import table
+from immolens.llm.common import lean, table
 from immolens.llm.terms import NOT_LETTERS, coded_words, letters
 from immolens.llm.tokens import slices
 
@@ -49,6 +49,7 @@ MIN_ANSWER = 0.5
 BLOCK_PASSAGES = 4_096
 FREQUENT = 1_024            # words of a batch that are multiplied as a matrix
 CELLS = 1 << 22             # of a matrix at a time
+SLICE_BYTES = 8 << 20       # text searched together, unless one text is longer
 SEED = 10
 
 
@@ -83,6 +84,7 @@ def passages(item_id, text: str | None) -> list[tuple]:
 # ------------------------------------------------------------------- weights
 def term_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
     """IDF of every hashed term over all documents (``TERMS`` rows come back)."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(TERMS, np.int64), 0
         for b in batches:
@@ -130,6 +132,7 @@ def _product(benchmark: DataFrame, weights: np.ndarray, basis: dict | None, widt
         return np.stack([np.random.default_rng([SEED, int(t)]).standard_normal(width)
                          for t in terms]) if len(terms) else np.zeros((0, width))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
@@ -324,9 +327,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, cosine double, lcs double"
     out = None
     for queries in query_blocks(docs, benchmark):
+        @lean
         def run(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for begin, end in slices(b.column(1)):
+                for begin, end in slices(b.column(1), SLICE_BYTES):
                     got = queries.matches(b.column(1).slice(begin, end - begin))
                     d, item, cosine, share = zip(*got, strict=True) if got else ((),) * 4
                     yield pa.RecordBatch.from_arrays(
@@ -346,10 +350,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for queries in list(query_blocks(docs, benchmark)):
         place = docs.columns.index("text")
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 stay = np.ones(b.num_rows, bool)
-                for begin, end in slices(b.column(place)):
+                for begin, end in slices(b.column(place), SLICE_BYTES):
                     for d, *_ in queries.matches(b.column(place).slice(begin, end - begin)):
                         stay[begin + d] = False
                 yield b.filter(pa.array(stay))

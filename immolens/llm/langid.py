@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from immolens.llm.common import id_hash, table
+from immolens.llm.common import id_hash, lean, table
 
 SAMPLE_ROWS = 300           # labelled rows learned from, per language
 SAMPLE_CHARS = 1_500        # of each such row
@@ -100,6 +100,7 @@ def predict(docs: DataFrame, dicts: dict[str, bytes], key: str = "doc_id",
 
     The dictionaries travel with the task: languages x ``DICT_BYTES``.
     """
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _predictor(dicts)
         for b in batches:
@@ -118,6 +119,7 @@ def accepted(docs: DataFrame, dicts: dict[str, bytes], text: str = "text") -> Da
     """The rows that are not rejected, with all their columns."""
     place = docs.columns.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _predictor(dicts)
         for b in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from immolens.llm import tokens
-from immolens.llm.common import table, written
+from immolens.llm.common import lean, table, written
 
 WINDOW = 4096
 UNIT = 64                   # piece lengths are counted in units of this many tokens
@@ -169,6 +169,7 @@ class Plan:
 def tokenized(docs: DataFrame, path: str, end_id: int, window: int, unit: int,
               kind: str) -> DataFrame:
     """Ids and lengths, numbered inside the task that wrote them."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokens.encoder(path), TaskContext.get().partitionId()
         seen, full, tail = [0] * (window // unit), 0, 0
@@ -230,6 +231,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, window:
     full_base, tail_base = np.cumsum(full) - full, np.cumsum(tail) - tail
     schema = PIECES + (", ids binary" if with_ids else "")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from immolens.llm.common import table, written
+from immolens.llm.common import lean, table, written
 from immolens.llm.graph import components
 
 SHINGLE = 3                 # words
@@ -62,6 +62,7 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 def fingerprints(docs: DataFrame, width: int = SHINGLE, text: str = "text",
                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and ``fp``, one row per input row."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [fingerprint(t.as_py(), width) for t in b.column(len(keep))]
@@ -172,6 +173,7 @@ def shard_keys(values: np.ndarray, radius: int) -> np.ndarray:
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all that are at
     most ``radius`` bits apart."""
+    @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False)
@@ -180,6 +182,7 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 [pa.array(keys.reshape(-1).view(np.int64)),
                  pa.array(np.repeat(fps, keys.shape[1]))], names=["shard", "fp"])
 
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_v = np.empty(0, np.int64), np.empty(0, np.int64)
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from immolens.llm.common import ddl, shared_folder, table, written
+from immolens.llm.common import ddl, lean, shared_folder, table, written
 
 DEPTH = 200                 # bytes of a repeated string
 TRIGGER = 104               # bytes of a trigger
@@ -152,6 +152,7 @@ def _stored_texts(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFram
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*keep).alias("row"),
                        F.col(text).cast("binary").alias("body"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
@@ -167,6 +168,7 @@ def _stored_texts(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFram
 
 def _triggers(texts: DataFrame) -> DataFrame:
     """(u, n): a trigger and how often it occurs among a slice's texts (2: twice or more)."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, p in unpacked(b.column(0)):
@@ -179,6 +181,7 @@ def _triggers(texts: DataFrame) -> DataFrame:
 
 def _places(texts: DataFrame) -> DataFrame:
     """(u, rid, t) of every trigger that suffixes begin at."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid = b.column(0).to_numpy()
@@ -195,6 +198,7 @@ def _runs(texts: DataFrame, listed: DataFrame, level: int) -> DataFrame:
     into runs of the level's size."""
     size, before = LEVELS[level], LEVELS[max(0, level - 1)]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid = b.column(0).to_numpy()
@@ -278,6 +282,7 @@ def removed(docs: DataFrame, keep: tuple[str, ...], text: str = "text",
                  + (f", kept {kept}" if kept else ""))
     schema = type(schema)([joined.schema["row"], *schema.fields])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:

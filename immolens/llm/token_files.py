@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from immolens.llm import tokens
-from immolens.llm.common import scratch_path, table, written
+from immolens.llm.common import lean, scratch_path, table, written
 
 BLOCK_TOKENS = 1 << 19
 LANES = 1024
@@ -156,6 +156,7 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame
                .repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
                .select("doc_id", "text"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokens.encoder(path), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
@@ -194,6 +195,7 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame
 def corpus_table(blocks: DataFrame, kind: str = "<u4") -> Table:
     """Counts of every id of every block: one row per id and task is shuffled,
     one row per id (the vocabulary bounds it) comes to the driver."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for b in batches:
@@ -224,6 +226,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None,
     blocks = _raw_blocks(docs, path, end_id, kind)
     shared = corpus_table(blocks, kind)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -267,6 +270,7 @@ def read_tokens(spark, folder: str, with_ids: bool = False) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (
         ", ids binary" if with_ids else "")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = shared.symbols()
         for b in batches:

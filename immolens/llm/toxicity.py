@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from immolens.llm.common import id_hash, table, written
+from immolens.llm.common import id_hash, lean, table, written
 from immolens.llm.terms import coded_words, letters
 from immolens.llm.tokens import slices
 
@@ -104,6 +104,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], dict[int, f
               .where(F.col("r") <= SAMPLE_ROWS).select("doc_id", "toxic"))
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for begin, end in slices(b.column(2)):
@@ -181,6 +182,7 @@ def learn(rows: list[tuple[int, int, list[int]]], value: dict[int, float]) -> Ma
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """doc_id and score, one row per input row; the machine travels with the task
     (its buckets are bounded by the sample)."""
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for begin, end in slices(b.column(1)):

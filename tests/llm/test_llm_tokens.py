@@ -42,7 +42,7 @@ def test_ids_are_the_librarys_for_any_text(texts):
         assert ids[at[i]:at[i + 1]].tolist() == expected(own.library, text, 7)
 
 
-def test_word_table_is_emptied_when_full(monkeypatch, library):
+def test_word_table_is_bounded(monkeypatch, library):
     monkeypatch.setattr(tokens, "KEPT_WORDS", 3)
     own = tokens.WordEncoder(PATH)
     for text in ("one two three", "four five two", "one six"):
