@@ -59,10 +59,14 @@ def worker_cache(name: str, make):
     return kept[name]
 
 
-def lean(run):
-    """``run``, after which the worker hands the memory it no longer needs back:
+def lean(run, keep: tuple[str, ...] = ()):
+    """``run``, before which the worker drops what tasks of other kinds have kept,
+    but for ``keep``, and after which it hands the memory it no longer needs back:
     workers go on to other tasks, and what they hold adds up on an executor."""
     def wrapped(batches):
+        kept = sys.__dict__.get("_llm_worker_cache", {})
+        for name in [n for n in kept if n not in keep]:
+            del kept[name]
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":

@@ -169,7 +169,7 @@ class Plan:
 def tokenized(docs: DataFrame, path: str, end_id: int, window: int, unit: int,
               kind: str) -> DataFrame:
     """Ids and lengths, numbered inside the task that wrote them."""
-    @lean
+    @tokens.encoding(path)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokens.encoder(path), TaskContext.get().partitionId()
         seen, full, tail = [0] * (window // unit), 0, 0

@@ -156,7 +156,7 @@ def _raw_blocks(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame
                .repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
                .select("doc_id", "text"))
 
-    @lean
+    @tokens.encoding(path)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokens.encoder(path), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []

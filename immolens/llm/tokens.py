@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from immolens.llm.common import worker_cache
+from immolens.llm.common import lean, worker_cache
 
-KEPT_WORDS = 600_000            # of a worker's table; later words are looked up each time
+KEPT_WORDS = 400_000            # of a worker's table; later words are looked up each time
 SLICE_BYTES = 16 << 20          # text encoded together, unless one text is longer
 GATHERED = 1 << 17              # words put together at a time
 MARKS = ".,!?;:*%$&#"           # neither letters nor digits nor apostrophes
@@ -146,6 +146,11 @@ def encoder(path: str) -> WordEncoder:
     return worker_cache(f"tokenizer {path}", lambda: WordEncoder(path))
 
 
+def encoding(path: str):
+    """``lean`` for tasks that use this worker's encoder."""
+    return lambda run: lean(run, keep=(f"tokenizer {path}",))
+
+
 def slices(texts: pa.Array, size: int = SLICE_BYTES):
     """(begin, end) of rows that are handled together."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False),
