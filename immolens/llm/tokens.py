@@ -165,4 +165,7 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES):
 
 def id_type(path: str) -> str:
     """The narrowest type that holds every id of the tokenizer."""
-    return "<u2" if len(encoder(path).ends) <= 1 << 16 else "<u4"
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    top = max([*own["model"]["vocab"].values(), *(t["id"] for t in own["added_tokens"])])
+    return "<u2" if top < 1 << 16 else "<u4"
