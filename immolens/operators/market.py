@@ -14,6 +14,8 @@ filtered scans.  Top-k lists carry a name tie-break.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,6 @@ ROOM_OPTIONS = ["Toutes pièces", "1-2 pièces", "3-4 pièces", "5-6 pièces", "
 MARKET_TYPES = ["Appartement", "Maison", "Terrain"]
 CARD_TYPES = ["Appartement", "Maison"]
 STAT_TYPES = ["Appartement", "Maison", "Terrain", "Autre", "Parking"]
-DEFAULT_R2 = 0.7815
 HISTOGRAM_MIN_STEP = 50000
 TOP_CITIES = 10
 TOP_CITY_MIN_COUNT = 3
@@ -97,21 +98,6 @@ def enrich_by_id(features: DataFrame, raw: DataFrame, key: str = "id_annonce") -
 
 
 # ------------------------------------------------------------------ filters
-def filter_by_type(df: DataFrame, type_str: str | None) -> DataFrame:
-    """through the one-hot flag; 'Tous', empty or unknown = no filter."""
-    if not type_str or type_str == ALL_TYPES:
-        return df
-    col = TYPE_COL_MAP.get(type_str)
-    return df.where(F.col(col)) if col and col in df.columns else df
-
-
-def filter_by_region(df: DataFrame, region: str | None) -> DataFrame:
-    """'France entière' or empty = no filter."""
-    if not region or region == ALL_REGIONS or "region" not in df.columns:
-        return df
-    return df.where(F.col("region") == F.lit(region))
-
-
 def _parse_number(text):
     if text is None or not str(text).strip():
         return None
@@ -121,26 +107,45 @@ def _parse_number(text):
         return None
 
 
+def panel_filter(df: DataFrame, type_str: str | None = None, region: str | None = None,
+                 zone: str | None = None, smin=None, smax=None, rooms: str | None = None
+                 ) -> DataFrame:
+    """One predicate from a panel's parameters, for every panel.
+
+    A parameter that is empty, a sentinel ('Tous', 'France entière', ...),
+    not a number where one is needed, or about a column that is not there
+    asks for nothing.  Types go through their flags, cities are
+    case-sensitive, surface bounds are inclusive, and fractional room counts
+    fall between the room buckets.
+    """
+    low, high = ROOM_BUCKETS.get(rooms, (None, None))
+    asked = [
+        (TYPE_COL_MAP.get(type_str), lambda c: c, type_str not in (None, "", ALL_TYPES)),
+        ("region", lambda c: c == region, region not in (None, "", ALL_REGIONS)),
+        ("city", lambda c: c == zone, zone not in (None, "", ALL_CITIES)),
+        ("surface", lambda c: c >= _parse_number(smin), _parse_number(smin) is not None),
+        ("surface", lambda c: c <= _parse_number(smax), _parse_number(smax) is not None),
+        ("pieces", lambda c: c >= low, low is not None),
+        ("pieces", lambda c: c <= high, high is not None),
+    ]
+    wanted = [test(F.col(name)) for name, test, given in asked if given and name in df.columns]
+    return df.where(reduce(lambda x, y: x & y, wanted)) if wanted else df
+
+
+def filter_by_type(df: DataFrame, type_str: str | None) -> DataFrame:
+    """F4."""
+    return panel_filter(df, type_str)
+
+
+def filter_by_region(df: DataFrame, region: str | None) -> DataFrame:
+    """F5."""
+    return panel_filter(df, region=region)
+
+
 def filter_analysis(df: DataFrame, zone=ALL_CITIES, type_str=ALL_TYPES, smin=None, smax=None,
                     rooms=ALL_ROOMS) -> DataFrame:
-    """F4, F6 (city, case-sensitive), F7 (inclusive surface bounds, text
-    parameters, blank or non-numeric ignored), F8 (room buckets; fractional
-    imputed values fall between buckets)."""
-    out = filter_by_type(df, type_str)
-    if zone and zone != ALL_CITIES and "city" in out.columns:
-        out = out.where(F.col("city") == F.lit(zone))
-    lo, hi = _parse_number(smin), _parse_number(smax)
-    if lo is not None:
-        out = out.where(F.col("surface") >= F.lit(lo))
-    if hi is not None:
-        out = out.where(F.col("surface") <= F.lit(hi))
-    if rooms and rooms != ALL_ROOMS and "pieces" in out.columns and rooms in ROOM_BUCKETS:
-        rmin, rmax = ROOM_BUCKETS[rooms]
-        if rmin is not None:
-            out = out.where(F.col("pieces") >= F.lit(rmin))
-        if rmax is not None:
-            out = out.where(F.col("pieces") <= F.lit(rmax))
-    return out
+    """F4, F6-F8."""
+    return panel_filter(df, type_str, zone=zone, smin=smin, smax=smax, rooms=rooms)
 
 
 def room_bucket(col: str = "pieces") -> Column:
@@ -192,18 +197,21 @@ def _per_type(df: DataFrame, types: list[str], measures) -> DataFrame:
     return long.groupBy("_t.type", "_t.type_order").agg(*measures)
 
 
-def active_markets(df: DataFrame, r2: float = DEFAULT_R2) -> DataFrame:
+def active_markets(df: DataFrame, r2: float | None = None) -> DataFrame:
     """Count, mean price and confidence per market type; empty types are
-    omitted.  ``confidence = min(95, max(70, int(100*r2 + n/100)))``."""
+    omitted.  ``confidence = min(95, max(70, int(100*r2 + n/100)))``, null
+    while no model has been trained (``r2`` is None)."""
     agg = _per_type(df, MARKET_TYPES, [F.count(F.lit(1)).alias("count"),
                                        trunc_long(exact_avg("prix")).alias("mean_price")])
     if agg is None:
         return df.sparkSession.createDataFrame(
             [], "type string, type_order int, count long, mean_price long, confidence long, "
                 "label string")
-    conf = trunc_long(F.lit(float(r2) * 100) + F.col("count") / F.lit(100))
+    known = trunc_long(F.lit(float(r2 or 0) * 100) + F.col("count") / F.lit(100))
+    confidence = (F.least(F.lit(95), F.greatest(F.lit(70), known)) if r2 is not None
+                  else F.lit(None)).cast("long")
     return (agg.select("type", "type_order", "count", "mean_price",
-                       F.least(F.lit(95), F.greatest(F.lit(70), conf)).alias("confidence"),
+                       confidence.alias("confidence"),
                        F.concat(F.col("count").cast("string"), F.lit(" annonces")).alias("label"))
             .orderBy("type_order").limit(3))
 
@@ -241,8 +249,8 @@ def type_cards(df: DataFrame) -> DataFrame:
 
 
 def histogram_step(p_min: int, p_max: int) -> int:
-    return max(HISTOGRAM_MIN_STEP,
-               int((p_max - p_min) / 8 / HISTOGRAM_MIN_STEP) * HISTOGRAM_MIN_STEP) or HISTOGRAM_MIN_STEP
+    """An eighth of the price span, in whole minimal steps, at least one."""
+    return HISTOGRAM_MIN_STEP * max(1, (p_max - p_min) // (8 * HISTOGRAM_MIN_STEP))
 
 
 def price_histogram(df: DataFrame, col: str = "prix", legacy_edge: bool = False) -> DataFrame:
@@ -270,11 +278,10 @@ def price_histogram(df: DataFrame, col: str = "prix", legacy_edge: bool = False)
 def dashboard(df: DataFrame, type_str: str = ALL_TYPES, region: str = ALL_REGIONS,
               metrics: dict | None = None) -> dict[str, DataFrame]:
     """B1: the dashboard panel parts for a type and a region; ``metrics``
-    are the stored model metrics (S16; the published R² when absent)."""
+    are the stored model metrics (S16), empty while nothing is trained."""
     metrics = metrics or {}
-    r2 = metrics.get("r2") if metrics.get("r2") is not None else DEFAULT_R2
-    f = filter_by_region(filter_by_type(df, type_str), region)
-    return {"kpis": dashboard_kpis(f), "active_markets": active_markets(f, r2),
+    f = panel_filter(df, type_str, region)
+    return {"kpis": dashboard_kpis(f), "active_markets": active_markets(f, metrics.get("r2")),
             "type_cards": type_cards(f), "price_histogram": price_histogram(f),
             "model": metrics_display(df.sparkSession, metrics)}
 
@@ -349,7 +356,7 @@ def top_cities_m2(raw: DataFrame, type_str: str = ALL_TYPES, k: int = TOP_CITIES
 def analysis(df: DataFrame, raw: DataFrame, zone=ALL_CITIES, type_str=ALL_TYPES,
              smin=None, smax=None, rooms=ALL_ROOMS) -> dict[str, DataFrame]:
     """B2: filtered statistics; the top cities obey only the type filter."""
-    f = filter_analysis(df, zone, type_str, smin, smax, rooms)
+    f = panel_filter(df, type_str, zone=zone, smin=smin, smax=smax, rooms=rooms)
     return {"stats": analysis_stats(f), "quartiles": analysis_quartiles(f),
             "type_stats": analysis_type_stats(f), "top_cities": top_cities_m2(raw, type_str)}
 
@@ -379,14 +386,19 @@ def option_lists(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> Dat
     """Dropdown options as ``(list, position, value)``: sentinel first,
     then sorted regions / frequent cities / fixed types and room buckets."""
     spark = raw.sparkSession
-    regions = (raw.where(F.col("region").isNotNull()).select("region").distinct()
+    # numbered per first letter, and shifted by the letters before it
+    named = (raw.where(F.col("region").isNotNull()).groupBy("region").agg(F.lit(1).alias("one"))
+             .select("region", F.substring("region", 1, 1).alias("letter")))
+    before = named.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).select(
+        "letter", (F.sum("n").over(Window.orderBy("letter")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("letter").orderBy("region"))
+    regions = (named.join(before, "letter")
                .select(F.lit("regions").alias("list"),
-                       (F.row_number().over(Window.orderBy("region")) + 1).alias("position"),
+                       (F.col("before") + place + 1).alias("position"),
                        F.col("region").alias("value")))
-    cities = (city_frequency(raw, k)
-              .select(F.lit("cities").alias("list"),
-                      (F.row_number().over(Window.orderBy(F.desc("count"), "city")) + 1)
-                      .alias("position"), F.col("city").alias("value")))
+    cities = city_frequency(raw, k).agg(F.collect_list("city").alias("all")).select(
+        F.lit("cities").alias("list"), F.posexplode("all").alias("position", "value")) \
+        .withColumn("position", F.col("position") + 2)
     fixed = [("regions", 1, ALL_REGIONS), ("cities", 1, ALL_CITIES)]
     fixed += [("property_types", i + 1, t) for i, t in enumerate(PROPERTY_TYPES)]
     if "pieces" in df.columns:
@@ -396,6 +408,24 @@ def option_lists(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> Dat
             .unionByName(cities.withColumn("position", F.col("position").cast("int"))))
 
 
+def scoring_options(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> DataFrame:
+    """Everything the scoring form offers, in one result ``(list,
+    position, value)``: city labels, property types, input ranges."""
+    labels = (city_labels(raw, k).orderBy(F.desc("count"), "city")
+              .agg(F.collect_list("label").alias("all"))
+              .select(F.lit("cities").alias("list"), F.posexplode("all").alias("position", "value"))
+              .withColumn("position", F.col("position") + 1))
+    ranges = input_ranges(df)
+    limits = ranges.select(F.inline(F.array(*[
+        F.struct(F.lit("ranges").alias("list"), F.lit(i + 1).alias("position"),
+                 F.concat(F.lit(f"{c}="), F.col(c).cast("string")).alias("value"))
+        for i, c in enumerate(ranges.columns)])))
+    types = raw.sparkSession.createDataFrame(
+        [("types", i + 1, t) for i, t in enumerate(PROPERTY_TYPES[1:])],
+        "list string, position int, value string")
+    return types.unionByName(labels).unionByName(limits)
+
+
 def input_ranges(df: DataFrame) -> DataFrame:
     """Surface q01-q99 and rooms 1-q99 (truncated), defaults when empty."""
     spark = df.sparkSession
@@ -433,7 +463,8 @@ def city_map(raw: DataFrame, coords: DataFrame | None = None, k: int = MAP_CITIE
     avg_m2 = F.coalesce(trunc_long("m2"), F.lit(0))
     avg = trunc_long("avg_price")
     tier = F.when(avg_m2 <= t1, "cheap").when(avg_m2 <= t2, "mid").otherwise("expensive")
-    return (top.join(F.broadcast(coords.select("city", "lat", "lng")), "city", "inner")
+    # the top (at most ``k`` rows) is the side to broadcast, coordinates may be many
+    return (F.broadcast(top).join(coords.select("city", "lat", "lng"), "city", "inner")
             .select(F.col("id").cast("long").alias("id"), "lat", "lng",
                     F.when(avg_m2 > 0, avg_m2).otherwise(avg).alias("weight"),
                     avg_m2.alias("price_m2"), "city",

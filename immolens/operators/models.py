@@ -8,6 +8,9 @@ quality figures are comparable in kind, not equal.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -29,9 +32,9 @@ REGRESSION_RAW = dict(maxIter=200, stepSize=0.1, maxDepth=7, subsamplingRate=0.8
                       featureSubsetStrategy="0.8", seed=42)
 REGRESSION_LOG = dict(REGRESSION_RAW, maxIter=300)
 CLASSIFIER = dict(maxIter=200, stepSize=0.1, maxDepth=6, seed=42)
-# Long boosting runs: keep node ids cached and cut the lineage every 10
-# iterations (MLlib checkpoints into the shared spark.checkpoint.dir).
-TRAINING_RUNTIME = dict(cacheNodeIds=True, checkpointInterval=10)
+# Long boosting runs cut their lineage every 10 iterations (MLlib checkpoints
+# into the shared spark.checkpoint.dir).
+TRAINING_RUNTIME = dict(checkpointInterval=10)
 FEATURE_LABELS = {
     "ville": "Ville (Target Encoded)",
     "surface": "Surface (m²)",
@@ -60,8 +63,10 @@ def _relabel(model: PipelineModel):
 
 
 def fit_clustering(df: DataFrame, n_cluster: int = 8, cols=None, seed: int = 42) -> PipelineModel:
-    """M5: ``VectorAssembler`` + ``KMeans(k, seed)`` on the given columns."""
-    cols = list(cols or CLUSTER_COLUMNS)
+    """M5: ``VectorAssembler`` + ``KMeans(k, seed)`` on the given columns, by
+    default those of ``CLUSTER_COLUMNS`` that there are (a type that no listing
+    has gives no flag)."""
+    cols = list(cols or [c for c in CLUSTER_COLUMNS if c in df.columns])
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=cols, outputCol="_cluster_features"),
         KMeans(k=n_cluster, seed=seed, featuresCol="_cluster_features",
@@ -110,18 +115,17 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
                        use_log: bool = False) -> DataFrame:
     """MAE and RMSE (2 dp), R² (4 dp), after ``expm1`` for log targets.
 
-    Two aggregate passes (the label mean, then the sums), both distributed.
+    One aggregate pass: the total is the label's variance times the count.
     """
     y, p = F.col(label), F.col(prediction)
     if use_log:
         y, p = F.expm1(y), F.expm1(p)
     d = pred.select(y.alias("y"), p.alias("p"))
-    mean_y = d.agg(F.avg("y")).first()[0]
     return d.agg(
         F.round(F.avg(F.abs(F.col("y") - F.col("p"))), 2).alias("mae"),
         F.round(F.sqrt(F.avg((F.col("y") - F.col("p")) ** 2)), 2).alias("rmse"),
         F.round(F.lit(1.0) - F.sum((F.col("y") - F.col("p")) ** 2)
-                / F.sum((F.col("y") - F.lit(mean_y)) ** 2), 4).alias("r2"))
+                / (F.var_pop("y") * F.count("y")), 4).alias("r2"))
 
 
 def classification_metrics(pred: DataFrame, label: str = "label",
@@ -158,6 +162,13 @@ def median_label(df: DataFrame, col: str = "prix"):
     return df.withColumn("label", (F.col(col) > F.lit(med)).cast("int")), med
 
 
+def together(*fits) -> list:
+    """Results of independent fits, run at the same time: boosting is a long
+    chain of short jobs, and a cluster has room for several chains."""
+    with ThreadPoolExecutor(len(fits)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(fit)) for fit in fits]]
+
+
 def _gbt_regression(train, test, cols, target, params, use_log):
     checkpoint_dir(train.sparkSession)
     model = GBTRegressor(featuresCol="features", labelCol=target,
@@ -173,10 +184,9 @@ def train_regressions(df: DataFrame, raw_params=None, log_params=None) -> dict:
     cols = feature_columns(df)
     train, test = split(df)
     train = train.persist()
-    raw_model, raw_m = _gbt_regression(train, test, cols, "prix",
-                                       raw_params or REGRESSION_RAW, False)
-    log_model, log_m = _gbt_regression(train, test, cols, "prix_log",
-                                       log_params or REGRESSION_LOG, True)
+    (raw_model, raw_m), (log_model, log_m) = together(
+        lambda: _gbt_regression(train, test, cols, "prix", raw_params or REGRESSION_RAW, False),
+        lambda: _gbt_regression(train, test, cols, "prix_log", log_params or REGRESSION_LOG, True))
     train.unpersist()
     if raw_m["r2"] > log_m["r2"]:
         best, method, best_m = raw_model, "prix_brut", raw_m
@@ -215,8 +225,10 @@ def train_models(df: DataFrame, raw_params=None, log_params=None, clf_params=Non
     """
     if not enough_rows(df, min_rows):
         return {}
-    return {**train_regressions(df, raw_params, log_params),
-            **train_classifier(df, clf_params)}
+    checkpoint_dir(df.sparkSession)
+    regressions, classifier = together(lambda: train_regressions(df, raw_params, log_params),
+                                       lambda: train_classifier(df, clf_params))
+    return {**regressions, **classifier}
 
 
 def results_frame(spark, results: dict) -> DataFrame:
@@ -236,14 +248,32 @@ def feature_importance(spark, model, cols: list[str], min_pct: float = 0.5) -> D
     """Share of total importance in % (1 dp), above ``min_pct``, labelled,
     sorted descending (J10, L4, C17).  One row per feature (bounded)."""
     imp = model.featureImportances.toArray()
-    total = float(sum(imp)) or 1.0
-    rows = [(c, FEATURE_LABELS.get(c, c), float(v) / total * 100.0) for c, v in zip(cols, imp)]
-    df = spark.createDataFrame(rows, "feature string, name string, share double")
-    return (df.where(F.col("share") > min_pct)
-            .select("feature", "name", F.round("share", 1).alias("pct"))
+    weights = spark.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)],
+                                    "feature string, weight double")
+    return importance_shares(weights, min_pct)
+
+
+def importance_shares(weights: DataFrame, min_pct: float = 0.5) -> DataFrame:
+    """J10, L4, C17 for any ``(feature, weight)`` table, one row per feature."""
+    total = weights.agg(F.sum("weight")).first()[0] or 1.0
+    share = F.col("weight") / F.lit(float(total)) * 100.0
+    label = F.col("feature")
+    for name, text in FEATURE_LABELS.items():
+        label = F.when(F.col("feature") == name, F.lit(text)).otherwise(label)
+    return (weights.where(share > min_pct)
+            .select("feature", label.alias("name"), F.round(share, 1).alias("pct"))
             .orderBy(F.desc("pct"), "feature"))
 
 
+def nearest_centre(df: DataFrame, centres: list[tuple], cols: list[str]) -> DataFrame:
+    """M6 for given centres: add ``cluster``, the index of the nearest one
+    (the first of equally near ones)."""
+    far = [sum(((F.col(c).cast("double") - F.lit(float(x))) ** 2 for c, x in zip(cols, centre)),
+               F.lit(0.0)) for centre in centres]
+    return df.withColumn("cluster", (F.array_position(F.array(*far), F.least(*far)) - 1).cast("int")
+                         if len(far) > 1 else F.lit(0))
+
+
 def hyperparameters(spark, model) -> DataFrame:
     """The five boosting settings of a fitted model, one row."""
     get = model.getOrDefault

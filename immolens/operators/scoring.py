@@ -85,6 +85,21 @@ def score(requests: DataFrame, encoding: DataFrame, cluster_model, model,
         F.col("cluster"))
 
 
+def score_given(requests: DataFrame, features: DataFrame, prediction: str, key: str,
+                r2: float | None = None) -> DataFrame:
+    """C17 and M17 for predictions made elsewhere (column ``prediction`` of
+    ``features``): figures and all projections of a request in one row."""
+    p = F.col(prediction)
+    scored = requests.join(features.select(key, p), key)
+    return scored.select(
+        key, trunc_long(p).alias("current_estimated_price"),
+        trunc_long(F.try_divide(p, F.col("surface_area"))).alias("price_per_sqm"),
+        (F.round(F.lit(r2 * 100), 1) if r2 is not None else F.lit(None).cast("double"))
+        .alias("confidence"),
+        *[trunc_long(p * F.lit(factor)).alias(f"price_{i + 1}")
+          for i, (_, factor, _) in enumerate(HORIZONS)])
+
+
 def projections(df: DataFrame, price_col: str, keys=(), include_today: bool = True) -> DataFrame:
     """Long form ``(period, price, pct)``, one row per horizon (and today);
     ``price_col`` is the untruncated price (``predicted_price`` of ``score``)."""

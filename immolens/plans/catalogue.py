@@ -281,10 +281,39 @@ def dashboard_kpis(spark, sf_dir):
 
 @query
 def dashboard_kpis_filtered(spark, sf_dir):
-    m = _market(spark, sf_dir)
-    f = market.filter_by_region(market.filter_by_type(m, FILTERED_DASHBOARD["type_str"]),
-                                FILTERED_DASHBOARD["region"])
-    return market.dashboard_kpis(f)
+    return market.dashboard_kpis(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+
+
+@query
+def active_markets_filtered(spark, sf_dir):
+    return market.active_markets(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+
+
+@query
+def type_cards_filtered(spark, sf_dir):
+    return market.type_cards(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+
+
+@query
+def price_histogram_filtered(spark, sf_dir):
+    return market.price_histogram(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+
+
+@query
+def analysis_quartiles_filtered(spark, sf_dir):
+    return market.analysis_quartiles(
+        market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS))
+
+
+@query
+def analysis_type_stats_filtered(spark, sf_dir):
+    return market.analysis_type_stats(
+        market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS))
+
+
+@query
+def scoring_options(spark, sf_dir):
+    return market.scoring_options(_features_table(spark, sf_dir), _raw(spark, sf_dir))
 
 
 @query
@@ -324,7 +353,7 @@ def analysis_quartiles(spark, sf_dir):
 
 @query
 def analysis_filtered(spark, sf_dir):
-    f = market.filter_analysis(_market(spark, sf_dir), **FILTERED_ANALYSIS)
+    f = market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS)
     return market.analysis_stats(f)
 
 
@@ -431,83 +460,151 @@ def projections(spark, sf_dir):
     return scoring.projections(_clean(spark, sf_dir), "prix", keys=["id_annonce"])
 
 
+# ---------------------------------------------- what is fixed around the models
+# Fixed values of the checks: centres in (surface, rooms), a trained R².
+CENTRES = [(40.0, 2.0), (90.0, 3.0), (150.0, 4.0), (220.0, 6.0)]
+CHECKED_R2 = 0.75
+
+
+def _requests(spark, sf_dir):
+    """Every raw listing, after the title repair, as a scoring request."""
+    return quality.extract_m2(_raw(spark, sf_dir)).select(
+        "id", "ordinal",
+        F.concat_ws(", ", "city", "zipcode").alias("city"),
+        F.col("type").alias("property_type"),
+        F.col("surface").alias("surface_area"),
+        F.coalesce(F.col("pieces"), F.lit(0)).cast("int").alias("rooms"))
+
+
+@query
+def request_features(spark, sf_dir):
+    """The model's inputs for every request."""
+    f = _features_table(spark, sf_dir)
+    flags = [x for x in f.columns if x.startswith("type_bien_")]
+    ranges = market.input_ranges(f).first().asDict()
+    out = scoring.request_features(scoring.clamp_requests(_requests(spark, sf_dir), ranges),
+                                   _encoding(spark, sf_dir), flags)
+    return out.select("id", "ordinal", "ville", "surface", "pieces",
+                      F.round("surface_log", 8).alias("surface_log"), *flags)
+
+
+@query
+def train_test_split(spark, sf_dir):
+    """M8: how the 80/20 split falls, for ids that depend on nothing else."""
+    train, test = models.split(_features_table(spark, sf_dir))
+    return (train.select("id_annonce", F.lit(False).alias("test"))
+            .unionByName(test.select("id_annonce", F.lit(True).alias("test")))
+            .groupBy("id_annonce").agg(F.count(F.lit(1)).alias("sets"))
+            .groupBy("sets").agg(F.count(F.lit(1)).alias("ids")))
+
+
+@query
+def nearest_centres(spark, sf_dir):
+    """M6: the cluster of every listing for given centres."""
+    f = _features_table(spark, sf_dir).select("id_annonce", "surface", "pieces")
+    return models.nearest_centre(f, CENTRES, ["surface", "pieces"]).select("id_annonce", "cluster")
+
+
+@query
+def importance_shares(spark, sf_dir):
+    """Shares, labels and order of given weights (how often a
+    flag is set, how many features are there)."""
+    f = _features_table(spark, sf_dir)
+    flags = [x for x in f.columns if x.startswith("type_bien_")]
+    counts = f.agg(*[F.count_if(F.col(x)).cast("double").alias(x) for x in flags],
+                   F.count(F.lit(1)).cast("double").alias("surface"))
+    weights = counts.select(F.inline(F.array(*[
+        F.struct(F.lit(x).alias("feature"), F.col(x).alias("weight")) for x in counts.columns])))
+    return models.importance_shares(weights)
+
+
+@query
+def score_figures(spark, sf_dir):
+    """M16, C17, M17 for given predictions (the mean price of the request's
+    city): figures and projections, from the untruncated price."""
+    requests = _requests(spark, sf_dir)
+    given = features.apply_target_encoding(
+        requests.select("ordinal", F.split_part("city", F.lit(","), F.lit(1)).alias("ville")),
+        _encoding(spark, sf_dir), "ville", on_unknown="default", normalise=True)
+    return scoring.score_given(requests, given, "ville", "ordinal", CHECKED_R2)
+
+
 # ------------------------------------------------------------ model jobs
-# Catalogue-sized boosting (the job defaults are 200/300 trees, depth 7).
-CATALOGUE_GBT = dict(maxIter=10, stepSize=0.1, maxDepth=5, subsamplingRate=0.8,
-                     featureSubsetStrategy="0.8", seed=42)
-CATALOGUE_CLF = dict(maxIter=10, stepSize=0.1, maxDepth=5, seed=42)
+_TRAINED: dict[tuple, dict] = {}
 
 
 def _clustered(spark, sf_dir):
-    """M5 on the stored ML-ready rows (as the training job reads them)."""
-    feats, km = models.train_clustering(_features_table(spark, sf_dir), 8)
-    return feats, _encoding(spark, sf_dir), km
+    """M5 and M7: the ML-ready rows with their cluster, as training reads them."""
+    found = {}
+
+    def build():
+        out, found["model"] = models.train_clustering(_features_table(spark, sf_dir), 8)
+        return out
+
+    rows = stored(spark, "clustered", sf_dir, build)
+    return rows, found.get("model")
 
 
-def _trained(spark, sf_dir):
-    feats, enc, km = _clustered(spark, sf_dir)
-    res = models.train_models(feats, CATALOGUE_GBT, CATALOGUE_GBT, CATALOGUE_CLF)
-    return feats, enc, km, res
+def _trained(spark, sf_dir) -> dict:
+    """The three models at their full size, fitted once per application and
+    snapshot on rows with a cluster; the queries below read what came out."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        rows, km = _clustered(spark, sf_dir)
+        km = km or models.fit_clustering(_features_table(spark, sf_dir), 8)
+        _TRAINED[key] = {**models.train_models(rows), "kmeans": km}
+    return _TRAINED[key]
 
 
 @query
 def clusters(spark, sf_dir):
-    feats, _ = models.train_clustering(_features_table(spark, sf_dir), 8)
-    return feats.select("id_annonce", "cluster")
+    return _clustered(spark, sf_dir)[0].select("id_annonce", "cluster")
 
 
 @query
 def price_models(spark, sf_dir):
-    _, _, _, res = _trained(spark, sf_dir)
-    return models.results_frame(spark, res)
+    return models.results_frame(spark, _trained(spark, sf_dir))
 
 
 @query
 def price_regression(spark, sf_dir):
     """Both regressions' test metrics."""
-    res = models.train_regressions(_features_table(spark, sf_dir), CATALOGUE_GBT, CATALOGUE_GBT)
-    return models.results_frame(spark, res).where(F.col("model").startswith("regression"))
+    return price_models(spark, sf_dir).where(F.col("model").startswith("regression"))
 
 
 @query
 def price_classification(spark, sf_dir):
     """The above-median classifier's test metrics."""
-    res = models.train_classifier(_features_table(spark, sf_dir), CATALOGUE_CLF)
-    return models.results_frame(spark, res).where(F.col("model") == "classification")
+    return price_models(spark, sf_dir).where(F.col("model") == "classification")
 
 
 @query
 def champion(spark, sf_dir):
     """The better regression by R² and its metrics."""
-    res = models.train_regressions(_features_table(spark, sf_dir), CATALOGUE_GBT, CATALOGUE_GBT)
-    return models.results_frame(spark, res).where(F.col("model") == "champion")
+    return price_models(spark, sf_dir).where(F.col("model") == "champion")
 
 
 @query
 def feature_importance(spark, sf_dir):
-    _, _, _, res = _trained(spark, sf_dir)
+    res = _trained(spark, sf_dir)
     return models.feature_importance(spark, res["champion"]["model"], res["feature_columns"])
 
 
 @query
 def hyperparameters(spark, sf_dir):
-    _, _, _, res = _trained(spark, sf_dir)
-    return models.hyperparameters(spark, res["champion"]["model"])
+    """M15, with the number of trees and nodes that the data gave the champion."""
+    model = _trained(spark, sf_dir)["champion"]["model"]
+    return models.hyperparameters(spark, model).withColumns(
+        {"trees": F.lit(model.getNumTrees), "nodes": F.lit(model.totalNumNodes)})
 
 
 @query
 def batch_scoring(spark, sf_dir):
     """M16 over every raw listing turned into a request ('city, zipcode',
     type, surface, rooms), scored with the champion model."""
-    feats, enc, km, res = _trained(spark, sf_dir)
+    res = _trained(spark, sf_dir)
     champ = res["champion"]
-    raw = _raw(spark, sf_dir)
-    requests = raw.where(F.col("surface").isNotNull() & (F.col("surface") > 0)).select(
-        "id", "ordinal",
-        F.concat_ws(", ", "city", "zipcode").alias("city"),
-        F.col("type").alias("property_type"),
-        F.col("surface").alias("surface_area"),
-        F.coalesce(F.col("pieces"), F.lit(0)).cast("int").alias("rooms"))
     ranges = market.input_ranges(_features_table(spark, sf_dir)).first().asDict()
-    return scoring.score(requests, enc, km, champ["model"], res["feature_columns"],
-                         champ["method"], champ["r2"], ranges=ranges)
+    return scoring.score(_requests(spark, sf_dir), _encoding(spark, sf_dir), res["kmeans"],
+                         champ["model"], res["feature_columns"], champ["method"], champ["r2"],
+                         ranges=ranges)

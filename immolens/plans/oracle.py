@@ -367,7 +367,6 @@ def median_of(x: str, rel: str, where: str = "true") -> str:
 TYPE_FLAGS = {"Appartement": "type_bien_APPARTEMENT", "Maison": "type_bien_MAISON",
               "Terrain": "type_bien_TERRAIN", "Autre": "type_bien_AUTRE",
               "Parking": "type_bien_PARKING"}
-R2_PCT = repr(0.7815 * 100)
 
 
 def kpis(where: str) -> str:
@@ -382,43 +381,55 @@ FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n,
 
 
 QUERIES["dashboard_kpis"] = kpis("true")
-QUERIES["dashboard_kpis_filtered"] = kpis("type_bien_MAISON AND region = 'EUROPE'")
+DASHBOARD_WHERE = "type_bien_MAISON AND region = 'EUROPE'"
+ANALYSIS_WHERE = ("city = 'NATION_1_AUTOMOBILE' AND type_bien_APPARTEMENT AND surface >= 50.0 "
+                  "AND surface <= 150.0 AND pieces >= 3 AND pieces <= 4")
+QUERIES["dashboard_kpis_filtered"] = kpis(DASHBOARD_WHERE)
 
 
-def per_type(types: list[str], measures: str) -> str:
+def per_type(types: list[str], measures: str, where: str = "true") -> str:
     parts = [f"SELECT '{t}' AS type, {i} AS type_order, {measures} FROM market "
-             f"WHERE {TYPE_FLAGS[t]} HAVING count(*) > 0" for i, t in enumerate(types)]
+             f"WHERE {TYPE_FLAGS[t]} AND {where} HAVING count(*) > 0" for i, t in enumerate(types)]
     return "\nUNION ALL ".join(parts)
 
 
-QUERIES["active_markets"] = sql(f"""SELECT type, type_order, count, mean_price,
-  least(95, greatest(70, {trunc_long(f'CAST({R2_PCT} AS DOUBLE) + count / 100')})) AS confidence,
+def active_sql(where: str) -> str:
+    return sql(f"""SELECT type, type_order, count, mean_price, CAST(NULL AS BIGINT) AS confidence,
   CAST(count AS VARCHAR) || ' annonces' AS label
 FROM ({per_type(['Appartement', 'Maison', 'Terrain'],
-                f"count(*) AS count, {trunc_long(mean('prix'))} AS mean_price")})""", "market")
+                f"count(*) AS count, {trunc_long(mean('prix'))} AS mean_price", where)})""", "market")
 
-QUERIES["type_cards"] = sql(f"""SELECT t.type, t.type_order, coalesce(a.count, 0) AS count,
-  a.median_price
+
+def cards_sql(where: str) -> str:
+    return sql(f"""SELECT t.type, t.type_order, coalesce(a.count, 0) AS count, a.median_price
 FROM (VALUES ('Appartement', 0), ('Maison', 1)) t(type, type_order)
 LEFT JOIN (SELECT type, count, {trunc_long(pctl('v', 'n', 0.5))} AS median_price FROM (
   {per_type(['Appartement', 'Maison'],
-            f"count(*) AS count, {sorted_list('prix')} AS v, count(prix) AS n")})) a
+            f"count(*) AS count, {sorted_list('prix')} AS v, count(prix) AS n", where)})) a
 ON t.type = a.type""", "market")
 
 
-def histogram(legacy: bool) -> str:
+QUERIES["active_markets"] = active_sql("true")
+QUERIES["active_markets_filtered"] = active_sql(DASHBOARD_WHERE)
+QUERIES["type_cards"] = cards_sql("true")
+QUERIES["type_cards_filtered"] = cards_sql(DASHBOARD_WHERE)
+
+
+def histogram(legacy: bool, where: str = "true") -> str:
     edge = ("AND prix < ((pmax + step) + step - 1) // step * step - step" if legacy else "")
     return sql(f"""SELECT CAST(lo // 1000 AS VARCHAR) || '-' || CAST((lo + step) // 1000 AS VARCHAR)
   || 'k€' AS bracket, count(*) AS count
-FROM (SELECT CAST(floor(prix / step) * step AS BIGINT) AS lo, step FROM market, (
+FROM (SELECT CAST(floor(prix / step) * step AS BIGINT) AS lo, step FROM (SELECT * FROM market WHERE {where}), (
   SELECT pmax, greatest(50000, {trunc_long('(pmax - pmin) / 8 / 50000')} * 50000) AS step
-  FROM (SELECT {trunc_long('min(prix)')} AS pmin, {trunc_long('max(prix)')} AS pmax FROM market))
+  FROM (SELECT {trunc_long('min(prix)')} AS pmin, {trunc_long('max(prix)')} AS pmax FROM market
+    WHERE {where}))
   WHERE prix IS NOT NULL {edge})
 GROUP BY lo, step""", "market")
 
 
 QUERIES["price_histogram"] = histogram(False)
 QUERIES["price_histogram_legacy"] = histogram(True)
+QUERIES["price_histogram_filtered"] = histogram(False, DASHBOARD_WHERE)
 
 
 def stats_sql(where: str) -> str:
@@ -429,35 +440,46 @@ FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n, {mean('prix')} AS mea
 
 
 QUERIES["analysis_stats"] = stats_sql("true")
-QUERIES["analysis_filtered"] = stats_sql(
-    "city = 'NATION_1_AUTOMOBILE' AND type_bien_APPARTEMENT AND surface >= 50.0 AND surface <= 150.0 "
-    "AND pieces >= 3 AND pieces <= 4")
+QUERIES["analysis_filtered"] = stats_sql(ANALYSIS_WHERE)
 
-QUERIES["analysis_type_stats"] = sql(f"""SELECT type, type_order, count,
+
+def type_stats_sql(where: str) -> str:
+    return sql(f"""SELECT type, type_order, count,
   {trunc_long(pctl('v', 'n', 0.5))} AS median, prix_min, prix_max,
   {trunc_long(pctl('v2', 'n2', 0.5))} AS prix_m2
 FROM ({per_type(['Appartement', 'Maison', 'Terrain', 'Autre', 'Parking'],
                 f"count(*) AS count, {sorted_list('prix')} AS v, count(prix) AS n, "
                 f"{trunc_long('min(prix)')} AS prix_min, {trunc_long('max(prix)')} AS prix_max, "
-                f"{sorted_list('prix / surface')} AS v2, count(prix / surface) AS n2")})""",
-                                     "market")
+                f"{sorted_list('prix / surface')} AS v2, count(prix / surface) AS n2", where)})""",
+               "market")
+
+
+QUERIES["analysis_type_stats"] = type_stats_sql("true")
+QUERIES["analysis_type_stats_filtered"] = type_stats_sql(ANALYSIS_WHERE)
 
-cte("quart", f"""SELECT n, {trunc_long(pctl('v', 'c', 0.25))} AS q25,
+for _name, _where in (("quart", "true"), ("quart_filtered", ANALYSIS_WHERE)):
+    cte(_name, f"""SELECT n, {trunc_long(pctl('v', 'c', 0.25))} AS q25,
   {trunc_long(pctl('v', 'c', 0.5))} AS q50, {trunc_long(pctl('v', 'c', 0.75))} AS q75
-FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS c, count(*) AS n FROM market)""", "market")
+FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS c, count(*) AS n FROM market
+  WHERE {_where})""", "market")
 
 
 def spaced(x: str) -> str:
     return f"replace(format('{{:,}}', {x}), ',', ' ')"
 
 
-QUERIES["analysis_quartiles"] = sql(f"""SELECT bracket_order, lo, hi, bracket, pct FROM (
+def quartiles_sql(rel: str) -> str:
+    return sql(f"""SELECT bracket_order, lo, hi, bracket, pct FROM (
   SELECT 1 AS bracket_order, CAST(NULL AS BIGINT) AS lo, q25 AS hi,
-    '< ' || {spaced('q25')} || '€' AS bracket, 25 AS pct, n FROM quart
-  UNION ALL SELECT 2, q25, q50, {spaced('q25')} || '–' || {spaced('q50')} || '€', 25, n FROM quart
-  UNION ALL SELECT 3, q50, q75, {spaced('q50')} || '–' || {spaced('q75')} || '€', 25, n FROM quart
-  UNION ALL SELECT 4, q75, CAST(NULL AS BIGINT), '> ' || {spaced('q75')} || '€', 25, n FROM quart)
-WHERE n > 10""", "quart")
+    '< ' || {spaced('q25')} || '€' AS bracket, 25 AS pct, n FROM {rel}
+  UNION ALL SELECT 2, q25, q50, {spaced('q25')} || '–' || {spaced('q50')} || '€', 25, n FROM {rel}
+  UNION ALL SELECT 3, q50, q75, {spaced('q50')} || '–' || {spaced('q75')} || '€', 25, n FROM {rel}
+  UNION ALL SELECT 4, q75, CAST(NULL AS BIGINT), '> ' || {spaced('q75')} || '€', 25, n FROM {rel})
+WHERE n > 10""", rel)
+
+
+QUERIES["analysis_quartiles"] = quartiles_sql("quart")
+QUERIES["analysis_quartiles_filtered"] = quartiles_sql("quart_filtered")
 
 QUERIES["room_buckets"] = sql("""SELECT CASE WHEN pieces <= 2 THEN '1-2 pièces'
   WHEN pieces >= 3 AND pieces <= 4 THEN '3-4 pièces'
@@ -582,3 +604,63 @@ _proj = [f"SELECT id_annonce, 'Auj.' AS period, {trunc_long('prix')} AS price, "
 _proj += [f"SELECT id_annonce, '{n}', {trunc_long(f'prix * CAST({f!r} AS DOUBLE)')}, '{lab}' "
           f"FROM clean" for n, f, lab in _h]
 QUERIES["projections"] = sql("\nUNION ALL ".join(_proj), "clean")
+
+# --------------------------------------------------------------------------
+# What is fixed around the models
+# --------------------------------------------------------------------------
+QUERIES["scoring_options"] = sql(f"""SELECT list, CAST(position AS INTEGER) AS position, value FROM (
+  SELECT * FROM (VALUES {", ".join(f"('types', {i + 1}, '{t}')"
+                                   for i, t in enumerate(PROPERTY_TYPES[1:]))}) t(list, position, value)
+  UNION ALL SELECT 'cities', row_number() OVER (ORDER BY count DESC, city),
+    concat_ws(', ', city, zipcode) FROM freq
+  UNION ALL SELECT 'ranges', p, c || '=' || CAST(v AS VARCHAR) FROM (
+    SELECT unnest([1, 2, 3, 4]) AS p,
+      unnest(['surface_min', 'surface_max', 'pieces_min', 'pieces_max']) AS c,
+      unnest([surface_min, surface_max, pieces_min, pieces_max]) AS v
+    FROM ({QUERIES["input_ranges"]})))""", "freq")
+
+cte("requests", """SELECT id, ordinal, concat_ws(', ', city, zipcode) AS city,
+  type AS property_type, surface AS surface_area,
+  CAST(trunc(coalesce(pieces, 0)) AS INTEGER) AS rooms FROM q_ext""", "q_ext")
+cte("limits", QUERIES["input_ranges"])
+_city = strip_upper("split_part(r.city, ',', 1)")
+_rooms = "CAST(least(greatest(r.rooms, l.pieces_min), l.pieces_max) AS INTEGER)"
+_surface = ("(CASE WHEN r.surface_area IS NULL THEN CAST(l.surface_min AS DOUBLE) "
+            "ELSE least(greatest(r.surface_area, l.surface_min), l.surface_max) END)")
+_type_flags = ", ".join(f"coalesce({strip_upper('r.property_type')} = '{v}', false) AS type_bien_{v}"
+                        for v in TYPE_VOCAB)
+QUERIES["request_features"] = sql(f"""SELECT r.id, r.ordinal,
+  coalesce(e.encoding, (SELECT {mean('encoding')} FROM encoding)) AS ville,
+  {_surface} AS surface,
+  CAST(CASE WHEN {_rooms} > 0 THEN {_rooms} ELSE 1 END AS DOUBLE) AS pieces,
+  round(ln(1 + {_surface}), 8) AS surface_log, {_type_flags}
+FROM requests r CROSS JOIN limits l LEFT JOIN encoding e ON {_city} = e.ville""",
+                                  "requests", "limits", "encoding")
+
+QUERIES["train_test_split"] = sql("""SELECT CAST(1 AS BIGINT) AS sets, count(DISTINCT id_annonce) AS ids
+FROM features""", "features")
+
+_centres = [(40.0, 2.0), (90.0, 3.0), (150.0, 4.0), (220.0, 6.0)]
+QUERIES["nearest_centres"] = sql(f"""SELECT id_annonce,
+  CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster
+FROM (SELECT id_annonce, [{", ".join(f"(surface - {a}) * (surface - {a}) + (pieces - {b}) * (pieces - {b})"
+                                     for a, b in _centres)}] AS d FROM features)""", "features")
+
+_labels = {"surface": "Surface (m²)", "type_bien_APPARTEMENT": "Appartement",
+           "type_bien_MAISON": "Maison", "type_bien_TERRAIN": "Terrain",
+           "type_bien_AUTRE": "Autre", "type_bien_PARKING": "Parking"}
+_weights = [("surface", "count(*)")] + [(f"type_bien_{v}", f"count_if(type_bien_{v})")
+                                        for v in TYPE_VOCAB]
+QUERIES["importance_shares"] = sql(f"""SELECT feature, name, round(share, 1) AS pct FROM (
+  SELECT feature, name, CAST(w AS DOUBLE) / CAST(sum(w) OVER () AS DOUBLE) * 100.0 AS share FROM (
+  {" UNION ALL ".join(f"SELECT '{f}' AS feature, '{_labels.get(f, f)}' AS name, {w} AS w FROM features"
+                      for f, w in _weights)})) WHERE share > 0.5""", "features")
+
+_p = f"coalesce(e.encoding, (SELECT {mean('encoding')} FROM encoding))"
+QUERIES["score_figures"] = sql(f"""SELECT ordinal, {trunc_long('p')} AS current_estimated_price,
+  CASE WHEN surface_area <> 0 THEN {trunc_long('p / surface_area')} END AS price_per_sqm,
+  CAST(75.0 AS DOUBLE) AS confidence,
+  {", ".join(f"{trunc_long(f'p * CAST({f!r} AS DOUBLE)')} AS price_{i + 1}"
+             for i, (_, f, _) in enumerate(_h))}
+FROM (SELECT r.ordinal, r.surface_area, {_p} AS p
+  FROM requests r LEFT JOIN encoding e ON {_city} = e.ville)""", "requests", "encoding")

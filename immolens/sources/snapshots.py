@@ -145,7 +145,8 @@ def with_ordinal(scan: DataFrame) -> DataFrame:
     A row's place is the first byte of its split plus its number in the split,
     which no later split's first byte reaches: the order of the rows depends
     neither on how many splits there are nor on which task reads them.  The
-    split table has one row per split.
+    split table has one row per split, as many as the plan of the scan keeps on
+    the driver anyway; it is broadcast, so rows stay in file order.
     """
     columns = scan.columns
     rows = scan.select("*", F.col("_metadata.file_path").alias("_file"),
@@ -156,7 +157,7 @@ def with_ordinal(scan: DataFrame) -> DataFrame:
     splits = splits.select("_file", "_start", "_first", F.dense_rank().over(
         Window.orderBy("_name", "_file")).cast("long").alias("_rank"))
     place = F.col("_start") + F.col("_id") - F.col("_first")
-    return (rows.join(splits, ["_file", "_start"])
+    return (rows.join(F.broadcast(splits), ["_file", "_start"])
             .select(*columns, ((F.col("_rank") - 1) * FILE_BYTES + place).alias("ordinal")))
 
 

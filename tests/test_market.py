@@ -62,18 +62,25 @@ def test_quartiles_need_more_than_ten_rows(spark):
     assert [r.bracket for r in q.collect()][0] == "< 2 500€"
 
 
-def test_large_input_path_matches(spark, monkeypatch):
-    from immolens.operators import stats
+def test_panel_medians_match_percentile(spark):
+    from pyspark.sql import functions as F
     rows = [_row(i, float(1000 + (i * 7919) % 5000), surface=40.0 + i % 7,
                  t="AMTXP"[i % 5]) for i in range(200)]
     df = _m(spark, rows)
-    monkeypatch.setattr(stats, "SMALL_INPUT_BYTES", 1 << 63)
-    small = (market.analysis_type_stats(df).collect(), market.type_cards(df).collect(),
-             market.dashboard_kpis(df).collect())
-    monkeypatch.setattr(stats, "SMALL_INPUT_BYTES", 0)
-    large = (market.analysis_type_stats(df).collect(), market.type_cards(df).collect(),
-             market.dashboard_kpis(df).collect())
-    assert small == large
+    for row in market.analysis_type_stats(df).collect():
+        own = df.where(F.col(market.TYPE_COL_MAP[row.type])).agg(
+            F.median("prix").alias("p"), F.median(F.col("prix") / F.col("surface")).alias("m2")).first()
+        assert (row.median, row.prix_m2) == (int(own.p), int(own.m2))
+    kpis, own = market.dashboard_kpis(df).first(), df.agg(F.median("prix")).first()[0]
+    assert kpis.median_price == int(own)
+    cards = {r.type: r.median_price for r in market.type_cards(df).collect()}
+    assert set(cards) == set(market.CARD_TYPES) and all(v is not None for v in cards.values())
+
+
+def test_confidence_needs_a_trained_model(spark):
+    df = _m(spark, [_row(i, 1000.0, t="A") for i in range(3)])
+    assert market.active_markets(df).first().confidence is None
+    assert market.active_markets(df, 0.9).first().confidence == 90
 
 
 def test_panels_and_report(spark):
