@@ -8,7 +8,6 @@ from ``pyspark.sql.functions`` (no Python UDFs).  Layout:
 * ``operators`` – quality, cleaning, features, warehouse, marts, market
                   panels, models, scoring
 * ``plans``     – end-to-end jobs and the query catalogue
-* ``streaming`` – (nothing: the workload is batch snapshots)
 """
 
 from immolens.session import get_session, checkpoint_dir

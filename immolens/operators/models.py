@@ -162,11 +162,12 @@ def median_label(df: DataFrame, col: str = "prix"):
     return df.withColumn("label", (F.col(col) > F.lit(med)).cast("int")), med
 
 
-def together(*fits) -> list:
+def together(spark, *fits) -> list:
     """Results of independent fits, run at the same time: boosting is a long
     chain of short jobs, and a cluster has room for several chains."""
     with ThreadPoolExecutor(len(fits)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(fit)) for fit in fits]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(fit))
+                                    for fit in fits]]
 
 
 def _gbt_regression(train, test, cols, target, params, use_log):
@@ -185,6 +186,7 @@ def train_regressions(df: DataFrame, raw_params=None, log_params=None) -> dict:
     train, test = split(df)
     train = train.persist()
     (raw_model, raw_m), (log_model, log_m) = together(
+        df.sparkSession,
         lambda: _gbt_regression(train, test, cols, "prix", raw_params or REGRESSION_RAW, False),
         lambda: _gbt_regression(train, test, cols, "prix_log", log_params or REGRESSION_LOG, True))
     train.unpersist()
@@ -226,7 +228,8 @@ def train_models(df: DataFrame, raw_params=None, log_params=None, clf_params=Non
     if not enough_rows(df, min_rows):
         return {}
     checkpoint_dir(df.sparkSession)
-    regressions, classifier = together(lambda: train_regressions(df, raw_params, log_params),
+    regressions, classifier = together(df.sparkSession,
+                                       lambda: train_regressions(df, raw_params, log_params),
                                        lambda: train_classifier(df, clf_params))
     return {**regressions, **classifier}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -31,9 +32,8 @@ def prepare(spark: SparkSession, raw: DataFrame, out_dir: str,
     """Quality -> clean -> features -> write the ML-ready snapshot.
 
     Stage row counts (S19) are ``observe()`` metrics collected while the
-    stages run, not extra passes.  The cleaned rows are persisted once (the
-    feature step reads them for several global statistics) and released at
-    the end.  The city encoding and the clustering model are saved next to
+    stages run, not extra passes.  The cleaned rows are stored once (the feature
+    step reads them for several global statistics).  The city encoding and the clustering model are saved next to
     the data (S13, S14).  Returns the output path and the stage audit.
     """
     snapshot_date = snapshot_date or dt.date.today().isoformat()
@@ -41,14 +41,15 @@ def prepare(spark: SparkSession, raw: DataFrame, out_dir: str,
     rows = F.count(F.lit(1)).alias("rows")
     seen = raw.observe(obs["ingest"], rows)
     checked = quality.data_quality(seen).observe(obs["quality"], rows)
-    cleaned = clean.clean_listings(checked).observe(obs["clean"], rows).persist()
+    cleaned = snapshots.stored(
+        spark, "prepared", f"{out_dir}|{snapshot_date}|{uuid.uuid4()}",
+        lambda: clean.clean_listings(checked).observe(obs["clean"], rows))
     feats, enc, km = features.engineer_features(cleaned, n_cluster=n_cluster, seed=seed)
     feats = feats.observe(obs["features"], rows)
     data_path = snapshots.write_clean(feats, os.path.join(out_dir, "clean"), snapshot_date, fmt)
     snapshots.save_encoding(enc, os.path.join(out_dir, "models", "city_encoding"))
     if km is not None:
         snapshots.save_model(km, os.path.join(out_dir, "models", "kmeans"))
-    cleaned.unpersist()
     counts = [obs[n].get.get("rows", 0) for n in ("ingest", "quality", "clean", "features")]
     names = ["ingest", "quality", "clean", "features"]
     audit = [(i, names[i], counts[max(i - 1, 0)], counts[i], counts[max(i - 1, 0)] - counts[i])
