@@ -102,7 +102,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], dict[int, f
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (one.withColumn("r", F.row_number().over(order))
               .where(F.col("r") <= SAMPLE_ROWS).select("doc_id", "toxic"))
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    texts = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+             .select("doc_id", "toxic", "text"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
