@@ -77,7 +77,7 @@ def _predictor(dicts: dict[str, bytes]):
 
     def predict(text: str | None) -> tuple[str, float, bool]:
         low = letters(text or "")
-        if not names or not low.strip():
+        if not names or not any(map(str.isalpha, low)):
             return "und", 0.0, True
         sizes = [0] * len(names)
         for at in range(0, len(low), PIECE_CHARS):

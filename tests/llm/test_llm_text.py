@@ -29,6 +29,7 @@ def test_language_of_odd_texts(spark, make_docs, odd_texts):
         assert 0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "und")
     by = {r["doc_id"]: r for r in rows}
     assert all(by[k]["lang_pred"] == "und" and by[k]["rejected"] for k in (1, 2, 3, 4))
+    assert {r["lang_pred"] for r in langid.predict(make_docs([(1, "²³ ½ Ⅷ")]), dicts).collect()} == {"und"}
     assert by[50]["lang_pred"] == "en" and by[51]["lang_pred"] == "de"
     docs = make_docs(odd_texts)
     kept = langid.accepted(docs, dicts)
