@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,6 +46,25 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, group: str, key: str, rows: int, *ties: str) -> DataFrame:
+    """Of each group the ``rows`` rows whose key has the smallest hash.
+
+    A count of each group (they are few: labels, languages) gives the share of
+    hashes that holds three times as many rows; only these are ranked, so that
+    what one task ranks follows ``rows``, not the size of the group.
+    """
+    counted = df.groupBy(group).agg(F.count("*").alias("n")).collect()
+    limit = F.lit(1.0)
+    for r in counted:
+        limit = F.when(F.col(group).eqNullSafe(F.lit(r[group])),
+                       F.lit(min(1.0, 3 * rows / r["n"]))).otherwise(limit)
+    hashed = F.xxhash64(key)
+    share = hashed.cast("double") / float(1 << 64) + 0.5
+    order = Window.partitionBy(group).orderBy(hashed, *ties)
+    return (df.where(share <= limit).withColumn("__rank", F.row_number().over(order))
+            .where(F.col("__rank") <= rows))
+
+
 def id_hash(column: str = "doc_id"):
     """crc32 of the id as text: what the hold-out folds are cut by (null id: of '')."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 from immolens.llm.common import written
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest neighbour.  Written, so that the join with the edges
+    has nothing but a shuffle on either side, and a hub's edges can be split."""
+    return written(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    least = _least(both)
     return (both.where("b > a").join(least, F.col("a") == F.col("u"))
             .select(F.col("b").alias("a"), F.least("m", "u").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    least = _least(edges)
     rest = (edges.join(least, F.col("a") == F.col("u")).where("b != m")
             .select(F.col("b").alias("a"), F.col("m").alias("b")))
     return rest.union(least.select("u", "m")).distinct()

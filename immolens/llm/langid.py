@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from immolens.llm.common import id_hash, lean, table
+from immolens.llm.common import hash_sample, id_hash, lean, table
 
 SAMPLE_ROWS = 300           # labelled rows learned from, per language
 SAMPLE_CHARS = 1_500        # of each such row
@@ -45,16 +45,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
           rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Dictionary bytes by language, from at most ``rows`` rows a language.
 
-    The rows with the smallest hash of their id are taken (all data is looked
-    at, the sample is spread over it); the window's rank limit is applied
-    before the shuffle, so that each task sends ``rows`` rows a language.
+    The rows with the smallest hash of their id are taken: the sample is
+    spread over all data.
     """
     chars = (labelled.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
-             .select(F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h"),
+             .select(F.col(lang).alias("l"), F.col(key).alias("k"),
                      F.substring(text, 1, SAMPLE_CHARS).alias("t")))
-    order = Window.partitionBy("l").orderBy("h", "t")
-    sample = (chars.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
-              .select("l", "r", "t"))
+    sample = hash_sample(chars, "l", "k", rows, "t").select("l", F.col("__rank").alias("r"), "t")
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in sample.toLocalIterator():
         texts.setdefault(row["l"], []).append((row["r"], letters(row["t"])))

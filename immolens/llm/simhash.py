@@ -219,7 +219,8 @@ def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = components(links(classes, radius))
     member = (classes.join(roots, F.col("fp") == F.col("node"), "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written, so that a large component can be split in the join
+    least = written(member.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     return member.join(least, "root").select("fp", "component_id")
 
 

@@ -249,9 +249,11 @@ def repeated(texts: DataFrame) -> DataFrame:
         own = runs.where("c = 1").join(twice, ["u", "low", "outer"]).select(
             "rid", F.expr(f"(t << 16) | (low << 8) | {size}L").alias("mark"))
         marks = own if marks is None else marks.unionAll(own)
-        several = (classes.groupBy("u", "low", "inner").agg(F.count("*").alias("n"))
-                   .where("n > 1").select("u", "low", "inner"))
-        listed = classes.join(several, ["u", "low", "inner"]).select("rid", "t", "low", "c")
+        if size > 1:
+            # written, so that a common inner string's classes can be split in the join
+            several = written(classes.groupBy("u", "low", "inner").agg(F.count("*").alias("n"))
+                              .where("n > 1").select("u", "low", "inner"), f"several-of-{size}")
+            listed = classes.join(several, ["u", "low", "inner"]).select("rid", "t", "low", "c")
     return marks
 
 

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from immolens.llm.common import id_hash, lean, table, written
+from immolens.llm.common import hash_sample, id_hash, lean, table, written
 from immolens.llm.terms import coded_words, letters
 from immolens.llm.tokens import slices
 
@@ -92,16 +92,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], dict[int, f
     """[(id, label, buckets)] of the labelled rows that are learned from, and the
     values of their buckets.
 
-    Of each label the ``SAMPLE_ROWS`` ids with the smallest hash; the rank limit
-    is applied before the shuffle.  The ids, so bounded, are broadcast to the
+    Of each label the ``SAMPLE_ROWS`` ids with the smallest hash.  The ids, so bounded, are broadcast to the
     documents.  Buckets are tested where they are counted, and only those with a
     value come to the driver.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (one.withColumn("r", F.row_number().over(order))
-              .where(F.col("r") <= SAMPLE_ROWS).select("doc_id", "toxic"))
+    chosen = hash_sample(one, "toxic", "doc_id", SAMPLE_ROWS, "doc_id").select("doc_id", "toxic")
     texts = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
              .select("doc_id", "toxic", "text"))
 
