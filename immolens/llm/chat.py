@@ -7,9 +7,9 @@ messages, prompt and answer, instruction with input) or one turn of it.  Records
 of an unknown layout are kept apart with their fingerprint (``unmapped``).
 
 A turn is written as ``<s>[role]text</s>``.  Inside roles and texts a backslash
-stands before every backslash and every character that can begin or end a mark,
-so marks cannot be forged and reading back is exact.  The loss mask is the text
-of assistant turns.
+and a letter stand for every backslash and every character that can begin or end
+a mark, so marks cannot be forged and reading back is exact.  The loss mask is
+the text of assistant turns.
 
 Cases: a null text is empty, a null role is the empty role; equal turns numbers
 are ordered by role and text; a null conversation id is a conversation of its own;
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from immolens.llm.common import lean, table, written
 
 LOSS_ROLE = "assistant"
-MARKED = "\\\\<>\\[\\]"                       # characters that are escaped, for a pattern
-TURN = "(?s)^<s>\\[((?:[^\\\\\\]]|\\\\.)*)\\](.*)</s>$"
+OPEN, CLOSE = "<s>[", "</s>"
+ESCAPES = {"\\": "\\b", "<": "\\l", ">": "\\g", "[": "\\o", "]": "\\c"}    # the backslash first
 TYPES = "STRING|VOID|BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL\\([0-9, ]*\\)|DATE|TIMESTAMP(?:_NTZ)?|BINARY"
 
 
@@ -181,26 +181,33 @@ def unmapped(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> Da
 
 # ------------------------------------------------------------ marked text
 def _escaped(text: Column) -> Column:
-    return F.regexp_replace(text, f"([{MARKED}])", "\\\\$1")
+    for plain, written_as in ESCAPES.items():
+        text = F.replace(text, F.lit(plain), F.lit(written_as))
+    return text
 
 
 def _unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, f"\\\\([{MARKED}])", "$1")
+    for plain, written_as in reversed(ESCAPES.items()):
+        text = F.replace(text, F.lit(written_as), F.lit(plain))
+    return text
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """Turns with their marked text, one row each, in ``formatted``."""
     return turns.select("conversation", "turn", F.concat(
-        F.lit("<s>["), _escaped(F.col("role")), F.lit("]"), _escaped(F.col("text")),
-        F.lit("</s>")).alias("formatted"))
+        F.lit(OPEN), _escaped(F.col("role")), F.lit("]"), _escaped(F.col("text")),
+        F.lit(CLOSE)).alias("formatted"))
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
     """The turns that were marked; ``loss``: whether the text is under the loss mask."""
-    role = _unescaped(F.regexp_extract("formatted", TURN, 1))
+    inside = F.substring("formatted", len(OPEN) + 1, 1 << 30)
+    first = F.substring_index(inside, "]", 1)
+    size = F.length("formatted") - F.length(first) - len(OPEN) - 1 - len(CLOSE)
+    role = _unescaped(first)
     return formatted.select(
         "conversation", "turn", role.alias("role"),
-        _unescaped(F.regexp_extract("formatted", TURN, 2)).alias("text"),
+        _unescaped(F.substring(inside, F.length(first) + 2, size)).alias("text"),
         (role == LOSS_ROLE).alias("loss"), F.length("formatted").alias("chars"))
 
 
