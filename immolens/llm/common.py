@@ -78,6 +78,16 @@ def worker_cache(name: str, make):
     return kept[name]
 
 
+LARGE = 2 << 20             # bytes of a result after which memory is handed back
+
+
+def hand_back() -> None:
+    """Memory that this process has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run, keep: tuple[str, ...] = ()):
     """``run``, before which the worker drops what tasks of other kinds have kept,
     but for ``keep``, and after which it hands the memory it no longer needs back:
@@ -86,10 +96,12 @@ def lean(run, keep: tuple[str, ...] = ()):
         kept = sys.__dict__.get("_llm_worker_cache", {})
         for name in [n for n in kept if n not in keep]:
             del kept[name]
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        for out in run(batches):
+            yield out
+            if out.nbytes >= LARGE:
+                hand_back()
+        out = None
+        hand_back()
 
     return wrapped
 

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from immolens.llm.common import hash_sample, id_hash, lean, table
+from immolens.llm.tokens import slices
 
 SAMPLE_ROWS = 300           # labelled rows learned from, per language
 SAMPLE_CHARS = 1_500        # of each such row
 DICT_BYTES = 96 << 10       # dictionary size, per language
 PIECE_CHARS = 2_000         # a text is compressed in pieces of this many characters, all of them
+HANDED_ON = 4 << 20         # bytes of text whose rows are handed on together
 MIN_MARGIN = 0.002          # narrower: rejected
 FULL_MARGIN = 0.05          # this wide or wider: score 1
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -120,7 +122,10 @@ def accepted(docs: DataFrame, dicts: dict[str, bytes], text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _predictor(dicts)
         for b in batches:
-            yield b.filter(pa.array([not one(t.as_py())[2] for t in b.column(place)], pa.bool_()))
+            for begin, end in slices(b.column(place), HANDED_ON):
+                some = b.slice(begin, end - begin)
+                stay = [not one(t.as_py())[2] for t in some.column(place)]
+                yield some.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
