@@ -37,6 +37,7 @@ from immolens.llm.common import lean, table, written
 WINDOW = 4096
 UNIT = 64                   # piece lengths are counted in units of this many tokens
 DEPTH = 3                   # most pieces of an enumerated combination
+SLICE_BYTES = 6 << 20       # text encoded together, unless one text is longer
 LENGTHS = ("part int, doc_id long, n long, cls int, cls_before long, full_before long, "
            "tail_before long, ids binary")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -174,7 +175,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, window: int, unit: int,
         own, part = tokens.encoder(path), TaskContext.get().partitionId()
         seen, full, tail = [0] * (window // unit), 0, 0
         for b in batches:
-            for begin, end in tokens.slices(b.column(1)):
+            for begin, end in tokens.slices(b.column(1), SLICE_BYTES):
                 ids, at = own.encode(b.column(1).slice(begin, end - begin), end_id)
                 data, width, at = ids.astype(kind).tobytes(), int(kind[-1]), at.tolist()
                 rows = []
