@@ -7,7 +7,10 @@ tasks and summed by term) finds the latent basis of the benchmark's TF-IDF
 passages.  Every window of every document is compared with all passages by cosine,
 in one pass and without a shuffle.  The basis is orthonormal, so a window's cosine
 is at most the share of its length that lies in the benchmark's words: only windows
-that can pass are projected.  Those beyond ``MIN_COSINE`` are candidates.  A candidate counts if the longest common subsequence of the passage
+that can pass are projected.  What the basis doesn't hold of a passage is missing in
+that cosine; passages that keep less than ``MIN_HELD`` of their squared length are
+also compared by all their terms, and the larger cosine counts.  Pairs beyond
+``MIN_COSINE`` are candidates.  A candidate counts if the longest common subsequence of the passage
 and the window with its surroundings has ``MIN_LCS`` of the passage's words, and
 ``MIN_ANSWER`` of the words of its last sentence, where the answer stands.
 
@@ -43,6 +46,7 @@ HOP = 32                    # words; a window is two hops, a passage of the benc
 RANK = 160
 OVERSAMPLED = 16
 POWERS = 2                  # subspace iterations
+MIN_HELD = 0.9              # of a passage's squared length in the basis
 MIN_COSINE = 0.18
 MIN_LCS = 0.6
 MIN_ANSWER = 0.5
@@ -203,17 +207,29 @@ class Queries:
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary.setdefault
         self.items, latent, self.checks = [], [], []
+        weak, postings = [], []
         for item, words, answer in block:
             own, x = _vector(words, weights)
             if not len(own):
                 continue
             at = np.searchsorted(terms, own)
-            self.items.append(item)
             latent.append(x @ rows[at])
+            if latent[-1] @ latent[-1] < MIN_HELD * (x @ x):
+                postings += [(t, len(weak), v) for t, v in zip(own.tolist(), x.tolist(), strict=True)]
+                weak.append(len(self.items))
+            self.items.append(item)
             self.checks.append([
                 (_masks([number(w, len(self.vocabulary)) for w in part]), len(part))
                 for part in (words, answer)])
         self.latent = np.array(latent, np.float32).reshape(len(latent), rows.shape[1]).T
+        # passages that the basis holds too little of, and their values by term
+        self.weak = np.array(weak, np.int64)
+        term_of, self.posted, self.value = (
+            np.array(x, kind) for x, kind in zip(
+                zip(*sorted(postings), strict=True) if postings else ((),) * 3,
+                (np.int64, np.int64, np.float32), strict=True))
+        self.posted_terms, self.posted_at = np.unique(term_of, return_index=True)
+        self.posted_at = np.append(self.posted_at, len(term_of))
 
     def _projected(self, at: np.ndarray, code: np.ndarray, weight: np.ndarray, own: np.ndarray,
                    hops: int) -> np.ndarray:
@@ -240,13 +256,36 @@ class Queries:
             part[at[cut]] += np.add.reduceat(self.rows[known[code]] * weight[code, None], cut, axis=0)
         return part
 
-    def _near(self, part: np.ndarray, first: np.ndarray, after: np.ndarray, norm: np.ndarray
-              ) -> Iterator[tuple[int, int, float]]:
-        """(window, passage, cosine) beyond ``MIN_COSINE``, in blocks of windows."""
-        step = max(1, CELLS // max(1, len(self.items)))
+    def _exact(self, at: np.ndarray, code: np.ndarray, weight: np.ndarray, own: np.ndarray,
+               begin: int, end: int) -> np.ndarray:
+        """The products of the hops from ``begin`` to ``end`` (and a null one) with the
+        weak passages, by all terms of their words (hop, code), which are in order."""
+        some = slice(*np.searchsorted(at, (begin, end)))
+        at, code = at[some] - begin, code[some]
+        place = np.minimum(np.searchsorted(self.posted_terms, own), len(self.posted_terms) - 1)
+        sizes = np.where(self.posted_terms[place] == own, np.diff(self.posted_at)[place], 0)[code]
+        ends = np.cumsum(sizes)
+        which = np.repeat(self.posted_at[place[code]] - ends + sizes, sizes) + np.arange(sizes.sum())
+        cell = np.repeat(at, sizes) * len(self.weak) + self.posted[which]
+        out = np.bincount(cell, np.repeat(weight[code], sizes) * self.value[which],
+                          (end - begin + 1) * len(self.weak))
+        return out.reshape(-1, len(self.weak)).astype(np.float32)
+
+    def _near(self, part: np.ndarray, first: np.ndarray, after: np.ndarray, norm: np.ndarray,
+              words: tuple) -> Iterator[tuple[int, int, float]]:
+        """(window, passage, cosine) beyond ``MIN_COSINE``, in blocks of windows; ``words``
+        are those of the hops, as for ``_exact``."""
+        step = max(1, CELLS // max(1, len(self.items) + 4 * len(self.weak)))
         for begin in range(0, len(first), step):
             own = slice(begin, begin + step)
             cosine = ((part[first[own]] + part[after[own]]) @ self.latent) / norm[own, None]
+            if len(self.weak):
+                low, high = int(first[own][0]), min(int(first[own][-1]) + 2, len(part) - 1)
+                exact = self._exact(*words, low, high)
+                # a window without a next hop ends at the null one
+                next_hop = np.where(after[own] == len(part) - 1, high, after[own]) - low
+                exact = (exact[first[own] - low] + exact[next_hop]) / norm[own, None]
+                cosine[:, self.weak] = np.maximum(cosine[:, self.weak], exact)
             for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE)), strict=True):
                 yield begin + i, j, float(cosine[i, j])
 
@@ -288,10 +327,12 @@ class Queries:
         some = wanted[hop]
         hop, code = hop[some], code[some]
         place = np.cumsum(wanted) - 1
-        part = self._projected(place[hop], code, weight, own, int(wanted.sum()))
+        hop = place[hop]
+        part = self._projected(hop, code, weight, own, int(wanted.sum()))
         after = np.where(joined[window], place[window + 1], len(part) - 1)
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for i, j, cosine in self._near(part, place[window], after, norm[window]):
+        for i, j, cosine in self._near(part, place[window], after, norm[window],
+                                       (hop, code, weight, own)):
             d = int(doc_of[window[i]])
             start = hop_at[window[i]]
             near = number[codes[max(begins[d], start - HOP):min(ends[d], start + 3 * HOP)]]

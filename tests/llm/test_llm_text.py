@@ -323,6 +323,18 @@ def test_latent_search_recall(spark, make_docs, words):
     assert brute and len(found & brute) >= 0.9 * len(brute) and found <= brute
 
 
+def test_copies_of_a_benchmark_larger_than_the_rank_are_found(spark, make_docs, words):
+    stock = [f"{a}{b}{c}{d}" for a in "bcdfgklmnprst" for b in "aeiou"
+             for c in ("rt", "ll", "sh", "nd", "st") for d in ("a", "e", "in", "or", "um", "ix")]
+    items = [(k, words(39, 5_000 + k, stock)) for k in range(2_400)]
+    docs = [(k, f"{words(13 + k % 37, 10_000 + k, stock)} {text} {words(40, 20_000 + k, stock)}")
+            for k, text in items[::8]]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"])
+             for r in decontaminate.contaminated(make_docs(docs), benchmark).collect()}
+    assert found == {(k, k) for k, _ in docs}
+
+
 def test_basis_is_that_of_the_exact_svd(spark, words):
     import numpy as np
     stock = [f"{a}{b}" for a in "bcdfgklm" for b in ("ar", "el", "in", "os")]
