@@ -23,10 +23,10 @@ from immolens.llm.common import WHITESPACE, table, written
 
 MIN_WORDS = 50                  # fixed by the contract
 MAX_REPEAT_PERCENT = 50         # fixed by the contract
-ROUNDS = 60                     # of expectation-maximisation, at most
+ROUNDS = 500                    # of expectation-maximisation, at most
 SMOOTHING = 2.0                 # votes added to each side of an estimate
 PRIOR = 0.8                     # of quality, to begin with
-MAX_FALSE = 0.002               # share of good texts that a rule votes against, at most
+MAX_FALSE = 0.002               # share of good texts that a trusted rule votes against, at most
 KEEP_FROM = 0.5                 # posterior probability
 
 #: name -> (measure, votes against, votes for); neither: the rule abstains
@@ -99,8 +99,14 @@ def estimate(counted: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[fl
 
     For each rule and each side of the truth the chance of a vote against, among
     the votes given, is estimated; weights are log likelihood ratios of quality.
+    A text that one rule alone votes against can be a bad one that the others miss or
+    a good one: votes can't tell.  A rule is trusted there, its estimate bounded by
+    ``MAX_FALSE``, as long as it votes against no more texts than are expected to be
+    bad, a share of 1 - ``PRIOR``; of the others both error rates are estimated freely.
     """
     total = sum(n for _, n in counted)
+    trusted = [sum(n for votes, n in counted if votes[j] < 0) <= (1 - PRIOR) * total + 1e-6
+               for j in range(rules)]
     prior, weights = PRIOR, None
     for _ in range(ROUNDS):
         good = [[SMOOTHING, SMOOTHING * 4] for _ in range(rules)]       # against, for
@@ -117,8 +123,9 @@ def estimate(counted: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[fl
         old = (prior, weights)
         prior = min(0.99, max(0.01, (mass + PRIOR) / (total + 1)))
         weights = []
-        for g, b in zip(good, bad, strict=True):
-            against, miss = min(MAX_FALSE, g[0] / sum(g)), b[0] / sum(b)
+        for g, b, trust in zip(good, bad, trusted, strict=True):
+            against, miss = g[0] / sum(g), b[0] / sum(b)
+            against = min(MAX_FALSE, against) if trust else against
             # a vote against is never evidence for quality, and the other way round
             weights.append((min(0.0, math.log(against / miss)),
                             max(0.0, math.log((1 - against) / (1 - miss)))))

@@ -156,6 +156,24 @@ def test_estimates_find_the_good_rules():
     assert quality_rules.estimate([], 2)[0] == quality_rules.PRIOR
 
 
+def test_a_rule_that_good_texts_trip_weighs_little():
+    r, counted = random.Random(4), collections.Counter()
+    for _ in range(20_000):
+        # a third of the good texts trip the first rule; bad ones trip each by chance
+        if r.random() < 0.08:
+            votes = [-1 if r.random() < 0.6 else 1 for _ in range(8)]
+        else:
+            votes = [-1 if r.random() < 1 / 3 else 1] + [
+                -1 if r.random() < 0.001 else 1 for _ in range(7)]
+        counted[tuple(votes)] += 1
+    prior, weights = quality_rules.estimate(sorted(counted.items()), 8)
+    # the true ratio is that of 1 / 3 and 0.6
+    assert 0.91 < prior < 0.93 and abs(weights[0][0] - math.log(1 / 3 / 0.6)) < 0.1
+    assert all(against < -3 for against, _ in weights[1:])
+    assert quality_rules.posterior((-1, *[1] * 7), prior, weights) > 0.99
+    assert quality_rules.posterior((1, -1, -1, -1, *[1] * 4), prior, weights) < 0.5
+
+
 def test_probability_is_that_of_the_estimate(make_docs, words):
     texts = [(i, words(100 + i, i) if i % 5 else words(90, i).replace(" ", "*** ").upper())
              for i in range(60)]
