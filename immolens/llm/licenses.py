@@ -1,12 +1,14 @@
 """Licence scans by a positional index of rare words.
 
-DataFrame functions only, no shuffle of texts.  Every template's index words have
-postings (template, position).  A first pass counts in how many files each index
-word stands; these few counts give its IDF.  A second pass looks up each file's
-``LOOKED_UP`` index words of highest IDF, shifts the postings by the places of
-these words, and keeps every (template, shift) that at least ``SUPPORT`` different
-words agree on; a template counts where all its mandatory phrases then stand at
-their places.  The score is the largest share of a template's words in place.
+DataFrame functions only, no shuffle of texts.  A first pass counts in how many
+files each index word stands; these few counts give its IDF.  Of every template the
+``SUPPORT`` index words of highest IDF in its mandatory phrases have postings
+(template, position): where a template counts, these must stand, so none is lost,
+however many notices and other index words a file has.  A second pass shifts the
+postings by the places of these words, and keeps every (template, shift) that
+``SUPPORT`` different words agree on; a template counts where all its mandatory
+phrases then stand at their places.  The score is the largest share of a template's
+words in place.
 
 Cases: null, empty or blank text has no word, no label and score 0; repeated rows
 and null ids get a row each; an empty table gives an empty result; other columns
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from immolens.llm.common import table
 
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"       # fixed by the contract, after lower-casing
-LOOKED_UP = 12
 SUPPORT = 2
 
 # The contract's phrases, with the place of the word they are found by.
@@ -81,15 +82,28 @@ SHIFTS = 1 << 40
 MARGIN = 1 << 10         # so that a template may begin before the text does
 
 
-def index() -> tuple[list[str], dict[str, list[int]]]:
-    """The indexed words and, by word, their postings' codes at place 0 of a text."""
-    words = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - UNINDEXED)
-    postings: dict[str, list[int]] = {w: [] for w in words}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        for at, w in enumerate(text.split()):
-            if w in postings:
-                postings[w].append((t * SHIFTS + MARGIN - at) * CODE + words.index(w))
-    return words, postings
+def index() -> list[str]:
+    """The indexed words."""
+    return sorted({w for _, text, _ in TEMPLATES for w in text.split()} - UNINDEXED)
+
+
+def mandatory(t: int) -> list[tuple[int, list[str]]]:
+    """(place in template ``t``, words) of its mandatory phrases."""
+    text, own = TEMPLATES[t][1].split(), [phrase.split() for phrase in TEMPLATES[t][2]]
+    return [(next(i for i in range(len(text)) if text[i:i + len(p)] == p), p) for p in own]
+
+
+def postings(weights: dict[str, float]) -> dict[str, list[int]]:
+    """By word that is looked up, its postings' codes at place 0 of a text."""
+    words, out = sorted(weights), {}
+    for t in range(len(TEMPLATES)):
+        places = [(at + j, w) for at, phrase in mandatory(t) for j, w in enumerate(phrase)]
+        rare = sorted({w for _, w in places if w in weights}, key=lambda w: (-weights[w], w))
+        for at, w in places:
+            if w in rare[:SUPPORT]:
+                out.setdefault(w, []).append(
+                    (t * SHIFTS + MARGIN - at) * CODE + words.index(w))
+    return out
 
 
 def split_words(text: Column) -> Column:
@@ -103,7 +117,7 @@ def _quoted(words) -> str:
 
 def places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, w, at): a file's words, and where indexed ones stand."""
-    words, _ = index()
+    words = index()
     return (docs.select(F.col(key).alias("doc_id"), split_words(F.col(text)).alias("w"))
             .select("doc_id", "w", F.expr(
                 f"filter(if(size(w) = 0, array(), sequence(0, size(w) - 1)), "
@@ -112,7 +126,7 @@ def places(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def idf(found: DataFrame) -> dict[str, float]:
     """By indexed word; as many rows as there are indexed words come to the driver."""
-    words, _ = index()
+    words = index()
     counted = found.select(F.explode(F.expr(
         "array_append(array_distinct(transform(at, i -> w[i])), '')")).alias("word")) \
         .groupBy("word").agg(F.count("*").alias("n"))
@@ -128,12 +142,7 @@ def _stand(shift: str, phrase: list[str], at: int) -> str:
 
 def _verified(t: int) -> str:
     """All mandatory phrases of template ``t`` stand at their places."""
-    text, checks = TEMPLATES[t][1].split(), []
-    for phrase in TEMPLATES[t][2]:
-        own = phrase.split()
-        at = next(i for i in range(len(text)) if text[i:i + len(own)] == own)
-        checks.append(_stand("s", own, at))
-    return " and ".join(checks)
+    return " and ".join(_stand("s", own, at) for at, own in mandatory(t))
 
 
 def _share(t: int) -> str:
@@ -144,29 +153,17 @@ def _share(t: int) -> str:
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row per file: its places of the base phrases, labels and score."""
-    words, postings = index()
     found = places(docs)
-    weights = idf(found)
-    rank = {w: r for r, w in enumerate(sorted(words, key=lambda w: (-weights[w], w)))}
-    ranks = "map(" + ", ".join(f"'{w}', {r}" for w, r in rank.items()) + ")"
+    looked_up = postings(idf(found))
     codes = "map(" + ", ".join(
-        f"'{w}', array({', '.join(f'{c}L' for c in postings[w])})" for w in words) + ")"
+        f"'{w}', array({', '.join(f'{c}L' for c in own)})" for w, own in looked_up.items()) + ")"
     starts = [f"transform(filter(at, i -> w[i] = '{phrase.split()[anchor]}' and "
               f"{_stand('i', phrase.split(), -anchor)}), i -> i - {anchor})"
               for _, phrase, anchor in BASE]
-    own = found.select(
-        "doc_id", "w", "at", F.array(*(F.expr(s) for s in starts)).alias("base"),
-        F.expr("array_distinct(transform(at, i -> w[i]))").alias("present"))
-    # a file with fewer different words than SUPPORT has nothing to agree on
-    looked = own.select("doc_id", "w", "at", "base", F.expr(
-        f"if(size(present) < {SUPPORT}, array(), "
-        f"slice(array_sort(transform(present, x -> element_at({ranks}, x))), 1, {LOOKED_UP}))")
-        .alias("rare"))
-    by_rank = sorted(rank, key=rank.get)
-    shifted = looked.select("doc_id", "w", "base", F.expr(
+    own = found.select("doc_id", "w", "at", F.array(*(F.expr(s) for s in starts)).alias("base"))
+    shifted = own.select("doc_id", "w", "base", F.expr(
         "sort_array(array_distinct(flatten(transform("
-        f"filter(at, i -> size(rare) > 0 and array_contains("
-        f"transform(rare, r -> element_at(array({_quoted(by_rank)}), r + 1)), w[i])), "
+        f"filter(at, i -> w[i] in ({_quoted(looked_up)})), "
         f"i -> transform(element_at({codes}, w[i]), c -> c + i * {CODE}L)))))").alias("codes"))
     agreed = shifted.select("doc_id", "w", "base", F.expr(
         "array_distinct(transform(filter(codes, (c, i) -> "

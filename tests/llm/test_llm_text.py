@@ -272,6 +272,29 @@ def test_licence_templates_find_themselves(make_docs):
         assert rows[i]["score"] == 1.0
 
 
+def test_licences_of_files_with_many_index_words(make_docs):
+    notices = [(label, text) for label, text, _ in licenses.TEMPLATES]
+    pairs = [(a, b) for a in notices for b in notices if a[1] != b[1]]
+    stray = " ".join(licenses.index()[::-1])
+    texts = [(i, f"{a}. some code. {b}") for i, ((_, a), (_, b)) in enumerate(pairs)]
+    texts += [(1_000 + i, f"{stray} code {text} code {stray}") for i, (_, text) in enumerate(notices)]
+    texts += [(2_000, " code. ".join(text for _, text in notices))]
+    rows = {r["doc_id"]: r for r in licenses.scan(make_docs(texts)).collect()}
+    want = {i: {a, b} for i, ((a, _), (b, _)) in enumerate(pairs)}
+    want |= {1_000 + i: {label} for i, (label, _) in enumerate(notices)}
+    want[2_000] = {label for label, _ in notices}
+    assert {i: own - set(rows[i]["labels"].split(",")) for i, own in want.items()} == {
+        i: set() for i in want}
+    assert {r["score"] for r in rows.values()} == {1.0}
+    # exactly where the mandatory phrases stand
+    for i, text in texts:
+        held = licenses.re.findall(r"[a-z0-9]+", text)
+        for t, (label, _, _) in enumerate(licenses.TEMPLATES):
+            stands = any(all(at + s >= 0 and held[at + s:at + s + len(p)] == p
+                             for at, p in licenses.mandatory(t)) for s in range(-60, len(held)))
+            assert not stands or label in rows[i]["labels"].split(",")
+
+
 def test_licence_words_out_of_place_say_nothing(make_docs):
     rows = licenses.scan(make_docs([
         (1, "the license was public and general; gnu is an animal, version 3 of it"),
