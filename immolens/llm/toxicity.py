@@ -7,8 +7,11 @@ that is harmless alone can count beside another.  The machine is learned by
 gradient steps on a bounded sample of labelled rows.  A bucket's value in a text
 that has it grows with how surely its rate differs between the labels (the score
 of a two-sample test, continuity corrected); below ``SURE_FROM`` it is nil, so
-that chance words neither add up in long texts nor get parameters.  Scoring is
-one pass without a shuffle.
+that chance words neither add up in long texts nor get parameters.  A bucket that
+says nothing alone is tested once more among the texts that hold a known toxic one,
+by strata of the surest such bucket; where it passes, it has factors and no weight.
+Tests are made on a sample with the corpus's share of toxic texts, so that what they
+need doesn't depend on the corpus's size.  Scoring is one pass without a shuffle.
 
 Cases: null or empty text gets the bias alone; rows without a label are scored,
 not learned from; a document labelled twice counts as toxic if any label says so;
@@ -18,6 +21,7 @@ get a row each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +36,7 @@ from immolens.llm.terms import coded_words, letters
 from immolens.llm.tokens import slices
 
 SAMPLE_ROWS = 4_000         # labelled rows learned from, of each label
+MOST_TIMES = 8              # as many of the commoner label are tested on, at most
 HASH_BITS = 30
 BEGINNINGS = (4, 5)         # letters
 MIN_DOCS = 3                # of the sample, that a bucket must be in
@@ -88,19 +93,29 @@ def text_buckets(texts: pa.Array, known: np.ndarray | None = None):
     return both % width, np.searchsorted(both // width, np.arange(len(ends)), "right")
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], dict[int, float]]:
-    """[(id, label, buckets)] of the labelled rows that are learned from, and the
-    values of their buckets.
+def sample(docs: DataFrame, labels: DataFrame
+           ) -> tuple[list[tuple], dict[int, float], set[int]]:
+    """[(id, label, buckets)] of the labelled rows that are learned from, the values
+    of their buckets, and the buckets that have factors only.
 
-    Of each label the ``SAMPLE_ROWS`` ids with the smallest hash.  The ids, so bounded, are broadcast to the
-    documents.  Buckets are tested where they are counted, and only those with a
+    Of each label the ``SAMPLE_ROWS`` ids with the smallest hash are learned from;
+    buckets are tested on these and on more of the commoner label, up to the corpus's
+    share of it.  The ids, so bounded, are broadcast to the documents.  Buckets are tested where they are counted, and only those with a
     value come to the driver.
     """
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
-    chosen = hash_sample(one, "toxic", "doc_id", SAMPLE_ROWS, "doc_id").select("doc_id", "toxic")
+    sizes = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
+    limit = {label: math.ceil(SAMPLE_ROWS * min(MOST_TIMES, n / min(sizes.values())))
+             for label, n in sizes.items()}
+    own = F.lit(0)
+    for label, n in limit.items():
+        own = F.when(F.col("toxic") == label, n).otherwise(own)
+    chosen = (hash_sample(one, "toxic", "doc_id", max(limit.values(), default=1), "doc_id")
+              .where(F.col("__rank") <= own)
+              .select("doc_id", "toxic", (F.col("__rank") <= SAMPLE_ROWS).alias("learned")))
     texts = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-             .select("doc_id", "toxic", "text"))
+             .select("doc_id", "toxic", "text", "learned"))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,36 +129,73 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple], dict[int, f
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(which)),
                      b.column(1).cast(pa.int32()).take(pa.array(which)),
-                     pa.array(got, pa.int64())], names=["doc_id", "toxic", "bucket"])
+                     b.column(3).take(pa.array(which)), pa.array(got, pa.int64())],
+                    names=["doc_id", "toxic", "learned", "bucket"])
 
-    pairs = written(texts.mapInArrow(run, "doc_id long, toxic int, bucket long").distinct(),
-                    "toxicity-sample")
+    pairs = written(
+        texts.mapInArrow(run, "doc_id long, toxic int, learned boolean, bucket long").distinct(),
+        "toxicity-sample")
     counted = pairs.groupBy("bucket").agg(F.count("*").alias("n"),
                                           F.count_if(F.col("toxic") == 1).alias("k"))
     total = counted.where("bucket = -1").first()
     if total is None:
-        return [], {}
+        return [], {}, set()
     n, k = total["n"], total["k"]
     off = F.abs(F.col("k") - F.col("n") * (k / n)) - 0.5
     spread = F.sqrt(F.col("n") * (1 - F.col("n") / n) * (k * (n - k) / n / n)) + 1e-9
     value = (off / spread - SURE_FROM) / (SURE_AT - SURE_FROM)
     sure = (counted.where((F.col("bucket") >= 0) & (F.col("n") >= MIN_DOCS))
-            .select("bucket", F.least(value, F.lit(1.0)).alias("value")).where("value > 0"))
+            .select("bucket", F.least(value, F.lit(1.0)).alias("value"), value.alias("surety"),
+                    (F.col("k") > F.col("n") * (k / n)).alias("bad"), F.lit(False).alias("paired"))
+            .where("value > 0"))
     sure = written(sure, "toxicity-buckets")
-    told = pairs.join(sure, "bucket", "left").groupBy("doc_id", "toxic").agg(
+    both = sure.select("bucket", "value", "paired").unionAll(beside(pairs, sure))
+    both = written(both, "toxicity-pairs")
+    told = pairs.where("learned").join(both, "bucket", "left").groupBy("doc_id", "toxic").agg(
         F.sort_array(F.collect_list(F.expr("if(value is null, null, bucket)"))).alias("buckets"))
     rows = sorted(((r["doc_id"], r["toxic"], r["buckets"]) for r in told.collect()),
                   key=lambda r: r[0])
-    return rows, {r["bucket"]: r["value"] for r in sure.collect()}
+    known = both.collect()
+    return rows, {r["bucket"]: r["value"] for r in known}, {
+        r["bucket"] for r in known if r["paired"]}
 
 
-def learn(rows: list[tuple[int, int, list[int]]], value: dict[int, float]) -> Machine | None:
-    """Adam on the logistic loss with decay; None without rows of both labels."""
+def beside(pairs: DataFrame, sure: DataFrame) -> DataFrame:
+    """(bucket, value, paired) of the buckets without a value of their own that tell
+    toxic texts from clean ones beside a known toxic bucket.
+
+    A text belongs to the stratum of its surest toxic bucket.  A bucket's toxic texts
+    are compared with those expected from the rates of their strata (the test of
+    Cochran, Mantel and Haenszel); counts per bucket and stratum are linear in ``pairs``.
+    """
+    strata = (pairs.join(sure.where("bad"), "bucket").groupBy("doc_id", "toxic")
+              .agg(F.max(F.struct("surety", "bucket")).getField("bucket").alias("stratum")))
+    strata = written(strata, "toxicity-strata")
+    sizes = strata.groupBy("stratum").agg(F.count("*").alias("texts"),
+                                          F.avg((F.col("toxic") == 1).cast("int")).alias("rate"))
+    counted = (pairs.where("bucket >= 0").join(strata, ["doc_id", "toxic"])
+               .groupBy("bucket", "stratum")
+               .agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("k"))
+               .join(sure.select("bucket"), "bucket", "left_anti").join(sizes, "stratum"))
+    tested = counted.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum(F.expr("k - n * rate")).alias("off"),
+        F.sum(F.expr("n * (1 - n / texts) * rate * (1 - rate)")).alias("spread"))
+    value = ((F.abs("off") - 0.5) / (F.sqrt("spread") + 1e-9) - SURE_FROM) / (SURE_AT - SURE_FROM)
+    return (tested.where((F.col("n") >= MIN_DOCS) & (F.col("spread") > 1e-6))
+            .select("bucket", F.least(value, F.lit(1.0)).alias("value"), F.lit(True).alias("paired"))
+            .where("value > 0"))
+
+
+def learn(rows: list[tuple[int, int, list[int]]], value: dict[int, float],
+          paired: set[int] = frozenset()) -> Machine | None:
+    """Adam on the logistic loss with decay; None without rows of both labels.  The
+    ``paired`` buckets have factors, and no weight."""
     y = np.array([t == 1 for _, t, _ in rows], np.float64)
     if not 0 < y.sum() < len(y):
         return None
     known = np.array(sorted(value), np.int64)
     x = np.array([value[int(b)] for b in known])
+    alone = np.array([int(b) not in paired for b in known], bool)
     size = np.array([len(b) for *_, b in rows])
     at = np.searchsorted(known, np.array([i for *_, b in rows for i in b], np.int64))
     text, ends = np.repeat(np.arange(len(rows)), size), np.cumsum(size)
@@ -165,7 +217,7 @@ def learn(rows: list[tuple[int, int, list[int]]], value: dict[int, float]) -> Ma
         g = slope[text] * x[at]
         pull = g[:, None] * (sums[text] - v)
         grads = [np.array([slope.sum()]),
-                 np.bincount(at, g, len(known)) + DECAY_WEIGHTS * m.weights,
+                 (np.bincount(at, g, len(known)) + DECAY_WEIGHTS * m.weights) * alone,
                  np.stack([np.bincount(at, pull[:, f], len(known)) for f in range(FACTORS)],
                           axis=1) + DECAY_FACTORS * m.factors]
         for value, grad, a, b in zip(values, grads, first, second, strict=True):

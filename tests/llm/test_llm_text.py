@@ -237,6 +237,43 @@ def test_machine_learns_a_pair():
     assert (machine.factors[0] * machine.factors[1]).sum() != 0
 
 
+def test_insult_beside_a_group_mention_is_learned(spark, make_docs, words):
+    # the mention is as frequent in clean as in toxic texts; the insult beside it is
+    # toxic, alone it mostly is not; another insult is toxic by itself
+    rows = []
+    for i in range(1_200):
+        kind = i % 12
+        own = {0: "snirt", 1: "grobble mulvane", 2: "grobble mulvane", 3: "snirt",
+               4: "grobble", 5: "mulvane", 6: "mulvane", 7: "mulvane", 8: "mulvane"}.get(kind, "")
+        rows.append((i, f"{words(30, i)} {own} {words(20, 5_000 + i)}", int(kind < 4)))
+    docs = make_docs([(i, x) for i, x, _ in rows])
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows if i % 5], "doc_id long, toxic int")
+    learned, value, paired = toxicity.sample(docs, labels)
+    assert toxicity.buckets("mulvane")[0] in paired
+    assert toxicity.buckets("grobble")[0] in value.keys() - paired
+    machine = toxicity.learn(learned, value, paired)
+    at = list(machine.buckets).index(toxicity.buckets("mulvane")[0])
+    assert machine.weights[at] == 0 and abs(machine.factors[at]).max() > 0.1
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score(docs, machine).collect()}
+    held = [(scored[i], t) for i, _, t in rows if i % 5 == 0]
+    assert sum((s >= 0.5) == bool(t) for s, t in held) >= 0.98 * len(held)
+
+
+def test_needed_count_does_not_follow_the_size(spark, make_docs, monkeypatch):
+    # an insult of four toxic texts and no clean one, one text in nine is toxic
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 40)
+    for toxic in (40, 80):
+        rows = [(i, int(i < toxic)) for i in range(9 * toxic)]
+        chosen = toxicity.sample(make_docs([(i, "plain") for i, _ in rows]), spark.createDataFrame(
+            rows, "doc_id long, toxic int"))[0]
+        assert (sum(t for _, t, _ in chosen), len(chosen)) == (40, 80)
+        some = {d for d, t, _ in chosen if t}
+        some = set(sorted(some)[:4])
+        docs = make_docs([(i, "plain zorgle" if i in some else "plain") for i, _ in rows])
+        value = toxicity.sample(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))[1]
+        assert toxicity.buckets("zorgle")[0] in value
+
+
 def test_toxicity_of_odd_texts(spark, make_docs, odd_texts, words):
     rows = toxic_table(words, 200)
     labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
