@@ -26,7 +26,7 @@ from immolens.llm.common import hash_sample, id_hash, lean, table
 from immolens.llm.tokens import slices
 
 SAMPLE_ROWS = 300           # labelled rows learned from, per language
-SAMPLE_CHARS = 1_500        # of each such row
+SAMPLE_CHARS = 1_500        # of each such row, from a hashed place, at most
 DICT_BYTES = 96 << 10       # dictionary size, per language
 PIECE_CHARS = 2_000         # a text is compressed in pieces of this many characters, all of them
 HANDED_ON = 4 << 20         # bytes of text whose rows are handed on together
@@ -47,20 +47,34 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
           rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
     """Dictionary bytes by language, from at most ``rows`` rows a language.
 
-    The rows with the smallest hash of their id are taken: the sample is
-    spread over all data.
+    The rows with the smallest hash of their id are taken, and of each the letters
+    from a hashed place on: the sample is spread over all data.  All of them have a
+    part of the dictionary.
     """
     chars = (labelled.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
              .select(F.col(lang).alias("l"), F.col(key).alias("k"),
-                     F.substring(text, 1, SAMPLE_CHARS).alias("t")))
+                     F.trim(F.regexp_replace(text, "\\P{L}+", " ")).alias("t")))
+    places = F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS + 1)
+    begin = F.pmod(F.xxhash64("k", F.lit("place")), places.cast("long")).cast("int") + 1
+    chars = chars.select("l", "k", F.col("t").substr(begin, F.lit(SAMPLE_CHARS)).alias("t"))
     sample = hash_sample(chars, "l", "k", rows, "t").select("l", F.col("__rank").alias("r"), "t")
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in sample.toLocalIterator():
         texts.setdefault(row["l"], []).append((row["r"], letters(row["t"])))
+    return {name: _dictionary([t for _, t in sorted(own)]) for name, own in sorted(texts.items())}
+
+
+def _dictionary(texts: list[str]) -> bytes:
+    """At most ``DICT_BYTES`` of the texts, from each an equal share; what short ones
+    leave goes to the others."""
+    lines = [t.encode() for t in texts]
+    left, share = DICT_BYTES - len(lines) + 1, {}
+    for done, i in enumerate(sorted(range(len(lines)), key=lambda i: len(lines[i]))):
+        share[i] = min(len(lines[i]), left // (len(lines) - done))
+        left -= share[i]
     # the end of a dictionary is the cheapest to refer to: a language with few
     # rows repeats none, it just has a shorter dictionary
-    return {name: "\n".join(t for _, t in sorted(own)).encode()[:DICT_BYTES]
-            for name, own in sorted(texts.items())}
+    return b"\n".join(x[:share[i]].decode("utf-8", "ignore").encode() for i, x in enumerate(lines))
 
 
 def _predictor(dicts: dict[str, bytes]):

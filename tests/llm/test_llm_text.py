@@ -45,6 +45,23 @@ def test_language_without_labels(make_docs, odd_texts):
     assert langid.predict(make_docs([]), dicts).collect() == []
 
 
+def test_every_sampled_row_is_in_the_dictionary(make_docs, words):
+    r = random.Random(6)
+    # long rows that begin with a page without letters, each with a word of its own
+    names = ["".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(4))
+             for _ in range(300)]
+    docs = make_docs([(i, "12 -- " * 400 + f"{name} " * 600) for i, name in enumerate(names)])
+    data = langid.train(docs)["en"]
+    assert len(data) <= langid.DICT_BYTES and len(data) > 0.98 * langid.DICT_BYTES
+    assert {n for n in names if n in data.decode()} == set(names)
+    # short rows leave their share to the others, and no letter is cut in two
+    mixed = langid._dictionary(["ab"] * 200 + ["é" * 1_500] * 100)
+    assert mixed.decode().count("ab") == 200 and len(mixed) > 0.98 * langid.DICT_BYTES
+    # the parts come from all places of the texts
+    begins = langid.train(make_docs([(i, "x " * 3_000 + "z " * 3_000) for i in range(100)]))["en"]
+    assert b"x" in begins and b"z" in begins
+
+
 def test_language_never_sees_held_out_rows(spark, sf001):
     docs = table(spark, sf001, "documents")
     seen = langid.training_rows(docs).select(langid.id_hash().alias("h")).where("h % 4 = 2")
