@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from immolens.llm import (chat, decontaminate, langid, licenses, packing, quality_rules,
-                          simhash, suffix_dedup, token_files, toxicity)
+from immolens.llm import (byte_bpe, chat, decontaminate, divergence, langid, licenses, packing,
+                          quality_rules, simhash, suffix_dedup, token_files, toxicity)
 
 #: query name -> the operator's module; its ORACLE_SQL is the query's SQL, if it has one
 REGISTERED = {
@@ -17,6 +17,8 @@ REGISTERED = {
     "op8_token_output": token_files,
     "op9_packing": packing,
     "op10_decontamination": decontaminate,
+    "op11_source_divergence": divergence,
+    "op13_byte_bpe": byte_bpe,
 }
 
 QUERIES = {name: module.query for name, module in REGISTERED.items()}
