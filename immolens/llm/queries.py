@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from immolens.llm import (byte_bpe, chat, decontaminate, divergence, langid, licenses, packing,
-                          quality_rules, simhash, suffix_dedup, token_files, toxicity)
+                          quality_rules, simhash, spelling, suffix_dedup, token_files, toxicity)
 
 #: query name -> the operator's module; its ORACLE_SQL is the query's SQL, if it has one
 REGISTERED = {
@@ -18,6 +18,7 @@ REGISTERED = {
     "op9_packing": packing,
     "op10_decontamination": decontaminate,
     "op11_source_divergence": divergence,
+    "op12_spelling_variants": spelling,
     "op13_byte_bpe": byte_bpe,
 }
 
