@@ -9,6 +9,8 @@ quality figures are comparable in kind, not equal.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,7 +18,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -52,14 +54,19 @@ def _doubles(df: DataFrame, cols) -> DataFrame:
 
 
 # ------------------------------------------------------------------ KMeans
-def _relabel(model: PipelineModel):
-    """Cluster ids ordered by centre (lexicographic), stable for a seed."""
-    centers = model.stages[-1].clusterCenters()
-    order = sorted(range(len(centers)), key=lambda i: tuple(centers[i]))
-    new_id = [0] * len(order)
-    for rank, old in enumerate(order):
-        new_id[old] = rank
-    return F.element_at(F.array(*[F.lit(i) for i in new_id]), F.col("_cluster") + 1)
+@dataclass
+class Clusters:
+    """M5 as plain data: the columns that were clustered, and the centres in order.
+
+    Cluster ids are places in the list, which is sorted, so they are the same for the
+    same centres whatever number the fit gave them."""
+    columns: list[str]
+    centres: list[list[float]]
+
+    @classmethod
+    def of_model(cls, model: PipelineModel) -> Clusters:
+        centres = [[float(x) for x in c] for c in model.stages[-1].clusterCenters()]
+        return cls(list(model.stages[0].getInputCols()), sorted(centres))
 
 
 def fit_clustering(df: DataFrame, n_cluster: int = 8, cols=None, seed: int = 42) -> PipelineModel:
@@ -75,14 +82,18 @@ def fit_clustering(df: DataFrame, n_cluster: int = 8, cols=None, seed: int = 42)
     return pipe.fit(_doubles(df.select(*cols), cols))
 
 
-def predict_cluster(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """M6: add ``cluster`` with a fitted (or reloaded) clustering model."""
-    cols = model.stages[0].getInputCols()
-    kept = df.withColumns({f"_orig_{c}": F.col(c) for c in cols})
-    scored = model.transform(_doubles(kept, cols))
-    scored = scored.withColumn("cluster", _relabel(model))
-    scored = scored.drop(*cols).withColumnsRenamed({f"_orig_{c}": c for c in cols})
-    return scored.drop("_cluster_features", "_cluster").select(*df.columns, "cluster")
+def predict_cluster(df: DataFrame, clusters: PipelineModel | Clusters) -> DataFrame:
+    """M6: add ``cluster``, the index of the nearest centre (the first of equally
+    near ones), for a fitted or reloaded model or its plain centres; a row
+    without one of the clustered values has none."""
+    own = Clusters.of_model(clusters) if isinstance(clusters, PipelineModel) else clusters
+    values = [F.col(c).cast("double") for c in own.columns]
+    far = [sum(((v - F.lit(float(x))) ** 2 for v, x in zip(values, centre, strict=True)), F.lit(0.0))
+           for centre in own.centres]
+    near = (F.array_position(F.array(*far), F.least(*far)) - 1).cast("int") if len(far) > 1 \
+        else F.lit(0)
+    known = [v.isNotNull() for v in values]
+    return df.withColumn("cluster", F.when(reduce(lambda a, b: a & b, known), near))
 
 
 def train_clustering(df: DataFrame, n_cluster: int = 8, cols=None, seed: int = 42):
@@ -91,14 +102,22 @@ def train_clustering(df: DataFrame, n_cluster: int = 8, cols=None, seed: int = 4
 
 
 # ------------------------------------------------------------------ split
+def in_test_set(key: str = "id_annonce", seed: int = SPLIT_SEED) -> Column:
+    """M8: whether a row is in the test set, by the md5 of seed and key, a digest
+    that any SQL engine has.  A null key counts as the empty text."""
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    bucket = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return bucket % TEST_FRACTION_BUCKETS == 0
+
+
 def split(df: DataFrame, key: str = "id_annonce", seed: int = SPLIT_SEED):
-    """M8: deterministic 80/20 split by a hash of the key.
+    """M8: deterministic 80/20 split by a digest of the key.
 
     The same rows land in the test set for every model and every partition
     layout (``randomSplit`` depends on the partitioning of its input).
     """
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(TEST_FRACTION_BUCKETS))
-    return df.where(bucket != 0), df.where(bucket == 0)
+    test = in_test_set(key, seed)
+    return df.where(~test), df.where(test)
 
 
 def feature_columns(df: DataFrame, exclude=("prix", "prix_log", "id_annonce", "label")) -> list[str]:
@@ -268,15 +287,6 @@ def importance_shares(weights: DataFrame, min_pct: float = 0.5) -> DataFrame:
             .orderBy(F.desc("pct"), "feature"))
 
 
-def nearest_centre(df: DataFrame, centres: list[tuple], cols: list[str]) -> DataFrame:
-    """M6 for given centres: add ``cluster``, the index of the nearest one
-    (the first of equally near ones)."""
-    far = [sum(((F.col(c).cast("double") - F.lit(float(x))) ** 2 for c, x in zip(cols, centre)),
-               F.lit(0.0)) for centre in centres]
-    return df.withColumn("cluster", (F.array_position(F.array(*far), F.least(*far)) - 1).cast("int")
-                         if len(far) > 1 else F.lit(0))
-
-
 def hyperparameters(spark, model) -> DataFrame:
     """The five boosting settings of a fitted model, one row."""
     get = model.getOrDefault

@@ -7,8 +7,9 @@ type flags, cluster, model prediction, derived figures.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from immolens.functions.numeric import trunc_long
@@ -59,54 +60,58 @@ def request_features(requests: DataFrame, encoding: DataFrame, flags: list[str],
                                  default=default_encoding)
 
 
-def score(requests: DataFrame, encoding: DataFrame, cluster_model, model,
+def figures(price: Column, surface: Column, r2: float | None = None) -> list[Column]:
+    """The reported figures of an untruncated price: whole price, confidence (the
+    model's R² in %), price per m²."""
+    return [trunc_long(price).alias("current_estimated_price"),
+            (F.round(F.lit(r2 * 100), 1) if r2 is not None else F.lit(None).cast("double"))
+            .alias("confidence"),
+            trunc_long(F.try_divide(price, surface)).alias("price_per_sqm")]
+
+
+def score(requests: DataFrame, encoding: DataFrame, clusters, model,
           feature_cols: list[str], method: str = "prix_brut", r2: float | None = None,
           default_encoding: float | None = None, ranges: dict | None = None) -> DataFrame:
     """Estimated price, price per m² and confidence for every request.
 
-    ``ranges`` (the A18 input ranges) clamps surface and rooms first."""
+    ``model`` is the champion, alone or behind its assembler; ``clusters`` the
+    fitted clustering or its centres (None: trained without).  ``ranges`` (the A18
+    input ranges) clamps surface and rooms first."""
     if ranges:
         requests = clamp_requests(requests, ranges)
     flags = [c for c in feature_cols if c.startswith(FLAG)]
-    feats = predict_cluster(request_features(requests, encoding, flags, default_encoding),
-                            cluster_model)
-    assembled = VectorAssembler(inputCols=feature_cols, outputCol="features").transform(
-        feats.withColumns({c: F.col(c).cast("double") for c in feature_cols}
-                          ).withColumns({f"_keep_{c}": F.col(c) for c in requests.columns}))
-    pred = model.transform(assembled)
+    # the requests' own columns are kept aside: a feature may have the name of one
+    kept = requests.withColumns({f"_keep_{c}": F.col(c) for c in requests.columns})
+    feats = request_features(kept, encoding, flags, default_encoding)
+    if clusters is None:
+        feats = feats.withColumn("cluster", F.lit(None).cast("int"))
+    else:
+        feats = predict_cluster(feats, clusters)
+    ready = feats.withColumns({c: F.col(c).cast("double") for c in feature_cols})
+    if not isinstance(model, PipelineModel):
+        model = PipelineModel([VectorAssembler(inputCols=feature_cols, outputCol="features"), model])
+    pred = model.transform(ready)
     price = F.expm1("prediction") if method == "log_prix" else F.col("prediction")
-    return pred.select(
-        *[F.col(f"_keep_{c}").alias(c) for c in requests.columns],
-        price.alias("predicted_price"),
-        trunc_long(price).alias("current_estimated_price"),
-        (F.round(F.lit(r2 * 100), 1) if r2 is not None else F.lit(None).cast("double"))
-        .alias("confidence"),
-        trunc_long(F.try_divide(price, F.col("surface_area"))).alias("price_per_sqm"),
-        F.col("cluster"))
-
-
-def score_given(requests: DataFrame, features: DataFrame, prediction: str, key: str,
-                r2: float | None = None) -> DataFrame:
-    """C17 and M17 for predictions made elsewhere (column ``prediction`` of
-    ``features``): figures and all projections of a request in one row."""
-    p = F.col(prediction)
-    scored = requests.join(features.select(key, p), key)
-    return scored.select(
-        key, trunc_long(p).alias("current_estimated_price"),
-        trunc_long(F.try_divide(p, F.col("surface_area"))).alias("price_per_sqm"),
-        (F.round(F.lit(r2 * 100), 1) if r2 is not None else F.lit(None).cast("double"))
-        .alias("confidence"),
-        *[trunc_long(p * F.lit(factor)).alias(f"price_{i + 1}")
-          for i, (_, factor, _) in enumerate(HORIZONS)])
+    return pred.select(*[F.col(f"_keep_{c}").alias(c) for c in requests.columns],
+                       price.alias("predicted_price"),
+                       *figures(price, F.col("_keep_surface_area"), r2), F.col("cluster"))
+
+
+def horizon_prices(price: Column) -> list[Column]:
+    """M17 side by side: the whole price at each horizon."""
+    return [trunc_long(price * F.lit(factor)).alias(f"price_{i + 1}")
+            for i, (_, factor, _) in enumerate(HORIZONS)]
 
 
 def projections(df: DataFrame, price_col: str, keys=(), include_today: bool = True) -> DataFrame:
     """Long form ``(period, price, pct)``, one row per horizon (and today);
     ``price_col`` is the untruncated price (``predicted_price`` of ``score``)."""
     p = F.col(price_col)
-    items = [F.struct(F.lit(TODAY).alias("period"), trunc_long(p).alias("price"),
-                      F.lit(None).cast("string").alias("pct"))] if include_today else []
-    items += [F.struct(F.lit(name).alias("period"), trunc_long(p * F.lit(factor)).alias("price"),
-                       F.lit(label).alias("pct")) for name, factor, label in HORIZONS]
+    items = [F.struct(F.lit(name).alias("period"), price.alias("price"),
+                      F.lit(label).alias("pct"))
+             for (name, _, label), price in zip(HORIZONS, horizon_prices(p), strict=True)]
+    if include_today:
+        items.insert(0, F.struct(F.lit(TODAY).alias("period"), trunc_long(p).alias("price"),
+                                 F.lit(None).cast("string").alias("pct")))
     return (df.select(*keys, F.explode(F.array(*items)).alias("_p"))
             .select(*keys, "_p.period", "_p.price", "_p.pct"))

@@ -12,13 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from immolens.operators import (clean, features, market, marts, models, quality, scoring,
+from immolens.operators import (bundle, clean, features, market, marts, models, quality, scoring,
                                 warehouse)
 from immolens.operators.keys import keep_first
 from immolens.plans import views
 from immolens.sources.adapter import city_coordinates
 from immolens.sources.adapter import listings_snapshot as listings
-from immolens.sources.snapshots import stored
+from immolens.sources.snapshots import stored, stored_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
@@ -490,19 +490,18 @@ def request_features(spark, sf_dir):
 
 @query
 def train_test_split(spark, sf_dir):
-    """M8: how the 80/20 split falls, for ids that depend on nothing else."""
-    train, test = models.split(_features_table(spark, sf_dir))
-    return (train.select("id_annonce", F.lit(False).alias("test"))
-            .unionByName(test.select("id_annonce", F.lit(True).alias("test")))
-            .groupBy("id_annonce").agg(F.count(F.lit(1)).alias("sets"))
-            .groupBy("sets").agg(F.count(F.lit(1)).alias("ids")))
+    """M8: the set of every id."""
+    train, test = models.split(_features_table(spark, sf_dir).select("id_annonce"))
+    return (train.withColumn("test", F.lit(False))
+            .unionByName(test.withColumn("test", F.lit(True))))
 
 
 @query
 def nearest_centres(spark, sf_dir):
     """M6: the cluster of every listing for given centres."""
-    f = _features_table(spark, sf_dir).select("id_annonce", "surface", "pieces")
-    return models.nearest_centre(f, CENTRES, ["surface", "pieces"]).select("id_annonce", "cluster")
+    given = models.Clusters(["surface", "pieces"], CENTRES)
+    return models.predict_cluster(_features_table(spark, sf_dir), given).select(
+        "id_annonce", "cluster")
 
 
 @query
@@ -526,11 +525,15 @@ def score_figures(spark, sf_dir):
     given = features.apply_target_encoding(
         requests.select("ordinal", F.split_part("city", F.lit(","), F.lit(1)).alias("ville")),
         _encoding(spark, sf_dir), "ville", on_unknown="default", normalise=True)
-    return scoring.score_given(requests, given, "ville", "ordinal", CHECKED_R2)
+    priced = requests.join(given.select("ordinal", "ville"), "ordinal")
+    price = F.col("ville")
+    return priced.select("ordinal", *scoring.figures(price, F.col("surface_area"), CHECKED_R2),
+                         *scoring.horizon_prices(price))
 
 
 # ------------------------------------------------------------ model jobs
 _TRAINED: dict[tuple, dict] = {}
+_BUNDLES: dict[tuple, str] = {}
 
 
 def _clustered(spark, sf_dir):
@@ -598,13 +601,22 @@ def hyperparameters(spark, sf_dir):
         {"trees": F.lit(model.getNumTrees), "nodes": F.lit(model.totalNumNodes)})
 
 
+def _bundle(spark, sf_dir) -> bundle.Bundle:
+    """The stored bundle of the training, published once per application and
+    snapshot and loaded back from its folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUNDLES:
+        res = _trained(spark, sf_dir)
+        ranges = market.input_ranges(_features_table(spark, sf_dir)).first().asDict()
+        clusters = models.Clusters.of_model(res["kmeans"])
+        root = stored_folder(spark, "bundle", sf_dir)
+        bundle.save(spark, root, bundle.of_training(res, _encoding(spark, sf_dir), clusters, ranges))
+        _BUNDLES[key] = root
+    return bundle.load(spark, _BUNDLES[key])
+
+
 @query
 def batch_scoring(spark, sf_dir):
     """M16 over every raw listing turned into a request ('city, zipcode',
-    type, surface, rooms), scored with the champion model."""
-    res = _trained(spark, sf_dir)
-    champ = res["champion"]
-    ranges = market.input_ranges(_features_table(spark, sf_dir)).first().asDict()
-    return scoring.score(_requests(spark, sf_dir), _encoding(spark, sf_dir), res["kmeans"],
-                         champ["model"], res["feature_columns"], champ["method"], champ["r2"],
-                         ranges=ranges)
+    type, surface, rooms), scored from the stored bundle alone."""
+    return bundle.score(_requests(spark, sf_dir), _bundle(spark, sf_dir))

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from immolens.operators import clean, features, marts, models, quality, warehouse
+from immolens.operators import (bundle, clean, features, market, marts, models, quality,
+                                warehouse)
 from immolens.sources import snapshots
 
 # (listing column, dimension column) pairs forming each natural key
@@ -119,18 +120,43 @@ def preview(spark: SparkSession, view: str = "dm_stats_par_ville", n: int = 5) -
 
 def train(spark: SparkSession, feats: DataFrame, out_dir: str, raw_params=None,
           log_params=None, clf_params=None) -> dict:
-    """Boosted models on the ML-ready rows; the champion and its metrics
-    are saved (S15, S16).  Returns the ``models.train_models`` result."""
-    feats = feats.persist()
+    """Boosted models on the ML-ready rows; the champion is published as a
+    bundle with the encoding and clustering that ``prepare`` saved (S13-S16).
+    Returns the ``models.train_models`` result."""
     res = models.train_models(feats, raw_params, log_params, clf_params)
-    feats.unpersist()
     if res:
-        champ = res["champion"]
-        snapshots.save_model(champ["model"], os.path.join(out_dir, "models", "best_regression"))
-        snapshots.save_metrics(spark, champ, os.path.join(out_dir, "models", "metrics"))
+        saved = os.path.join(out_dir, "models")
+        clusters = None
+        if "cluster" in res["feature_columns"]:
+            clusters = models.Clusters.of_model(
+                snapshots.load_pipeline_model(os.path.join(saved, "kmeans")))
+        encoding = snapshots.load_encoding(spark, os.path.join(saved, "city_encoding"))
+        ranges = market.input_ranges(feats).first().asDict()
+        bundle.save(spark, bundle_folder(out_dir),
+                    bundle.of_training(res, encoding, clusters, ranges))
     return res
 
 
+def bundle_folder(out_dir: str) -> str:
+    return os.path.join(out_dir, "models", "bundle")
+
+
+def score_requests(spark: SparkSession, requests: DataFrame, out_dir: str,
+                   version: int | None = None) -> DataFrame:
+    """A table of requests scored with the newest (or the given) bundle of
+    ``out_dir``; nothing but the folder is needed."""
+    return bundle.score(requests, bundle.load(spark, bundle_folder(out_dir), version))
+
+
+def run_report(spark: SparkSession, raw: DataFrame, out_dir: str) -> dict[str, DataFrame]:
+    """Counts of the latest snapshot, and the figures of the published bundle."""
+    model = None
+    metrics = bundle.metrics(spark, bundle_folder(out_dir))
+    if metrics["method"] is not None:
+        model = bundle.load(spark, bundle_folder(out_dir)).model.stages[-1]
+    return market.run_report(raw, latest_features(spark, out_dir), metrics, model)
+
+
 def latest_features(spark: SparkSession, out_dir: str) -> DataFrame:
     """The latest ML-ready snapshot written by ``prepare``."""
     return snapshots.load_clean(spark, os.path.join(out_dir, "clean"))

@@ -637,7 +637,8 @@ QUERIES["request_features"] = sql(f"""SELECT r.id, r.ordinal,
 FROM requests r CROSS JOIN limits l LEFT JOIN encoding e ON {_city} = e.ville""",
                                   "requests", "limits", "encoding")
 
-QUERIES["train_test_split"] = sql("""SELECT CAST(1 AS BIGINT) AS sets, count(DISTINCT id_annonce) AS ids
+QUERIES["train_test_split"] = sql("""SELECT id_annonce,
+  CAST('0x' || substr(md5('42:' || CAST(id_annonce AS VARCHAR)), 1, 8) AS BIGINT) % 5 = 0 AS test
 FROM features""", "features")
 
 _centres = [(40.0, 2.0), (90.0, 3.0), (150.0, 4.0), (220.0, 6.0)]

@@ -41,13 +41,19 @@ def stored(spark: SparkSession, name: str, key: str, build: Callable[[], DataFra
     with its own partitioning, whatever its size."""
     ident = (spark.sparkContext.applicationId, name, key, STORE_VERSION)
     if ident not in _STORED:
-        tag = hashlib.sha1(repr(ident).encode()).hexdigest()[:16]
-        path = f"{shared_folder(spark)}/immolens/{name}-{tag}"
+        path = stored_folder(spark, name, key)
         build().write.mode("overwrite").parquet(path)
         _STORED[ident] = path
     return spark.read.parquet(_STORED[ident])
 
 
+def stored_folder(spark: SparkSession, name: str, key: str) -> str:
+    """This application's folder for a name and key, in the shared folder."""
+    ident = (spark.sparkContext.applicationId, name, key, STORE_VERSION)
+    tag = hashlib.sha1(repr(ident).encode()).hexdigest()[:16]
+    return f"{shared_folder(spark)}/immolens/{name}-{tag}"
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Forget this application's stored tables and empty their folders."""
     app = spark.sparkContext.applicationId
@@ -223,6 +229,7 @@ def save_model(model, path: str) -> None:
 
 
 def load_pipeline_model(path: str):
+    """A model written by ``save_model`` as a ``PipelineModel``."""
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
 

@@ -167,7 +167,9 @@ def test_flags_follow_the_data(spark):
 def test_projections_start_from_the_untruncated_price(spark):
     requests = spark.createDataFrame([(1, 0.0), (2, 50.0)], "id long, surface_area double")
     given = spark.createDataFrame([(1, 100001.9), (2, 100001.9)], "id long, p double")
-    rows = {r.id: r for r in scoring.score_given(requests, given, "p", "id").collect()}
+    rows = {r.id: r for r in requests.join(given, "id").select(
+        "id", *scoring.figures(F.col("p"), F.col("surface_area")),
+        *scoring.horizon_prices(F.col("p"))).collect()}
     assert rows[2].current_estimated_price == 100001 and rows[2].price_per_sqm == 2000
     assert rows[2].price_3 == int(100001.9 * 1.035 ** 2) == 107124
     assert rows[1].price_per_sqm is None and rows[1].confidence is None

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from immolens.operators import models, scoring
+from immolens.operators import bundle, models, scoring
 from immolens.plans import jobs
 
 SMALL = dict(maxIter=3, stepSize=0.1, maxDepth=3, seed=42)
@@ -29,14 +29,15 @@ def train_df(spark):
 
 
 def test_train_and_save(spark, train_df, tmpdir_path):
+    encoding = spark.createDataFrame([("PARIS", 300000.0)], "ville string, encoding double")
+    jobs.snapshots.save_encoding(encoding, os.path.join(tmpdir_path, "models", "city_encoding"))
     res = jobs.train(spark, train_df, tmpdir_path, SMALL, SMALL, SMALL)
     for key in ("regression_raw", "regression_log", "champion", "classification"):
         assert key in res
     assert res["champion"]["method"] in ("prix_brut", "log_prix")
     assert 0.0 <= res["classification"]["accuracy"] <= 1.0
-    assert os.path.isdir(os.path.join(tmpdir_path, "models", "best_regression"))
-    stored = jobs.snapshots.load_metrics(spark, os.path.join(tmpdir_path, "models", "metrics"))
-    assert stored["method"] == res["champion"]["method"]
+    stored = bundle.metrics(spark, jobs.bundle_folder(tmpdir_path))
+    assert stored == {k: res["champion"][k] for k in ("mae", "rmse", "r2", "method")}
     imp = models.feature_importance(spark, res["champion"]["model"], res["feature_columns"])
     assert imp.count() >= 1
     hp = models.hyperparameters(spark, res["champion"]["model"]).first()
@@ -51,6 +52,12 @@ def test_split_is_stable(spark, train_df):
     a = sorted(r.id_annonce for r in models.split(train_df)[1].collect())
     b = sorted(r.id_annonce for r in models.split(train_df.repartition(7))[1].collect())
     assert a == b and 5 <= len(a) <= 40
+    ids = spark.range(20_000).withColumnRenamed("id", "id_annonce")
+    train, test = models.split(ids)
+    assert 0.19 < test.count() / 20_000 < 0.21 and train.join(test, "id_annonce").count() == 0
+    assert train.count() + test.count() == 20_000
+    nulls = spark.createDataFrame([(None,), (None,)], "id_annonce long")
+    assert sum(df.count() for df in models.split(nulls)) == 2
 
 
 def test_metrics(spark):
