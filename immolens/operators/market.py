@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from immolens.functions.numeric import exact_avg, spaced_thousands, trunc_long
-from immolens.operators.keys import ORDINAL, keep_first
+from immolens.operators.keys import ORDINAL
 from immolens.operators.stats import quantile_table, quantiles, scalars
 
 # Panel vocabularies, sentinels, thresholds.
@@ -90,9 +90,12 @@ def coordinates(spark) -> DataFrame:
 def enrich_by_id(features: DataFrame, raw: DataFrame, key: str = "id_annonce") -> DataFrame:
     """Attach raw ``region`` and ``city`` to ML-ready rows by listing id.
 
-    Raw ids are made unique first (keep-first), as a lookup needs.
+    Raw ids are made unique first, as a lookup needs: one aggregate takes each
+    id's first row (a null ordinal comes last), combined map-side.
     """
-    lookup = keep_first(raw.select("id", "region", "city", ORDINAL), "id").drop(ORDINAL)
+    first = F.min_by(F.struct("region", "city"), F.struct(
+        F.col(ORDINAL).isNull(), F.col(ORDINAL), F.col("region"), F.col("city")))
+    lookup = raw.groupBy("id").agg(first.alias("_first")).select("id", "_first.region", "_first.city")
     base = features.drop(*[c for c in ("region", "city") if c in features.columns])
     return base.join(lookup, base[key] == lookup.id, "left").drop(lookup.id)
 
@@ -107,6 +110,10 @@ def _parse_number(text):
         return None
 
 
+def is_number(text) -> bool:
+    return _parse_number(text) is not None
+
+
 def panel_filter(df: DataFrame, type_str: str | None = None, region: str | None = None,
                  zone: str | None = None, smin=None, smax=None, rooms: str | None = None
                  ) -> DataFrame:
@@ -253,28 +260,35 @@ def histogram_step(p_min: int, p_max: int) -> int:
     return HISTOGRAM_MIN_STEP * max(1, (p_max - p_min) // (8 * HISTOGRAM_MIN_STEP))
 
 
-def price_histogram(df: DataFrame, col: str = "prix", legacy_edge: bool = False) -> DataFrame:
-    """Bins ``[lo, hi)`` of a data-driven step from 0, empty bins dropped,
-    labels ``'lo-hik€'``.  ``legacy_edge`` reproduces the original upper edge:
-    when ``int(max)`` is a multiple of the step, prices from ``int(max)`` fall
-    in no bin; by default they go to the last bin."""
-    s = scalars(df, lo=F.min(col), hi=F.max(col))
-    if s["lo"] is None:
+def histogram_of(df: DataFrame, col: str, count: Column, bounds: tuple,
+                 legacy_edge: bool = False) -> DataFrame:
+    """A9 over rows or counts of values: ``count`` aggregates a bin's rows."""
+    low, high = bounds
+    if low is None:
         return df.sparkSession.createDataFrame([], "bracket string, count long")
-    p_min, p_max = int(s["lo"]), int(s["hi"])
+    p_min, p_max = int(low), int(high)
     step = histogram_step(p_min, p_max)
     out = df.where(F.col(col).isNotNull())
     if legacy_edge:
         n_bins = len(range(0, p_max + step, step)) - 1
         out = out.where(F.col(col) < F.lit(n_bins * step))
     lo = (F.floor(F.col(col) / F.lit(step)) * F.lit(step)).cast("long")
-    return (out.groupBy(lo.alias("lo")).agg(F.count(F.lit(1)).alias("count"))
+    return (out.groupBy(lo.alias("lo")).agg(count.alias("count"))
             .orderBy("lo")
             .select(F.concat((F.col("lo") / 1000).cast("long").cast("string"), F.lit("-"),
                              ((F.col("lo") + step) / 1000).cast("long").cast("string"),
                              F.lit("k€")).alias("bracket"), "count"))
 
 
+def price_histogram(df: DataFrame, col: str = "prix", legacy_edge: bool = False) -> DataFrame:
+    """Bins ``[lo, hi)`` of a data-driven step from 0, empty bins dropped,
+    labels ``'lo-hik€'``.  ``legacy_edge`` reproduces the original upper edge:
+    when ``int(max)`` is a multiple of the step, prices from ``int(max)`` fall
+    in no bin; by default they go to the last bin."""
+    s = scalars(df, lo=F.min(col), hi=F.max(col))
+    return histogram_of(df, col, F.count(F.lit(1)), (s["lo"], s["hi"]), legacy_edge)
+
+
 def dashboard(df: DataFrame, type_str: str = ALL_TYPES, region: str = ALL_REGIONS,
               metrics: dict | None = None) -> dict[str, DataFrame]:
     """B1: the dashboard panel parts for a type and a region; ``metrics``
@@ -296,25 +310,29 @@ def analysis_stats(df: DataFrame) -> DataFrame:
                   trunc_long(F.max("prix")).alias("max"))
 
 
-def analysis_quartiles(df: DataFrame, min_rows: int = 10) -> DataFrame:
-    """A10: four price brackets cut at the truncated quartiles, 25 % each;
-    empty unless more than ``min_rows`` rows.  Bounds are numeric (lo, hi)."""
-    spark = df.sparkSession
-    schema = "bracket_order int, lo long, hi long, bracket string, pct int"
-    if df.limit(min_rows + 1).count() <= min_rows:
-        return spark.createDataFrame([], schema)
-    qs = quantiles(df, "prix", [0.25, 0.5, 0.75])
-    if any(q is None for q in qs):
-        return spark.createDataFrame([], schema)
+QUARTILES = "bracket_order int, lo long, hi long, bracket string, pct int"
+
+
+def quartile_rows(qs) -> list[tuple]:
+    """A10: the four brackets cut at the truncated quartiles."""
     q25, q50, q75 = (int(q) for q in qs)
 
     def fmt(v):
         return f"{v:,}".replace(",", " ")
-    rows = [(1, None, q25, f"< {fmt(q25)}€", 25),
+    return [(1, None, q25, f"< {fmt(q25)}€", 25),
             (2, q25, q50, f"{fmt(q25)}–{fmt(q50)}€", 25),
             (3, q50, q75, f"{fmt(q50)}–{fmt(q75)}€", 25),
             (4, q75, None, f"> {fmt(q75)}€", 25)]
-    return spark.createDataFrame(rows, schema)
+
+
+def analysis_quartiles(df: DataFrame, min_rows: int = 10) -> DataFrame:
+    """A10: four price brackets cut at the truncated quartiles, 25 % each;
+    empty unless more than ``min_rows`` rows.  Bounds are numeric (lo, hi)."""
+    spark = df.sparkSession
+    if df.limit(min_rows + 1).count() <= min_rows:
+        return spark.createDataFrame([], QUARTILES)
+    qs = quantiles(df, "prix", [0.25, 0.5, 0.75])
+    return spark.createDataFrame([] if None in qs else quartile_rows(qs), QUARTILES)
 
 
 def analysis_type_stats(df: DataFrame) -> DataFrame:
@@ -408,14 +426,15 @@ def option_lists(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> Dat
             .unionByName(cities.withColumn("position", F.col("position").cast("int"))))
 
 
-def scoring_options(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> DataFrame:
+def scoring_options(ranges: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> DataFrame:
     """Everything the scoring form offers, in one result ``(list,
-    position, value)``: city labels, property types, input ranges."""
+    position, value)``: city labels, property types, and the given input
+    ranges (A18)."""
     labels = (city_labels(raw, k).orderBy(F.desc("count"), "city")
               .agg(F.collect_list("label").alias("all"))
               .select(F.lit("cities").alias("list"), F.posexplode("all").alias("position", "value"))
               .withColumn("position", F.col("position") + 1))
-    ranges = input_ranges(df)
+    ranges = ranges if ranges is not None else input_ranges(df)
     limits = ranges.select(F.inline(F.array(*[
         F.struct(F.lit("ranges").alias("list"), F.lit(i + 1).alias("position"),
                  F.concat(F.lit(f"{c}="), F.col(c).cast("string")).alias("value"))
@@ -426,16 +445,23 @@ def scoring_options(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) ->
     return types.unionByName(labels).unionByName(limits)
 
 
+RANGES = "surface_min long, surface_max long, pieces_min long, pieces_max long"
+
+
+def range_row(surface, pieces) -> tuple:
+    """The truncated (q01, q99) of surface and rooms, defaults without values."""
+    s = (int(surface[0]), int(surface[1])) if surface and surface[0] is not None \
+        else SURFACE_RANGE_DEFAULT
+    p = (PIECES_RANGE_DEFAULT[0], int(pieces[1])) if pieces and pieces[1] is not None \
+        else PIECES_RANGE_DEFAULT
+    return (*s, *p)
+
+
 def input_ranges(df: DataFrame) -> DataFrame:
     """Surface q01-q99 and rooms 1-q99 (truncated), defaults when empty."""
-    spark = df.sparkSession
-    s, (_, *p) = quantile_table(df, [(F.col("surface"), None), (F.col("pieces"), None)],
-                                [0.01, 0.99])
-    surface = (int(s[0]), int(s[1])) if s[0] is not None else SURFACE_RANGE_DEFAULT
-    pieces = (PIECES_RANGE_DEFAULT[0], int(p[0])) if p[0] is not None else PIECES_RANGE_DEFAULT
-    return spark.createDataFrame([(surface[0], surface[1], pieces[0], pieces[1])],
-                                 "surface_min long, surface_max long, pieces_min long, "
-                                 "pieces_max long")
+    surface, pieces = quantile_table(df, [(F.col("surface"), None), (F.col("pieces"), None)],
+                                     [0.01, 0.99])
+    return df.sparkSession.createDataFrame([range_row(surface, pieces)], RANGES)
 
 
 # ------------------------------------------------------------------ B4

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SLICE_STEPS = 4096
 
 
-def _slice(v: Column) -> Column:
+def value_slice(v: Column) -> Column:
     """A long that never falls when the double ``v`` rises (NaN comes last)."""
     size = F.abs(v)
     octave = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1074)), F.lit(1023))
@@ -49,7 +49,7 @@ def quantile_table(df: DataFrame, measures: list[tuple[Column, Column | None]],
     counts = (df.select(F.explode(F.array_compact(F.array(*items))).alias("x"))
               .select(F.col("x.m").alias("m"), F.col("x.v").alias("v"))
               .groupBy("m", "v").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("s", _slice(F.col("v"))))
+              .withColumn("s", value_slice(F.col("v"))))
     by_measure = Window.partitionBy("m")
     upto = by_measure.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = F.array(*[F.transform(F.array(F.floor(F.lit(float(p)) * (F.col("total") - 1)),
@@ -75,17 +75,19 @@ def quantile_table(df: DataFrame, measures: list[tuple[Column, Column | None]],
     for row in found.collect():
         value[row["m"], row["r"]] = row["v"]
         total[row["m"]] = row["total"]
-    return [[_interpolate(value, i, float(p) * (total[i] - 1)) if i in total else None
-             for p in probs] for i in range(len(measures))]
+    def at(i, p):
+        place = float(p) * (total[i] - 1)
+        return interpolate(value[i, math.floor(place)], value[i, math.ceil(place)], place)
 
+    return [[at(i, p) if i in total else None for p in probs] for i in range(len(measures))]
 
-def _interpolate(value: dict, i: int, pos: float) -> float:
-    """Spark's percentile interpolation between the values at the two ranks."""
-    lo, hi = math.floor(pos), math.ceil(pos)
-    low, high = value[i, lo], value[i, hi]
+
+def interpolate(low: float, high: float, place: float) -> float:
+    """Spark's percentile interpolation between the values at the ranks beside ``place``."""
+    lo, hi = math.floor(place), math.ceil(place)
     if lo == hi or low == high:
         return low
-    return (hi - pos) * low + (pos - lo) * high
+    return (hi - place) * low + (place - lo) * high
 
 
 def quantiles(df: DataFrame, col: str, probs) -> list:

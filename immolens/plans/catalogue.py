@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from immolens.operators import (bundle, clean, features, market, marts, models, quality, scoring,
-                                warehouse)
+from immolens.operators import (bundle, clean, cube, features, market, marts, models, quality,
+                                scoring, warehouse)
 from immolens.operators.keys import keep_first
 from immolens.plans import views
 from immolens.sources.adapter import city_coordinates
@@ -259,8 +259,9 @@ def log_features(spark, sf_dir):
 
 # Fixed panel parameters used by the filtered catalogue variants.
 FILTERED_DASHBOARD = dict(type_str="Maison", region="EUROPE")
-FILTERED_ANALYSIS = dict(zone="NATION_1_AUTOMOBILE", type_str="Appartement", smin="50", smax="150",
-                         rooms="3-4 pièces")
+FILTERED_ANALYSIS = dict(type_str="Appartement", smin="50", smax="150", rooms="3-4 pièces")
+ZONE_ANALYSIS = dict(zone="NATION_1_BUILDING")
+ROOMS_ANALYSIS = dict(type_str="Maison", rooms="3-4 pièces")
 
 
 def _features_table(spark, sf_dir):
@@ -274,87 +275,114 @@ def _market(spark, sf_dir):
         _features_table(spark, sf_dir), _raw(spark, sf_dir)))
 
 
+def _cube(spark, sf_dir) -> cube.PanelCube:
+    """The panel cube the preparation job writes beside the ML-ready table."""
+    return cube.PanelCube.build(_market(spark, sf_dir),
+                                lambda name, make: stored(spark, name, sf_dir, make))
+
+
 @query
 def dashboard_kpis(spark, sf_dir):
-    return market.dashboard_kpis(_market(spark, sf_dir))
+    return _cube(spark, sf_dir).dashboard_kpis()
 
 
 @query
 def dashboard_kpis_filtered(spark, sf_dir):
-    return market.dashboard_kpis(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+    return _cube(spark, sf_dir).dashboard_kpis(**FILTERED_DASHBOARD)
+
+
+@query
+def active_markets(spark, sf_dir):
+    return _cube(spark, sf_dir).active_markets()
 
 
 @query
 def active_markets_filtered(spark, sf_dir):
-    return market.active_markets(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+    return _cube(spark, sf_dir).active_markets(**FILTERED_DASHBOARD)
+
+
+@query
+def type_cards(spark, sf_dir):
+    return _cube(spark, sf_dir).type_cards()
 
 
 @query
 def type_cards_filtered(spark, sf_dir):
-    return market.type_cards(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+    return _cube(spark, sf_dir).type_cards(**FILTERED_DASHBOARD)
+
+
+@query
+def price_histogram(spark, sf_dir):
+    return _cube(spark, sf_dir).price_histogram()
+
+
+@query
+def price_histogram_legacy(spark, sf_dir):
+    return _cube(spark, sf_dir).price_histogram(legacy_edge=True)
 
 
 @query
 def price_histogram_filtered(spark, sf_dir):
-    return market.price_histogram(market.panel_filter(_market(spark, sf_dir), **FILTERED_DASHBOARD))
+    return _cube(spark, sf_dir).price_histogram(**FILTERED_DASHBOARD)
 
 
 @query
-def analysis_quartiles_filtered(spark, sf_dir):
-    return market.analysis_quartiles(
-        market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS))
+def analysis_stats(spark, sf_dir):
+    return _cube(spark, sf_dir).analysis_stats()
 
 
 @query
-def analysis_type_stats_filtered(spark, sf_dir):
-    return market.analysis_type_stats(
-        market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS))
+def analysis_type_stats(spark, sf_dir):
+    return _cube(spark, sf_dir).analysis_type_stats()
 
 
 @query
-def scoring_options(spark, sf_dir):
-    return market.scoring_options(_features_table(spark, sf_dir), _raw(spark, sf_dir))
+def analysis_quartiles(spark, sf_dir):
+    return _cube(spark, sf_dir).analysis_quartiles()
 
 
 @query
-def active_markets(spark, sf_dir):
-    return market.active_markets(_market(spark, sf_dir))
+def analysis_zone(spark, sf_dir):
+    return _cube(spark, sf_dir).analysis_stats(**ZONE_ANALYSIS)
 
 
 @query
-def type_cards(spark, sf_dir):
-    return market.type_cards(_market(spark, sf_dir))
+def analysis_quartiles_zone(spark, sf_dir):
+    return _cube(spark, sf_dir).analysis_quartiles(**ZONE_ANALYSIS)
 
 
 @query
-def price_histogram(spark, sf_dir):
-    return market.price_histogram(_market(spark, sf_dir))
+def analysis_type_stats_zone(spark, sf_dir):
+    return _cube(spark, sf_dir).analysis_type_stats(**ZONE_ANALYSIS)
 
 
 @query
-def price_histogram_legacy(spark, sf_dir):
-    return market.price_histogram(_market(spark, sf_dir), legacy_edge=True)
+def analysis_rooms(spark, sf_dir):
+    return _cube(spark, sf_dir).analysis_stats(**ROOMS_ANALYSIS)
 
 
+# with surface bounds: from the rows
 @query
-def analysis_stats(spark, sf_dir):
-    return market.analysis_stats(_market(spark, sf_dir))
+def analysis_filtered(spark, sf_dir):
+    return market.analysis_stats(market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS))
 
 
 @query
-def analysis_type_stats(spark, sf_dir):
-    return market.analysis_type_stats(_market(spark, sf_dir))
+def analysis_quartiles_filtered(spark, sf_dir):
+    return market.analysis_quartiles(
+        market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS))
 
 
 @query
-def analysis_quartiles(spark, sf_dir):
-    return market.analysis_quartiles(_market(spark, sf_dir))
+def analysis_type_stats_filtered(spark, sf_dir):
+    return market.analysis_type_stats(
+        market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS))
 
 
 @query
-def analysis_filtered(spark, sf_dir):
-    f = market.panel_filter(_market(spark, sf_dir), **FILTERED_ANALYSIS)
-    return market.analysis_stats(f)
+def scoring_options(spark, sf_dir):
+    return market.scoring_options(_features_table(spark, sf_dir), _raw(spark, sf_dir),
+                                  ranges=_cube(spark, sf_dir).input_ranges())
 
 
 @query
@@ -424,7 +452,7 @@ def stage_audit(spark, sf_dir):
 
 @query
 def input_ranges(spark, sf_dir):
-    return market.input_ranges(_features_table(spark, sf_dir))
+    return _cube(spark, sf_dir).input_ranges()
 
 
 @query
@@ -481,7 +509,7 @@ def request_features(spark, sf_dir):
     """The model's inputs for every request."""
     f = _features_table(spark, sf_dir)
     flags = [x for x in f.columns if x.startswith("type_bien_")]
-    ranges = market.input_ranges(f).first().asDict()
+    ranges = _cube(spark, sf_dir).input_ranges().first().asDict()
     out = scoring.request_features(scoring.clamp_requests(_requests(spark, sf_dir), ranges),
                                    _encoding(spark, sf_dir), flags)
     return out.select("id", "ordinal", "ville", "surface", "pieces",
@@ -607,7 +635,7 @@ def _bundle(spark, sf_dir) -> bundle.Bundle:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUNDLES:
         res = _trained(spark, sf_dir)
-        ranges = market.input_ranges(_features_table(spark, sf_dir)).first().asDict()
+        ranges = _cube(spark, sf_dir).input_ranges().first().asDict()
         clusters = models.Clusters.of_model(res["kmeans"])
         root = stored_folder(spark, "bundle", sf_dir)
         bundle.save(spark, root, bundle.of_training(res, _encoding(spark, sf_dir), clusters, ranges))

@@ -382,8 +382,10 @@ FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n,
 
 QUERIES["dashboard_kpis"] = kpis("true")
 DASHBOARD_WHERE = "type_bien_MAISON AND region = 'EUROPE'"
-ANALYSIS_WHERE = ("city = 'NATION_1_AUTOMOBILE' AND type_bien_APPARTEMENT AND surface >= 50.0 "
-                  "AND surface <= 150.0 AND pieces >= 3 AND pieces <= 4")
+ANALYSIS_WHERE = ("type_bien_APPARTEMENT AND surface >= 50.0 AND surface <= 150.0 "
+                  "AND pieces >= 3 AND pieces <= 4")
+ZONE_WHERE = "city = 'NATION_1_BUILDING'"
+ROOMS_WHERE = "type_bien_MAISON AND pieces >= 3 AND pieces <= 4"
 QUERIES["dashboard_kpis_filtered"] = kpis(DASHBOARD_WHERE)
 
 
@@ -441,6 +443,8 @@ FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS n, {mean('prix')} AS mea
 
 QUERIES["analysis_stats"] = stats_sql("true")
 QUERIES["analysis_filtered"] = stats_sql(ANALYSIS_WHERE)
+QUERIES["analysis_zone"] = stats_sql(ZONE_WHERE)
+QUERIES["analysis_rooms"] = stats_sql(ROOMS_WHERE)
 
 
 def type_stats_sql(where: str) -> str:
@@ -456,8 +460,10 @@ FROM ({per_type(['Appartement', 'Maison', 'Terrain', 'Autre', 'Parking'],
 
 QUERIES["analysis_type_stats"] = type_stats_sql("true")
 QUERIES["analysis_type_stats_filtered"] = type_stats_sql(ANALYSIS_WHERE)
+QUERIES["analysis_type_stats_zone"] = type_stats_sql(ZONE_WHERE)
 
-for _name, _where in (("quart", "true"), ("quart_filtered", ANALYSIS_WHERE)):
+for _name, _where in (("quart", "true"), ("quart_filtered", ANALYSIS_WHERE),
+                      ("quart_zone", ZONE_WHERE)):
     cte(_name, f"""SELECT n, {trunc_long(pctl('v', 'c', 0.25))} AS q25,
   {trunc_long(pctl('v', 'c', 0.5))} AS q50, {trunc_long(pctl('v', 'c', 0.75))} AS q75
 FROM (SELECT {sorted_list('prix')} AS v, count(prix) AS c, count(*) AS n FROM market
@@ -480,6 +486,7 @@ WHERE n > 10""", rel)
 
 QUERIES["analysis_quartiles"] = quartiles_sql("quart")
 QUERIES["analysis_quartiles_filtered"] = quartiles_sql("quart_filtered")
+QUERIES["analysis_quartiles_zone"] = quartiles_sql("quart_zone")
 
 QUERIES["room_buckets"] = sql("""SELECT CASE WHEN pieces <= 2 THEN '1-2 pièces'
   WHEN pieces >= 3 AND pieces <= 4 THEN '3-4 pièces'

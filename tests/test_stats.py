@@ -65,7 +65,7 @@ def test_slices_follow_the_values(spark):
     values = sorted({rnd.choice([-1, 1]) * rnd.random() * 10.0 ** rnd.randrange(-300, 300)
                      for _ in range(3000)} | {0.0, float("inf"), float("-inf")})
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(
-        "v", stats._slice(F.col("v")).alias("s")).collect()
+        "v", stats.value_slice(F.col("v")).alias("s")).collect()
     slices = [r["s"] for r in sorted(rows, key=lambda r: r["v"])]
     assert slices == sorted(slices)
 
