@@ -17,8 +17,8 @@ and the window with its surroundings has ``MIN_LCS`` of the passage's words, and
 The benchmark is the query set: it is taken in blocks of ``BLOCK_PASSAGES``, so what
 a task is sent is bounded by that, the number of hashed terms and the rank.
 
-Cases: null and empty texts, documents or benchmark items, match nothing, nor does
-an item all of whose words weigh nothing; repeated rows and null ids are judged
+Cases: null and empty texts, documents or benchmark items, match nothing; an item all
+of whose words weigh nothing matches where it stands word for word; repeated rows and null ids are judged
 row by row; an empty benchmark or document table gives an empty result; columns
 of other names are kept by ``clean`` and ignored otherwise.
 """
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from immolens.llm.common import lean, table
+from immolens.llm.common import lean, table, written
 from immolens.llm.terms import NOT_LETTERS, coded_words, letters
 from immolens.llm.tokens import slices
 
@@ -46,10 +46,13 @@ HOP = 32                    # words; a window is two hops, a passage of the benc
 RANK = 160
 OVERSAMPLED = 16
 POWERS = 2                  # subspace iterations
-MIN_HELD = 0.9              # of a passage's squared length in the basis
 MIN_COSINE = 0.18
 MIN_LCS = 0.6
 MIN_ANSWER = 0.5
+# Of a passage's squared length in the basis.  A window twice a passage's length that holds
+# MIN_LCS of its words has a cosine of about MIN_LCS / sqrt(2) = 0.42 with it; what the basis
+# holds half of is then at 0.21, still above MIN_COSINE.
+MIN_HELD = 0.5
 BLOCK_PASSAGES = 4_096
 FREQUENT = 1_024            # words of a batch that are multiplied as a matrix
 CELLS = 1 << 22             # of a matrix at a time
@@ -198,6 +201,20 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n codes in a row."""
+    if len(codes) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(codes) - n + 1, np.uint64)
+    for i in range(n):
+        out = (out + codes[i:len(out) + i].astype(np.uint64)) * _ODD
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Queries:
     """A block of the benchmark: passages, their latent vectors and checks."""
 
@@ -208,9 +225,13 @@ class Queries:
         number = self.vocabulary.setdefault
         self.items, latent, self.checks = [], [], []
         weak, postings = [], []
+        common: dict[int, dict[bytes, tuple]] = {}
         for item, words, answer in block:
             own, x = _vector(words, weights)
             if not len(own):
+                # no term of it weighs anything: found where it stands word for word
+                exact = np.array([number(w, len(self.vocabulary)) for w in words], np.int64)
+                common.setdefault(len(exact), {}).setdefault(exact.tobytes(), []).append(item)
                 continue
             at = np.searchsorted(terms, own)
             latent.append(x @ rows[at])
@@ -221,6 +242,8 @@ class Queries:
             self.checks.append([
                 (_masks([number(w, len(self.vocabulary)) for w in part]), len(part))
                 for part in (words, answer)])
+        self.common = {n: (np.array([_window_hashes(np.frombuffer(c, np.int64), n)[0] for c in own]),
+                           own) for n, own in common.items()}
         self.latent = np.array(latent, np.float32).reshape(len(latent), rows.shape[1]).T
         # passages that the basis holds too little of, and their values by term
         self.weak = np.array(weak, np.int64)
@@ -231,6 +254,16 @@ class Queries:
         self.posted_terms, self.posted_at = np.unique(term_of, return_index=True)
         self.posted_at = np.append(self.posted_at, len(term_of))
 
+    def _word_for_word(self, number: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(row, item) of items of common words only, in the texts' words in a row."""
+        for n, (hashes, own) in self.common.items():
+            found = np.flatnonzero(np.isin(_window_hashes(number, n), hashes))
+            for i, row in zip(found.tolist(), np.searchsorted(ends, found, "right").tolist(),
+                              strict=True):
+                if i + n <= ends[row]:
+                    for item in own.get(number[i:i + n].tobytes(), ()):
+                        yield row, item
+
     def _projected(self, at: np.ndarray, code: np.ndarray, weight: np.ndarray, own: np.ndarray,
                    hops: int) -> np.ndarray:
         """The latent vectors of ``hops`` hops (and a null one), of their words
@@ -301,6 +334,18 @@ class Queries:
             some = (own >= 0)[codes]
             ends = np.concatenate(([0], np.cumsum(some)))[ends]
             codes = codes[some]
+        best: dict[tuple[int, int], tuple[float, float]] = {
+            pair: (1.0, 1.0) for pair in self._word_for_word(number[codes], ends)}
+        for pair, found in self._by_windows(words, codes, ends, own, number, weight):
+            if found > best.get(pair, (0.0, 0.0)):
+                best[pair] = found
+        return [(d, item, c, s) for (d, item), (s, c) in sorted(best.items())]
+
+    def _by_windows(self, words, codes, ends, own, number, weight
+                    ) -> Iterator[tuple[tuple[int, int], tuple[float, float]]]:
+        """((row, item), (share, cosine)) of the windows near a passage, checked."""
+        if not self.items:
+            return
         sizes = np.diff(ends, prepend=0)
         begins, hops = ends - sizes, -(-sizes // HOP)
         first_hop = np.cumsum(hops) - hops
@@ -308,7 +353,7 @@ class Queries:
         hop_at = begins[doc_of] + (np.arange(len(doc_of)) - first_hop[doc_of]) * HOP
         known = np.flatnonzero(((number >= 0) & (weight > 0))[codes])
         if not len(known):
-            return []
+            return
         length = np.add.reduceat((weight * weight)[codes], hop_at, dtype=np.float64)
         # a benchmark word counts once a hop
         pairs = pd.unique((np.searchsorted(hop_at, known, "right") - 1) * len(words) + codes[known])
@@ -320,7 +365,7 @@ class Queries:
         most = inside + joined * np.append(inside[1:], 0)
         window = np.flatnonzero(most >= MIN_COSINE * norm)
         if not len(window):
-            return []
+            return
         wanted = np.zeros(len(length) + 1, bool)
         wanted[window] = True
         wanted[window[joined[window]] + 1] = True
@@ -330,7 +375,6 @@ class Queries:
         hop = place[hop]
         part = self._projected(hop, code, weight, own, int(wanted.sum()))
         after = np.where(joined[window], place[window + 1], len(part) - 1)
-        best: dict[tuple[int, int], tuple[float, float]] = {}
         for i, j, cosine in self._near(part, place[window], after, norm[window],
                                        (hop, code, weight, own)):
             d = int(doc_of[window[i]])
@@ -341,10 +385,7 @@ class Queries:
             share = lcs(whole, n, near) / n
             if share < MIN_LCS or n_answer and lcs(answer, n_answer, near) < MIN_ANSWER * n_answer:
                 continue
-            key, found = (d, self.items[j]), (share, min(1.0, cosine))
-            if found > best.get(key, (0.0, 0.0)):
-                best[key] = found
-        return [(d, item, c, s) for (d, item), (s, c) in sorted(best.items())]
+            yield (d, self.items[j]), (share, min(1.0, cosine))
 
 
 def query_blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Queries]:
@@ -388,8 +429,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item, with all their columns."""
-    for queries in list(query_blocks(docs, benchmark)):
-        place = docs.columns.index("text")
+    place, kept = docs.columns.index("text"), None
+    for queries in query_blocks(docs, benchmark):
+        if kept is not None:        # a block at a time
+            kept = written(kept, "clean")
 
         @lean
         def run(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
@@ -401,8 +444,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     stay[[d for d, *_ in queries.matches(some.column(place))]] = False
                     yield some.filter(pa.array(stay))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        kept = (docs if kept is None else kept).mapInArrow(run, docs.schema)
+    return docs if kept is None else kept
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -457,6 +457,30 @@ def test_lcs():
         assert decontaminate.lcs(decontaminate._masks(a), len(a), b) == best[-1][-1]
 
 
+def test_items_of_common_words_are_found_word_for_word(spark, make_docs, words):
+    benchmark = spark.createDataFrame([(1, "the of and to in"), (2, "to in the of the")],
+                                      "item_id long, text string")
+    docs = [(i, "the of and to in " + words(80, i)) for i in range(20)]
+    docs += [(50, "and to in the of the"), (51, "to in the of"), (52, "the of and"),
+             (53, "to in the of"), (None, "x y the of and, To in. z")]
+    got = {(r["doc_id"], r["item_id"], r["lcs"]) for r in
+           decontaminate.contaminated(make_docs(docs), benchmark).collect()}
+    assert got == {*((i, 1, 1.0) for i in range(20)), (50, 2, 1.0), (None, 1, 1.0)}
+    assert {r["doc_id"] for r in decontaminate.clean(make_docs(docs), benchmark).collect()} == {
+        51, 52, 53}
+
+
+def test_blocks_are_cleaned_one_after_the_other(spark, make_docs, words, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_PASSAGES", 2)
+    items = [(i, words(60, 900 + i, [f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)]))
+             for i in range(5)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, f"{words(40, i)} {t} {words(40, 50 + i)}") for i, t in items]
+    docs += [(100 + i, words(90, 70 + i)) for i in range(30)]
+    assert {r["doc_id"] for r in decontaminate.clean(make_docs(docs), benchmark).collect()} == {
+        100 + i for i in range(30)}
+
+
 def test_decontamination_of_odd_texts(spark, make_docs, odd_texts, words):
     benchmark = spark.createDataFrame([(1, words(30, 1)), (1, words(30, 1))],
                                       "item_id long, text string")
