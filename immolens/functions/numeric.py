@@ -25,17 +25,54 @@ def exact(col) -> Column:
     return F.when(F.abs(c) < F.lit(1e28), c).try_cast(EXACT)
 
 
-def _ordinary(col) -> Column:
-    """No value of the group is infinite, NaN or beyond the decimals."""
+def _odd(col) -> Column:
+    """Infinite, undefined or beyond the decimals."""
     c = _c(col).cast("double")
-    return F.count_if(F.isnan(c) | (F.abs(c) >= F.lit(1e28))) == 0
+    return F.isnan(c) | (F.abs(c) >= F.lit(1e28))
 
 
+# ---- a sum in mergeable parts: of a column's rows first, then of such rows
+def sum_parts(col, name: str) -> list[Column]:
+    """Partial aggregates of a column: its exact sum (null if no decimal holds it),
+    its plain sum, how many values it has and how many of them have no decimal."""
+    return [F.try_sum(exact(col)).alias(f"{name}_exact"),
+            F.sum(_c(col).cast("double")).alias(f"{name}_plain"),
+            F.count(_c(col)).alias(f"{name}_n"), F.count_if(_odd(col)).alias(f"{name}_odd")]
+
+
+def merged_parts(name: str) -> list[Column]:
+    """The same four of rows of parts."""
+    lost = F.count_if(F.col(f"{name}_exact").isNull() & (F.col(f"{name}_n") > F.col(f"{name}_odd")))
+    return [F.when(lost == 0, F.try_sum(f"{name}_exact")).alias(f"{name}_exact"),
+            *[F.sum(f"{name}_{x}").alias(f"{name}_{x}") for x in ("plain", "n", "odd")]]
+
+
+def parts_sum(name: str) -> Column:
+    """The sum as a double: exact unless a value or the sum has no decimal."""
+    return F.when(F.col(f"{name}_odd") == 0, F.coalesce(
+        F.col(f"{name}_exact").cast("double"), F.col(f"{name}_plain"))) \
+        .otherwise(F.col(f"{name}_plain"))
+
+
+def parts_mean(name: str) -> Column:
+    return parts_sum(name) / F.nullif(F.col(f"{name}_n"), F.lit(0))
+
+
+def parts_round_mean(name: str, dp: int) -> Column:
+    """Half-up rounding of the exact mean; of the plain one where there is none."""
+    n = F.nullif(F.col(f"{name}_n"), F.lit(0))
+    ratio = F.round(F.try_divide(F.col(f"{name}_exact"), n.cast("decimal(20,0)")), dp).cast("double")
+    plain = F.round(F.col(f"{name}_plain") / n, dp)
+    return F.when(F.col(f"{name}_odd") == 0, F.coalesce(ratio, plain)).otherwise(plain)
+
+
+# ---- the same in one aggregate
 def exact_sum(col) -> Column:
     """The sum as a double, from a decimal sum; the plain sum of a group that
     holds infinite, undefined or huge values."""
-    return F.when(_ordinary(col), F.sum(exact(col)).cast("double")).otherwise(
-        F.sum(_c(col).cast("double")))
+    plain = F.sum(_c(col).cast("double"))
+    return F.when(F.count_if(_odd(col)) == 0, F.coalesce(
+        F.try_sum(exact(col)).cast("double"), plain)).otherwise(plain)
 
 
 def exact_avg(col) -> Column:
@@ -45,14 +82,10 @@ def exact_avg(col) -> Column:
 
 def round_avg(col, dp: int) -> Column:
     """C12 on an average: half-up rounding of the exact mean."""
-    return F.when(_ordinary(col), F.round(F.avg(_c(col).try_cast("decimal(28,10)")), dp)
-                  .cast("double")).otherwise(F.round(F.avg(_c(col).cast("double")), dp))
-
-
-def round_ratio(total, count, dp: int) -> Column:
-    """Half-up rounding of a mean given as an exact sum and a count."""
-    ratio = F.try_divide(_c(total).cast("decimal(28,10)"), _c(count).cast("decimal(12,0)"))
-    return F.round(ratio, dp).cast("double")
+    plain = F.round(F.avg(_c(col).cast("double")), dp)
+    mean = F.try_divide(F.try_sum(exact(col)), F.count(_c(col)).cast("decimal(20,0)"))
+    return F.when(F.count_if(_odd(col)) == 0, F.coalesce(F.round(mean, dp).cast("double"), plain)) \
+        .otherwise(plain)
 
 
 def spaced_thousands(col) -> Column:

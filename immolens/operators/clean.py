@@ -38,15 +38,16 @@ def select_features(df: DataFrame, keep=(ORDINAL,)) -> DataFrame:
                      *[c for c in keep if c in df.columns])
 
 
-def manage_duplicates(df: DataFrame, id_col: str = "id_annonce",
-                      ordinal: str = ORDINAL) -> DataFrame:
+def manage_duplicates(df: DataFrame, id_col: str = "id_annonce", ordinal: str = ORDINAL,
+                      unique: bool = False) -> DataFrame:
     """Keep the first row per id (smallest ordinal); no id column = no-op.
+    ``unique`` as for ``keep_first``.
 
     Rows without an order have no first one: the row with the smallest hash is
     kept then, the same on every run.
     """
     if ordinal in df.columns or id_col not in df.columns:
-        return keep_first(df, id_col, ordinal)
+        return keep_first(df, id_col, ordinal, unique)
     hashed = df.distinct().withColumn(ordinal, F.xxhash64(*df.columns))
     return keep_first(hashed, id_col, ordinal).drop(ordinal)
 
@@ -99,9 +100,10 @@ def impute_missing_values(df: DataFrame, strategy: str = "mean", columns=None) -
 def clean_listings(df: DataFrame, numeric_cols=("prix", "surface", "pieces"),
                    text_cols=("ville", "type_bien"), hash_cols=("agence",),
                    id_col: str = "id_annonce") -> DataFrame:
-    """M2: rename -> select -> dedupe -> hash -> parse -> normalise -> impute."""
+    """M2: rename -> select -> dedupe -> hash -> parse -> normalise -> impute.
+    The ordinals are those of a read snapshot, so no two rows share one."""
     out = select_features(rename_columns(df))
-    out = manage_duplicates(out, id_col)
+    out = manage_duplicates(out, id_col, unique=True)
     out = hash_contact_names(out, hash_cols)
     out = clean_numerical_columns(out, numeric_cols)
     out = normalize_text_columns(out, text_cols)

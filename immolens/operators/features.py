@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from immolens.functions.numeric import exact, exact_avg
+from immolens.functions.numeric import (exact_avg, merged_parts, parts_mean, parts_sum,
+                                        sum_parts)
 from immolens.functions.text import strip_upper
 from immolens.operators.clean import KEY_COLUMNS
 from immolens.operators.stats import quantiles, scalars
@@ -18,12 +19,13 @@ NON_FEATURES = ["zipcode", "region", "agence", "title"]
 
 
 def remove_outliers(df: DataFrame, col: str = "prix", lower: float = OUTLIER_BOUNDS[0],
-                    upper: float = OUTLIER_BOUNDS[1]) -> DataFrame:
-    """keep ``q(lower) <= col <= q(upper)`` (linear-interpolated quantiles).
+                    upper: float = OUTLIER_BOUNDS[1], rank_error: float | None = None) -> DataFrame:
+    """keep ``q(lower) <= col <= q(upper)`` (linear-interpolated quantiles,
+    unless a ``rank_error`` is accepted).
 
     The bounds become literals, so the range filter reaches the scan.
     """
-    lo, hi = quantiles(df, col, [lower, upper])
+    lo, hi = quantiles(df, col, [lower, upper], rank_error)
     if lo is None:
         return df.where(F.lit(False))
     return df.where(F.col(col).between(F.lit(lo), F.lit(hi)))
@@ -38,15 +40,14 @@ def fit_target_encoding(df: DataFrame, col: str = "ville", target: str = "prix",
     global mean is made from its sums and counts, not from another pass.
     Null keys get no encoding.
     """
-    by_key = df.groupBy(col).agg(F.sum(exact(target)).alias("_s"), F.count(target).alias("_n"))
-    overall = by_key.agg((F.sum("_s").cast("double") / F.nullif(F.sum("_n"), F.lit(0)))
-                         .alias("_mean"))
-    mean = scalars(overall, m=F.first("_mean"))["m"]
+    by_key = df.groupBy(col).agg(*sum_parts(target, "t"))
+    mean = scalars(by_key.agg(*merged_parts("t")).select(parts_mean("t").alias("m")),
+                   m=F.first("m"))["m"]
     k = float(smoothing)
     return (by_key.where(F.col(col).isNotNull())
-            .select(col, ((F.coalesce(F.col("_s").cast("double"), F.lit(0.0))
+            .select(col, ((F.coalesce(parts_sum("t"), F.lit(0.0))
                            + F.lit(k * mean if mean is not None else None))
-                          / (F.col("_n") + F.lit(smoothing))).alias("encoding")))
+                          / (F.col("t_n") + F.lit(smoothing))).alias("encoding")))
 
 
 def apply_target_encoding(df: DataFrame, encoding: DataFrame, col: str = "ville",

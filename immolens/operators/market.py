@@ -502,11 +502,12 @@ def city_map(raw: DataFrame, coords: DataFrame | None = None, k: int = MAP_CITIE
 
 
 # ------------------------------------------------------------------ B5
-def market_alerts(raw: DataFrame, k: int = ALERT_CITIES,
-                  min_count: int = ALERT_MIN_COUNT) -> DataFrame:
+def market_alerts(raw: DataFrame, k: int = ALERT_CITIES, min_count: int = ALERT_MIN_COUNT,
+                  rank_error: float | None = None) -> DataFrame:
     """The ``k`` busiest cities (at least ``min_count`` rows with a
     positive surface) with mean price per m², its deviation from the
-    national median in % (1 dp) and whether it lies above it (C18)."""
+    national median in % (1 dp) and whether it lies above it (C18).  The median
+    is exact unless a ``rank_error`` is accepted."""
     if "surface" not in raw.columns:
         return raw.sparkSession.createDataFrame(
             [], "zone string, current_price long, count long, vs_median_pct double, "
@@ -514,7 +515,7 @@ def market_alerts(raw: DataFrame, k: int = ALERT_CITIES,
     r = (raw.where(F.col("city").isNotNull() & F.col("price").isNotNull()
                    & (F.col("surface") > 0))
          .withColumn("prix_m2", F.col("price") / F.col("surface")))
-    med = quantiles(r, "prix_m2", [0.5])[0]
+    med = quantiles(r, "prix_m2", [0.5], rank_error)[0]
     stats = (r.groupBy("city").agg(F.avg("prix_m2").alias("mean"),
                                    F.count(F.lit(1)).alias("count"))
              .where(F.col("count") >= min_count)

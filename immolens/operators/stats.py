@@ -90,9 +90,13 @@ def interpolate(low: float, high: float, place: float) -> float:
     return (hi - place) * low + (place - lo) * high
 
 
-def quantiles(df: DataFrame, col: str, probs) -> list:
-    """Quantiles of one column as Python floats (None if there is no value)."""
-    return quantile_table(df, [(F.col(col), None)], probs)[0]
+def quantiles(df: DataFrame, col: str, probs, rank_error: float | None = None) -> list:
+    """Quantiles of one column as Python floats (None if there is no value): exact,
+    or within a ``rank_error`` from one pass (``operators/sketches``)."""
+    if rank_error is None:
+        return quantile_table(df, [(F.col(col), None)], probs)[0]
+    from immolens.operators.sketches import sketch_quantiles, sketch_table
+    return sketch_quantiles(sketch_table(df, {"v": F.col(col)}, rank_error), "v", probs)
 
 
 def scalars(df: DataFrame, **aggs: Column) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from immolens.functions.text import pad_zipcode
-from immolens.operators.keys import ORDINAL, first_seen_ids, keep_first
+from immolens.operators.keys import ORDINAL, first_seen_ids, hash_ids, hash_key, keep_first
 
 FACT_COLUMNS = ["id_annonce", "price", "title", "surface", "price_m2", "url", "image_url",
                 "id_date", "id_location", "id_type", "id_author"]
@@ -22,26 +22,45 @@ def prepare_raw(raw: DataFrame) -> DataFrame:
             .withColumn("day", F.dayofmonth("created_at")))
 
 
-def dim_type(listings: DataFrame) -> DataFrame:
-    return (first_seen_ids(listings, ["type"], "id_type")
+# The natural key of each surrogate key, as listing columns.
+NATURAL = {"id_type": ["type"], "id_location": ["city", "zipcode", "region"],
+           "id_date": ["created_at", "year", "month", "day"]}
+KEY_KINDS = {"sequence": first_seen_ids, "hash": hash_ids}
+
+
+def dim_type(listings: DataFrame, keys: str = "sequence") -> DataFrame:
+    return (KEY_KINDS[keys](listings, NATURAL["id_type"], "id_type")
             .select("id_type", F.col("type").alias("type_name")))
 
 
-def dim_location(listings: DataFrame) -> DataFrame:
-    return (first_seen_ids(listings, ["city", "zipcode", "region"], "id_location")
+def dim_location(listings: DataFrame, keys: str = "sequence") -> DataFrame:
+    return (KEY_KINDS[keys](listings, NATURAL["id_location"], "id_location")
             .select("id_location", "city", "zipcode", "region"))
 
 
-def dim_author(listings: DataFrame) -> DataFrame:
+def dim_author(listings: DataFrame, keys: str = "sequence") -> DataFrame:
     """Natural key: the author text itself."""
     return listings.select(F.col("author").alias("id_author")).distinct()
 
 
-def dim_date(listings: DataFrame) -> DataFrame:
-    return (first_seen_ids(listings, ["created_at", "year", "month", "day"], "id_date")
+def dim_date(listings: DataFrame, keys: str = "sequence") -> DataFrame:
+    return (KEY_KINDS[keys](listings, NATURAL["id_date"], "id_date")
             .select("id_date", "created_at", "year", "month", "day"))
 
 
+DIMENSIONS = {"dim_type": dim_type, "dim_location": dim_location, "dim_author": dim_author,
+              "dim_date": dim_date}
+
+
+def fact_by_hash(listings: DataFrame) -> DataFrame:
+    """J1-J3 with hash keys: every foreign key is computed in place, so there is
+    no join.  What the inner joins drop (no type, no date) is dropped."""
+    ads = keep_first(listings, "id", ORDINAL, unique=True)
+    keyed = ads.where(F.col("type").isNotNull() & F.col("created_at").isNotNull()).withColumns(
+        {name: hash_key(*cols) for name, cols in NATURAL.items()})
+    return keyed.withColumnsRenamed({"id": "id_annonce", "author": "id_author"}).select(*FACT_COLUMNS)
+
+
 def fact_ads(listings: DataFrame, types: DataFrame, locations: DataFrame,
              dates: DataFrame) -> DataFrame:
     """Listing rows keyed by the dimensions (inner joins).
@@ -51,7 +70,7 @@ def fact_ads(listings: DataFrame, types: DataFrame, locations: DataFrame,
     the dimensions grow with the data and AQE broadcasts them at run time
     only when their measured size allows it.
     """
-    ads = keep_first(listings, "id", ORDINAL)
+    ads = keep_first(listings, "id", ORDINAL, unique=True)
     loc = locations
     joined = (ads
               .join(types, ads.type == types.type_name, "inner")
@@ -64,17 +83,14 @@ def fact_ads(listings: DataFrame, types: DataFrame, locations: DataFrame,
         ads.author.alias("id_author")).select(*FACT_COLUMNS)
 
 
-def build_star(raw: DataFrame) -> dict[str, DataFrame]:
-    """``{dim_type, dim_location, dim_author, dim_date, fact_ads}``."""
+def build_star(raw: DataFrame, keys: str = "sequence") -> dict[str, DataFrame]:
+    """``{dim_type, dim_location, dim_author, dim_date, fact_ads}``, with keys in
+    order of first appearance or by hash of the natural key."""
     listings = prepare_raw(raw)
-    types, locs, dates = dim_type(listings), dim_location(listings), dim_date(listings)
-    return {
-        "dim_type": types,
-        "dim_location": locs,
-        "dim_author": dim_author(listings),
-        "dim_date": dates,
-        "fact_ads": fact_ads(listings, types, locs, dates),
-    }
+    dims = {name: make(listings, keys) for name, make in DIMENSIONS.items()}
+    fact = fact_by_hash(listings) if keys == "hash" else fact_ads(
+        listings, dims["dim_type"], dims["dim_location"], dims["dim_date"])
+    return {**dims, "fact_ads": fact}
 
 
 def integrity_audit(star: dict[str, DataFrame]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from immolens.operators import (bundle, clean, features, market, marts, models, quality,
                                 warehouse)
-from immolens.sources import snapshots
+from immolens.plans import views
+from immolens.sources import manifest, snapshots
 
 # (listing column, dimension column) pairs forming each natural key
 NATURAL_KEYS = {"dim_type": [("type", "type_name")],
@@ -20,11 +21,7 @@ NATURAL_KEYS = {"dim_type": [("type", "type_name")],
                 "dim_author": [("author", "id_author")],
                 "dim_date": [("created_at", "created_at")]}
 SURROGATE_KEYS = {"dim_type": "id_type", "dim_location": "id_location", "dim_date": "id_date"}
-MART_VIEWS = {
-    "dm_stats_par_ville": marts.city_mart,
-    "dm_stats_region_type": marts.region_type_mart,
-    "dm_stats_mensuelles": marts.monthly_mart,
-}
+STAR = (*warehouse.DIMENSIONS, "fact_ads", "mart_parts")
 
 
 def prepare(spark: SparkSession, raw: DataFrame, out_dir: str,
@@ -61,56 +58,76 @@ def prepare(spark: SparkSession, raw: DataFrame, out_dir: str,
 
 
 def build_warehouse(spark: SparkSession, raw: DataFrame, out_dir: str,
-                    mode: str = "overwrite") -> dict[str, DataFrame]:
-    """M19 + S9/S11/S12: write the five star tables, register them and the
-    three mart views, and return the tables read back.
-
-    ``mode='overwrite'`` resets the schema (S11).  ``mode='append'`` adds only
-    new dimension rows and new fact ids (``left_anti`` on the natural and
-    primary keys), so re-ingesting a snapshot does not duplicate keys.
+                    mode: str = "overwrite", keys: str = "sequence") -> dict[str, DataFrame]:
+    """M19 + S9/S11/S12: write the star and the parts of its marts, publish them,
+    register the tables and the three mart views, and return the tables read back.
+
+    Tables go to a folder of their own and are seen once all of them are written
+    (``sources/manifest``): a load that dies leaves the version before it as it is.
+    ``mode='overwrite'`` starts the schema anew (S11).  ``mode='append'`` adds only
+    new dimension rows and new fact ids (``left_anti`` on the natural and primary
+    keys) beside the folders of the version before, so loading a snapshot again
+    changes nothing; the marts' parts are made of the new facts alone.  ``keys``
+    as for ``warehouse.build_star``; an append keeps those of the star.
     """
-    names = ("dim_type", "dim_location", "dim_author", "dim_date", "fact_ads")
-    paths = {name: os.path.join(out_dir, name) for name in names}
+    own = manifest.current(spark, out_dir) if mode == "append" else None
+    folder = manifest.new_folder(out_dir)
+    keys = own["keys"] if own else keys
+    paths = {name: list(own["tables"][name]) if own else [] for name in STAR}
     listings = warehouse.prepare_raw(raw)
-    builders = {"dim_type": warehouse.dim_type, "dim_location": warehouse.dim_location,
-                "dim_author": warehouse.dim_author, "dim_date": warehouse.dim_date}
-    appending = mode == "append" and all(snapshots.path_exists(spark, p)
-                                         for p in paths.values())
-    for name, build in builders.items():
-        if not appending:
-            build(listings).write.mode("overwrite").parquet(paths[name])
+
+    def add(name: str, rows: DataFrame) -> DataFrame:
+        """The table with its new rows, written."""
+        path = f"{folder}/{name}"
+        rows.write.parquet(path)
+        if not paths[name] or not spark.read.parquet(path).isEmpty():
+            paths[name].append(path)
+        return spark.read.parquet(*paths[name])
+
+    dims = {}
+    for name, build in warehouse.DIMENSIONS.items():
+        if not own:
+            dims[name] = add(name, build(listings, keys))
             continue
-        # listings whose natural key is not stored yet (null-safe, as J2),
-        # numbered among themselves and shifted after the stored keys
-        old = spark.read.parquet(paths[name])
+        # listings whose natural key is not stored yet (null-safe, as J2)
+        old = spark.read.parquet(*paths[name])
         pairs = NATURAL_KEYS[name]
         known = old.select(*[F.col(d).alias(f"_old_{d}") for _, d in pairs])
         same = [listings[s].eqNullSafe(known[f"_old_{d}"]) for s, d in pairs]
-        new = build(listings.join(known, reduce(lambda a, b: a & b, same), "left_anti"))
+        new = build(listings.join(known, reduce(lambda a, b: a & b, same), "left_anti"), keys)
         sk = SURROGATE_KEYS.get(name)
-        if sk:
+        if sk and keys == "sequence":       # numbered among themselves, after the stored ones
             top = old.agg(F.max(sk)).first()[0] or 0
             new = new.withColumn(sk, F.col(sk) + F.lit(top))
-        new.write.mode("append").parquet(paths[name])
-    dims = {n: spark.read.parquet(paths[n]) for n in builders}
-    fact = warehouse.fact_ads(listings, dims["dim_type"], dims["dim_location"], dims["dim_date"])
-    if appending:
-        old_ids = spark.read.parquet(paths["fact_ads"]).select("id_annonce")
-        fact.join(old_ids, "id_annonce", "left_anti").write.mode("append").parquet(paths["fact_ads"])
-    else:
-        fact.write.mode("overwrite").parquet(paths["fact_ads"])
-    tables = {name: spark.read.parquet(p) for name, p in paths.items()}
+        dims[name] = add(name, new)
+    fact = warehouse.fact_by_hash(listings) if keys == "hash" else warehouse.fact_ads(
+        listings, dims["dim_type"], dims["dim_location"], dims["dim_date"])
+    if own:
+        stored = spark.read.parquet(*paths["fact_ads"]).select("id_annonce")
+        fact = fact.join(stored, "id_annonce", "left_anti")
+    add("fact_ads", fact)
+    add("mart_parts", marts.fact_parts(spark.read.schema(fact.schema).parquet(f"{folder}/fact_ads")))
+    manifest.publish(spark, out_dir, {"tables": paths, "keys": keys})
+    tables = load_warehouse(spark, out_dir)
     register_views(tables)
     return tables
 
 
+def load_warehouse(spark: SparkSession, out_dir: str, version: int | None = None
+                   ) -> dict[str, DataFrame]:
+    """The tables of the newest (or the given) version."""
+    own = manifest.current(spark, out_dir, version)
+    if own is None:
+        raise FileNotFoundError(f"no warehouse {version or ''} in {out_dir}")
+    return {name: spark.read.parquet(*own["tables"][name]) for name in STAR}
+
+
 def register_views(tables: dict[str, DataFrame]) -> None:
     """The star tables and the three marts as temporary views
     (replaced when they exist)."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    for view, fn in MART_VIEWS.items():
-        fn(tables).createOrReplaceTempView(view)
+    views.create_mart_views(next(iter(tables.values())).sparkSession, tables)
 
 
 def preview(spark: SparkSession, view: str = "dm_stats_par_ville", n: int = 5) -> DataFrame:

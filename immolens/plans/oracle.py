@@ -672,3 +672,8 @@ QUERIES["score_figures"] = sql(f"""SELECT ordinal, {trunc_long('p')} AS current_
              for i, (_, f, _) in enumerate(_h))}
 FROM (SELECT r.ordinal, r.surface_area, {_p} AS p
   FROM requests r LEFT JOIN encoding e ON {_city} = e.ville)""", "requests", "encoding")
+
+# other keys and stored parts give the same figures
+QUERIES["integrity_audit_hash_keys"] = QUERIES["integrity_audit"]
+QUERIES["city_mart_hash_keys"] = QUERIES["city_mart"]
+QUERIES["region_type_mart_parts"] = QUERIES["region_type_mart"]

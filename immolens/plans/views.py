@@ -1,51 +1,18 @@
-"""The three marts as Spark SQL views over the registered star tables.
-
-Same results as ``operators/marts.py``: averages reported with decimals are
-decimal averages (half-up rounding of the exact mean), and every ordering has
-a total tie-break.  ``create_mart_views`` replaces existing views.
-"""
+"""The marts as views over the star (S12): one definition, ``operators/marts.py``."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from immolens.operators.marts import VIEWS
 
-MART_SQL = {
-    "dm_stats_par_ville": """
-        SELECT l.region, l.city,
-               count(f.id_annonce) AS volume_annonces,
-               CAST(round(avg(CAST(f.price AS DECIMAL(18,2))), 2) AS DOUBLE) AS prix_moyen,
-               CAST(round(avg(CAST(f.surface AS DECIMAL(18,2))), 1) AS DOUBLE) AS surface_moyenne,
-               round(avg(f.price_m2), 2) AS prix_m2_moyen,
-               min(f.price) AS prix_minimum,
-               max(f.price) AS prix_maximum
-        FROM fact_ads f JOIN dim_location l ON f.id_location = l.id_location
-        GROUP BY l.region, l.city
-        ORDER BY volume_annonces DESC, l.region, l.city""",
-    "dm_stats_region_type": """
-        SELECT l.region, t.type_name,
-               count(f.id_annonce) AS volume_annonces,
-               CAST(round(avg(CAST(f.price AS DECIMAL(18,2))), 2) AS DOUBLE) AS prix_moyen,
-               round(avg(f.price_m2), 2) AS prix_m2_moyen,
-               CAST(round(avg(CAST(f.surface AS DECIMAL(18,2))), 1) AS DOUBLE) AS surface_moyenne
-        FROM fact_ads f
-        JOIN dim_location l ON f.id_location = l.id_location
-        JOIN dim_type t ON f.id_type = t.id_type
-        GROUP BY l.region, t.type_name
-        ORDER BY l.region, volume_annonces DESC, t.type_name""",
-    "dm_stats_mensuelles": """
-        SELECT d.year, d.month,
-               count(f.id_annonce) AS volume_annonces,
-               CAST(round(avg(CAST(f.price AS DECIMAL(18,2))), 2) AS DOUBLE) AS prix_moyen,
-               round(avg(f.price_m2), 2) AS prix_m2_moyen
-        FROM fact_ads f JOIN dim_date d ON f.id_date = d.id_date
-        GROUP BY d.year, d.month
-        ORDER BY d.year, d.month""",
-}
+STAR = ("dim_type", "dim_location", "dim_author", "dim_date", "fact_ads")
 
 
-def create_mart_views(spark: SparkSession) -> list[str]:
-    """Create (or replace) the mart views; the star tables must already be
-    registered as views (``jobs.register_views`` does that)."""
-    for name, body in MART_SQL.items():
-        spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {body}")
-    return list(MART_SQL)
+def create_mart_views(spark: SparkSession, star: dict[str, DataFrame] | None = None) -> list[str]:
+    """Create (or replace) the mart views, of the given star or of the star tables
+    that are registered as views."""
+    star = star or {name: spark.table(name) for name in STAR}
+    for name, mart in VIEWS.items():
+        mart(star).createOrReplaceTempView(name)
+    return list(VIEWS)

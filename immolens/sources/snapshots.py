@@ -18,7 +18,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -104,6 +104,12 @@ def snapshot_row_count(spark: SparkSession, directory: str, fmt: str = "csv") ->
     return raw_dataframe(spark, directory, latest, schema=RAW_SCHEMA).count() if latest else 0
 
 
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of a CSV leaves a quote open (an odd number of them)."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def _resolve(raw_dir: str, filename: str) -> str:
     """A snapshot is named by its last path component, with or without suffix."""
     name = filename.rstrip("/").rsplit("/", 1)[-1]
@@ -122,18 +128,25 @@ def _header_schema(spark: SparkSession, path: str, schema) -> StructType:
 
 
 def raw_dataframe(spark: SparkSession, raw_dir: str, filename: str,
-                  schema: StructType | str | None = None, multiline: bool = False) -> DataFrame:
+                  schema: StructType | str | None = None, multiline: bool | None = None
+                  ) -> DataFrame:
     """Header CSV scan; '.csv' and the directory are added when absent.
 
     With a ``schema`` (e.g. ``RAW_SCHEMA``) the header's columns get their
     declared types and no inference pass runs (zipcode stays text).  Rows get
     an ``ordinal`` (file order), used by keep-first deduplication.
-    ``multiline`` handles quoted newlines but makes the file unsplittable.
+    ``multiline`` handles quoted newlines but makes the file unsplittable; by
+    default a file is read that way if it has any, which a first pass over its
+    lines tells (say so to save that pass).
     """
     path = _resolve(raw_dir, filename)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"{path} does not exist")
+    if multiline is None:
+        multiline = has_quoted_newlines(spark, path)
     reader = spark.read.option("header", True).option("multiLine", multiline)
+    if multiline:
+        reader = reader.option("escape", '"')       # a quote inside is written twice
     if schema is not None:
         reader = reader.schema(_header_schema(spark, path, schema))
     else:
@@ -141,30 +154,37 @@ def raw_dataframe(spark: SparkSession, raw_dir: str, filename: str,
     return with_ordinal(reader.csv(path))
 
 
-# Bytes of a file that an ordinal can count (2^44), and files above that.
+# Bytes of a file that an ordinal can count (2^44), and files above that; rows that
+# ``monotonically_increasing_id`` counts in a task.
 FILE_BYTES = 1 << 44
+TASK_ROWS = 1 << 33
 
 
 def with_ordinal(scan: DataFrame) -> DataFrame:
     """Add ``ordinal``: file order by name, then the place inside the file.
 
-    A row's place is the first byte of its split plus its number in the split,
-    which no later split's first byte reaches: the order of the rows depends
-    neither on how many splits there are nor on which task reads them.  The
-    split table has one row per split, as many as the plan of the scan keeps on
-    the driver anyway; it is broadcast, so rows stay in file order.
+    A row's place is the first byte of its split plus its number in the task that
+    reads it, taken as the rows are scanned: one scan, no join.  A task reads a
+    split that others of its file follow first, so that number is at most the
+    split's rows, and no later split's first byte is reached; other splits end
+    their file.  So the order of rows doesn't depend on how many splits there are,
+    nor on which task reads them.  Several files are ranked by name from the
+    plan's own list of them, by a join on the file's path that is broadcast only
+    if its measured size allows it.
     """
-    columns = scan.columns
+    columns, files = scan.columns, scan.inputFiles()
     rows = scan.select("*", F.col("_metadata.file_path").alias("_file"),
-                       F.col("_metadata.file_name").alias("_name"),
-                       F.col("_metadata.file_block_start").alias("_start"),
-                       F.monotonically_increasing_id().alias("_id"))
-    splits = rows.groupBy("_file", "_name", "_start").agg(F.min("_id").alias("_first"))
-    splits = splits.select("_file", "_start", "_first", F.dense_rank().over(
-        Window.orderBy("_name", "_file")).cast("long").alias("_rank"))
-    place = F.col("_start") + F.col("_id") - F.col("_first")
-    return (rows.join(F.broadcast(splits), ["_file", "_start"])
-            .select(*columns, ((F.col("_rank") - 1) * FILE_BYTES + place).alias("ordinal")))
+                       (F.col("_metadata.file_block_start")
+                        + F.monotonically_increasing_id() % TASK_ROWS).alias("_place"))
+    if len(files) < 2:
+        return rows.select(*columns, F.col("_place").alias("ordinal"))
+    ranked = sorted(files, key=lambda f: (f.rsplit("/", 1)[-1], f))
+    ranks = scan.sparkSession.createDataFrame(       # file:/x and file:///x are the same
+        [(re.sub("^([^:/]+):/+", r"\1:/", f), i * FILE_BYTES) for i, f in enumerate(ranked)],
+        "_file string, _rank long")
+    rows = rows.withColumn("_file", F.regexp_replace("_file", "^([^:/]+):/+", "$1:/"))
+    return rows.join(ranks, "_file").select(*columns, (F.col("_rank") + F.col("_place"))
+                                            .alias("ordinal"))
 
 
 def latest_raw_dataframe(spark: SparkSession, raw_dir: str, **kw) -> DataFrame:
@@ -185,6 +205,9 @@ def load_raw(spark: SparkSession, raw_dir: str, filename: str | None = None, **k
 
 
 # ------------------------------------------------------------ clean output
+CSV_SUFFIX = "_clean"
+
+
 def write_clean(df: DataFrame, clean_dir: str, snapshot_date: str, fmt: str = "parquet") -> str:
     """Write the ML-ready rows for a date (same date is overwritten).
 
@@ -193,8 +216,8 @@ def write_clean(df: DataFrame, clean_dir: str, snapshot_date: str, fmt: str = "p
     folder ``<date>_clean``.
     """
     if fmt == "csv":
-        path = os.path.join(clean_dir, f"{snapshot_date}_clean")
-        df.write.mode("overwrite").option("header", True).csv(path)
+        path = os.path.join(clean_dir, f"{snapshot_date}{CSV_SUFFIX}")
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
         return path
     (df.withColumn("snapshot_date", F.lit(snapshot_date))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -202,15 +225,45 @@ def write_clean(df: DataFrame, clean_dir: str, snapshot_date: str, fmt: str = "p
     return clean_dir
 
 
-def load_clean(spark: SparkSession, clean_dir: str, snapshot_date: str | None = None) -> DataFrame:
-    """The given or latest ``snapshot_date`` partition.  The latest is the
-    greatest folder name of the listing that the read makes anyway, and only
-    that folder is scanned."""
-    df = spark.read.parquet(clean_dir)
-    if snapshot_date is None:
-        snapshot_date = max((m[1] for f in df.inputFiles()
-                             if (m := re.search(r"/snapshot_date=([^/]+)/", f))), default=None)
-    return df.where(F.col("snapshot_date") == F.lit(snapshot_date)).drop("snapshot_date")
+def clean_snapshots(spark: SparkSession, clean_dir: str) -> DataFrame:
+    """(snapshot_date, fmt) of what ``write_clean`` has written, in either form.
+
+    The file names are a table read by the executors (contents are not opened);
+    none but the wanted one comes to the driver."""
+    names = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(clean_dir)
+             .select("path"))
+    parquet = F.regexp_extract("path", r"/snapshot_date=([^/]+)/[^/]+$", 1)
+    csv = F.regexp_extract("path", rf"/([^/]+){CSV_SUFFIX}/[^/]+$", 1)
+    return (names.select(F.explode(F.array(
+        F.struct(parquet.alias("snapshot_date"), F.lit("parquet").alias("fmt")),
+        F.struct(csv.alias("snapshot_date"), F.lit("csv").alias("fmt")))).alias("x"))
+        .select("x.*").where("snapshot_date <> ''").distinct())
+
+
+def load_clean(spark: SparkSession, clean_dir: str, snapshot_date: str | None = None,
+               schema: StructType | str | None = None) -> DataFrame:
+    """The given or latest snapshot, in the form it was written in (parquet
+    if in both); only its folder is scanned.  A CSV has the types of ``schema``
+    (by name), or inferred ones."""
+    if snapshot_date is None or not path_exists(
+            spark, f"{clean_dir.rstrip('/')}/snapshot_date={snapshot_date}"):
+        found = clean_snapshots(spark, clean_dir)
+        if snapshot_date is not None:
+            found = found.where(F.col("snapshot_date") == snapshot_date)
+        own = found.agg(F.max(F.struct("snapshot_date", "fmt")).alias("x")).first()["x"]
+        if own is None:
+            raise FileNotFoundError(f"no snapshot {snapshot_date or ''} in {clean_dir}")
+        snapshot_date, fmt = own
+    else:
+        fmt = "parquet"
+    if fmt == "csv":
+        path = f"{clean_dir.rstrip('/')}/{snapshot_date}{CSV_SUFFIX}"
+        reader = spark.read.option("header", True).option("escape", '"').option(
+            "multiLine", has_quoted_newlines(spark, path))
+        return (reader.option("inferSchema", True) if schema is None
+                else reader.schema(_header_schema(spark, path, schema))).csv(path)
+    return spark.read.option("basePath", clean_dir).parquet(
+        f"{clean_dir.rstrip('/')}/snapshot_date={snapshot_date}").drop("snapshot_date")
 
 
 # ------------------------------------------------------------ model store
