@@ -2,18 +2,20 @@
 
 A fingerprint takes the majority of the bits of XXH64 over word shingles.
 Equal fingerprints are one class.  Two fingerprints that differ in at most
-``radius`` bits agree in one of ``radius + 1`` blocks, and in one of as many
-blocks of the remaining bits: each class goes to a shard for every such pair of
-blocks.  A shard's fingerprints form a BK-tree (children keyed by their Hamming
-distance to the parent, small buckets at its leaves); all its members are looked
-up, in blocks, and follow only the edges within the radius.  A shard hands on
-one link per member, to the smallest fingerprint it is connected to there, never
-its pairs; distributed components join the shards.
+``radius`` bits agree in one of ``radius + 1`` blocks: each class goes to a shard for
+the first bits of every block, as many as make shards of ``SHARD`` classes on
+average (of pairs of blocks, where one block hasn't that many).  A shard's
+fingerprints form a BK-tree (children keyed by their integer Hamming distance to the
+parent, small buckets at its leaves); all its members are looked up, in blocks, and
+follow only the edges within the radius.  A shard hands on one link per member, to
+the smallest fingerprint it is connected to there, never its pairs; distributed
+components join the shards.
 
 Cases: null, empty or blank text has fingerprint zero and is linked like any
 other; fewer words than a shingle has are hashed as they are; equal ids and
 repeated rows are rows of their own; a null id never names a component unless
-all its ids are null; an empty table gives an empty result.
+all its ids are null; an empty table gives an empty result; other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from immolens.llm.graph import components
 SHINGLE = 3                 # words
 RADIUS = 3                  # bits
 SEED = 42
-LEAF = 48                   # a tree node with fewer fingerprints below it is a bucket
+LEAF = 8                    # a tree node with fewer fingerprints below it is a bucket
+SHARD = 256                 # fingerprints of a shard, on average, as long as keys have bits for it
 LOOKUP = 1024               # fingerprints looked up together
 
 
@@ -80,7 +83,7 @@ class BKTree:
     """Children keyed by the integer distance to their parent; bucket leaves."""
 
     def __init__(self, values: np.ndarray):
-        self.values = values
+        self.values, self.nodes, self.compared = values, 0, 0
         self.root = self._grow(np.arange(len(values)))
 
     def _grow(self, at: np.ndarray):
@@ -93,6 +96,7 @@ class BKTree:
                 continue
             children: dict[int, object] = {}
             parent[key] = (at[0], children)
+            self.nodes += 1
             d = np.bitwise_count(self.values[at[1:]] ^ self.values[at[0]])
             order = np.argsort(d, kind="stable")
             cut = np.flatnonzero(np.diff(d[order])) + 1
@@ -109,11 +113,13 @@ class BKTree:
         while work:
             node, q = work.pop()
             if isinstance(node, np.ndarray):
+                self.compared += len(q) * len(node)
                 near = np.bitwise_count(self.values[q][:, None] ^ self.values[node]) <= radius
                 i, j = np.nonzero(near)
                 yield q[i], node[j]
                 continue
             pivot, children = node
+            self.compared += len(q)
             d = np.bitwise_count(self.values[q] ^ self.values[pivot]).astype(np.int64)
             near = q[d <= radius]
             yield near, np.full(len(near), pivot)
@@ -151,33 +157,50 @@ def shard_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return values[linked], values[parent[linked]]
 
 
-def shard_keys(values: np.ndarray, radius: int) -> np.ndarray:
-    """(n, (radius + 1)^2) keys: a block's bits and a block of the others."""
-    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
+def key_bits(n: int, radius: int) -> tuple[int, int]:
+    """(bits of a block, bits of a block of the others) that make shards of ``SHARD``
+    fingerprints on average out of n; the second are used when the first don't do."""
+    wanted = max(0, (max(1, n // SHARD) - 1).bit_length())
+    block = 64 // (radius + 1)
+    return min(wanted, block), max(0, min(wanted - block, (64 - block) // (radius + 1)))
+
+
+def shard_keys(values: np.ndarray, radius: int, bits: tuple[int, int]) -> np.ndarray:
+    """Keys of which any two values at most ``radius`` bits apart share one.
+
+    Of ``radius + 1`` blocks one is equal in both, and so is one of as many blocks of
+    the other bits; a key is the first ``bits`` of such a block, or of two.
+    """
+    blocks = radius + 1
+    edge = [64 * i // blocks for i in range(blocks + 1)]
     out = []
-    for i in range(radius + 1):
+    for i in range(blocks):
         low, high = edge[i], edge[i + 1]
-        width = high - low
-        first = (values >> np.uint64(low)) & np.uint64((1 << width) - 1)
+        first = (values >> np.uint64(low)) & np.uint64((1 << bits[0]) - 1)
+        if not bits[1]:
+            out.append(first * np.uint64(blocks) + np.uint64(i))
+            continue
         above = values >> np.uint64(high) if high < 64 else np.zeros_like(values)
         rest = (above << np.uint64(low)) | (values & np.uint64((1 << low) - 1))
-        sub = [(64 - width) * j // (radius + 1) for j in range(radius + 2)]
-        for j in range(radius + 1):
-            part = (rest >> np.uint64(sub[j])) & np.uint64((1 << (sub[j + 1] - sub[j])) - 1)
-            key = (first << np.uint64(sub[j + 1] - sub[j])) | part
-            out.append((key * np.uint64((radius + 1) ** 2))
-                       + np.uint64(i * (radius + 1) + j))
+        width = 64 - (high - low)
+        for j in range(blocks):
+            part = (rest >> np.uint64(width * j // blocks)) & np.uint64((1 << bits[1]) - 1)
+            key = (first << np.uint64(bits[1])) | part
+            out.append(key * np.uint64(blocks ** 2) + np.uint64(i * blocks + j))
     return np.stack(out, axis=1)
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all that are at
-    most ``radius`` bits apart."""
+    most ``radius`` bits apart.  Each goes to the shards that its near ones must share;
+    a task grows each shard's tree and looks its fingerprints up in it."""
+    bits = key_bits(classes.count(), radius)
+
     @lean
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False)
-            keys = shard_keys(fps.view(np.uint64), radius)
+            keys = shard_keys(fps.view(np.uint64), radius, bits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.reshape(-1).view(np.int64)),
                  pa.array(np.repeat(fps, keys.shape[1]))], names=["shard", "fp"])
@@ -215,7 +238,7 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp);
     ``component_id`` is the smallest id that can be reached."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(links(classes, radius))
     member = (classes.join(roots, F.col("fp") == F.col("node"), "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
@@ -233,23 +256,30 @@ def query(spark, sf_dir) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the row with the smallest id stays (equal
-    ids: the smallest hash of the row; equal rows: one of them)."""
-    whole = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    prints = written(fingerprints(whole, keep=("doc_id", "__row")), "fingerprints")
+    ids: the smallest hash of the row; equal rows: one of them).  Columns may have
+    any names."""
+    own = "__row"
+    while own in docs.columns:
+        own += "_"
+    whole = docs.withColumn(own, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = whole.select("doc_id", F.col(own).alias("row"), F.col("text").alias("body"))
+    prints = written(fingerprints(rows, text="body", keep=("doc_id", "row")), "fingerprints")
     # null ids come last, so that a named document stays if there is one
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    classes = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = written(prints.groupBy("fp").agg(F.min(order).alias("first")), "classes")
     roots = components(links(classes))
     kept = (classes.join(roots, F.col("fp") == F.col("node"), "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("k"))
-            .select(F.col("k.doc_id").alias("__id"), F.col("k.__row").alias("__kept")))
-    copies = prints.groupBy("doc_id", "__row").agg(F.count("*").alias("__n"))
-    kept = written(kept.join(copies, kept["__id"].eqNullSafe(copies["doc_id"])
-                             & (kept["__kept"] == copies["__row"]))
-                   .select("__id", "__kept", "__n"), "kept")
+            .select(F.col("k.doc_id").alias("id"), F.col("k.row").alias("kept")))
+    copies = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n"))
+    kept = written(kept.join(copies, kept["id"].eqNullSafe(copies["doc_id"])
+                             & (kept["kept"] == copies["row"])).select("id", "kept", "n"), "kept")
 
     def stay(some: DataFrame) -> DataFrame:
-        return whole.join(some, whole["doc_id"].eqNullSafe(some["__id"])
-                          & (whole["__row"] == some["__kept"])).select(*docs.columns)
+        some = some.select(F.struct("id", "kept").alias(f"{own}k"))
+        key = F.col(f"{own}k")
+        return whole.join(some, whole["doc_id"].eqNullSafe(key["id"])
+                          & (whole[own] == key["kept"]), "left_semi").select(
+                              *[F.col(f"`{c}`") for c in docs.columns])
 
-    return stay(kept.where("__n = 1")).union(stay(kept.where("__n > 1")).distinct())
+    return stay(kept.where("n = 1")).union(stay(kept.where("n > 1")).distinct())

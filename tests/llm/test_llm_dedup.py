@@ -49,6 +49,46 @@ def test_bk_tree_finds_all_within_the_radius(radius):
     assert found == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
 
 
+def test_lookups_follow_the_edges_within_the_radius():
+    rng = np.random.default_rng(2)
+    values = np.unique(rng.integers(0, 1 << 63, 3_000, dtype=np.uint64) & np.uint64((1 << 24) - 1))
+    tree = simhash.BKTree(values)
+    assert tree.nodes > len(values) // 20
+    for radius, share in ((0, 0.05), (1, 0.25), (3, 0.8)):
+        tree.compared = 0
+        for _ in tree.within(np.arange(len(values)), radius):
+            pass
+        assert len(values) < tree.compared < share * len(values) ** 2, radius
+
+
+def test_links_come_from_trees(spark, monkeypatch):
+    """Shards are large enough to have nodes, and without look-ups there is no link."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 3_000, dtype=np.uint64)
+    near = base[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    values = np.unique(np.concatenate((base, near)))
+    classes = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    keys = simhash.shard_keys(values, 3, simhash.key_bits(len(values), 3))
+    shards = np.unique(keys, return_counts=True)[1]
+    assert np.median(shards) > 10 * simhash.LEAF and keys.shape[1] == 4
+    assert simhash.links(classes).count() >= 500
+    monkeypatch.setattr(simhash.BKTree, "within", lambda self, asked, radius: iter(()))
+    assert simhash.links(classes).count() == 0
+
+
+def test_stage_of_clashing_names(spark):
+    rows = [(1, "the same words here", "x", 5, 7, "r"), (2, "the same words here", "y", 5, 7, "r"),
+            (None, "other words", "z", 1, 1, "q"), (None, "other words", "z", 1, 1, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, __id long, __n long, "
+                                       "__kept string")
+    for names in (docs.columns, ["doc_id", "text", "row", "first", "k", "fp"],
+                  ["doc_id", "text", "__row", "__row_", "__row_k", "node.x"]):
+        given = docs.toDF(*names)
+        out = simhash.stage(spark, given, "")
+        assert out.columns == names and out.dtypes == given.dtypes
+        assert sorted(map(str, out.collect())) == sorted(map(str, given.collect()[::2]))
+
+
 @pytest.mark.parametrize("radius", [1, 3, 4])
 def test_near_pairs_share_a_shard(radius):
     rng = np.random.default_rng(9)
@@ -56,7 +96,12 @@ def test_near_pairs_share_a_shard(radius):
     b = a.copy()
     for _ in range(radius):
         b ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
-    assert (simhash.shard_keys(a, radius) == simhash.shard_keys(b, radius)).any(axis=1).all()
+    for n in (0, 1_000, 10 ** 6, 10 ** 9, 10 ** 13):
+        bits = simhash.key_bits(n, radius)
+        one, two = (simhash.shard_keys(x, radius, bits) for x in (a, b))
+        assert (one == two).any(axis=1).all()
+        assert one.shape[1] == (radius + 1) ** (2 if bits[1] else 1)
+        assert sum(bits) >= min(64 // (radius + 1), np.log2(max(1, n // simhash.SHARD)))
 
 
 def test_components(spark):
