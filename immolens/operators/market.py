@@ -426,10 +426,11 @@ def option_lists(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> Dat
             .unionByName(cities.withColumn("position", F.col("position").cast("int"))))
 
 
-def scoring_options(ranges: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES) -> DataFrame:
+def scoring_options(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES,
+                    ranges: DataFrame | None = None) -> DataFrame:
     """Everything the scoring form offers, in one result ``(list,
-    position, value)``: city labels, property types, and the given input
-    ranges (A18)."""
+    position, value)``: city labels, property types, input ranges (A18, those
+    of ``df`` unless they are given)."""
     labels = (city_labels(raw, k).orderBy(F.desc("count"), "city")
               .agg(F.collect_list("label").alias("all"))
               .select(F.lit("cities").alias("list"), F.posexplode("all").alias("position", "value"))

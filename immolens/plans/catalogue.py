@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from immolens.operators import (bundle, clean, cube, features, market, marts, models, quality,
-                                scoring, warehouse)
+from immolens.operators import (boosting, bundle, clean, cube, features, market, marts, models,
+                                quality, scoring, warehouse)
 from immolens.operators.keys import keep_first
 from immolens.plans import views
 from immolens.sources.adapter import city_coordinates
@@ -673,3 +673,47 @@ def batch_scoring(spark, sf_dir):
     """M16 over every raw listing turned into a request ('city, zipcode',
     type, surface, rooms), scored from the stored bundle alone."""
     return bundle.score(_requests(spark, sf_dir), _bundle(spark, sf_dir))
+
+
+# ------------------------------------------------- second-order boosting
+# Rounds of the catalogue's models, and of the tree that SQL repeats.
+BOOSTED_ROUNDS = dict(trees=(10, 15, 10), depth=5, rate=0.3)
+CHECKED_TREE = boosting.Settings("prix", trees=1, depth=2, rows=1.0, columns=1.0, l2=1.0)
+CHECKED_BINS = 8
+
+
+def _store(spark, sf_dir, name):
+    return lambda part, make: stored(spark, f"{name}-{part}", sf_dir, make)
+
+
+def _boosted(spark, sf_dir) -> dict:
+    key = (spark.sparkContext.applicationId, sf_dir, "second order")
+    if key not in _TRAINED:
+        rows, _ = _clustered(spark, sf_dir)
+        _TRAINED[key] = boosting.train_prices(rows, _store(spark, sf_dir, "second"),
+                                              boosting.price_settings(**BOOSTED_ROUNDS))
+    return _TRAINED[key]
+
+
+@query
+def second_order_models(spark, sf_dir):
+    """M9-M12, A23, A24 by second-order boosting, on the split of ``price_models``."""
+    return models.results_frame(spark, _boosted(spark, sf_dir))
+
+
+@query
+def second_order_importance(spark, sf_dir):
+    """Shares of the champion's gains."""
+    champion = _boosted(spark, sf_dir)["champion"]["model"]
+    return models.importance_shares(champion.importance(spark))
+
+
+@query
+def boosted_first_tree(spark, sf_dir):
+    """M9: the first tree over all listings, on few bins: splits and leaves."""
+    f = _features_table(spark, sf_dir)
+    columns = sorted(models.feature_columns(f))
+    model = boosting.fit(f, columns, {"first": CHECKED_TREE}, "id_annonce",
+                         _store(spark, sf_dir, "first"), CHECKED_BINS)["first"]
+    return boosting.splits(spark, model).select(
+        "node", "feature", F.round("cut", 6).alias("cut"), F.round("value", 2).alias("value"))

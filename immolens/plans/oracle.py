@@ -677,3 +677,47 @@ FROM (SELECT r.ordinal, r.surface_area, {_p} AS p
 QUERIES["integrity_audit_hash_keys"] = QUERIES["integrity_audit"]
 QUERIES["city_mart_hash_keys"] = QUERIES["city_mart"]
 QUERIES["region_type_mart_parts"] = QUERIES["region_type_mart"]
+
+# --------------------------------------------------------------------------
+# The first tree of second-order boosting: cuts at the eighths of every feature,
+# the split of the greatest gain at three nodes, four shrunk leaves
+# --------------------------------------------------------------------------
+_boosted = sorted(["surface", "pieces", "ville", "surface_log",
+                   *[f"type_bien_{v}" for v in TYPE_VOCAB]])
+cte("tree_rows", f"""SELECT f.id_annonce, m.base - f.prix AS g,
+  [{", ".join(f"CAST({c} AS DOUBLE)" for c in _boosted)}] AS v
+FROM features f, (SELECT {mean('prix')} AS base FROM features) m""", "features")
+cte("tree_cuts", "\nUNION ALL ".join(
+    f"SELECT {i + 1} AS feature, unnest(list_distinct([{', '.join(pctl('v', 'n', k / 8) for k in range(1, 8))}])) AS cut "
+    f"FROM (SELECT {sorted_list(f'CAST({c} AS DOUBLE)')} AS v, count({c}) AS n FROM features)"
+    for i, c in enumerate(_boosted)), "features")
+
+
+def _level(rows: str) -> str:
+    """The best split of each node of ``rows`` (node, g, v)."""
+    g = exact_sum("g")
+    gain = ("gl * gl / (nl + 1.0) + (gt - gl) * (gt - gl) / (nt - nl + 1.0) - gt * gt / (nt + 1.0)")
+    return f"""SELECT node, feature, cut FROM (
+  SELECT node, feature, cut, row_number() OVER (PARTITION BY node ORDER BY {gain} DESC, feature, cut) AS r
+  FROM (SELECT r.node, c.feature, c.cut, t.gt, t.nt, count(*) AS nl, {g} AS gl
+    FROM {rows} r JOIN tree_cuts c ON r.v[c.feature] <= c.cut
+    JOIN (SELECT node, {g} AS gt, count(*) AS nt FROM {rows} GROUP BY node) t ON t.node = r.node
+    GROUP BY r.node, c.feature, c.cut, t.gt, t.nt)
+  WHERE nl < nt AND {gain} > 0) WHERE r = 1"""
+
+
+cte("tree_0", "SELECT 0 AS node, g, v FROM tree_rows", "tree_rows")
+cte("split_0", _level("tree_0"), "tree_0", "tree_cuts")
+cte("tree_1", """SELECT 2 * r.node + CASE WHEN r.v[s.feature] <= s.cut THEN 1 ELSE 2 END AS node, g, v
+FROM tree_0 r JOIN split_0 s ON r.node = s.node""", "tree_0", "split_0")
+cte("split_1", _level("tree_1"), "tree_1", "tree_cuts")
+cte("tree_2", """SELECT 2 * r.node + CASE WHEN r.v[s.feature] <= s.cut THEN 1 ELSE 2 END AS node, g
+FROM tree_1 r JOIN split_1 s ON r.node = s.node
+UNION ALL SELECT r.node, g FROM tree_1 r ANTI JOIN split_1 s ON r.node = s.node""", "tree_1", "split_1")
+QUERIES["boosted_first_tree"] = sql(f"""SELECT CAST(node AS INTEGER) AS node,
+  [{", ".join(f"'{c}'" for c in _boosted)}][feature] AS feature, round(cut, 6) AS cut,
+  CAST(NULL AS DOUBLE) AS value
+FROM (SELECT * FROM split_0 UNION ALL SELECT * FROM split_1)
+UNION ALL SELECT CAST(node AS INTEGER), NULL, NULL,
+  round(CAST(-0.1 AS DOUBLE) * {exact_sum('g')} / (count(*) + CAST(1.0 AS DOUBLE)), 2) FROM tree_2 GROUP BY node""",
+                                    "split_0", "split_1", "tree_2")
