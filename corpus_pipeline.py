@@ -2,6 +2,11 @@
 
 Each stage works on all that the one before kept, written as Parquet to the shared
 folder and read back, so that a lost executor costs at most one stage's task.
+
+Cases: documents with null or letterless texts are rejected by the first stage, so later
+ones see none; null ids, repeated rows and further columns of any types are carried along
+(of equal rows, and of near ones, one stays); ties go as each stage says; an empty table
+gives no sequences; an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
