@@ -1,10 +1,11 @@
 """Benchmark: headline catalogue queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``.
 
 Prints one JSON line.  Preparation jobs (listing ingest, star schema build,
-ML-ready feature table) are timed once each, as the offline jobs they are,
+ML-ready feature table, the panel cube) are timed once each, as the offline jobs they are,
 with the preparation throughput in raw rows per second; model fits (KMeans
 k=8, and with BENCH_MODELS=1 the three boosted models at full size) are timed once; every
-query is then run three times (warm) and its best time is reported.  Only the
+query is then run three times (warm) and its best time is reported.  Queries whose
+result the jobs have stored are timed by doing their work again (``WORK``).  Only the
 query times make up ``value``; ``value_with_jobs`` adds the offline jobs.
 Each run executes the whole plan through the ``noop`` sink (nothing is
 collected to the driver).
@@ -20,6 +21,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from immolens.operators import clean, features, models  # noqa: E402
 from immolens.plans import catalogue as cat  # noqa: E402
 from immolens.session import checkpoint_dir, get_session  # noqa: E402
 
@@ -33,6 +35,25 @@ HEADLINE = [
 REPEATS = 3
 
 
+def _clusters(spark, sf_dir):
+    feats = cat._features_table(spark, sf_dir)
+    return models.predict_cluster(feats, _fitted(feats))
+
+
+def _fitted(feats, kept={}):
+    if "own" not in kept:
+        kept["own"] = models.Clusters.of_model(models.fit_clustering(feats, 8))
+    return kept["own"]
+
+
+#: the work of queries that otherwise read what a job has stored
+WORK = {
+    "clean_listings": lambda s, d: clean.clean_listings(cat._quality(s, d)),
+    "target_encoding": lambda s, d: features.fit_target_encoding(cat._trimmed(s, d)),
+    "clusters": _clusters,
+}
+
+
 def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -57,11 +78,13 @@ def main() -> None:
     t0 = time.time()
     cat._market(spark, sf_dir).count()
     jobs["prepare_features"] = time.time() - t0
+    t0 = time.time()
+    cat._cube(spark, sf_dir)
+    jobs["panel_cube"] = time.time() - t0
 
     raw_rows = cat._raw(spark, sf_dir).count()
     fit = {}
     if not sys.argv[1:]:
-        from immolens.operators import models
         feats = cat._features_table(spark, sf_dir)
         t0 = time.time()
         models.train_clustering(feats, 8)
@@ -76,7 +99,7 @@ def main() -> None:
         best = None
         for _ in range(REPEATS):
             t0 = time.time()
-            run(cat.CATALOGUE[name](spark, sf_dir))
+            run(WORK.get(name, cat.CATALOGUE[name])(spark, sf_dir))
             dt = time.time() - t0
             best = dt if best is None else min(best, dt)
         times[name] = round(best, 3)

@@ -677,7 +677,7 @@ def batch_scoring(spark, sf_dir):
 
 # ------------------------------------------------- second-order boosting
 # Rounds of the catalogue's models, and of the tree that SQL repeats.
-BOOSTED_ROUNDS = dict(trees=(10, 15, 10), depth=5, rate=0.3)
+BOOSTED_ROUNDS = dict(trees=(6, 9, 6), depth=4, rate=0.3)
 CHECKED_TREE = boosting.Settings("prix", trees=1, depth=2, rows=1.0, columns=1.0, l2=1.0)
 CHECKED_BINS = 8
 
