@@ -37,7 +37,8 @@ from immolens.operators import market
 from immolens.operators.stats import interpolate, value_slice
 
 DIMENSIONS = ("type", "region", "city", "rooms")
-MEASURES = ("prix", "prix_m2", "surface", "pieces")
+PRICES = ("prix", "prix_m2")
+MEASURES = (*PRICES, "surface", "pieces")      # input ranges are those of all listings
 CELL = "type string, region string, city string, rooms string"
 
 Cell = tuple[str | None, str | None, str | None, str | None]
@@ -92,9 +93,12 @@ def totals_of(rows: DataFrame) -> DataFrame:
 def values_of(rows: DataFrame) -> DataFrame:
     """(cell, measure, value, n, before, total), in order of cell and value."""
     keys = [*DIMENSIONS, "measure"]
-    long = _in_cells(rows).select(*DIMENSIONS, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])).alias("x"))
-    counts = (long.where(F.col("x.value").isNotNull())
+    everywhere = reduce(lambda a, b: a & b, [F.col(d).isNull() for d in DIMENSIONS])
+    long = _in_cells(rows).select(*DIMENSIONS, F.explode(F.array_compact(F.array(*[
+        F.when(F.col(m).isNotNull() & (F.lit(m in PRICES) | everywhere),
+               F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")))
+        for m in MEASURES]))).alias("x"))
+    counts = (long
               .groupBy(*DIMENSIONS, F.col("x.measure").alias("measure"),
                        F.col("x.value").alias("value"))
               .agg(F.count(F.lit(1)).alias("n")).withColumn("slice", value_slice(F.col("value"))))
