@@ -1,5 +1,5 @@
-"""Quality by weak supervision: rules vote or abstain, expectation-maximisation
-weighs them, and the posterior probability of quality decides.
+"""Quality by weak supervision: rules vote or abstain, expectation-maximisation with
+priors on their error rates weighs them, and the posterior probability of quality decides.
 
 DataFrame functions only.  A text's measures come from arrays of its own row (no
 shuffle): repeated windows are found by sorting one long per window, a hash above
@@ -15,6 +15,8 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,11 @@ MIN_WORDS = 50                  # fixed by the contract
 MAX_REPEAT_PERCENT = 50         # fixed by the contract
 ROUNDS = 500                    # of expectation-maximisation, at most
 SMOOTHING = 2.0                 # votes added to each side of an estimate
-PRIOR = 0.8                     # of quality, to begin with
-MAX_FALSE = 0.002               # share of good texts that a trusted rule votes against, at most
+PRIOR = 0.8                     # share of good texts that is expected at least
+EXPECT = 2.0                    # how much that weighs, as a share of the texts
+TRUST = 0.03                    # how much beliefs in rules weigh, as a share of the texts
+BELIEF = 0.002                  # chance of a false vote against, where nothing else is said
+EMPTY: frozenset = frozenset()
 KEEP_FROM = 0.5                 # posterior probability
 
 #: name -> (measure, votes against, votes for); neither: the rule abstains
@@ -41,6 +46,15 @@ RULES = {
     "word_length": ("word_chars / n_words", "x < 2.5 or x > 14", "x between 3 and 11"),
 }
 
+#: rules that see the same thing -> how often they are believed to be wrong about a good
+#: text; being short is a weak reason, so short texts are judged by the other rules
+GROUPS = {
+    ("length",): 0.05,
+    ("symbols", "capitals", "emphasis"): BELIEF,
+    ("line_copies", "repeats", "vocabulary"): BELIEF,
+    ("word_length",): BELIEF,
+}
+
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of numbers per input row."""
@@ -94,52 +108,136 @@ def vote(name: str) -> Column:
         for rule, v in ((against, -1), (for_it, 1))) + " else 0 end")
 
 
-def estimate(counted: list[tuple[tuple[int, ...], int]], rules: int) -> tuple[float, list]:
-    """(prior, [(weight of a vote against, weight of a vote for)]) from vote patterns.
+@dataclass(frozen=True)
+class Model:
+    """``weights``: of each group, the log likelihood ratio of quality by the set of
+    its rules that vote against; the empty set stands for votes for quality only."""
+    prior: float
+    weights: tuple[dict[frozenset, float], ...]
+    groups: tuple[tuple[int, ...], ...]
+    good: tuple[dict[frozenset, float], ...] = ()       # chance of each set in good texts
+    bad: tuple[dict[frozenset, float], ...] = ()
 
-    For each rule and each side of the truth the chance of a vote against, among
-    the votes given, is estimated; weights are log likelihood ratios of quality.
-    A text that one rule alone votes against can be a bad one that the others miss or
-    a good one: votes can't tell.  A rule is trusted there, its estimate bounded by
-    ``MAX_FALSE``, as long as it votes against no more texts than are expected to be
-    bad, a share of 1 - ``PRIOR``; of the others both error rates are estimated freely.
-    """
-    total = sum(n for _, n in counted)
-    trusted = [sum(n for votes, n in counted if votes[j] < 0) <= (1 - PRIOR) * total + 1e-6
-               for j in range(rules)]
-    prior, weights = PRIOR, None
+    def posterior(self, votes) -> float:
+        odds = math.log(self.prior / (1 - self.prior)) + sum(
+            w[s] for w, s in zip(self.weights, seen(votes, self.groups), strict=True)
+            if s is not None)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+    def accuracies(self) -> dict[int, tuple[float, float]]:
+        """Of each rule, the share of bad texts it votes against and of good ones it
+        doesn't, among those that its group has an opinion on."""
+        return {j: (sum(p for s, p in b.items() if j in s), 1 - sum(p for s, p in g.items() if j in s))
+                for group, g, b in zip(self.groups, self.good, self.bad, strict=True) for j in group}
+
+
+def seen(votes, groups) -> list[frozenset | None]:
+    """What each group says: the rules that vote against, None if all abstain."""
+    return [frozenset(j for j in group if votes[j] < 0) if any(votes[j] for j in group) else None
+            for group in groups]
+
+
+def _false_rate(against: float, total: float, k: float, believed: float) -> float:
+    """The x that maximises against log x + (total - against) log(1 - x) - k log(1 + x / believed)."""
+    k = min(k, total / 2)
+    middle = against * (1 - believed) - (total - against) * believed - k
+    return ((middle + math.sqrt(middle * middle + 4 * (total - k) * against * believed))
+            / (2 * (total - k)))
+
+
+def _climb(told: list, start: list[float], groups, beliefs, total: int) -> tuple[float, Model]:
+    """Expectation-maximisation from given posteriors: (log posterior, model)."""
+    sets = [sorted({t[g] for t, _ in told if t[g]} | {frozenset((j,)) for j in group}, key=sorted)
+            for g, group in enumerate(groups)]
+    p, last = start, -math.inf
     for _ in range(ROUNDS):
-        good = [[SMOOTHING, SMOOTHING * 4] for _ in range(rules)]       # against, for
-        bad = [[SMOOTHING * 2, SMOOTHING * 2] for _ in range(rules)]
-        mass = 0.0
-        for votes, n in counted:
-            # to begin with, a text that any rule votes against is doubted
-            p = posterior(votes, prior, weights) if weights else 0.1 if -1 in votes else 0.95
-            mass += n * p
-            for j, v in enumerate(votes):
-                if v:
-                    good[j][v > 0] += n * p
-                    bad[j][v > 0] += n * (1 - p)
-        old = (prior, weights)
-        prior = min(0.99, max(0.01, (mass + PRIOR) / (total + 1)))
-        weights = []
-        for g, b, trust in zip(good, bad, trusted, strict=True):
-            against, miss = g[0] / sum(g), b[0] / sum(b)
-            against = min(MAX_FALSE, against) if trust else against
-            # a vote against is never evidence for quality, and the other way round
-            weights.append((min(0.0, math.log(against / miss)),
-                            max(0.0, math.log((1 - against) / (1 - miss)))))
-        if old[1] and abs(old[0] - prior) < 1e-9 and all(
-                abs(x - y) < 1e-9 for a, b in zip(old[1], weights, strict=True)
-                for x, y in zip(a, b, strict=True)):
+        mass = sum(n * q for (_, n), q in zip(told, p, strict=True))
+        prior = min(0.99, (mass + PRIOR) / (total + 1))
+        less = prior < PRIOR                    # a flat prior above, a slope below
+        prior = (prior + EXPECT * PRIOR) / (1 + EXPECT) if less else prior
+        good, bad, penalty = [], [], 0.0
+        for g, (own, believed) in enumerate(zip(sets, beliefs, strict=True)):
+            # votes for quality only are counted as the empty set
+            counts = {s: [believed * SMOOTHING, SMOOTHING / len(own)] for s in own}
+            counts[EMPTY] = [SMOOTHING, SMOOTHING]
+            for (t, n), q in zip(told, p, strict=True):
+                if t[g] is not None:
+                    counts[t[g]][0] += n * q
+                    counts[t[g]][1] += n * (1 - q)
+            of_good, of_bad = (sum(c[k] for c in counts.values()) for k in (0, 1))
+            false = {s: _false_rate(counts[s][0], of_good, TRUST * total, believed) for s in own}
+            # together at most one half, so that the empty set keeps its sign
+            scale = min(1.0, 0.5 / sum(false.values()))
+            false = {s: x * scale for s, x in false.items()}
+            true = {s: max(counts[s][1] / of_bad, false[s]) for s in own}
+            scale = min(1.0, (1 - 1e-6) / sum(true.values()))
+            good.append(false | {EMPTY: 1 - sum(false.values())})
+            bad.append({s: x * scale for s, x in true.items()}
+                       | {EMPTY: 1 - scale * sum(true.values())})
+            penalty += TRUST * total * sum(math.log1p(x / believed) for x in false.values())
+        if less:
+            penalty += EXPECT * total * (PRIOR * math.log(PRIOR / prior)
+                                         + (1 - PRIOR) * math.log((1 - PRIOR) / (1 - prior)))
+        value, p = -penalty, []
+        for t, n in told:
+            x, y = prior, 1 - prior
+            for g, s in enumerate(t):
+                if s is not None:
+                    x, y = x * good[g][s], y * bad[g][s]
+            value += n * math.log(x + y)
+            p.append(x / (x + y))
+        if value - last < 1e-9 * total:
             break
-    return prior, weights or [(0.0, 0.0)] * rules
+        last = value
+    weights = tuple({s: min(0.0, math.log(x[s] / y[s])) if s else max(0.0, math.log(x[s] / y[s]))
+                     for s in x} for x, y in zip(good, bad, strict=True))
+    return value, Model(prior, weights, tuple(groups), tuple(good), tuple(bad))
+
+
+def estimate(counted: list[tuple[tuple[int, ...], int]], groups=None, beliefs=None) -> Model:
+    """The model of vote patterns (votes, number of texts) that is likeliest after the data.
+
+    Rules that see the same thing form a group, whose votes are not independent: each
+    set of its rules that vote together has a chance of its own in good and in bad texts.
+    A text that one set alone votes against can be a bad one that the others miss or a
+    good one, which votes can't tell.  There the belief in the rules counts: a set's chance
+    x among good texts has the prior (1 + x / belief) ^ (-``TRUST`` * texts), which
+    is heavy-tailed, so rare lone votes are trusted at every size of the table and
+    frequent ones are outweighed by what the other rules say, nearly unbiased.
+    A share of ``PRIOR`` of good texts or more is expected; a smaller one costs as much
+    as if ``EXPECT`` times the texts had that share.
+
+    The estimate climbs from the start that doubts each text with a vote against,
+    then from starts that pardon one more rule or set; it keeps the best.
+    """
+    rules = len(counted[0][0]) if counted else 0
+    groups = [(j,) for j in range(rules)] if groups is None else groups
+    beliefs = [BELIEF] * len(groups) if beliefs is None else beliefs
+    if not counted:
+        return Model(PRIOR, tuple({} for _ in groups), tuple(groups))
+    merged: dict[tuple, int] = {}
+    for votes, n in counted:
+        key = tuple(seen(votes, groups))
+        merged[key] = merged.get(key, 0) + n
+    told = list(merged.items())
+    total = sum(merged.values())
 
+    def climb(pardoned: frozenset) -> tuple[float, Model]:
+        doubts = [any(s and s not in pardoned for s in t) for t, _ in told]
+        return _climb(told, [0.1 if d else 0.95 for d in doubts], groups, beliefs, total)
 
-def posterior(votes, prior: float, weights) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(
-        weights[j][v > 0] for j, v in enumerate(votes) if v)
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+    # what can be pardoned at once: a set, or all sets that hold a rule
+    sets = {s for t, _ in told for s in t if s}
+    choices = {frozenset((s,)) for s in sets} | {
+        frozenset(s for s in sets if j in s) for j in range(rules)} - {frozenset()}
+    choices = sorted(choices, key=lambda c: sorted(sorted(s) for s in c))
+    pardoned, best = frozenset(), climb(frozenset())
+    while True:
+        tried = [(climb(pardoned | c), pardoned | c) for c in choices if not c <= pardoned]
+        better = max(tried, key=lambda x: x[0][0], default=None)
+        if better is None or better[0][0] <= best[0] + 1e-6 * total:
+            return best[1]
+        best, pardoned = better
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -149,11 +247,19 @@ def judge(measured: DataFrame) -> DataFrame:
     columns = [f"vote_{n}" for n in names]
     counted = [(tuple(r[c] for c in columns), r["n"])
                for r in voted.groupBy(*columns).agg(F.count("*").alias("n")).collect()]
-    prior, weights = estimate(sorted(counted), len(names))
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for c, (against, for_it) in zip(columns, weights, strict=True):
-        odds = odds + F.when(F.col(c) < 0, F.lit(against)).when(F.col(c) > 0, F.lit(for_it)) \
-            .otherwise(F.lit(0.0))
+    model = estimate(sorted(counted), [tuple(map(names.index, g)) for g in GROUPS],
+                     list(GROUPS.values()))
+    odds = F.lit(math.log(model.prior / (1 - model.prior)))
+    for group, weights in zip(model.groups, model.weights, strict=True):
+        own = [F.col(columns[j]) for j in group]
+        against = F.array_compact(F.array(*(F.when(c < 0, F.lit(j))
+                                            for c, j in zip(own, group, strict=True))))
+        evidence = F.when(F.lit(False), F.lit(0.0))
+        for s in sorted(weights, key=sorted):
+            opinion = F.lit(True) if s else reduce(lambda a, b: a | b, (c > 0 for c in own))
+            evidence = evidence.when((against == F.array(*map(F.lit, sorted(s))).cast("array<int>"))
+                                     & opinion, F.lit(weights[s]))
+        odds = odds + evidence.otherwise(F.lit(0.0))
     return voted.withColumn("probability", 1 / (1 + F.exp(-odds)))
 
 
