@@ -3,8 +3,12 @@
 A record's schema fingerprint is a hash of its nested field paths, without the
 types of their values.  A fingerprint selects one declarative mapping, which says
 where turns, roles and texts are: one record may be a whole conversation (lists of
-messages, prompt and answer, instruction with input) or one turn of it.  Records
-of an unknown layout are kept apart with their fingerprint (``unmapped``).
+messages, prompt and answer, instruction with input) or one turn of it.  A record
+whose fingerprint is unknown, because it has further fields, is fingerprinted again
+by the paths that a mapping needs and it has; of the mappings that fit, the one
+that needs most paths is taken, then the first.  Records of an unknown layout are
+kept apart with their fingerprint (``unmapped``).  Records are read and
+fingerprinted once, whatever the number of mappings.
 
 A turn is written as ``<s>[role]text</s>``.  Inside roles and texts a backslash
 and a letter stand for every backslash and every character that can begin or end
@@ -116,12 +120,30 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(shape, 256)
 
 
-def mapping_of(print_: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """The mapping's name, null for an unknown fingerprint."""
-    out = F.lit(None).cast("string")
-    for m in mappings:
-        out = F.when(print_.isin(m.fingerprints()), F.lit(m.name)).otherwise(out)
-    return out
+def _has(path: str) -> Column:
+    """Whether the record has the path; of a list, whether any of its elements has."""
+    top, _, field = path.partition("[].")
+    if not field:
+        return F.expr(f"try_variant_get(record, '$.{top}', 'variant')").isNotNull()
+    return F.coalesce(F.expr(
+        f"exists(try_variant_get(record, '$.{top}', 'array<variant>'), "
+        f"t -> try_variant_get(t, '$.{field}', 'variant') is not null)"), F.lit(False))
+
+
+def mapping_of(mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The name of the mapping of the variant ``record``, null for an unknown layout."""
+    print_ = fingerprint(F.col("record"))
+    whole = F.lit(None).cast("string")
+    for m in reversed(mappings):
+        whole = F.when(print_.isin(m.fingerprints()), F.lit(m.name)).otherwise(whole)
+    # looked up for records with further fields only
+    partly = F.lit(None).cast("string")
+    for m in sorted(reversed(mappings), key=lambda m: len(m.paths)):
+        needed = sorted(m.paths)
+        found = F.concat_ws(",", *(F.when(_has(p), F.lit(p)) for p in needed))
+        partly = F.when(F.sha2(found, 256) == _hashed(",".join(needed)),
+                        F.lit(m.name)).otherwise(partly)
+    return F.coalesce(whole, partly)
 
 
 # ------------------------------------------------------------------- turns
@@ -138,13 +160,12 @@ def _role(role: Column, m: Mapping) -> Column:
     return out
 
 
-def _mapped(records: DataFrame, m: Mapping) -> DataFrame:
-    key = [F.coalesce(_get(m.conversation, "string"), F.col("record_id").cast("string"))
-           .alias("conversation")]
+def _turns(m: Mapping) -> Column:
+    """The turns of a record of this layout, numbered."""
     if m.turn:
-        return records.select(*key, _get(m.turn, "long").alias("turn"),
-                              _role(_get(m.role), m).alias("role"),
-                              F.coalesce(_get(m.text), F.lit("")).alias("text"))
+        return F.array(F.struct(_get(m.turn, "long").alias("turn"),
+                                _role(_get(m.role), m).alias("role"),
+                                F.coalesce(_get(m.text), F.lit("")).alias("text")))
     parts = [F.array(*(F.struct(
         F.lit(role).alias("role"),
         F.when(F.coalesce(*(_get(p) for p in paths)).isNotNull(),
@@ -158,25 +179,27 @@ def _mapped(records: DataFrame, m: Mapping) -> DataFrame:
             f"coalesce(try_variant_get(t, '$.{m.text}', 'string'), '') as text))"))
     whole = F.concat(*(F.coalesce(x, F.expr("cast(array() as array<struct<role:string,"
                                             "text:string>>)")) for x in lists))
-    return (records.select(*key, F.posexplode(whole).alias("turn", "t"))
-            .select("conversation", F.col("turn").cast("long"),
-                    _role(F.col("t.role"), m).alias("role"), F.col("t.text").alias("text")))
+    return F.transform(whole, lambda t, i: F.struct(
+        i.cast("long").alias("turn"), _role(t["role"], m).alias("role"), t["text"].alias("text")))
 
 
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(conversation, turn, role, text) of records (record_id, record variant)."""
-    known = records.withColumn("layout", mapping_of(fingerprint(F.col("record")), mappings))
-    out = None
+    known = records.select("record_id", "record", mapping_of(mappings).alias("layout"))
+    conversation = turns = F.lit(None)
     for m in mappings:
-        own = _mapped(known.where(F.col("layout") == m.name), m)
-        out = own if out is None else out.unionByName(own)
-    return out
+        own = F.col("layout") == m.name
+        conversation = F.when(own, _get(m.conversation)).otherwise(conversation)
+        turns = F.when(own, _turns(m)).otherwise(turns)
+    return (known.select(
+        F.coalesce(conversation, F.col("record_id").cast("string")).alias("conversation"),
+        F.explode(turns).alias("t")).select("conversation", "t.turn", "t.role", "t.text"))
 
 
 def unmapped(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Records of unknown layouts, with their fingerprints."""
     return (records.withColumn("fingerprint", fingerprint(F.col("record")))
-            .where(mapping_of(F.col("fingerprint"), mappings).isNull()))
+            .where(mapping_of(mappings).isNull()))
 
 
 # ------------------------------------------------------------ marked text

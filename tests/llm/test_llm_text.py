@@ -115,6 +115,44 @@ def test_layouts(spark):
     assert {r["record_id"] for r in chat.unmapped(df).collect()} == {6, 7, 8}
 
 
+def test_further_fields_do_not_lose_a_record(spark):
+    records = [
+        ('{"messages": [{"role": "user", "content": "a", "name": "n"},'
+         ' {"role": "assistant", "content": "b"}], "source": "x"}',
+         [("user", "a"), ("assistant", "b")]),
+        ('{"prompt": "p", "completion": "c", "score": {"by": [1, 2]}}',
+         [("user", "p"), ("assistant", "c")]),
+        ('{"instruction": "i", "output": "o", "system": "s", "tag": null}',
+         [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        # two layouts fit: the first of those that need most
+        ('{"prompt": "p", "completion": "c", "question": "q", "answer": "a"}',
+         [("user", "p"), ("assistant", "c")]),
+        ('{"conv_id": "8", "turn": 3, "role": "user", "text": "t", "lang": "en"}', [("user", "t")]),
+        # what is needed is not there
+        ('{"prompt": "p", "answer": "a"}', []), ('{"messages": [{"role": "user"}], "x": 1}', []),
+        ('{"messages": "text", "x": 1}', []), (None, []),
+    ]
+    df = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(records)],
+                               "record_id long, j string").select(
+        "record_id", F.parse_json("j").alias("record"), F.lit("clash").alias("layout"),
+        F.lit("clash").alias("turn"))
+    got = collections.defaultdict(list)
+    for r in sorted(chat.canonical_turns(df).collect(), key=lambda r: r["turn"]):
+        got[int(r["conversation"])].append((r["role"], r["text"]))
+    want = {i: t for i, (_, t) in enumerate(records) if t}
+    want[8] = want.pop(4)
+    assert got == want
+    assert {r["record_id"] for r in chat.unmapped(df).collect()} == {5, 6, 7, 8}
+
+
+def test_records_are_read_once(spark, sf001):
+    records = table(spark, sf001, "conversations").select(
+        F.lit("").alias("record_id"),
+        F.to_variant_object(F.struct("conv_id", "turn", "role", "text")).alias("record"))
+    plan = chat.canonical_turns(records)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
 def test_chat_rows_with_nulls_and_ties(spark, tmpdir_path):
     rows = [(1, 0, "user", None), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, None, None, "n"),
             (None, 0, "assistant", "lost"), (2, 0, "assistant", "x" * 30_000)]
