@@ -1,10 +1,13 @@
 import collections
+import itertools
 import math
 import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
+import zstandard
 
 from immolens.llm import chat, decontaminate, langid, licenses, quality_rules, toxicity
 from immolens.llm.common import table
@@ -37,6 +40,43 @@ def test_language_of_odd_texts(spark, make_docs, odd_texts):
     assert kept.count() == langid.predict(docs, dicts).where("not rejected").count()
 
 
+def plain_language(dicts, text):
+    """Fresh compressors for each piece, letters one by one."""
+    low, gap = "", False
+    for c in (text or "").lower():
+        if c.isalpha():
+            low, gap = low + (" " if gap else "") + c, False
+        else:
+            gap = True
+    low = (" " if text and not text.lower()[0].isalpha() else "") + low + (" " if gap and low else "")
+    if not dicts or not low.strip():
+        return "und", 0.0, True
+    size = {}
+    for name, data in dicts.items():
+        raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        settings = zstandard.ZstdCompressionParameters(**langid.ENCODER)
+        size[name] = sum(
+            len(zstandard.ZstdCompressor(compression_params=settings, dict_data=raw).compress(
+                low[i:i + langid.PIECE_CHARS].encode())) for i in range(0, len(low), langid.PIECE_CHARS))
+    (least, best), (second, _) = sorted((n, k) for k, n in size.items())[:2]
+    margin = (second - least) / second
+    return best, min(1.0, margin / langid.FULL_MARGIN), margin < langid.MIN_MARGIN
+
+
+def test_language_equals_plain_compression(spark, sf001, make_docs, odd_texts):
+    docs = table(spark, sf001, "documents").select("doc_id", "text")
+    dicts = langid.train(langid.training_rows(table(spark, sf001, "documents")))
+    assert len(dicts) == 4 and all(dicts.values())
+    some = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    some += [(10_000, "Der Preis, 12 %!"), (10_001, "  the end"), (10_002, "x" * 4_500), (10_003, "é 1 à")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"])
+           for r in langid.predict(make_docs(some), dicts).collect()}
+    for key, text in some:
+        want = plain_language(dicts, text)
+        assert got[key][0] == want[0] and got[key][2] == want[2], key
+        assert math.isclose(got[key][1], want[1], abs_tol=1e-12), key
+
+
 def test_language_without_labels(make_docs, odd_texts):
     docs = make_docs(odd_texts).withColumn("lang", F.lit(None).cast("string"))
     dicts = langid.train(langid.training_rows(docs))
@@ -326,6 +366,67 @@ def test_toxic_documents_are_found(spark, make_docs, words):
     assert all((s >= 0.5) == bool(t) for s, t in held)
 
 
+def test_logits_equal_the_sum_over_pairs():
+    r = np.random.default_rng(3)
+    machine = toxicity.Machine(np.arange(12), r.uniform(0.1, 1, 12), -0.3, r.normal(size=12),
+                               r.normal(size=(12, toxicity.FACTORS)))
+    texts = [[], [4], [1, 7], list(range(12)), [], [0, 3, 5, 11]]
+    got = machine.logits(np.array(sum(texts, []), np.int64), np.cumsum([len(t) for t in texts]))
+    for t, logit in zip(texts, got, strict=True):
+        x, v = machine.values, machine.factors
+        want = machine.bias + sum(machine.weights[i] * x[i] for i in t) + sum(
+            x[i] * x[j] * sum(v[i][f] * v[j][f] for f in range(toxicity.FACTORS))
+            for i, j in itertools.combinations(t, 2))
+        assert math.isclose(logit, want, rel_tol=1e-9)
+
+
+def plain_sample(rows):
+    """(values of the sure buckets, values of those that tell beside a toxic one)."""
+    texts = [({b for w in re.findall("[^\x20\x09-\x0D]+", x) for b in toxicity.buckets(w)} - {-1}, t)
+             for x, t in rows]
+    n, k = len(texts), sum(t for _, t in texts)
+    width = toxicity.SURE_AT - toxicity.SURE_FROM
+    every = set().union(*(b for b, _ in texts))
+    sure = {}
+    for b in every:
+        nb, kb = sum(b in x for x, _ in texts), sum(t for x, t in texts if b in x)
+        spread = math.sqrt(nb * (1 - nb / n) * k * (n - k) / n / n) + 1e-9
+        value = ((abs(kb - nb * k / n) - 0.5) / spread - toxicity.SURE_FROM) / width
+        if nb >= toxicity.MIN_DOCS and value > 0:
+            sure[b] = (value, kb > nb * k / n)
+    strata = collections.defaultdict(list)
+    for x, t in texts:
+        bad = [(sure[b][0], b) for b in x if b in sure and sure[b][1]]
+        if bad:
+            strata[max(bad)[1]].append((x, t))
+    paired = {}
+    for b in every - sure.keys():
+        nb, off, spread = 0, 0.0, 0.0
+        for own in strata.values():
+            m, here, rate = len(own), sum(b in x for x, _ in own), sum(t for _, t in own) / len(own)
+            nb, off = nb + here, off + sum(t - rate for x, t in own if b in x)
+            spread += here * (1 - here / m) * rate * (1 - rate)
+        value = ((abs(off) - 0.5) / (math.sqrt(spread) + 1e-9) - toxicity.SURE_FROM) / width
+        if nb >= toxicity.MIN_DOCS and spread > 1e-6 and value > 0:
+            paired[b] = min(1.0, value)
+    return {b: min(1.0, v) for b, (v, _) in sure.items()}, paired
+
+
+def test_buckets_equal_plain_counts(spark, make_docs, words):
+    rows = []
+    for i in range(600):
+        own = {0: "snirt", 1: "grobble mulvane", 2: "grobble mulvane", 3: "snirt", 4: "grobble",
+               5: "mulvane", 6: "mulvane", 7: "mulvane", 8: "mulvane"}.get(i % 12, "")
+        rows.append((i, f"{words(20, i)} {own} {words(10, 900 + i)}", int(i % 12 < 4)))
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    learned, value, paired = toxicity.sample(make_docs([(i, x) for i, x, _ in rows]), labels)
+    sure, beside = plain_sample([(x, t) for _, x, t in rows])
+    assert len(learned) == 600 and sure and beside and paired == beside.keys()
+    assert value.keys() == sure.keys() | beside.keys()
+    assert all(math.isclose(value[b], v, rel_tol=1e-6, abs_tol=1e-9)
+               for b, v in (sure | beside).items())
+
+
 def test_machine_learns_a_pair():
     # either word alone is mostly harmless, both together are not
     r, rows = random.Random(1), []
