@@ -36,6 +36,15 @@ BASE = (
     ("cc-by-nc", "cc by nc", 0),
 )
 
+# Labels and the words of public SPDX identifiers.
+SPDX = (
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("gpl-3", "gpl 3 0"), ("gpl-2", "gpl 2 0"),
+    ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl-3", "agpl 3 0"), ("mpl-2", "mpl 2 0"),
+    ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("bsl-1", "bsl 1 0"),
+    ("cc0", "cc0 1 0"), ("cc-by", "cc by 4 0"), ("cc-by-sa", "cc by sa 4 0"),
+    ("cc-by-nc", "cc by nc 4 0"), ("unlicense", "unlicense"),
+)
+
 # Wording of public licence notices and the phrases that must stand in it.
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
@@ -54,7 +63,7 @@ TEMPLATES = (
     ("lgpl", "under the terms of the gnu lesser general public license",
      ("gnu lesser general public license",)),
     ("agpl-3", "under the terms of the gnu affero general public license version 3",
-     ("gnu affero general public license",)),
+     ("gnu affero general public license", "version 3")),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0",
      ("mozilla public license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are "
@@ -70,6 +79,21 @@ TEMPLATES = (
      ("creative commons cc0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain",
      ("free and unencumbered software", "public domain")),
+    ("gpl-3", "gnu general public license gpl version 3",
+     ("gnu general public license", "version 3")),
+    ("gpl-2", "gnu general public license gpl version 2",
+     ("gnu general public license", "version 2")),
+    ("gpl-3", "gnu general public license v3", ("gnu general public license v3",)),
+    ("gpl-2", "gnu general public license v2", ("gnu general public license v2",)),
+    ("agpl-3", "gnu affero general public license v3", ("gnu affero general public license v3",)),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or "
+     "without fee is hereby granted", ("permission to use copy modify and distribute", "hereby granted")),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining "
+     "a copy of the software and accompanying documentation covered by this license",
+     ("any person or organization obtaining a copy", "accompanying documentation")),
+    ("cc-by", "creative commons attribution 3 0 license", ("creative commons attribution", "license")),
+    *((label, f"spdx license identifier {identifier}", (f"spdx license identifier {identifier}",))
+      for label, identifier in SPDX),
 )
 
 # Words of the templates that say too little to be indexed.

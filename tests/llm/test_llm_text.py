@@ -518,12 +518,12 @@ def test_licences_of_files_with_many_index_words(make_docs):
     pairs = [(a, b) for a in notices for b in notices if a[1] != b[1]]
     stray = " ".join(licenses.index()[::-1])
     texts = [(i, f"{a}. some code. {b}") for i, ((_, a), (_, b)) in enumerate(pairs)]
-    texts += [(1_000 + i, f"{stray} code {text} code {stray}") for i, (_, text) in enumerate(notices)]
-    texts += [(2_000, " code. ".join(text for _, text in notices))]
+    texts += [(10_000 + i, f"{stray} code {text} code {stray}") for i, (_, text) in enumerate(notices)]
+    texts += [(20_000, " code. ".join(text for _, text in notices))]
     rows = {r["doc_id"]: r for r in licenses.scan(make_docs(texts)).collect()}
     want = {i: {a, b} for i, ((a, _), (b, _)) in enumerate(pairs)}
-    want |= {1_000 + i: {label} for i, (label, _) in enumerate(notices)}
-    want[2_000] = {label for label, _ in notices}
+    want |= {10_000 + i: {label} for i, (label, _) in enumerate(notices)}
+    want[20_000] = {label for label, _ in notices}
     assert {i: own - set(rows[i]["labels"].split(",")) for i, own in want.items()} == {
         i: set() for i in want}
     assert {r["score"] for r in rows.values()} == {1.0}
@@ -685,3 +685,29 @@ def test_classifiers_give_a_row_per_document(spark, sf001, name):
     from immolens.llm.queries import QUERIES
     rows = QUERIES[name](spark, sf001)
     assert rows.count() == table(spark, sf001, "documents").count()
+
+
+def test_other_wordings_of_licences(make_docs, words):
+    wordings = [
+        ("GNU General Public License (GPL), version 3", "gpl-3"),
+        ("the GNU General Public License v3 or later", "gpl-3"),
+        ("GNU General Public License (GPL) version 2.", "gpl-2"),
+        ("# SPDX-License-Identifier: GPL-3.0-only", "gpl-3"),
+        ("// SPDX-License-Identifier: Apache-2.0", "apache-2"),
+        ("/* SPDX-License-Identifier: BSD-3-Clause */", "bsd"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("a Creative Commons Attribution 3.0 license", "cc-by"),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or "
+         "without fee is hereby granted", "isc"),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a "
+         "copy of the software and accompanying documentation covered by this license", "bsl-1"),
+        ("the GNU Affero General Public License v3", "agpl-3"),
+        ("under the terms of the GNU Affero General Public License, version 3", "agpl-3"),
+        # other versions and other identifiers have no label
+        ("under the terms of the GNU Affero General Public License version 1", ""),
+        ("SPDX-License-Identifier: Zlib", ""),
+    ]
+    docs = make_docs([(i, f"{words(40, i)}\n{x}\n{words(30, 99 + i)}")
+                      for i, (x, _) in enumerate(wordings)])
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(wordings)}
