@@ -119,3 +119,28 @@ def test_running_counts(cube):
                   "get(x, i).before <> get(x, i-1).before + get(x, i-1).n) OR x[0].before <> 0"))
     assert v.count() > 500
     assert bad.where("size(x) > 1").count() == 0
+
+
+def test_values_of_wanted_slices_are_ranked_on_the_cluster(spark, tmpdir_path, monkeypatch):
+    """The same quantiles where the driver ranks no row itself, hot and odd values included."""
+    rows = [*some_rows(300, 8), *((i, p, 7.0, 2.0, True, False, False, False, False, "EU", "Lyon")
+                                  for i in range(40) for p in (2e5, 2e5 + i / 8, -0.0, float("nan")))]
+    cube = build(spark, tmpdir_path, rows)
+    monkeypatch.setattr("immolens.operators.cube.FEW", 0)
+    cell = cube.cell()
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = cube.quantiles([(cell, m) for m in ("prix", "surface", "pieces")], probs)
+    for m in ("prix", "surface", "pieces"):
+        assert str(got[cell, m]) == str(market.quantiles(cube.rows, m, probs))
+    same(cube.analysis_type_stats("Lyon"), market.analysis_type_stats(market.panel_filter(cube.rows, zone="Lyon")))
+
+
+def test_stored_rows_have_a_bound(spark, tmpdir_path):
+    """Ten times the listings in the same cells do not add as many rows to the cube."""
+    def stored(n):
+        rows = spark.range(n).selectExpr(
+            "id AS id_annonce", f"100000 + 150000 * id / {n} AS prix", "50D AS surface", "3D AS pieces",
+            "true AS type_bien_MAISON", "'EU' AS region", "'Lyon' AS city")
+        cube = PanelCube.build(rows, lambda _, make: make().localCheckpoint())
+        return cube.totals.count() + cube.slices.count()
+    assert stored(20_000) < 1.5 * stored(2_000) < 20_000
