@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
@@ -99,11 +101,20 @@ def impute_missing_values(df: DataFrame, strategy: str = "mean", columns=None) -
 
 def clean_listings(df: DataFrame, numeric_cols=("prix", "surface", "pieces"),
                    text_cols=("ville", "type_bien"), hash_cols=("agence",),
-                   id_col: str = "id_annonce") -> DataFrame:
+                   id_col: str = "id_annonce",
+                   store: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None
+                   ) -> DataFrame:
     """M2: rename -> select -> dedupe -> hash -> parse -> normalise -> impute.
-    The ordinals are those of a read snapshot, so no two rows share one."""
-    out = select_features(rename_columns(df))
-    out = manage_duplicates(out, id_col, unique=True)
+    The ordinals are those of a read snapshot, so no two rows share one.
+
+    Deduplication and imputation read their input twice.  ``store(name, make)``
+    writes a table and reads it back, so that what comes before (the title repair,
+    the join) is done once."""
+    def kept(name, out):
+        return store(name, lambda: out) if store else out
+
+    out = kept("selected", select_features(rename_columns(df)))
+    out = kept("first", manage_duplicates(out, id_col, unique=True))
     out = hash_contact_names(out, hash_cols)
     out = clean_numerical_columns(out, numeric_cols)
     out = normalize_text_columns(out, text_cols)

@@ -153,7 +153,8 @@ def _quality(spark, sf_dir):
 def _clean(spark, sf_dir):
     """The cleaned rows, written once per snapshot: what follows reads them
     several times."""
-    return stored(spark, "clean", sf_dir, lambda: clean.clean_listings(_quality(spark, sf_dir)))
+    return stored(spark, "clean", sf_dir, lambda: clean.clean_listings(
+        _quality(spark, sf_dir), store=_store(spark, sf_dir, "clean")))
 
 
 def _trimmed(spark, sf_dir):

@@ -91,3 +91,26 @@ def test_full_chain_without_pieces(spark):
     out = clean.clean_listings(_chain_input(spark, with_pieces=False))
     assert "pieces" not in out.columns
     assert out.where(F.col("id_annonce") == "id_1").first().ville == "PARIS"
+
+
+def test_what_precedes_deduplication_is_done_once(spark, tmpdir_path):
+    """With a store, the input is read once and the rows are those without one."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame(
+        [(1, 0, 10.0, None, " Paris "), (1, 1, 11.0, 5.0, "Lyon"), (2, 2, None, 7.0, "Lyon"), (None, 3, 3.0, 1.0, None)],
+        "id long, ordinal long, price double, surface double, city string")
+    counted = rows.mapInArrow(seen, rows.schema)
+
+    def store(name, make):
+        make().write.parquet(f"{tmpdir_path}/{name}")
+        return spark.read.parquet(f"{tmpdir_path}/{name}")
+
+    got = clean.clean_listings(counted, store=store)
+    assert sorted(map(str, got.collect())) == sorted(map(str, clean.clean_listings(rows).collect()))
+    assert reads.value == 4
