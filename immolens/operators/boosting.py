@@ -20,8 +20,10 @@ import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,14 +125,6 @@ def _margin(start: Column, trees: list, bins: Column) -> Column:
 
 
 # ---------------------------------------------------------------------- trees
-def _gradients(own: Settings, margin: Column) -> tuple[Column, Column]:
-    y = F.col(own.label).cast("double")
-    if own.loss == "squared":
-        return margin - y, F.lit(1.0)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
-    return p - y, p * (F.lit(1.0) - p)
-
-
 def _drawn(own: Settings, tree: int, key: str) -> Column:
     """Whether a row is drawn for a tree, by a digest of seed, tree and key."""
     text = F.concat_ws(":", F.lit(f"{own.seed}:{tree}"), F.coalesce(F.col(key).cast("string"), F.lit("")))
@@ -143,20 +137,116 @@ def _columns(own: Settings, tree: int, n: int) -> set[int]:
         own.columns * n))))
 
 
-def _sums(rows: DataFrame, growing: dict[str, tuple[Column, Column, Column, Column]]) -> dict:
-    """{(model, node): (G, H) by feature and bin} of the rows in open nodes."""
-    parts = F.array(*[F.when(drawn & (node >= 0), F.struct(
-        F.lit(name).alias("model"), node.cast("int").alias("node"), g.alias("g"), h.alias("h")))
-        for name, (node, drawn, g, h) in growing.items()])
-    long = (rows.select("b", F.explode(F.array_compact(parts)).alias("x"))
-            .select("x.*", F.posexplode("b").alias("feature", "bin")))
-    got = (long.groupBy("model", "node", "feature", "bin")
-           .agg(F.sum(exact("g")).cast("double").alias("g"), F.sum(exact("h")).cast("double").alias("h"))
-           .toArrow().to_pydict())
+PART = float(1 << 32)       # a sum of decimals is kept as a high and a low whole number
+SUMS = "model int, node int, feature int, bin int, g_high double, g_low double, h_high double, h_low double"
+
+
+def _bins(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    return np.asarray(batch.column("b").flatten()).reshape(batch.num_rows, n)
+
+
+def _leaves(b: np.ndarray, nodes: list[tuple[int, int, float]]) -> np.ndarray:
+    """The node of a tree that each row of bins comes to."""
+    feature, cut = (np.array([x[k] for x in nodes], np.int64) for k in (0, 1))
+    at, every = np.zeros(len(b), np.int64), np.arange(len(b))
+    for _ in range(len(nodes).bit_length()):
+        f = feature[at]
+        left = b[every, np.maximum(f, 0)] <= cut[at]
+        at = np.where(f >= 0, 2 * at + np.where(left, 1, 2), at)
+    return at
+
+
+def _raised(margin: np.ndarray, b: np.ndarray, trees: list) -> np.ndarray:
+    for nodes in trees:
+        margin = margin + np.array([v for _, _, v in nodes])[_leaves(b, nodes)]
+    return margin
+
+
+def _with_margins(rows: DataFrame, trees: dict[str, list], n: int) -> DataFrame:
+    """The rows with their margins after further trees of each model."""
+    schema = rows.schema
+
+    def raised(batches):
+        for batch in batches:
+            b = _bins(batch, n)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(_raised(batch.column(c).to_numpy(), b, trees[c[2:]])) if c[2:] in trees
+                and c.startswith("m_") else batch.column(c) for c in schema.names], schema.names)
+    return rows.mapInArrow(raised, schema)
+
+
+def _exact_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as whole ten-billionths, high and low part; what no decimal holds is 0."""
+    held = np.where(np.abs(x) < 1e28, x, 0.0)
+    whole = np.rint(held.astype(np.longdouble) * 10 ** 10)
+    high = np.floor(whole / PART)
+    return high.astype(np.float64), (whole - high * PART).astype(np.float64)
+
+
+def _sums(rows: DataFrame, growing: dict[str, tuple[Settings, Column, list, set[int]]],
+          since: dict[str, list], width: list[int]) -> dict:
+    """{(model, node): (G, H) by feature and bin} of the rows in open nodes; ``growing`` has
+    a model's settings, whether a row is drawn, its tree and the tree's open nodes, ``since``
+    the trees that the rows' margins lack.
+
+    A task adds up its rows by node and bin in arrays; what comes out of it is at most
+    models x nodes x features x bins rows, whatever the number of rows."""
+    names, plain = list(growing), []
+    columns = ["b"]
+    for i, (own, drawn, nodes, open_) in enumerate(growing.values()):
+        columns += [drawn.alias(f"drawn_{i}"), F.col(own.label).cast("double").alias(f"y_{i}"),
+                    F.col(f"m_{names[i]}").alias(f"m_{i}")]
+        padded = nodes + [(-1, 0, 0.0)] * (max(open_) + 1 - len(nodes))
+        plain.append((own.loss, padded, np.isin(np.arange(len(padded)), list(open_)), since[names[i]]))
+    start = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
+    feature, bins = np.repeat(np.arange(len(width)), width), int(start[-1])
+
+    def added(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            every = _bins(batch, len(width)).astype(np.int64)
+            for i, (loss, tree, wanted, trees) in enumerate(plain):
+                drawn = batch.column(f"drawn_{i}").to_numpy(zero_copy_only=False).astype(bool)
+                at = _leaves(every, tree)
+                mine = np.flatnonzero(drawn & wanted[at])
+                if not len(mine):
+                    continue
+                b = every[mine]
+                y = batch.column(f"y_{i}").to_numpy(zero_copy_only=False)[mine]
+                margin = _raised(batch.column(f"m_{i}").to_numpy()[mine], b, trees)
+                if loss == "squared":
+                    g, h = margin - y, np.ones(len(mine))
+                else:
+                    p = 1.0 / (1.0 + np.exp(-margin))
+                    g, h = p - y, p * (1.0 - p)
+                nodes, place = np.unique(at[mine], return_inverse=True)
+                index, size = (place[:, None] * bins + b + start[:-1]).ravel(), len(nodes) * bins
+                new = np.stack([np.bincount(index, minlength=size).astype(np.float64),
+                                *[np.bincount(index, np.repeat(x, len(width)), size)
+                                  for v in (g, h) for x in _exact_parts(v)]])
+                for k, n in enumerate(nodes):
+                    part = new[:, k * bins:(k + 1) * bins] + sums.get((i, int(n)), 0.0)
+                    for low in (2, 4):          # the low part stays below a whole high one
+                        carry = np.floor(part[low] / PART)
+                        part[low - 1] += carry
+                        part[low] -= carry * PART
+                    sums[i, int(n)] = part
+        for (i, n), own in sums.items():
+            there = np.flatnonzero(own[0])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(there), i, np.int32)), pa.array(np.full(len(there), n, np.int32)),
+                pa.array(feature[there].astype(np.int32)),
+                pa.array((there - start[feature[there]]).astype(np.int32)),
+                *[pa.array(x[there]) for x in own[1:]]],
+                ["model", "node", "feature", "bin", "g_high", "g_low", "h_high", "h_low"])
+
+    sums = ["g_high", "g_low", "h_high", "h_low"]
+    got = (rows.select(*columns).mapInArrow(added, SUMS).groupBy("model", "node", "feature", "bin")
+           .agg(*[F.sum(c).alias(c) for c in sums]).toArrow().to_pydict())
     out: dict = {}
-    for m, n, f, b, g, h in zip(*(got[c] for c in ("model", "node", "feature", "bin", "g", "h")),
-                                strict=True):
-        out.setdefault((m, n), []).append((f, b, g, h))
+    for m, n, f, b, *parts in zip(*(got[c] for c in ("model", "node", "feature", "bin", *sums)), strict=True):
+        g, h = (float(Fraction(int(parts[k]) * int(PART) + int(parts[k + 1]), 10 ** 10)) for k in (0, 2))
+        out.setdefault((names[m], n), []).append((f, b, g, h))
     return out
 
 
@@ -203,6 +293,7 @@ def fit(df: DataFrame, features: list[str], models: dict[str, Settings], key: st
             max(mean, 1e-6) / max(1 - mean, 1e-6))
         out[name] = Boosted(own, list(features), cuts, base, [], [0.0] * len(features))
     rows = rows.withColumns({f"m_{n}": F.lit(m.base) for n, m in out.items()})
+    since: dict[str, list] = {n: [] for n in models}
     for tree in range(max(s.trees for s in models.values())):
         grown: dict[str, list] = {n: [(-1, 0, 0.0)] for n, s in models.items()
                                   if tree < s.trees and means[s.label] is not None}
@@ -212,13 +303,11 @@ def fit(df: DataFrame, features: list[str], models: dict[str, Settings], key: st
             for n in grown:
                 if not open_[n]:
                     continue
-                margin = F.col(f"m_{n}")
-                place = _place(grown[n], open_[n])
-                growing[n] = (place, _drawn(models[n], tree, key) & F.col(models[n].label).isNotNull(),
-                              *_gradients(models[n], margin))
+                drawn = _drawn(models[n], tree, key) & F.col(models[n].label).isNotNull()
+                growing[n] = (models[n], drawn, grown[n], open_[n])
             if not growing:
                 break
-            found = _sums(rows, growing)
+            found = _sums(rows, growing, since, width)
             for n in growing:
                 own, nodes, after = models[n], grown[n], set()
                 nodes.extend([(-1, 0, 0.0)] * ((1 << level + 1) - 1 - len(nodes)))
@@ -234,23 +323,14 @@ def fit(df: DataFrame, features: list[str], models: dict[str, Settings], key: st
                 open_[n] = after
         for n, nodes in grown.items():
             out[n].trees.append(nodes)
-        rows = rows.withColumns({f"m_{n}": _margin(F.col(f"m_{n}"), [nodes], F.col("b"))
-                                 for n, nodes in grown.items()})
+            since[n].append(nodes)
         if (tree + 1) % CUT_EVERY == 0:
-            rows = store(f"boosting-{tree}", lambda rows=rows: rows)
+            rows = store(f"boosting-{tree}", lambda rows=rows, since=since: _with_margins(
+                rows, since, len(features)))
+            since = {n: [] for n in models}
     return out
 
 
-def _place(nodes: list, open_: set[int]) -> Column:
-    """The open node that a row is in, -1 if it has come to a leaf."""
-    if open_ == {0}:
-        return F.lit(0)
-    whole = max(open_) + 1
-    marked = nodes + [(-1, 0, 0.0)] * (whole - len(nodes))
-    marked = [(f, b, float(i) if i in open_ else -1.0) for i, (f, b, _) in enumerate(marked)]
-    return _margin(F.lit(0.0), [marked], F.col("b"))
-
-
 # ---------------------------------------------------------------------- models
 def price_settings(trees: tuple[int, int, int] = (200, 300, 200), **given) -> dict[str, Settings]:
     """M9, M10, M12 with their fixed settings; ``given`` replaces some in all."""

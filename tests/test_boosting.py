@@ -109,3 +109,25 @@ def test_no_rows_and_no_labels(spark, homes, store):
     only = boosting.fit(blank.where("prix IS NOT NULL"), NAMES, {"m": half.settings}, "id_annonce", store,
                         bins=4)["m"]
     assert half.base == only.base and len(half.trees) == 1
+
+
+def test_sums_of_open_nodes(spark, homes):
+    """Sums by node and bin, after trees that the stored margins lack; nulls and values
+    beyond the decimals count as no gradient, on any layout."""
+    r = random.Random(2)
+    rows = [(i, [r.randint(0, 2), r.randint(0, 1)], r.choice([1.5, -2.25, 7e5, float("nan"), 1e30]),
+             0.125, r.random() < .8) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, b array<int>, y double, m_x double, drawn boolean")
+    before, tree = [(1, 0, 0.0), (-1, 0, 0.5), (-1, 0, -0.25)], [(0, 1, 0.0)]
+    asked = {"x": (Settings("y"), F.col("drawn"), tree, {1, 2})}
+    got = [boosting._sums(d, asked, {"x": [before]}, [3, 2]) for d in (df.coalesce(1), df.repartition(7))]
+    assert {k: sorted(v) for k, v in got[0].items()} == {k: sorted(v) for k, v in got[1].items()}
+    want = {}
+    for _, b, y, m, drawn in rows:
+        if drawn:
+            g = m + (0.5 if b[1] <= 0 else -0.25) - y
+            for f in (0, 1):
+                own = want.setdefault((1 if b[0] <= 1 else 2, f, b[f]), [0.0, 0.0])
+                own[0] += g if abs(g) < 1e28 else 0.0
+                own[1] += 1.0
+    assert {(n, f, b): [g, h] for (_, n), own in got[0].items() for f, b, g, h in own} == want
