@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 SURFACE_PATTERN = rf"(\d+){BLANK}*m[²2]"
 ROOMS_PATTERN = rf"(\d+){BLANK}*pièce"
-EDGES = rf"^{BLANK}+|{BLANK}+$"
+BLANKS = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                           *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ROOMS_T_PATTERN = r"[tT](\d+)"
 # (keyword regex on the lower-cased title, type) in the order they are tried;
 # a later match overrides an earlier one.
@@ -29,15 +30,16 @@ def _c(col) -> Column:
 def strip_upper(col) -> Column:
     """Strip surrounding whitespace (any Unicode space) and upper-case.
 
-    ``trim`` only removes ASCII spaces, hence the regex.  Null stays null.
+    ``trim`` alone only removes ASCII spaces, hence the list of blanks; a pattern
+    would be tried at every character.  Null stays null.
     """
-    return F.upper(F.regexp_replace(_c(col), EDGES, ""))
+    return F.upper(F.btrim(_c(col), F.lit(BLANKS)))
 
 
 def is_blank(col) -> Column:
     """True when null or empty after stripping whitespace."""
     c = _c(col)
-    return c.isNull() | (F.regexp_replace(c, EDGES, "") == "")
+    return c.isNull() | (F.btrim(c, F.lit(BLANKS)) == "")
 
 
 def first_number(col, pattern: str) -> Column:

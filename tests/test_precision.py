@@ -221,3 +221,10 @@ def test_projections_start_from_the_untruncated_price(spark):
     assert rows[2].current_estimated_price == 100001 and rows[2].price_per_sqm == 2000
     assert rows[2].price_3 == int(100001.9 * 1.035 ** 2) == 107124
     assert rows[1].price_per_sqm is None and rows[1].confidence is None
+
+
+def test_blanks_are_removed_without_a_pattern(spark):
+    """A pattern is tried at every character of every text."""
+    df = spark.createDataFrame([("a",)], "c string").select(text.is_blank("c"), text.strip_upper("c"))
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in df._jdf.queryExecution().analyzed().toString().lower()
