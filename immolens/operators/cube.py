@@ -5,7 +5,7 @@ type, a city and a room bucket (analysis), each of them or none.  Two tables
 are stored for all cells that have a listing:
 
 * ``totals`` – rows, mean, least and greatest price of a cell;
-* ``slices`` – of each measure's ordered slices (``stats.value_slice``) that a
+* ``slices`` – of each measure's ordered slices (``wide_slice``) that a
   cell has values in: how many there are, how many come before, the least and
   the greatest one.
 
@@ -44,9 +44,8 @@ from immolens.operators.stats import interpolate, value_slice
 DIMENSIONS = ("type", "region", "city", "rooms")
 PRICES = ("prix", "prix_m2")
 MEASURES = (*PRICES, "surface", "pieces")      # input ranges are those of all listings
-# A cell's slices are 2^7 of ``value_slice``'s, 32 to an octave; rows of wanted slices
-# that the driver ranks.
-SLICE_BITS = 7
+# A cell's slices to an octave; rows of wanted slices that the driver ranks.
+OCTAVE_SLICES = 32
 FEW = 1 << 17
 
 Cell = tuple[str | None, str | None, str | None, str | None]
@@ -107,23 +106,31 @@ def totals_of(rows: DataFrame) -> DataFrame:
 
 def _long(rows: DataFrame) -> DataFrame:
     """(attributes, measure, value) of each row; surfaces and rooms are counted for all
-    listings only, so they have no attributes."""
-    items = F.array_compact(F.array(*[F.when(F.col(m).isNotNull(), F.struct(
-        F.lit(m).alias("measure"), F.col(m).alias("value"))) for m in MEASURES]))
+    listings only, so they have no attributes.
+
+    Nulls are left out after the generator: functions on arrays before it would be
+    interpreted for each row, and again for the filter that Catalyst infers from them."""
+    items = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in MEASURES])
     price = F.col("x.measure").isin(*PRICES)
     return (_measured(rows).select(*DIMENSIONS, F.explode(items).alias("x"))
+            .where(F.col("x.value").isNotNull())
             .select(*[F.when(price, F.col(d)).alias(d) for d in DIMENSIONS], "x.measure", "x.value"))
 
 
-def _wide_slice(value: Column) -> Column:
-    return F.shiftright(value_slice(value), SLICE_BITS)
+def wide_slice(v: Column) -> Column:
+    """A long that never falls when the double ``v`` rises (NaN comes last): equal
+    steps of the logarithm, which is all that is computed for each value."""
+    steps = F.least(F.log2(F.abs(v)), F.lit(1024.0)) * OCTAVE_SLICES
+    place = F.floor(steps) + F.lit(1075 * OCTAVE_SLICES)
+    return (F.when(F.isnan(v), F.lit(1 << 24)).when(v == 0, F.lit(0))
+            .when(v < 0, -place).otherwise(place).cast("long"))
 
 
 def slices_of(rows: DataFrame) -> DataFrame:
     """(cell, measure, slice, n, before, total, least, most)."""
     keys = [*DIMENSIONS, "measure"]
     least, most = F.min("least").alias("least"), F.max("most").alias("most")
-    own = (_long(rows).withColumn("slice", _wide_slice(F.col("value"))).groupBy(*keys, "slice")
+    own = (_long(rows).withColumn("slice", wide_slice(F.col("value"))).groupBy(*keys, "slice")
            .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most")))
     cells = _in_cells(own).groupBy(*keys, "slice").agg(F.sum("n").alias("n"), least, most)
     whole = Window.partitionBy(*keys)
@@ -140,7 +147,7 @@ def values_of(rows: DataFrame) -> DataFrame:
     keys = [*DIMENSIONS, "measure"]
     own = _long(rows).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     counts = (_in_cells(own).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-              .withColumn("slice", _wide_slice(F.col("value"))))
+              .withColumn("slice", wide_slice(F.col("value"))))
     upto = F.sum("n").over(Window.partitionBy(*keys, "slice").orderBy("value")
                            .rowsBetween(Window.unboundedPreceding, 0))
     same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}"))
@@ -245,10 +252,11 @@ class PanelCube:
         these slices; else finer slices are counted first, and values inside of those."""
         hits = _measured(self.rows).where(reduce(lambda a, b: a | b, [
             F.col(m).between(s["least"], s["most"]) for _, m, s, _ in asked]))
-        hits = hits.select(F.explode(F.array_compact(F.array(*[
+        hits = hits.select(F.explode(F.array(*[
             F.when(self._mine(c) & F.col(m).between(s["least"], s["most"]),
                    F.struct(F.lit(i).alias("i"), F.col(m).alias("v")))
-            for i, (c, m, s, _) in enumerate(asked)]))).alias("x")).select("x.i", "x.v")
+            for i, (c, m, s, _) in enumerate(asked)])).alias("x")) \
+            .where(F.col("x").isNotNull()).select("x.i", "x.v")
         if sum(s["n"] for _, _, s, _ in asked) <= FEW:
             own: dict[int, list[float]] = {}
             for i, v in hits.collect():

@@ -46,7 +46,8 @@ def quantile_table(df: DataFrame, measures: list[tuple[Column, Column | None]],
     items = [F.when((c if c is not None else F.lit(True)) & v.isNotNull(),
                     F.struct(F.lit(i).alias("m"), v.cast("double").alias("v")))
              for i, (v, c) in enumerate(measures)]
-    counts = (df.select(F.explode(F.array_compact(F.array(*items))).alias("x"))
+    # nulls are left out after the generator, as ``cube._long`` does it
+    counts = (df.select(F.explode(F.array(*items)).alias("x")).where(F.col("x").isNotNull())
               .select(F.col("x.m").alias("m"), F.col("x.v").alias("v"))
               .groupBy("m", "v").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("s", value_slice(F.col("v"))))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from immolens.operators import market
-from immolens.operators.cube import PanelCube
+from immolens.operators.cube import PanelCube, slices_of, wide_slice
 
 MARKET = ("id_annonce long, prix double, surface double, pieces double, "
           "type_bien_APPARTEMENT boolean, type_bien_MAISON boolean, type_bien_TERRAIN boolean, "
@@ -144,3 +144,24 @@ def test_stored_rows_have_a_bound(spark, tmpdir_path):
         cube = PanelCube.build(rows, lambda _, make: make().localCheckpoint())
         return cube.totals.count() + cube.slices.count()
     assert stored(20_000) < 1.5 * stored(2_000) < 20_000
+
+
+def test_wide_slices_rise_with_the_values(spark):
+    r = random.Random(3)
+    odd = [0.0, -0.0, 5e-324, 1e-310, 2.0 ** -1022, 1.0, 2.0 ** 52, 1.7976931348623157e308,
+           float("inf"), *(2.0 ** k * (1 + e) for k in (-3, 0, 17) for e in (-2.0 ** -53, 0, 2.0 ** -52)),
+           *(10 ** r.uniform(-300, 300) for _ in range(300)), *(r.uniform(1, 500_000) for _ in range(300))]
+    rows = spark.createDataFrame([(x,) for v in odd for x in (v, -v)] + [(float("nan"),)], "v double")
+    got = [tuple(x) for x in rows.select("v", wide_slice(F.col("v"))).collect()]
+    slices = [s for _, s in sorted((x for x in got if x[0] == x[0]))]
+    assert slices == sorted(slices) and [s for v, s in got if v != v][0] > slices[-1]
+    octave = spark.range(1024).select(wide_slice(1 + F.col("id") / 1024).alias("s"))
+    assert octave.distinct().count() == 32
+
+
+def test_listings_are_counted_without_interpreted_functions(spark, cube):
+    """Functions on arrays before the generator are evaluated row by row without
+    generated code, and once more in the filter that Catalyst infers from them."""
+    plan = slices_of(cube.rows)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode(array(struct("):]
+    assert "lambda" not in below and "size(" not in below
