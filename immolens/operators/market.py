@@ -436,14 +436,13 @@ def scoring_options(df: DataFrame, raw: DataFrame, k: int = FREQUENT_CITIES,
               .select(F.lit("cities").alias("list"), F.posexplode("all").alias("position", "value"))
               .withColumn("position", F.col("position") + 1))
     ranges = ranges if ranges is not None else input_ranges(df)
-    limits = ranges.select(F.inline(F.array(*[
-        F.struct(F.lit("ranges").alias("list"), F.lit(i + 1).alias("position"),
-                 F.concat(F.lit(f"{c}="), F.col(c).cast("string")).alias("value"))
-        for i, c in enumerate(ranges.columns)])))
-    types = raw.sparkSession.createDataFrame(
-        [("types", i + 1, t) for i, t in enumerate(PROPERTY_TYPES[1:])],
-        "list string, position int, value string")
-    return types.unionByName(labels).unionByName(limits)
+    offered = [("types", i + 1, F.lit(t)) for i, t in enumerate(PROPERTY_TYPES[1:])]
+    offered += [("ranges", i + 1, F.concat(F.lit(f"{c}="), F.col(c).cast("string")))
+                for i, c in enumerate(ranges.columns)]
+    fixed = ranges.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("list"), F.lit(i).alias("position"), value.alias("value"))
+        for name, i, value in offered])))
+    return fixed.unionByName(labels)
 
 
 RANGES = "surface_min long, surface_max long, pieces_min long, pieces_max long"

@@ -112,3 +112,17 @@ def test_city_map_with_town_table(spark):
     assert out["Lyon"].price_m2 == 2000 and not out["Lyon"].active
     assert out["Paris"].price == "10 000" and out["Lyon"].trend == "4 annonces"
     assert out["Paris"].lat == 48.8566
+
+
+def test_scoring_options_are_made_without_python_rows(spark):
+    """Fixed rows are literals of the plan, not rows that Python tasks hand over."""
+    raw = spark.range(4).selectExpr("id AS ordinal", "'Lyon' AS city", "'69000' AS zipcode")
+    ranges = spark.range(1).selectExpr("5L AS surface_min", "500L AS surface_max", "1L AS pieces_min",
+                                       "9L AS pieces_max")
+    out = market.scoring_options(raw, raw, ranges=ranges)
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(tuple(r) for r in out.collect())
+    assert rows[0] == ("cities", 1, "Lyon, 69000")
+    assert [r[2] for r in rows if r[0] == "types"] == market.PROPERTY_TYPES[1:]
+    assert [r[2] for r in rows if r[0] == "ranges"] == [
+        "surface_min=5", "surface_max=500", "pieces_min=1", "pieces_max=9"]
