@@ -44,6 +44,9 @@ from immolens.operators.stats import interpolate, value_slice
 DIMENSIONS = ("type", "region", "city", "rooms")
 PRICES = ("prix", "prix_m2")
 MEASURES = (*PRICES, "surface", "pieces")      # input ranges are those of all listings
+# The attributes that cells are made by: a type or none, and a place or none.
+PLACES = ((), ("region",), ("city",), ("rooms",), ("city", "rooms"))
+CELLS = (*PLACES, *(("type", *by) for by in PLACES))
 # A cell's slices to an octave; rows of wanted slices that the driver ranks.
 OCTAVE_SLICES = 32
 FEW = 1 << 17
@@ -52,13 +55,6 @@ Cell = tuple[str | None, str | None, str | None, str | None]
 
 
 # --------------------------------------------------------------------- build
-def _choices(name: str) -> Column:
-    """No filter on a dimension, or the row's own value if it has one."""
-    none = F.array(F.lit(None).cast("string"))
-    return F.when(F.col(name).isNotNull(), F.array(F.lit(None).cast("string"), F.col(name))) \
-        .otherwise(none)
-
-
 def _measured(rows: DataFrame) -> DataFrame:
     """Each row's own attributes, those that panels filter by, and its measures.
 
@@ -79,18 +75,19 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 
 def _in_cells(own: DataFrame) -> DataFrame:
-    """Each row of own attributes once per cell that it is in."""
+    """Each row of own attributes once per cell that it is in.
+
+    Every row gives all the choices of ``CELLS``; those by an attribute that it lacks go
+    after the generator.  From an array whose size depends on the row Catalyst infers a
+    filter, which it pushes below the aggregate that made ``own``: each listing would
+    then form its cells only to be counted."""
     rest = [c for c in own.columns if c not in DIMENSIONS]
     nothing = F.lit(None).cast("string")
-    by_region = F.transform(_choices("region"), lambda r: F.struct(
-        r.alias("region"), nothing.alias("city"), nothing.alias("rooms")))
-    by_place = F.flatten(F.transform(_choices("city"), lambda c: F.transform(
-        _choices("rooms"), lambda b: F.struct(nothing.alias("region"), c.alias("city"),
-                                              b.alias("rooms")))))
-    return (own.withColumn("_places", F.array_distinct(F.concat(by_region, by_place)))
-            .select(F.explode(_choices("type")).alias("type"), "_places", *rest)
-            .select("type", F.explode("_places").alias("p"), *rest)
-            .select("type", "p.region", "p.city", "p.rooms", *rest))
+    cells = F.array(*[F.struct(
+        reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in by], F.lit(True)).alias("_there"),
+        *[(F.col(d) if d in by else nothing).alias(d) for d in DIMENSIONS]) for by in CELLS])
+    return (own.select(F.explode(cells).alias("_cell"), *rest).where("_cell._there")
+            .select(*[F.col(f"_cell.{d}").alias(d) for d in DIMENSIONS], *rest))
 
 
 def totals_of(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from immolens.operators import market
-from immolens.operators.cube import PanelCube, slices_of, wide_slice
+from immolens.operators.cube import DIMENSIONS, PanelCube, slices_of, totals_of, wide_slice
 
 MARKET = ("id_annonce long, prix double, surface double, pieces double, "
           "type_bien_APPARTEMENT boolean, type_bien_MAISON boolean, type_bien_TERRAIN boolean, "
@@ -165,3 +165,19 @@ def test_listings_are_counted_without_interpreted_functions(spark, cube):
     plan = slices_of(cube.rows)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Generate explode(array(struct("):]
     assert "lambda" not in below and "size(" not in below
+
+
+def test_cells_are_formed_of_counts_alone(spark):
+    """No row forms its cells, or a filter on them, before it is counted."""
+    made = spark.createDataFrame(
+        [(1.0, 2.0, 3.0, True, "R", "C"), (2.0, 2.0, None, False, None, "C"), (3.0, 1.0, 1.0, True, "R", None)],
+        "prix double, surface double, pieces double, type_bien_MAISON boolean, region string, city string")
+    for table in (totals_of(made), slices_of(made)):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(" not in plan and "transform(" not in plan
+    found = {tuple(r[d] for d in DIMENSIONS): r["n"] for r in totals_of(made).collect()}
+    names = [r[0] for r in made.orderBy("prix").select(market.room_bucket("pieces")).collect()]
+    assert found[None, None, None, None] == 3 and found["Maison", None, None, None] == 2
+    assert found[None, "R", None, None] == 2 and found["Maison", "R", None, None] == 2
+    assert found[None, None, "C", None] == 2 and found["Maison", None, "C", names[0]] == 1
+    assert found[None, None, None, names[2]] == 1 and (None, "R", "C", None) not in found
