@@ -37,14 +37,17 @@ def strip_upper(col) -> Column:
 
 
 def is_blank(col) -> Column:
-    """True when null or empty after stripping whitespace."""
+    """True when null or empty after stripping whitespace, which ends at the first
+    character that is none."""
     c = _c(col)
-    return c.isNull() | (F.btrim(c, F.lit(BLANKS)) == "")
+    return c.isNull() | (F.ltrim(c, F.lit(BLANKS)) == "")
 
 
 def first_number(col, pattern: str) -> Column:
-    """First capture group of ``pattern`` as a double; null when absent."""
-    return F.nullif(F.regexp_extract(_c(col), pattern, 1), F.lit("")).try_cast("double")
+    """First capture group of ``pattern`` as a double; null when absent.
+
+    The cast makes a null of the empty text; ``nullif`` would match twice."""
+    return F.regexp_extract(_c(col), pattern, 1).try_cast("double")
 
 
 def surface_from_title(title) -> Column:

@@ -228,3 +228,12 @@ def test_blanks_are_removed_without_a_pattern(spark):
     df = spark.createDataFrame([("a",)], "c string").select(text.is_blank("c"), text.strip_upper("c"))
     assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp" not in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_title_patterns_are_matched_once(spark):
+    df = spark.createDataFrame([("Maison 4 pièces 90 m²",), ("T3 sans",), ("m2",), ("",), (None,)], "t string")
+    out = df.select(text.surface_from_title("t").alias("s"), text.rooms_from_title("t").alias("r"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 3
+    assert [tuple(r) for r in out.collect()] == [(90.0, 4.0), (None, 3.0), (None, None), (None, None), (None, None)]
+    blanks = spark.createDataFrame([("\u00a0 ",), (" a ",), ("",), (None,), ("\u2003a",)], "t string")
+    assert [r[0] for r in blanks.select(text.is_blank("t")).collect()] == [True, False, True, True, False]
