@@ -1,14 +1,16 @@
 """Second-order gradient boosting on binned features.
 
-Features are cut into bins at exact quantiles once.  A level of a tree is one
-grouped aggregate: the sums of gradients and Hessians by (model, node, feature,
+Features are cut into bins at exact quantiles once.  Rows that share all bins are one
+cell, and trees are grown over cells (``operators/cells``), whose number the bins
+bound.  With more cells than that module holds, a level of a tree is one grouped
+aggregate over the rows: the sums of gradients and Hessians by (model, node, feature,
 bin), combined map-side, whatever the number of rows.  At most models x nodes x
-features x bins sums come to the driver, which takes the best split of each node
+features x bins sums come to the driver then, which takes the best split of each node
 from them; rows never do.  Several models that share rows and features (price,
-log price, above the median) grow side by side in the same aggregates.
+log price, above the median) grow side by side.
 
-Sums are decimals, so a tree does not depend on how rows are partitioned.  Rows
-and columns of a tree are drawn by a digest of the seed.  Leaves are shrunk by
+Sums are exact, so a tree does not depend on how rows are partitioned.  Rows and
+columns of a tree are drawn by a hash of the seed.  Leaves are shrunk by
 ``l2`` and the learning rate; the gain of every split is kept, and its shares are
 the features' importance (M14).
 """
@@ -18,20 +20,27 @@ from __future__ import annotations
 import json
 import math
 import random
+import sys
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from immolens.functions.numeric import exact
+from immolens.operators import cells
+from immolens.operators.models import together
 from immolens.operators.stats import quantile_table
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need no copy of it
 BINS = 32
 CUT_EVERY = 2               # trees after which the rows' predictions are written
+HELD_ROWS = 1 << 18         # rows that a task predicts at once
 NODES = "array<struct<feature:int,bin:int,value:double>>"
 Store = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
@@ -67,11 +76,36 @@ class Boosted:
         return _margin(F.lit(self.base), self.trees, binned(self.features, self.cuts))
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        """Add the prediction: a value, or 0 / 1 by a probability above a half."""
-        out = self.margin()
-        if self.settings.loss == "logistic":
-            out = (out > 0).cast("double")
-        return df.withColumn(name, out)
+        """Add the prediction: a value, or 0 / 1 by a probability above a half.
+
+        Tasks go through the trees once for all rows at hand that share their bins."""
+        kept = [c for c in df.columns if c != name]
+        shown = [F.col(c).cast("double").alias(f"_x_{i}") for i, c in enumerate(self.features)]
+        own, sign = self, self.settings.loss == "logistic"
+
+        def predicted(batches):
+            held, rows = [], 0
+            for batch in batches:
+                held, rows = [*held, batch], rows + batch.num_rows
+                if rows >= HELD_ROWS:
+                    yield from own._predicted(held, len(kept), name, sign)
+                    held, rows = [], 0
+            yield from own._predicted(held, len(kept), name, sign)
+        schema = StructType([*df.select(*kept).schema.fields, StructField(name, DoubleType())])
+        return df.select(*kept, *shown).mapInArrow(predicted, schema)
+
+    def _predicted(self, held: list[pa.RecordBatch], kept: int, name: str, sign: bool):
+        if not held:
+            return
+        b = np.concatenate([cells.cut(batch.columns[kept:], self.cuts) for batch in held])
+        different, place = np.unique(b, axis=0, return_inverse=True)
+        found = _raised(np.full(len(different), self.base), different, self.trees)[place.ravel()]
+        found, at = (found > 0).astype(np.float64) if sign else found, 0
+        for batch in held:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:kept], pa.array(found[at:at + batch.num_rows])],
+                [*batch.schema.names[:kept], name])
+            at += batch.num_rows
 
     def importance(self, spark) -> DataFrame:
         """(feature, weight): the gain of each feature's splits."""
@@ -125,11 +159,9 @@ def _margin(start: Column, trees: list, bins: Column) -> Column:
 
 
 # ---------------------------------------------------------------------- trees
-def _drawn(own: Settings, tree: int, key: str) -> Column:
-    """Whether a row is drawn for a tree, by a digest of seed, tree and key."""
-    text = F.concat_ws(":", F.lit(f"{own.seed}:{tree}"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    share = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return share < own.rows
+def _drawn(own: Settings, tree: int) -> Column:
+    """Whether a row is drawn for a tree."""
+    return cells.drawn_column(own.seed, own.rows, tree) if own.rows < 1.0 else F.lit(True)
 
 
 def _columns(own: Settings, tree: int, n: int) -> set[int]:
@@ -141,10 +173,6 @@ PART = float(1 << 32)       # a sum of decimals is kept as a high and a low whol
 SUMS = "model int, node int, feature int, bin int, g_high double, g_low double, h_high double, h_low double"
 
 
-def _bins(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    return np.asarray(batch.column("b").flatten()).reshape(batch.num_rows, n)
-
-
 def _leaves(b: np.ndarray, nodes: list[tuple[int, int, float]]) -> np.ndarray:
     """The node of a tree that each row of bins comes to."""
     feature, cut = (np.array([x[k] for x in nodes], np.int64) for k in (0, 1))
@@ -168,7 +196,7 @@ def _with_margins(rows: DataFrame, trees: dict[str, list], n: int) -> DataFrame:
 
     def raised(batches):
         for batch in batches:
-            b = _bins(batch, n)
+            b = cells.bins_of(batch, n)
             yield pa.RecordBatch.from_arrays([
                 pa.array(_raised(batch.column(c).to_numpy(), b, trees[c[2:]])) if c[2:] in trees
                 and c.startswith("m_") else batch.column(c) for c in schema.names], schema.names)
@@ -204,7 +232,7 @@ def _sums(rows: DataFrame, growing: dict[str, tuple[Settings, Column, list, set[
     def added(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            every = _bins(batch, len(width)).astype(np.int64)
+            every = cells.bins_of(batch, len(width)).astype(np.int64)
             for i, (loss, tree, wanted, trees) in enumerate(plain):
                 drawn = batch.column(f"drawn_{i}").to_numpy(zero_copy_only=False).astype(bool)
                 at = _leaves(every, tree)
@@ -277,14 +305,15 @@ def _split(own: Settings, sums: list[tuple], width: list[int], allowed: set[int]
 def fit(df: DataFrame, features: list[str], models: dict[str, Settings], key: str, store: Store,
         bins: int = BINS) -> dict[str, Boosted]:
     """Grow the models side by side.  ``store(name, make)`` writes a table and reads it
-    back: the binned rows once, and their predictions every ``CUT_EVERY`` trees.
+    back: the binned rows once, and their predictions every ``CUT_EVERY`` trees where
+    there are too many cells.
 
     A row counts once, with the label that it has; rows without a label are left out of
     that model.  No rows, or no labels: a model without trees."""
     cuts = bin_cuts(df, features, bins)
     width = [len(c) + 1 for c in cuts]
     labels = sorted({s.label for s in models.values()})
-    rows = store("boosting-rows", lambda: df.select(key, *labels, binned(features, cuts).alias("b")))
+    rows = store("boosting-rows", lambda: cells.binned_rows(df, key, features, cuts, labels))
     means = rows.agg(*[F.avg(exact(c)).cast("double").alias(c) for c in labels]).first().asDict()
     out = {}
     for name, own in models.items():
@@ -292,18 +321,38 @@ def fit(df: DataFrame, features: list[str], models: dict[str, Settings], key: st
         base = 0.0 if mean is None else mean if own.loss == "squared" else math.log(
             max(mean, 1e-6) / max(1 - mean, 1e-6))
         out[name] = Boosted(own, list(features), cuts, base, [], [0.0] * len(features))
+    found = cells.cells_of(rows, len(features), labels)
+    if found is None:
+        _grow_by_level(rows, width, out, store)
+        return out
+    growing = [m for m in out.values() if means[m.settings.label] is not None]
+    for m, trees in zip(growing, together(df.sparkSession, *[
+            lambda m=m: cells.grown(rows, found, width, m.settings, m.base) for m in growing]), strict=True):
+        for tree in trees:
+            leaf = tree["feature"] < 0
+            m.trees.append(list(zip(tree["feature"].tolist(), tree["bin"].tolist(),
+                                    np.where(leaf, tree["value"], 0.0).tolist(), strict=True)))
+            for f, gain in zip(tree["feature"][~leaf].tolist(), tree["gain"][~leaf].tolist(), strict=True):
+                m.gains[f] += gain
+    return out
+
+
+def _grow_by_level(rows: DataFrame, width: list[int], out: dict[str, Boosted], store: Store) -> None:
+    """Add the trees of all models, each level by one aggregate over the rows."""
+    models, n_features = {n: m.settings for n, m in out.items()}, len(width)
+    labelled = rows.agg(*[F.count(s.label).alias(n) for n, s in models.items()]).first().asDict()
     rows = rows.withColumns({f"m_{n}": F.lit(m.base) for n, m in out.items()})
     since: dict[str, list] = {n: [] for n in models}
     for tree in range(max(s.trees for s in models.values())):
         grown: dict[str, list] = {n: [(-1, 0, 0.0)] for n, s in models.items()
-                                  if tree < s.trees and means[s.label] is not None}
+                                  if tree < s.trees and labelled[n]}
         open_ = {n: {0} for n in grown}
         for level in range(max((models[n].depth for n in grown), default=0) + 1):
             growing = {}
             for n in grown:
                 if not open_[n]:
                     continue
-                drawn = _drawn(models[n], tree, key) & F.col(models[n].label).isNotNull()
+                drawn = _drawn(models[n], tree) & F.col(models[n].label).isNotNull()
                 growing[n] = (models[n], drawn, grown[n], open_[n])
             if not growing:
                 break
@@ -311,7 +360,7 @@ def fit(df: DataFrame, features: list[str], models: dict[str, Settings], key: st
             for n in growing:
                 own, nodes, after = models[n], grown[n], set()
                 nodes.extend([(-1, 0, 0.0)] * ((1 << level + 1) - 1 - len(nodes)))
-                allowed = _columns(own, tree, len(features)) if level < own.depth else set()
+                allowed = _columns(own, tree, n_features) if level < own.depth else set()
                 for at in sorted(open_[n]):
                     if (n, at) not in found:
                         continue
@@ -326,19 +375,17 @@ def fit(df: DataFrame, features: list[str], models: dict[str, Settings], key: st
             since[n].append(nodes)
         if (tree + 1) % CUT_EVERY == 0:
             rows = store(f"boosting-{tree}", lambda rows=rows, since=since: _with_margins(
-                rows, since, len(features)))
+                rows, since, n_features))
             since = {n: [] for n in models}
-    return out
 
 
 # ---------------------------------------------------------------------- models
-def price_settings(trees: tuple[int, int, int] = (200, 300, 200), **given) -> dict[str, Settings]:
-    """M9, M10, M12 with their fixed settings; ``given`` replaces some in all."""
-    own = {"regression_raw": Settings("prix", trees=trees[0]),
-           "regression_log": Settings("prix_log", trees=trees[1]),
-           "classification": Settings("label", "logistic", trees=trees[2], depth=6, rows=1.0,
-                                      columns=1.0)}
-    return {n: replace(s, **given) for n, s in own.items()}
+def price_settings() -> dict[str, Settings]:
+    """M9, M10, M12 with their fixed settings."""
+    return {"regression_raw": Settings("prix", trees=200),
+            "regression_log": Settings("prix_log", trees=300),
+            "classification": Settings("label", "logistic", trees=200, depth=6, rows=1.0,
+                                       columns=1.0)}
 
 
 def train_prices(df: DataFrame, store: Store, settings: dict[str, Settings] | None = None,

@@ -677,8 +677,7 @@ def batch_scoring(spark, sf_dir):
 
 
 # ------------------------------------------------- second-order boosting
-# Rounds of the catalogue's models, and of the tree that SQL repeats.
-BOOSTED_ROUNDS = dict(trees=(6, 9, 6), depth=4, rate=0.3)
+# Of the tree that SQL repeats.
 CHECKED_TREE = boosting.Settings("prix", trees=1, depth=2, rows=1.0, columns=1.0, l2=1.0)
 CHECKED_BINS = 8
 
@@ -691,8 +690,7 @@ def _boosted(spark, sf_dir) -> dict:
     key = (spark.sparkContext.applicationId, sf_dir, "second order")
     if key not in _TRAINED:
         rows, _ = _clustered(spark, sf_dir)
-        _TRAINED[key] = boosting.train_prices(rows, _store(spark, sf_dir, "second"),
-                                              boosting.price_settings(**BOOSTED_ROUNDS))
+        _TRAINED[key] = boosting.train_prices(rows, _store(spark, sf_dir, "second"))
     return _TRAINED[key]
 
 

@@ -131,3 +131,52 @@ def test_sums_of_open_nodes(spark, homes):
                 own[0] += g if abs(g) < 1e28 else 0.0
                 own[1] += 1.0
     assert {(n, f, b): [g, h] for (_, n), own in got[0].items() for f, b, g, h in own} == want
+
+
+def test_catalogue_grows_its_models_whole(spark, homes, monkeypatch):
+    from immolens.plans import catalogue
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def fit(df, features, models, *rest):
+        asked.update({n: (s.label, s.loss, s.trees, s.depth, s.rate, s.rows, s.columns) for n, s in models.items()})
+        raise Asked
+    monkeypatch.setattr(boosting, "fit", fit)
+    monkeypatch.setattr(catalogue, "_clustered", lambda spark, sf_dir: (homes.drop("label"), None))
+    with pytest.raises(Asked):
+        catalogue.second_order_models(spark, "whole")
+    assert asked == {"regression_raw": ("prix", "squared", 200, 7, 0.1, 0.8, 0.8),
+                     "regression_log": ("prix_log", "squared", 300, 7, 0.1, 0.8, 0.8),
+                     "classification": ("label", "logistic", 200, 6, 0.1, 1.0, 1.0)}
+
+
+def test_cells_give_the_trees_of_the_rows(homes, store, monkeypatch):
+    """Over cells, in several parts and records, and level by level over the rows; rows come
+    twice, some without a label, and one cell has most of them."""
+    some = homes.withColumn("prix", F.when(F.col("id_annonce") % 9 > 0, F.col("prix")))
+    many = some.unionByName(some).unionByName(
+        some.limit(1).withColumn("id_annonce", F.explode(F.sequence(F.lit(1000), F.lit(1500)))))
+    asked = {"raw": Settings("prix", trees=5, depth=4), "clf": Settings("label", "logistic", trees=4, depth=3)}
+    for name, size in (("PART_ROWS", 64), ("BLOCK_ROWS", 16), ("TREES", 2), ("RECORD_CELLS", 3)):
+        monkeypatch.setattr(boosting.cells, name, size)
+    over_cells = boosting.fit(many, NAMES, asked, "id_annonce", store, 8)
+    monkeypatch.setattr(boosting.cells, "MOST_CELLS", 0)
+    over_rows = boosting.fit(many, NAMES, asked, "id_annonce", store, 8)
+    for n, own in asked.items():
+        a, b = over_cells[n], over_rows[n]
+        assert len(a.trees) == own.trees and a.base == b.base and np.allclose(a.gains, b.gains)
+        got, want = ([r.x for r in many.select("id_annonce", m.margin().alias("x")).orderBy("id_annonce", "x").collect()]
+                     for m in (a, b))
+        assert np.allclose(got, want, rtol=1e-9)
+        if own.loss == "squared":
+            assert [r.p for r in a.predict(many, "p").orderBy("id_annonce", "p").collect()] == got
+
+
+def test_draws_are_those_of_the_column(spark):
+    ids = spark.range(500).select(F.xxhash64("id").alias("h"))
+    h = np.array([r.h for r in ids.collect()])
+    got = np.array([list(r) for r in ids.select(*[
+        boosting.cells.drawn_column(-3, 0.8, t).alias(f"d_{t}") for t in range(4)]).collect()])
+    assert (got == boosting.cells.drawn(h, -3, 0.8, range(4))).all() and 0.75 < got.mean() < 0.85
