@@ -34,6 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from immolens.functions.numeric import exact
 from immolens.operators import cells
+from immolens.operators.cells import Settings
 from immolens.operators.models import together
 from immolens.operators.stats import quantile_table
 
@@ -45,21 +46,6 @@ NODES = "array<struct<feature:int,bin:int,value:double>>"
 Store = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
 
-@dataclass(frozen=True)
-class Settings:
-    """Of one model; ``loss`` is ``squared`` or ``logistic`` (labels 0 and 1)."""
-    label: str
-    loss: str = "squared"
-    trees: int = 200
-    depth: int = 7
-    rate: float = 0.1
-    rows: float = 0.8
-    columns: float = 0.8
-    l2: float = 1.0
-    min_gain: float = 0.0
-    seed: int = 42
-
-
 @dataclass
 class Boosted:
     """A fitted model.  A tree is a list of nodes (feature, bin, value): the children of

@@ -39,6 +39,22 @@ GROWN = ("tree int, feature array<int>, bin array<int>, value array<double>, gai
 FIRST_ORDER = ("first_squared", "first_logistic")       # MLlib's: the others are second-order
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Of one model; ``loss`` is ``squared`` or ``logistic`` (labels 0 and 1), or one of
+    ``FIRST_ORDER``, whose trees MLlib's weights are not yet in."""
+    label: str
+    loss: str = "squared"
+    trees: int = 200
+    depth: int = 7
+    rate: float = 0.1
+    rows: float = 0.8
+    columns: float = 0.8
+    l2: float = 1.0
+    min_gain: float = 0.0
+    seed: int = 42
+
+
 # ---------------------------------------------------------------------- rows
 def binned_rows(df: DataFrame, key: str | None, features: list[str], cuts: list[list[float]],
                 labels: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Clustering, boosted-tree models and their evaluation.
 
-All fitting runs on MLlib (distributed); metrics are DataFrame aggregates.
-MLlib's GBT is first-order gradient boosting with per-node feature
-sampling; the reference's booster is second-order and regularised, so model
-quality figures are comparable in kind, not equal.
+Fitting gives MLlib models; metrics are DataFrame aggregates.  KMeans is
+MLlib's.  Its GBT, first-order gradient boosting with per-node feature
+sampling, is grown over cells of equal rows (``first_order``), or by MLlib
+itself where there are too many of them; the reference's booster is
+second-order and regularised, so model quality figures are comparable in
+kind, not equal.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from immolens.operators import first_order
 from immolens.operators.stats import quantiles
 from immolens.session import checkpoint_dir
 
@@ -34,8 +37,8 @@ REGRESSION_RAW = dict(maxIter=200, stepSize=0.1, maxDepth=7, subsamplingRate=0.8
                       featureSubsetStrategy="0.8", seed=42)
 REGRESSION_LOG = dict(REGRESSION_RAW, maxIter=300)
 CLASSIFIER = dict(maxIter=200, stepSize=0.1, maxDepth=6, seed=42)
-# Long boosting runs cut their lineage every 10 iterations (MLlib checkpoints
-# into the shared spark.checkpoint.dir).
+# MLlib's own fit cuts its lineage every 10 iterations (checkpoints into the
+# shared spark.checkpoint.dir).
 TRAINING_RUNTIME = dict(checkpointInterval=10)
 FEATURE_LABELS = {
     "ville": "Ville (Target Encoded)",
@@ -189,10 +192,18 @@ def together(spark, *fits) -> list:
                                     for fit in fits]]
 
 
-def _gbt_regression(train, test, cols, target, params, use_log):
+def _fitted(kind, train, cols, target, params, prepared):
+    """A booster of MLlib's, fitted over cells or, where that can't be done, by MLlib."""
     checkpoint_dir(train.sparkSession)
-    model = GBTRegressor(featuresCol="features", labelCol=target,
-                         **{**TRAINING_RUNTIME, **params}).fit(_assembled(train, cols))
+    estimator = kind(featuresCol="features", labelCol=target, **{**TRAINING_RUNTIME, **params})
+    return first_order.fit(estimator, prepared) or estimator.fit(_assembled(train, cols))
+
+
+def _gbt_regression(train, test, cols, target, params, use_log, prepared=None):
+    own = prepared or first_order.prepare(train, cols, [target])
+    model = _fitted(GBTRegressor, train, cols, target, params, own)
+    if own and not prepared:
+        own.done()
     pred = model.transform(_assembled(test, cols))
     return model, regression_metrics(pred, target, "prediction", use_log).first().asDict()
 
@@ -204,10 +215,13 @@ def train_regressions(df: DataFrame, raw_params=None, log_params=None) -> dict:
     cols = feature_columns(df)
     train, test = split(df)
     train = train.persist()
+    own = first_order.prepare(train, cols, ["prix", "prix_log"])
     (raw_model, raw_m), (log_model, log_m) = together(
         df.sparkSession,
-        lambda: _gbt_regression(train, test, cols, "prix", raw_params or REGRESSION_RAW, False),
-        lambda: _gbt_regression(train, test, cols, "prix_log", log_params or REGRESSION_LOG, True))
+        lambda: _gbt_regression(train, test, cols, "prix", raw_params or REGRESSION_RAW, False, own),
+        lambda: _gbt_regression(train, test, cols, "prix_log", log_params or REGRESSION_LOG, True, own))
+    if own:
+        own.done()
     train.unpersist()
     if raw_m["r2"] > log_m["r2"]:
         best, method, best_m = raw_model, "prix_brut", raw_m
@@ -224,9 +238,10 @@ def train_classifier(df: DataFrame, params=None) -> dict:
     cols = feature_columns(df)
     labelled, med = median_label(df)
     ltrain, ltest = split(labelled)
-    checkpoint_dir(df.sparkSession)
-    clf = GBTClassifier(featuresCol="features", labelCol="label",
-                        **{**TRAINING_RUNTIME, **(params or CLASSIFIER)}).fit(_assembled(ltrain, cols))
+    own = first_order.prepare(ltrain, cols, ["label"])
+    clf = _fitted(GBTClassifier, ltrain, cols, "label", params or CLASSIFIER, own)
+    if own:
+        own.done()
     clf_m = classification_metrics(clf.transform(_assembled(ltest, cols))).first().asDict()
     return {"feature_columns": cols, "classification": {"model": clf, "median": med, **clf_m}}
 

@@ -116,3 +116,74 @@ def test_log_champion_is_inverted(spark, train_df):
                             ranges={"surface_min": 100, "surface_max": 200,
                                     "pieces_min": 1, "pieces_max": 2}).first()
     assert clamped.surface_area == 100.0 and clamped.rooms == 2
+
+
+@pytest.fixture(scope="module")
+def coarse(spark):
+    """Features of few values, so that MLlib's cuts are all of them too."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        a, b, c = rnd.randrange(12), rnd.randrange(5), rnd.random() < 0.1
+        y = a * 3.0 + (b - 2) ** 2 * 5 + 20 * c + rnd.gauss(0, 2)
+        rows.append((i, float(a), b, c, y, int(y > 25)))
+    return spark.createDataFrame(rows, "id_annonce long, a double, b int, c boolean, prix double, label int")
+
+
+@pytest.mark.parametrize("kind,label", [(models.GBTRegressor, "prix"), (models.GBTClassifier, "label")])
+def test_trees_over_cells_are_those_of_mllib(coarse, kind, label):
+    params = dict(maxIter=6, stepSize=0.1, maxDepth=4, seed=42)
+    own = models.first_order.prepare(coarse, ["a", "b", "c"], [label])
+    got = models._fitted(kind, coarse, ["a", "b", "c"], label, params, own)
+    own.done()
+    rows = models._assembled(coarse, ["a", "b", "c"])
+    want = kind(featuresCol="features", labelCol=label, **params).fit(rows)
+    assert got.getNumTrees == want.getNumTrees == 6 and list(got.treeWeights) == list(want.treeWeights)
+    assert got.totalNumNodes == want.totalNumNodes and type(got) is type(want)
+    assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray())
+    a, b = ([r.prediction for r in m.transform(rows).orderBy("id_annonce").collect()] for m in (got, want))
+    assert a == pytest.approx(b, rel=1e-9)
+    assert {p.name: v for p, v in got.extractParamMap().items()} == {
+        **{p.name: v for p, v in want.extractParamMap().items()}, "checkpointInterval": 10}
+    assert "impurity" not in str(got.toDebugString) and got.trees[1]._call_java("rootNode").impurity() == \
+        pytest.approx(want.trees[1]._call_java("rootNode").impurity())
+
+
+def test_drawn_trees_do_not_depend_on_partitions(coarse, monkeypatch):
+    """Rows and features are drawn by hashes, over cells that several tasks share; the rows
+    of a tree and the features of a node are as many as MLlib would draw."""
+    monkeypatch.setattr(models.first_order.cells, "PART_ROWS", 100)
+    params = dict(maxIter=4, stepSize=0.1, maxDepth=3, seed=42, subsamplingRate=0.8, featureSubsetStrategy="0.5")
+    shown, drawn = [], []
+    for rows in (coarse.coalesce(1), coarse.repartition(5)):
+        own = models.first_order.prepare(rows, ["a", "b", "c"], ["prix"])
+        model = models._fitted(models.GBTRegressor, rows, ["a", "b", "c"], "prix", params, own)
+        own.done()
+        shown.append(model.toDebugString.split("\n", 1)[1])
+        drawn = [t._call_java("rootNode").impurityStats().count() for t in model.trees]
+    assert shown[0] == shown[1] and len(set(drawn)) > 1 and all(420 < n < 540 for n in drawn)
+
+
+def test_mllib_fits_what_cells_do_not(spark, coarse, monkeypatch):
+    first_order = models.first_order
+    assert first_order.prepare(coarse.limit(0), ["a"], ["prix"]) is None
+    assert first_order.prepare(coarse.withColumn("prix", F.lit(None).cast("double")), ["a"], ["prix"]) is None
+    own = first_order.prepare(coarse, ["a", "b"], ["prix"])
+    few = dict(maxIter=2, maxDepth=2, seed=1)
+    assert first_order.fit(models.GBTRegressor(labelCol="prix", minInfoGain=0.5, **few), own) is None
+    own.done()
+    monkeypatch.setattr(first_order.cells, "MOST_CELLS", 3)
+    assert first_order.prepare(coarse, ["a", "b"], ["prix"]) is None
+    model, found = models._gbt_regression(coarse, coarse, ["a", "b"], "prix", few, False)
+    assert model.getNumTrees == 2 and found["r2"] > 0
+
+
+def test_models_at_their_size_take_few_jobs(spark, coarse):
+    """A fit of 200 trees starts fewer than 40 jobs; level by level it was about 1 600."""
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        model, _ = models._gbt_regression(coarse, coarse, ["a", "b", "c"], "prix", models.REGRESSION_RAW, False)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert model.getNumTrees == 200
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 40
